@@ -54,8 +54,10 @@ SELECT sample_id, chrom, start_bp, end_bp,
   CASE WHEN category = 'Unclassified' THEN 'Low-DNase' ELSE category END AS category FROM ccre""",
     "loci": "SELECT DISTINCT chr, start_bp, end_bp FROM fingerprints",
     "windows": """
-SELECT s.sample_id, l.chr AS chrom, l.start_bp AS win_start, l.end_bp AS win_end
-FROM (SELECT DISTINCT sample_id FROM ccre) s, loci l""",
+SELECT DISTINCT cell_type AS sample_id, chr AS chrom, start_bp AS win_start, end_bp AS win_end FROM members""",
+    "gene_roles": """
+SELECT *, CASE gene_name WHEN 'MYC' THEN 'oncogene' WHEN 'TP53' THEN 'tumor_suppressor' WHEN 'CTCF' THEN 'ctcf_anchor'
+  WHEN 'EED' THEN 'chromatin_regulator' WHEN 'EZH2' THEN 'oncogene' END AS cancer_role FROM genes""",
 })
 _NEEDS = {
     "bins": ["pixels"],
@@ -63,7 +65,7 @@ _NEEDS = {
     "locus_pairs": ["members"], "locus_ranked": ["locus_pairs"], "win": ["locus_ranked"],
     "all_pairs": ["members"], "type_best": ["all_pairs"], "overall_best": ["all_pairs"],
     "type_mean": ["type_best", "overall_best"],
-    "ccre_clean": ["ccre"], "loci": ["fingerprints"], "windows": ["ccre", "loci"],
+    "ccre_clean": ["ccre"], "loci": ["fingerprints"], "windows": ["members"], "gene_roles": ["genes"],
 }
 
 

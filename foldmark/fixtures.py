@@ -141,3 +141,16 @@ class Fixture:
         """Fingerprints of query or reference samples, with cell type and tissue."""
         who = self.samples.where(F.col("role") == role).select("sample_id", "cell_type", "tissue")
         return self.fingerprints.drop("label").join(who, "sample_id")
+
+    @property
+    def windows(self):
+        """Annotation windows of every cell type."""
+        who = self.samples.select("sample_id", "cell_type")
+        return (self.fingerprints.join(who, "sample_id")
+                .select(F.col("cell_type").alias("sample_id"), F.col("chr").alias("chrom"),
+                        F.col("start_bp").alias("win_start"), F.col("end_bp").alias("win_end")).distinct())
+
+    @property
+    def loci(self):
+        return self.fingerprints.select(F.col("chr").alias("chrom"), F.col("start_bp").alias("win_start"),
+                                        F.col("end_bp").alias("win_end")).distinct()

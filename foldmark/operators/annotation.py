@@ -1 +1,295 @@
-"""placeholder"""
+"""Regulatory-element and gene annotation of genome windows."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .. import constants as C
+from ..functions import genes as G
+from ..functions import names as N
+from . import intervals as I
+
+WINDOW = ["sample_id", "chrom", "win_start", "win_end"]
+
+
+# ---- regulatory elements ---------------------------------------------------
+
+def clean_category(category):
+    """Trimmed category; anything unknown counts as the background category."""
+    c = F.trim(category)
+    return F.when(c.isin(C.CCRE_CATEGORIES), c).otherwise(C.CCRE_DEFAULT)
+
+
+def category_counts(windows: DataFrame, ccre: DataFrame, grid: int = I.BUCKET) -> DataFrame:
+    """Long form: elements per (window, category) that overlap, non-zero only."""
+    return I.overlap_counts(windows, ccre, ["sample_id", "chrom"], "category", grid=grid)
+
+
+def window_counts(windows: DataFrame, ccre: DataFrame, grid: int = I.BUCKET) -> DataFrame:
+    """Wide form: one column per category, 0 where none. Windows of samples without elements are dropped."""
+    n = category_counts(windows, ccre, grid)
+    wide = n.groupBy(*WINDOW).agg(*[
+        F.sum(F.when(F.col("category") == c, F.col("n"))).alias(c) for c in C.CCRE_CATEGORIES])
+    known = windows.join(ccre.select("sample_id").distinct(), "sample_id", "left_semi")
+    return known.select(*WINDOW).join(wide, WINDOW, "left").na.fill(0, C.CCRE_CATEGORIES)
+
+
+def annotation_columns(counts: DataFrame) -> DataFrame:
+    """Counts plus the six derived values of the annotation vector."""
+    col = {c: F.col(f"`{c}`") for c in C.CCRE_CATEGORIES}
+    active = [col[c] for c in C.CCRE_CATEGORIES if c != C.CCRE_DEFAULT]
+    n_active = sum(active[1:], active[0])
+    total = n_active + col[C.CCRE_DEFAULT]
+    size_mb = F.greatest(F.col("win_end") - F.col("win_start"), F.lit(1)) / 1e6
+    some = F.greatest(n_active, F.lit(1))
+
+    def part(n):
+        p = n / some
+        return F.when(n > 0, -p * F.log2(p)).otherwise(0.0)
+
+    entropy = sum([part(n) for n in active[1:]], part(active[0]))
+    return counts.select(
+        *[c for c in counts.columns if c not in C.CCRE_CATEGORIES],
+        *[col[c].cast("double").alias(c) for c in C.CCRE_CATEGORIES],
+        n_active.cast("double").alias("n_active"), entropy.alias("regulatory_complexity"),
+        (col["CA-CTCF"] / size_mb).alias("ctcf_density"), (col["PLS"] / some).alias("promoter_ratio"),
+        ((col["pELS"] + col["dELS"]) / some).alias("enhancer_ratio"), (total / size_mb).alias("total_density"))
+
+
+def annotate_windows(windows: DataFrame, ccre: DataFrame, grid: int = I.BUCKET) -> DataFrame:
+    return annotation_columns(window_counts(windows, ccre, grid))
+
+
+def annotation_vector():
+    """The 16 columns as one float array, in the fixed order."""
+    return F.array(*[F.col(f"`{c}`").cast("float") for c in C.CCRE_CATEGORIES + C.ANNOTATION_DERIVED])
+
+
+def dominant_category():
+    counts = F.array(*[F.col(f"`{c}`") for c in C.CCRE_CATEGORIES])
+    listed = F.array(*[F.lit(c) for c in C.CCRE_CATEGORIES])
+    return F.element_at(listed, F.array_position(counts, F.array_max(counts)).cast("int"))
+
+
+def element_coordinates(windows: DataFrame, ccre: DataFrame, bucket: int = I.BUCKET) -> DataFrame:
+    """One row per (window, overlapping element)."""
+    return (I.overlap_join(windows, ccre, ["sample_id", "chrom"], bucket=bucket)
+            .select(*WINDOW, "category", "start_bp", "end_bp"))
+
+
+def nested_coordinates(coords: DataFrame) -> DataFrame:
+    """Per window a map category -> sorted coordinates; sized by the window, which bounds it."""
+    per = coords.groupBy(*WINDOW, "category").agg(
+        F.sort_array(F.collect_list(F.struct("start_bp", "end_bp"))).alias("spans"))
+    return per.groupBy(*WINDOW).agg(F.map_from_entries(F.sort_array(F.collect_list(
+        F.struct("category", "spans")))).alias("coords_by_category"))
+
+
+def differential(annotated: DataFrame, sample_a: str, sample_b: str) -> DataFrame:
+    """Annotation of A minus B at every locus both have."""
+    values = C.CCRE_CATEGORIES + C.ANNOTATION_DERIVED
+    at = ["chrom", "win_start", "win_end"]
+
+    def side(sample, mark):
+        return annotated.where(F.col("sample_id") == sample).select(
+            *at, *[F.col(f"`{v}`").alias(f"{mark}{v}") for v in values])
+
+    both = side(sample_a, "a_").join(side(sample_b, "b_"), at)
+    return both.select(*at, *[(F.col(f"`a_{v}`") - F.col(f"`b_{v}`")).alias(v) for v in values])
+
+
+def differential_lines(diff: DataFrame, threshold: float = C.CCRE_DELTA) -> DataFrame:
+    """Long form of the changes that reach their threshold, each with its report line."""
+    limits = {c: float(threshold) for c in C.CCRE_CATEGORIES} | C.ANNOTATION_THRESHOLDS
+    rows = F.array(*[F.struct(F.lit(i).alias("line_no"), F.lit(v).alias("feature"),
+                              F.col(f"`{v}`").alias("delta"), F.lit(t).alias("limit"),
+                              F.lit(v in C.CCRE_CATEGORIES).alias("is_count"))
+                     for i, (v, t) in enumerate(limits.items())])
+    out = (diff.select("chrom", "win_start", "win_end", F.inline(rows))
+           .where(F.abs("delta") >= F.col("limit")))
+    d = F.col("delta")
+    count = F.concat(F.format_string("%s: %+.0f", "feature", d),
+                     F.when(d > 0, " (more in query)").otherwise(" (fewer in query)"))
+    scalar = F.concat(F.format_string("%s: %+.3f", "feature", d),
+                      F.when(d > 0, " (higher in query)").otherwise(" (lower in query)"))
+    return (out.withColumn("line", F.when(F.col("is_count"), count).otherwise(scalar))
+            .select("chrom", "win_start", "win_end", "line_no", "feature", "delta", "line"))
+
+
+def profile_counts(ccre: DataFrame) -> DataFrame:
+    """Genome-wide elements per (sample, category), 0 rows included."""
+    listed = ccre.where(F.col("chrom").isin(C.CHROMOSOMES))
+    wide = listed.groupBy("sample_id").agg(*[
+        F.count_if(F.col("category") == c).alias(c) for c in C.CCRE_CATEGORIES])
+    return wide.select("sample_id", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("category_no"), F.lit(c).alias("category"), F.col(f"`{c}`").alias("n"))
+        for i, c in enumerate(C.CCRE_CATEGORIES)])))
+
+
+def compare_profiles(ccre: DataFrame, sample_a: str, sample_b: str) -> DataFrame:
+    """Counts of both samples per category and their signed difference."""
+    n = profile_counts(ccre.where(F.col("sample_id").isin(sample_a, sample_b)))
+
+    def of(s):
+        return F.sum(F.when(F.col("sample_id") == s, F.col("n")).otherwise(0))
+    return (n.groupBy("category_no", "category").agg(of(sample_a).alias("n_a"), of(sample_b).alias("n_b"))
+            .withColumn("diff", F.col("n_a") - F.col("n_b")))
+
+
+def pair_differences(ccre: DataFrame) -> DataFrame:
+    """Every unordered pair of samples: summed absolute difference and its share of the larger total."""
+    n = profile_counts(ccre)
+    a = n.select("category", F.col("sample_id").alias("sample_a"), F.col("n").alias("n_a"))
+    b = n.select("category", F.col("sample_id").alias("sample_b"), F.col("n").alias("n_b"))
+    return (a.join(b, "category").where(F.col("sample_a") < F.col("sample_b"))
+            .groupBy("sample_a", "sample_b").agg(
+                F.sum("n_a").alias("total_a"), F.sum("n_b").alias("total_b"),
+                F.sum(F.abs(F.col("n_a") - F.col("n_b"))).alias("total_diff"))
+            .withColumn("pct_diff", F.col("total_diff") / F.greatest("total_a", "total_b", F.lit(1))))
+
+
+# ---- genes -----------------------------------------------------------------
+
+def with_roles(genes: DataFrame) -> DataFrame:
+    return genes.withColumn("cancer_role", G.cancer_role(F.col("gene_name")))
+
+
+def genes_in_windows(windows: DataFrame, genes: DataFrame, bucket: int = I.BUCKET) -> DataFrame:
+    """One row per (window, gene whose body overlaps it)."""
+    return I.overlap_join(windows, genes, ["chrom"], bucket=bucket)
+
+
+def genes_near(windows: DataFrame, genes: DataFrame, max_dist: int = 2_000_000) -> DataFrame:
+    """Genes within ``max_dist`` of the window midpoint, with signed distance, label and rank."""
+    mid = F.floor((F.col("win_start") + F.col("win_end")) / 2).cast("long")
+    w = (windows.withColumn("_mid", mid)
+         .withColumn("_lo", F.col("_mid") - max_dist - 1).withColumn("_hi", F.col("_mid") + max_dist + 1))
+    near = I.overlap_join(w, genes, ["chrom"], bucket=2 * max_dist, win=("_lo", "_hi"))
+    s, e = F.col("start_bp"), F.col("end_bp")
+    ws, we = F.col("win_start"), F.col("win_end")
+    d = G.distance_to(s, e, F.col("_mid"))
+    out = (near.withColumn("distance_bp", d)
+           .where((F.abs("distance_bp") <= max_dist) & (s < we + max_dist)
+                  & (e > F.greatest(F.lit(0), ws - max_dist)))
+           .withColumn("distance_label", G.distance_label(F.col("distance_bp")))
+           .withColumn("in_window", G.in_window(s, e, ws, we)).drop("_mid", "_lo", "_hi"))
+    order = Window.partitionBy(*windows.columns).orderBy(F.abs("distance_bp"), "start_bp", "gene_id")
+    return out.withColumn("rank", F.row_number().over(order))
+
+
+def nearest_genes(positions: DataFrame, genes: DataFrame, max_dist: int = 2_000_000) -> DataFrame:
+    """Nearest gene of every distinct (chrom, pos); positions without one in reach are absent."""
+    p = F.col("pos")
+    w = (positions.select("chrom", "pos").distinct()
+         .withColumn("_lo", p - max_dist - 1).withColumn("_hi", p + max_dist + 2))
+    near = I.overlap_join(w, genes, ["chrom"], bucket=2 * max_dist, win=("_lo", "_hi"))
+    d = G.distance_to(F.col("start_bp"), F.col("end_bp"), p)
+    near = near.withColumn("distance_bp", d).where(
+        (F.abs("distance_bp") <= max_dist) & (F.col("start_bp") < p + 1 + max_dist)
+        & (F.col("end_bp") > F.greatest(F.lit(0), p - max_dist)))
+    first = F.min(F.struct(F.abs("distance_bp").alias("_a"), "start_bp", "gene_id", "distance_bp", "gene_name",
+                           "gene_type", "cancer_role")).alias("g")
+    return (near.groupBy("chrom", "pos").agg(first)
+            .select("chrom", "pos", "g.gene_name", "g.gene_id", "g.distance_bp",
+                    G.distance_label(F.col("g.distance_bp")).alias("distance_label"), "g.cancer_role", "g.gene_type"))
+
+
+def annotate_elements(coords: DataFrame, genes: DataFrame, max_dist: int = 500_000) -> DataFrame:
+    """Nearest gene of every element hit, else intergenic, with the report rank per window and category.
+
+    Elements sit at the same coordinates in many samples and windows, so each
+    midpoint is looked up once. Cancer genes rank first, then by distance; a
+    distance of 0 counts as missing in that order.
+    """
+    hits = coords.withColumn("pos", F.floor((F.col("start_bp") + F.col("end_bp")) / 2).cast("long"))
+    found = hits.join(nearest_genes(hits, genes, max_dist), ["chrom", "pos"], "left")
+    far = F.coalesce(F.nullif(F.abs("distance_bp"), F.lit(0)), F.lit(999_999_999))
+    order = Window.partitionBy(*WINDOW, "category").orderBy(
+        F.when(F.col("cancer_role").isNull(), 1).otherwise(0), far, "start_bp", "end_bp")
+    return (found.withColumn("rank", F.row_number().over(order))
+            .withColumn("nearest_gene", F.coalesce("gene_name", F.lit("intergenic")))
+            .withColumn("distance_label", F.coalesce("distance_label", F.lit("intergenic")))
+            .withColumn("size_bp", F.col("end_bp") - F.col("start_bp")).drop("pos", "gene_name"))
+
+
+def boundary_losses(positions: DataFrame, genes: DataFrame, max_dist: int = 500_000) -> DataFrame:
+    """Three nearest genes on each side of every lost boundary (chrom, pos), with the note."""
+    sides = positions.select("chrom", "pos", F.inline(F.array(
+        F.struct(F.lit(0).alias("side"), (F.col("pos") - max_dist).alias("win_start"), F.col("pos").alias("win_end")),
+        F.struct(F.lit(1).alias("side"), F.col("pos").alias("win_start"), (F.col("pos") + max_dist).alias("win_end")))))
+    top = genes_near(sides, genes, max_dist).where("rank <= 3")
+    one = F.struct("side", "rank", "gene_name", "cancer_role")
+    listed = top.groupBy("chrom", "pos").agg(F.sort_array(F.collect_list(one)).alias("_g"))
+    out = positions.select("chrom", "pos").distinct().join(listed, ["chrom", "pos"], "left")
+    g = F.coalesce(F.col("_g"), F.array().cast("array<struct<side:int,rank:int,gene_name:string,cancer_role:string>>"))
+
+    def names(keep):
+        return F.transform(F.filter(g, keep), lambda x: x["gene_name"])
+
+    return out.select(
+        "chrom", "pos", names(lambda x: x["side"] == 0).alias("left_genes"),
+        names(lambda x: x["side"] == 1).alias("right_genes"),
+        names(lambda x: x["cancer_role"].isNotNull()).alias("cancer_genes"),
+        G.boundary_note(names(lambda x: x["rank"] > 0)).alias("clinical_note"))
+
+
+def compartment_switches(switches: DataFrame, genes: DataFrame, max_dist: int = 200_000) -> DataFrame:
+    """Genes inside every switched region (chrom, win_start, win_end, direction) and its consequence."""
+    key = ["chrom", "win_start", "win_end", "direction"]
+    inside = genes_in_windows(switches.select(*key), genes).groupBy(*key).agg(
+        F.sort_array(F.collect_list(F.struct("start_bp", "gene_id", "gene_name", "cancer_role"))).alias("_in"))
+    near = (genes_near(switches.select(*key), genes, max_dist).where("rank <= 3").groupBy(*key)
+            .agg(F.sort_array(F.collect_list(F.struct("rank", "gene_name"))).alias("_near")))
+    none = F.array().cast("array<string>")
+
+    def names(col, keep=None):
+        a = F.col(col) if keep is None else F.filter(col, keep)
+        return F.coalesce(F.transform(a, lambda x: x["gene_name"]), none)
+
+    out = (switches.select(*key).distinct().join(inside, key, "left").join(near, key, "left")
+           .withColumn("genes_in_region", names("_in"))
+           .withColumn("cancer_genes", names("_in", lambda x: x["cancer_role"].isNotNull()))
+           .withColumn("nearby_genes", names("_near")).drop("_in", "_near"))
+    direction, cancer = F.col("direction"), F.col("cancer_genes")
+    return (out.withColumn("size_bp", F.col("win_end") - F.col("win_start"))
+            .withColumn("functional_consequence", G.compartment_consequence(direction, cancer))
+            .withColumn("clinical_note", G.compartment_note(direction, cancer)))
+
+
+# ---- matching files to cells ----------------------------------------------
+
+def _prefixes(name):
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(name))), lambda i: F.substring(name, F.lit(1), i))
+
+
+def match_annotation_files(cells: DataFrame, files: DataFrame) -> DataFrame:
+    """Annotation file of every cell: exact name, else a prefix either way ignoring case, first path.
+
+    ``files`` has key and path. A prefix match is an equality with one of the
+    prefixes of the longer name, so these are equi joins.
+    """
+    c = cells.select("cell").distinct().withColumn("_lc", F.lower("cell"))
+    f = files.select("key", "path").withColumn("_lk", F.lower("key"))
+    exact = c.join(f, c["cell"] == f["key"]).select("cell", F.lit(0).alias("p"), "path")
+    longer = (c.withColumn("_pre", F.explode(_prefixes(F.col("_lc")))).join(f, F.col("_pre") == F.col("_lk"))
+              .select("cell", F.lit(1).alias("p"), "path"))
+    shorter = (f.withColumn("_pre", F.explode(_prefixes(F.col("_lk")))).join(c, F.col("_pre") == F.col("_lc"))
+               .select("cell", F.lit(1).alias("p"), "path"))
+    best = exact.unionByName(longer).unionByName(shorter).groupBy("cell").agg(
+        F.min(F.struct("p", "path"))["path"].alias("annotation_path"))
+    return c.select("cell").join(best, "cell", "left")
+
+
+def discover_annotations(samples: DataFrame, files: DataFrame, extension: str = ".bed.gz") -> DataFrame:
+    """Annotation path per sample id: exact file name, file name starting with it, cleaned name equal to it."""
+    s = samples.select("sample_id").distinct()
+    f = files.select("path", F.element_at(F.split("path", "/"), -1).alias("_file"))
+    stem = F.regexp_replace("_file", extension.replace(".", r"\.") + "$", "")
+    tries = [
+        f.select("path", stem.alias("sample_id"), F.lit(0).alias("p")),
+        f.select("path", F.explode(_prefixes(F.col("_file"))).alias("sample_id"), F.lit(1).alias("p")),
+        f.select("path", N.strip_accession(stem).alias("sample_id"), F.lit(2).alias("p")),
+    ]
+    every = tries[0].unionByName(tries[1]).unionByName(tries[2])
+    return (s.join(every, "sample_id").groupBy("sample_id")
+            .agg(F.min(F.struct("p", "path"))["path"].alias("path")))

@@ -53,12 +53,15 @@ def compare_samples(a: DataFrame, b: DataFrame, high: float = 0.85, dim: int = 6
     best = _best_of_b(a, b).agg(F.max("score").alias("max_similarity"),
                                 F.avg((F.col("score") > high).cast("double")).alias("fraction_high"))
 
-    def centre(df, name):
-        return (df.select(V.unit(F.col("fingerprint")).alias("u"))
-                .agg(V.mean_vectors(F.col("u"), dim).alias(name)))
+    tagged = (a.select(F.lit("a").alias("_s"), V.unit(F.col("fingerprint")).alias("u"))
+              .unionByName(b.select(F.lit("b").alias("_s"), V.unit(F.col("fingerprint")).alias("u"))))
 
-    mean = V.dot(centre(a, "ma").scalar(), centre(b, "mb").scalar())
-    return (best.withColumn("mean_similarity", mean)
+    def centre(side):
+        return V.mean_vectors(F.when(F.col("_s") == side, F.col("u")), dim)
+
+    mean = tagged.agg(centre("a").alias("_a"), centre("b").alias("_b")).select(
+        F.lit(1).alias("_one"), V.dot(F.col("_a"), F.col("_b")).alias("mean_similarity"))
+    return (best.withColumn("_one", F.lit(1)).join(mean, "_one").drop("_one")
             .withColumn("verdict", L.pair_verdict(F.col("mean_similarity"))))
 
 
