@@ -201,6 +201,18 @@ def pca_auc_by_dimension(fx):
     return out
 
 
-@register("quality_report")
+_KNN = ORACLES["knn5_accuracy"][0]
+_SIL = ORACLES["silhouette"][0]
+
+
+@register("quality_report", f"""
+SELECT *, CASE WHEN recall_5 >= 0.8 THEN 'EXCELLENT — publication ready' WHEN recall_5 >= 0.65 THEN
+    'GOOD — suitable for retrieval' WHEN recall_5 >= 0.45 THEN 'FAIR — usable but needs improvement'
+    ELSE 'POOR — needs more training' END AS verdict,
+  CASE WHEN recall_5 >= 0.7 THEN 'EXCELLENT' WHEN recall_5 >= 0.5 THEN 'GOOD' WHEN recall_5 >= 0.3 THEN 'FAIR'
+    ELSE 'POOR' END AS grade
+FROM ({_recall((1, 3, 5, 10, 20))}), ({_KNN}), ({_SIL}), ({_AP.format(skip="")}), ({_GAP.format(skip="WHERE id <> rid")}),
+  ({ORACLES["random_baseline"][0]})""", ["ranked", "zz", "sil"])
 def quality_report(fx):
-    return E.quality_report(_rows(fx)).select(F.to_json(F.struct("*")).alias("report"))
+    out = E.quality_report(_rows(fx))
+    return out.select(*[r6(c) if t == "double" else c for c, t in out.dtypes])

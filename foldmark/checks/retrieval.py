@@ -275,23 +275,61 @@ def display_text(fx):
                                L.bar(s).alias("bar"), L.locus(F.col("chr"), F.col("start_bp"), F.col("end_bp")).alias("locus"))
 
 
-@register("collection_report")
+_BADGE = """CASE WHEN similarity >= 0.90 THEN 'VERY HIGH ★★★' WHEN similarity >= 0.80 THEN 'HIGH     ★★☆'
+       WHEN similarity >= 0.65 THEN 'MEDIUM   ★☆☆' ELSE 'LOW      ☆☆☆' END"""
+
+
+@register("collection_report", f"""
+SELECT sample_id, n_tiles, CAST(rank AS INTEGER) AS rank, cell_type, round(similarity, 6) AS similarity,
+  {_BADGE} AS confidence, loci_won FROM type_mean WHERE rank <= 10""", ["type_mean"])
 def collection_report(fx):
-    """The whole collection query per query sample as one nested row, printed as JSON."""
+    """The nested report of every query sample, its ranked matches unnested."""
     out = collection.query_report(fx.members("query"), fx.members("ref"))
-    return out.select("sample_id", F.to_json(F.struct("*")).alias("report"))
+    m = out.select("sample_id", "n_tiles", F.inline("top_matches"))
+    return m.select("sample_id", "n_tiles", "rank", "cell_type", r6("similarity"), "confidence", "loci_won")
 
 
-@register("locus_query_report")
-def locus_query_report(fx):
-    """The four-level report per query sample as one nested row, printed as JSON."""
-    out = locus_report.four_level_report(fx.members("query"), fx.members("ref"))
-    return out.select("sample_id", F.to_json(F.struct("*")).alias("report"))
+define("vote1", """
+SELECT sample_id, top_cell_type, n AS votes, n*1.0E0/t AS fraction FROM (
+  SELECT sample_id, top_cell_type, count(*) AS n, sum(count(*)) OVER (PARTITION BY sample_id) AS t,
+    row_number() OVER (PARTITION BY sample_id ORDER BY count(*) DESC, top_cell_type) AS rn
+  FROM win GROUP BY 1,2) WHERE rn = 1""", ["win"])
 
 
-@register("heldout_report")
+@register("locus_query_report", f"""
+SELECT c.sample_id, (SELECT count(*) FROM win w WHERE w.sample_id = c.sample_id) AS n_windows,
+  v.top_cell_type AS level1_cell_type, round(v.fraction, 6) AS level1_fraction,
+  (SELECT count(*) FROM win w WHERE w.sample_id = c.sample_id AND w.similarity < 0.3 ) AS n_divergent,
+  c.chr, c.mean_similarity, c.n_windows AS n_in_chrom, c.divergent
+FROM ({_CHROM}) c JOIN vote1 v ON v.sample_id = c.sample_id""", ["win", "vote1"])
+def locus_query_report(fx):
+    """The nested four-level report of every query sample, its chromosome level unnested."""
+    out = locus_report.four_level_report(fx.members("query"), fx.members("ref"), n_divergent=None)
+    c = out.select("sample_id", "n_windows", F.col("level1.cell_type").alias("level1_cell_type"),
+                   F.round("level1.fraction", 6).alias("level1_fraction"),
+                   F.coalesce(F.size("level4"), F.lit(0)).cast("long").alias("n_divergent"),
+                   F.explode("level2").alias("c"))
+    return c.select("sample_id", "n_windows", "level1_cell_type", "level1_fraction", "n_divergent", "c.chr",
+                    (F.round("c.mean_similarity", 6) + F.lit(0.0)).alias("mean_similarity"),
+                    F.col("c.n_windows").alias("n_in_chrom"), "c.divergent")
+
+
+define("hvote", """
+SELECT sample_id, top_cell_type, n, t, row_number() OVER (PARTITION BY sample_id ORDER BY n DESC, top_cell_type) AS rn FROM (
+  SELECT sample_id, top_cell_type, count(*) AS n, sum(count(*)) OVER (PARTITION BY sample_id) AS t
+  FROM heldout WHERE status <> 'NO_REFERENCE' GROUP BY 1,2)""", ["heldout"])
+
+
+@register("heldout_report", """
+SELECT h.sample_id, count(*) AS n_windows_total, count(*) FILTER (h.status <> 'NO_REFERENCE') AS n_windows,
+  any_value(v.top_cell_type) AS cell_type, round(any_value(v.n*1.0E0/v.t), 6) AS fraction,
+  (SELECT count(*) FROM hvote x WHERE x.sample_id = h.sample_id) AS n_candidates,
+  count(*) FILTER (h.status = 'STRUCTURALLY_DIFFERENT') AS n_divergent
+FROM heldout h JOIN hvote v ON v.sample_id = h.sample_id AND v.rn = 1 GROUP BY 1""", ["heldout", "hvote"])
 def heldout_report(fx):
     from ..operators.tables import locus_centroids
     refs = fx.members("ref").where("NOT (chr = 'chr5' AND start_bp < 25600000)")
     out = locus_report.heldout_report(fx.members("query"), refs, locus_centroids(refs))
-    return out.select("sample_id", F.to_json(F.struct("*")).alias("report"))
+    return out.select("sample_id", "n_windows_total", "n_windows", F.col("level1.cell_type").alias("cell_type"),
+                      F.round("level1.fraction", 6).alias("fraction"),
+                      F.size(F.map_keys("vote_distribution")).cast("long").alias("n_candidates"), "n_divergent")
