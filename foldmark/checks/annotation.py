@@ -186,7 +186,8 @@ FROM mid_near) WHERE rn = 1""", ["mid_near"])
 
 
 @register("nearest_gene", """
-SELECT chrom, pos, gene_id, gene_name, distance_bp, cancer_role FROM mid_first""", ["mid_first"])
+SELECT chrom, pos, f.gene_id, f.gene_name, f.distance_bp, f.cancer_role
+FROM mids LEFT JOIN mid_first f USING (chrom, pos)""", ["mids", "mid_first"])
 def nearest_gene(fx):
     p = fx.ccre.select("chrom", F.floor((F.col("start_bp") + F.col("end_bp")) / 2).cast("long").alias("pos"))
     return A.nearest_genes(p, _genes(fx), 500_000).select(

@@ -156,7 +156,7 @@ def with_roles(genes: DataFrame) -> DataFrame:
 
 def genes_in_windows(windows: DataFrame, genes: DataFrame, bucket: int = I.BUCKET) -> DataFrame:
     """One row per (window, gene whose body overlaps it)."""
-    return I.overlap_join(windows, genes, ["chrom"], bucket=bucket)
+    return I.overlap_join(windows, genes, ["chrom"], bucket=bucket, salt=1)
 
 
 def genes_near(windows: DataFrame, genes: DataFrame, max_dist: int = 2_000_000) -> DataFrame:
@@ -164,7 +164,7 @@ def genes_near(windows: DataFrame, genes: DataFrame, max_dist: int = 2_000_000)
     mid = F.floor((F.col("win_start") + F.col("win_end")) / 2).cast("long")
     w = (windows.withColumn("_mid", mid)
          .withColumn("_lo", F.col("_mid") - max_dist - 1).withColumn("_hi", F.col("_mid") + max_dist + 1))
-    near = I.overlap_join(w, genes, ["chrom"], bucket=2 * max_dist, win=("_lo", "_hi"))
+    near = I.overlap_join(w, genes, ["chrom"], bucket=2 * max_dist, salt=1, win=("_lo", "_hi"))
     s, e = F.col("start_bp"), F.col("end_bp")
     ws, we = F.col("win_start"), F.col("win_end")
     d = G.distance_to(s, e, F.col("_mid"))
@@ -177,21 +177,58 @@ def genes_near(windows: DataFrame, genes: DataFrame, max_dist: int = 2_000_000)
     return out.withColumn("rank", F.row_number().over(order))
 
 
-def nearest_genes(positions: DataFrame, genes: DataFrame, max_dist: int = 2_000_000) -> DataFrame:
-    """Nearest gene of every distinct (chrom, pos); positions without one in reach are absent."""
+def _candidates(genes: DataFrame, max_dist: int, width: int) -> DataFrame:
+    """Per grid cell the genes that can be nearest to a position in it, as one array.
+
+    These are the genes that touch the cell, the last one to end before it and
+    the first one to start after it. The windows run over cells, whose number
+    per chromosome is set by the genome length.
+    """
+    g = genes.select("chrom", "start_bp", "end_bp", F.struct(
+        "start_bp", "gene_id", "end_bp", "gene_name", "gene_type", "cancer_role").alias("gene"))
+    cell = lambda x: F.floor(x / width).cast("long")
+    starts = g.groupBy("chrom", cell(F.col("start_bp")).alias("cell")).agg(F.min("gene").alias("first_start"))
+    latest = F.min(F.struct((-F.col("end_bp")).alias("neg"), "gene"))
+    ends = g.groupBy("chrom", cell(F.col("end_bp")).alias("cell")).agg(latest.alias("last_end"))
+    span = g.groupBy("chrom").agg(F.min("start_bp").alias("lo"), F.max("end_bp").alias("hi"))
+    cells = span.select("chrom", F.explode(F.sequence(
+        cell(F.col("lo") - max_dist) - 1, cell(F.col("hi") + max_dist) + 1)).alias("cell"))
+    up = Window.partitionBy("chrom").orderBy("cell")
+    before = up.rowsBetween(Window.unboundedPreceding, -1)
+    after = up.rowsBetween(1, Window.unboundedFollowing)
+    edge = (cells.join(starts, ["chrom", "cell"], "left").join(ends, ["chrom", "cell"], "left")
+            .select("chrom", "cell", F.min("last_end").over(before)["gene"].alias("left"),
+                    F.min("first_start").over(after).alias("right"))
+            .select("chrom", "cell", F.explode(F.array_compact(F.array("left", "right"))).alias("gene")))
+    inside = g.select("chrom", F.explode(F.sequence(cell(F.col("start_bp")), cell(F.col("end_bp")))).alias("cell"), "gene")
+    return (inside.unionByName(edge).groupBy("chrom", "cell")
+            .agg(F.collect_list("gene").alias("near")))
+
+
+def nearest_genes(positions: DataFrame, genes: DataFrame, max_dist: int = 2_000_000, width: int = 100_000) -> DataFrame:
+    """Nearest gene of every distinct (chrom, pos); all NULL where none is in reach.
+
+    Every position belongs to one grid cell and meets one row holding that
+    cell's candidates; the best is picked inside the row, so nothing is
+    aggregated again. A cell holds at most ``width`` distinct positions.
+    """
     p = F.col("pos")
-    w = (positions.select("chrom", "pos").distinct()
-         .withColumn("_lo", p - max_dist - 1).withColumn("_hi", p + max_dist + 2))
-    near = I.overlap_join(w, genes, ["chrom"], bucket=2 * max_dist, win=("_lo", "_hi"))
-    d = G.distance_to(F.col("start_bp"), F.col("end_bp"), p)
-    near = near.withColumn("distance_bp", d).where(
-        (F.abs("distance_bp") <= max_dist) & (F.col("start_bp") < p + 1 + max_dist)
-        & (F.col("end_bp") > F.greatest(F.lit(0), p - max_dist)))
-    first = F.min(F.struct(F.abs("distance_bp").alias("_a"), "start_bp", "gene_id", "distance_bp", "gene_name",
-                           "gene_type", "cancer_role")).alias("g")
-    return (near.groupBy("chrom", "pos").agg(first)
-            .select("chrom", "pos", "g.gene_name", "g.gene_id", "g.distance_bp",
-                    G.distance_label(F.col("g.distance_bp")).alias("distance_label"), "g.cancer_role", "g.gene_type"))
+    w = positions.select("chrom", "pos").distinct().withColumn("cell", F.floor(p / width).cast("long"))
+
+    def scored(g):
+        d = G.distance_to(g["start_bp"], g["end_bp"], p)
+        return F.struct(F.abs(d).alias("far"), g.alias("gene"), d.alias("distance_bp"))
+
+    def in_reach(x):
+        return ((x["far"] <= max_dist) & (x["gene"]["start_bp"] < p + 1 + max_dist)
+                & (x["gene"]["end_bp"] > F.greatest(F.lit(0), p - max_dist)))
+
+    best = F.array_min(F.filter(F.transform("near", scored), in_reach)).alias("n")
+    g = F.col("n.gene")
+    return (w.join(_candidates(genes, max_dist, width), ["chrom", "cell"], "left").select("chrom", "pos", best)
+            .select("chrom", "pos", g["gene_name"].alias("gene_name"), g["gene_id"].alias("gene_id"),
+                    "n.distance_bp", G.distance_label(F.col("n.distance_bp")).alias("distance_label"),
+                    g["cancer_role"].alias("cancer_role"), g["gene_type"].alias("gene_type")))
 
 
 def annotate_elements(coords: DataFrame, genes: DataFrame, max_dist: int = 500_000) -> DataFrame:
