@@ -22,8 +22,9 @@ SELECT n.sample_id, n.chrom, n.dist, coalesce(s.s, 0)/n.n AS expected FROM npair
 LEFT JOIN (SELECT sample_id, chrom, dist, sum(value) AS s FROM bal GROUP BY 1,2,3) s USING (sample_id, chrom, dist)""",
        ["npairs", "bal"])
 define("loge", """
-SELECT b.sample_id, b.chrom, b.bin1, b.bin2, coalesce(greatest(-5.0E0, least(5.0E0,
-  log2(CASE WHEN e.expected > 0 THEN b.value/e.expected ELSE 0.0E0 END + 1e-6))), 0.0E0) AS log_oe
+SELECT b.sample_id, b.chrom, b.bin1, b.bin2, CASE WHEN e.expected > 0 AND b.value IS NULL THEN 0.0E0
+  ELSE greatest(-5.0E0, least(5.0E0, log2(CASE WHEN e.expected > 0 THEN b.value/e.expected ELSE 0.0E0 END + 1e-6)))
+  END AS log_oe
 FROM bal b LEFT JOIN (SELECT * FROM ex WHERE dist >= 2) e USING (sample_id, chrom, dist)""", ["bal", "ex"])
 define("bad", """
 SELECT DISTINCT chrom, bin FROM (

@@ -19,8 +19,8 @@ def distance_to(start: Column, end: Column, pos: Column) -> Column:
 
 def distance_label(distance: Column) -> Column:
     kb = F.format_string("%.0fkb", F.bround(F.abs(distance) / 1000))
-    return F.when(distance == 0, "overlapping").when(distance > 0, F.concat(kb, F.lit(" upstream"))).otherwise(
-        F.concat(kb, F.lit(" downstream")))
+    return F.when(distance == 0, "overlapping").when(distance > 0, F.concat(kb, F.lit(" upstream"))).when(
+        distance < 0, F.concat(kb, F.lit(" downstream")))
 
 
 def in_window(gene_start: Column, gene_end: Column, start: Column, end: Column) -> Column:

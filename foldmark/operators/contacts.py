@@ -99,8 +99,10 @@ def oe_profiles(pixels: DataFrame, bins: DataFrame, quality: DataFrame | None =
 def log_oe_value(value, expected_value):
     """log2(OE + 1e-6) clipped to +-5; no expected gives OE 0, a missing value gives 0 after the log."""
     oe = F.when(expected_value > 0, value / expected_value).otherwise(0.0)
-    log = F.log2(F.nanvl(oe, F.lit(None).cast("double")) + F.lit(C.OE_FLOOR))
-    return F.coalesce(F.greatest(F.lit(-C.OE_CLIP), F.least(F.lit(C.OE_CLIP), log)), F.lit(0.0))
+    log = F.log2(oe + F.lit(C.OE_FLOOR))
+    clipped = F.greatest(F.lit(-C.OE_CLIP), F.least(F.lit(C.OE_CLIP), log))
+    # greatest and least skip NULL, so the missing value is tested first
+    return F.when(oe.isNull() | F.isnan(oe), 0.0).otherwise(clipped)
 
 
 def log_oe(pixels: DataFrame, profiles: DataFrame, masked: bool = False) -> DataFrame:

@@ -10,7 +10,7 @@ def _struct(*fields):
     return StructType([StructField(n, t, nullable) for n, t, nullable in fields])
 
 
-_VECTOR = ArrayType(FloatType(), False)
+_VECTOR = ArrayType(FloatType())
 
 SAMPLES = _struct(
     ("sample_id", StringType(), False),
