@@ -212,5 +212,6 @@ def codebook_fit(fx):
 @register("codebook_pca")
 def codebook_pca(fx):
     from ..operators.evaluation import principal_components
-    out = principal_components(fx.codebook, 2, "vec")
+    book = K.ema_update(_state(fx), _assigned(fx), DIM)
+    out = principal_components(book.select("code", "vec"), 2, "vec")
     return out.select("code", F.get("pc", F.lit(0)).alias("pc1"), F.get("pc", F.lit(1)).alias("pc2"))

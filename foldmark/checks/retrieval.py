@@ -261,6 +261,28 @@ def tile_cap(fx):
     return S.cap_per_sample(fx.fingerprints, 7).select("sample_id", "id")
 
 
+@register("chromosome_order_cap", """
+SELECT sample_id, id FROM (SELECT sample_id, id, row_number() OVER (PARTITION BY sample_id
+  ORDER BY CAST(substr(chr, 4) AS INTEGER), start_bp) AS rn FROM fingerprints) WHERE rn <= 12""", ["fingerprints"])
+def chromosome_order_cap(fx):
+    """The cap on query tiles in chromosome order is the operator itself."""
+    return S.cap_in_chromosome_order(fx.fingerprints, 12).select("sample_id", "id")
+
+
+@register("present_chromosomes", """
+SELECT DISTINCT chr AS chrom, CAST(substr(chr, 4) AS INTEGER) AS position FROM fingerprints""", ["fingerprints"])
+def present_chromosomes(fx):
+    from ..operators.contacts import present_chromosomes as present
+    return present(fx.fingerprints, "chr").select("chrom", F.col("position").cast("int").alias("position"))
+
+
+@register("reference_set", """
+SELECT f.id, s.cell_type FROM (SELECT id, sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY chr, start_bp) AS rn
+  FROM fingerprints) f JOIN samples s USING (sample_id) WHERE f.rn <= 20""", ["fingerprints", "samples"])
+def reference_set(fx):
+    return collection.reference_set(fx.fingerprints, 20).select("id", "cell_type")
+
+
 @register("display_text", """
 SELECT sample_id, chr, start_bp,
   CASE WHEN similarity >= 0.90 THEN 'VERY HIGH ★★★' WHEN similarity >= 0.80 THEN 'HIGH     ★★☆'

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from .. import constants as C
 from ..functions import vectors as V
 from . import blocks
+from .tables import first_in_hash_order
 
 MAX_SENT_CODES = 16_384
 
@@ -150,10 +151,7 @@ def revive_dead_codes(codebook: DataFrame, usage: DataFrame, tokens: DataFrame,
     the one of its rank, repeating them when tokens are fewer. The same input
     gives the same codebook on every run.
     """
-    order = F.xxhash64(F.lit(seed), *key)
-    limit = codebook.count()
-    drawn = tokens.select(order.alias("_o"), *key, F.col(token).alias("_t")).orderBy("_o", *key).limit(limit)
-    drawn = drawn.withColumn("_k", F.row_number().over(Window.orderBy("_o", *key)) - 1).select("_k", "_t")
+    drawn = first_in_hash_order(tokens.select(*key, F.col(token).alias("_t")), codebook.count(), key, seed).select("_k", "_t")
     dead = (codebook.join(usage.where(F.col("n") < threshold).select("code"), "code", "left_semi")
             .select("code", (F.row_number().over(Window.orderBy("code")) - 1).alias("_rank")))
     have = drawn.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n")).scalar()

@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from .. import constants as C
-from ..functions import labels as L
+from ..functions.names import chromosome_index
 
 AT = ["sample_id", "chrom"]
+SALT = 16
 _FLOOR = -C.OE_CLIP  # log2 of an empty cell, clipped
 
 
@@ -34,11 +35,19 @@ def bin_profiles(bins: DataFrame) -> DataFrame:
             .withColumn("n_bins", F.size("weights")))
 
 
-def balanced(pixels: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Pixels with ``value`` = count x weight x weight (NULL where a weight is) and ``dist``."""
+def balanced(pixels: DataFrame, profiles: DataFrame, salt: int = SALT) -> DataFrame:
+    """Pixels with ``value`` = count x weight x weight (NULL where a weight is) and ``dist``.
+
+    The join key is salted: one sample's chromosome may hold a third of all
+    pixels, and an aggregation by the same key right after the join would keep
+    Spark from splitting that key by itself.
+    """
     w = lambda b: F.get("weights", F.col(b).cast("int"))
-    return pixels.join(profiles, AT).withColumn("value", F.col("cnt") * w("bin1") * w("bin2")).withColumn(
-        "dist", (F.col("bin2") - F.col("bin1")).cast("int"))
+    left = pixels.withColumn("_salt", F.pmod(F.xxhash64("bin1", "bin2"), F.lit(salt)).cast("int"))
+    right = profiles.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    return (left.join(right, AT + ["_salt"]).drop("_salt")
+            .withColumn("value", F.col("cnt") * w("bin1") * w("bin2"))
+            .withColumn("dist", (F.col("bin2") - F.col("bin1")).cast("int")))
 
 
 @F.pandas_udf(ArrayType(LongType()))
@@ -264,5 +273,18 @@ def assay_decay(values: DataFrame, assay, value: str = "oe") -> DataFrame:
     return values.withColumn(value, F.when(d >= 1, F.col(value) * F.pow(d.cast("double"), shift)).otherwise(F.col(value)))
 
 
-def tile_locus(chrom="chr"):
-    return L.locus(F.col(chrom), F.col("start_bp"), F.col("end_bp"))
+def transpose_some(tiles: DataFrame, key, size: int = C.TILE_SIZE, seed: int = C.SEED) -> DataFrame:
+    """Half of the tiles transposed, chosen by a hash of the key: the same ones on every run."""
+    from ..functions.vectors import transpose_square
+    chosen = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(2)) == 0
+    return (tiles.withColumn("transposed", chosen)
+            .withColumn("matrix", F.when(F.col("transposed"), transpose_square(F.col("matrix"), size))
+                        .otherwise(F.col("matrix"))))
+
+
+def present_chromosomes(df: DataFrame, chrom: str = "chrom", first: int | None = None) -> DataFrame:
+    """Listed chromosomes that occur in the data, in list order, the first few if asked."""
+    at = chromosome_index(F.col(chrom))
+    out = (df.select(F.col(chrom).alias("chrom"), at.alias("position")).distinct()
+           .where("position IS NOT NULL").orderBy("position"))
+    return out if first is None else out.limit(first)

@@ -125,8 +125,8 @@ def recall_at(near: DataFrame, ks=(1, 3, 5, 10, 20), label: str = "label", key:
 def recall_within_class(rows: DataFrame, k: int = 5, min_size: int = 5, label: str = "label", key: str = "id",
                         vector: str = "fingerprint") -> DataFrame:
     """Recall@k inside each class of at least ``min_size`` rows (1.0 by construction)."""
-    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size)
-    near = neighbours(rows.join(sizes.select(label), label), k, label, key, vector, within_label=True)
+    near = neighbours(rows, k, label, key, vector, within_label=True)
+    sizes = near.where("rank = 1").groupBy(label).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size)
     return recall_at(near, (k,), label, key, by=[label]).join(sizes, label)
 
 

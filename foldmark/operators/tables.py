@@ -54,9 +54,7 @@ def without_samples(table: DataFrame, samples: DataFrame) -> DataFrame:
 def with_new_ids(existing: DataFrame, incoming: DataFrame, order) -> DataFrame:
     """Incoming rows numbered on from the largest existing id, in a total order.
 
-    Numbers come from a range sort: each sorted partition counts its own rows
-    and starts after the rows of the partitions before it, so no single task
-    sees the whole table.
+    ``order`` starts with two columns that split the table (sample, chromosome).
     """
     base = existing.select(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     ordered = dense_numbering(incoming, order)
@@ -65,19 +63,40 @@ def with_new_ids(existing: DataFrame, incoming: DataFrame, order) -> DataFrame:
 
 
 def dense_numbering(df: DataFrame, order) -> DataFrame:
-    """Column ``_row`` = 1..n in the given total order, without a single-partition window.
+    """Column ``_row`` = 1..n in the given total order, without sorting the table in one task.
 
-    Rows are bucketed by the hash-free leading order column; counts per leading
-    value give each value's offset, and rows are numbered inside their value.
-    The leading column must be one with many values (sample id, say).
+    Rows are numbered inside each value of the first two order columns (sample
+    and chromosome: a group is bounded by the chromosome). Offsets come from
+    counts: a running sum over samples, then over the chromosomes of a sample.
     """
-    lead, rest = order[0], list(order[1:])
-    counts = df.groupBy(lead).agg(F.count(F.lit(1)).alias("_n"))
-    running = Window.orderBy(lead).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(running), F.lit(0))).drop("_n")
-    inside = Window.partitionBy(lead).orderBy(*(rest or [lead]))
-    return (df.join(offsets, lead).withColumn("_row", F.row_number().over(inside) + F.col("_off")).drop("_off")
-            .select(*df.columns, F.col("_row").cast("long").alias("_row")))
+    first, second, rest = order[0], order[1], list(order[2:])
+    counts = df.groupBy(first, second).agg(F.count(F.lit(1)).alias("_n"))
+
+    def before(w):
+        return F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    samples = (counts.groupBy(first).agg(F.sum("_n").alias("_n"))
+               .select(first, before(Window.orderBy(first)).alias("_o1")))
+    inner = counts.select(first, second, before(Window.partitionBy(first).orderBy(second)).alias("_o2"))
+    offsets = inner.join(samples, first).select(first, second, (F.col("_o1") + F.col("_o2")).alias("_off"))
+    inside = Window.partitionBy(first, second).orderBy(*(rest or [second]))
+    row = (F.row_number().over(inside) + F.col("_off")).cast("long")
+    return df.join(offsets, [first, second]).select(*df.columns, row.alias("_row"))
+
+
+def first_in_hash_order(df: DataFrame, n: int, key, seed: int = C.SEED) -> DataFrame:
+    """The n rows smallest by hash of their key, numbered from 0 as ``_k``: a repeatable sample.
+
+    Counts per hash bucket give the bucket in which the n-th row lies; only rows
+    up to that bucket are sorted.
+    """
+    rows = df.withColumn("_h", F.xxhash64(F.lit(seed), *key)).withColumn("_b", F.shiftrightunsigned("_h", 48).cast("int"))
+    counts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    needed = counts.select("_b", F.coalesce(F.sum("_c").over(upto), F.lit(0)).alias("_before")).where(F.col("_before") < n)
+    last = needed.agg(F.max("_b").alias("b")).scalar()
+    place = F.row_number().over(Window.orderBy("_b", "_h", *key)) - 1
+    return rows.where(F.col("_b") <= last).withColumn("_k", place).where(F.col("_k") < n).drop("_h", "_b")
 
 
 def refresh_tile_counts(samples: DataFrame, fingerprints: DataFrame) -> DataFrame:

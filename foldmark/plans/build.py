@@ -19,6 +19,19 @@ def build_tiles(pixels: DataFrame, bins: DataFrame, cytoband: DataFrame, chromos
     return contacts.tiles(values, profiles, size, step, min_valid, resolution)
 
 
+def preprocess(pixels: DataFrame, bins: DataFrame, cytoband: DataFrame, chromosomes: DataFrame, path: str, **kw):
+    """Write the tiles of every (sample, chromosome) that has none yet under ``path``."""
+    from ..sources import store
+    spark = pixels.sparkSession
+    asked = bins.select("sample_id", "chrom").distinct()
+    if store.Store(spark, path)._exists(path):
+        done = store.read_tiles(spark, path).select("sample_id", F.col("chr").alias("chrom"))
+        asked = tables.not_done(asked, done)
+    on = ["sample_id", "chrom"]
+    tiles = build_tiles(pixels.join(asked, on, "left_semi"), bins.join(asked, on, "left_semi"), cytoband, chromosomes, **kw)
+    store.write_tiles(label_tiles(tiles).withColumn("cell_line_idx", F.col("cell_line_idx").cast("int")), path)
+
+
 def build_query_tiles(pixels: DataFrame, bins: DataFrame, *, size: int = C.TILE_SIZE, step: int = C.TILE_STEP,
                       resolution: int = C.RESOLUTION, min_band: float = 0.05) -> DataFrame:
     """Tiles as the query side makes them: no mask, kept by their near-diagonal share."""

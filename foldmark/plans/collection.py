@@ -13,6 +13,11 @@ from ..operators import similarity as S
 _TILE = ["id", "chr", "start_bp", "end_bp", "fingerprint"]
 
 
+def reference_set(fingerprints: DataFrame, cap: int = 500) -> DataFrame:
+    """Reference vectors labelled with the canonical cell name, the first ``cap`` tiles of every sample."""
+    return S.cap_per_sample(fingerprints, cap).withColumn("cell_type", N.cell_name(F.col("sample_id")))
+
+
 def divergent_from_top(queries: DataFrame, refs: DataFrame, n: int = 10) -> DataFrame:
     """Loci where each query sample is least like its best matching cell type."""
     scores = S.cell_type_scores(queries, refs)

@@ -46,6 +46,13 @@ CENTROIDS = _struct(
     ("n_samples", IntegerType(), True),
 )
 
+CENTROID_INDEX = _struct(
+    ("chr", StringType(), False),
+    ("start_bp", LongType(), False),
+    ("end_bp", LongType(), False),
+    ("vector", _VECTOR, False),
+)
+
 TILES = _struct(
     ("sample_id", StringType(), False),
     ("cell_line_name", StringType(), True),

@@ -8,7 +8,7 @@ from ..operators import tables
 
 TABLES = {
     "samples": T.SAMPLES, "window_fingerprints": T.FINGERPRINTS,
-    "sample_histograms": T.HISTOGRAMS, "locus_centroids": T.CENTROIDS,
+    "sample_histograms": T.HISTOGRAMS, "locus_centroids": T.CENTROIDS, "centroid_index": T.CENTROID_INDEX,
 }
 PARTITIONS = {"window_fingerprints": ["chr"]}
 
@@ -61,15 +61,17 @@ class Store:
         """Write a new version beside the old one, then swap the folders.
 
         The new rows may be computed from the old ones, so the old files stay
-        until the new ones are complete.
+        until the new ones are complete and in place.
         """
-        new, old = self.path(name) + ".new", self.path(name)
+        now, new, old = (self.path(name) + s for s in ("", ".new", ".old"))
         self._writer(df, name, "overwrite").parquet(new)
-        jvm = self.spark.sparkContext._jvm
-        fs_path = jvm.org.apache.hadoop.fs.Path
-        fs = fs_path(old).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(fs_path(old), True)
-        fs.rename(fs_path(new), fs_path(old))
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = at(now).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        fs.delete(at(old), True)
+        if fs.exists(at(now)):
+            fs.rename(at(now), at(old))
+        fs.rename(at(new), at(now))
+        fs.delete(at(old), True)
 
     def register_samples(self, registry: DataFrame):
         """Insert registry rows that are not there yet; the cell type is the sample id."""
@@ -102,6 +104,7 @@ class Store:
                                   tables.locus_centroids(f).withColumn("centroid", F.col("centroid").cast("array<float>")),
                                   ["chr", "start_bp"])
         self.replace("locus_centroids", centroids)
+        self.replace("centroid_index", tables.centroid_index(self.read("locus_centroids")))
 
     def upsert_histograms(self, hist: DataFrame):
         self.replace("sample_histograms", tables.upsert(self.read("sample_histograms"), hist, "sample_id"))

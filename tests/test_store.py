@@ -212,3 +212,37 @@ def test_code_stream_equals_batches(spark, tmp_path):
 def test_checkpoint_folder_comes_from_the_session(spark, tmp_path):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert store.checkpoint_dir(spark, str(tmp_path)) == (named or str(tmp_path))
+
+
+def test_preprocess_skips_what_is_done(spark, tmp_path):
+    from test_genome import N_BINS, SIZE, STEP, contact_case, spark_case
+    m, w = contact_case(1)
+    pixels, bins, bands, chroms = spark_case(spark, m, w)
+    path = str(tmp_path / "t")
+    build.preprocess(pixels, bins, bands, chroms, path, size=SIZE, step=STEP)
+    n = store.read_tiles(spark, path).count()
+    other = lambda df: df.unionByName(df.withColumn("sample_id", F.lit("S_rep2")))
+    build.preprocess(other(pixels), other(bins), bands, chroms, path, size=SIZE, step=STEP)
+    got = {r["sample_id"]: r["count"] for r in store.read_tiles(spark, path).groupBy("sample_id").count().collect()}
+    assert got == {"S": n, "S_rep2": n} and N_BINS == 40
+
+
+def test_hash_sample_and_numbering(spark):
+    df = spark.range(5000).withColumn("s", F.concat(F.lit("s"), F.when(F.col("id") < 2000, 0).otherwise(F.col("id") % 7))
+                                      ).withColumn("c", F.col("id") % 3)
+    a = T.first_in_hash_order(df, 37, ["id"])
+    b = T.first_in_hash_order(df.repartition(9), 37, ["id"])
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert sorted(r["_k"] for r in a.collect()) == list(range(37))
+    got = [(r["s"], r["c"], r["id"]) for r in T.dense_numbering(df, ["s", "c", "id"]).orderBy("_row").collect()]
+    assert got == sorted(got) and len(got) == 5000
+    assert T.dense_numbering(df, ["s", "c", "id"]).agg(F.min("_row"), F.max("_row"), F.count_distinct("_row")).first()[:] == (1, 5000, 5000)
+
+
+def test_transposed_half(spark):
+    from foldmark.operators import contacts
+    df = spark.range(200).withColumn("matrix", F.array(*[F.lit(float(i)) for i in range(4)]))
+    got = contacts.transpose_some(df, ["id"], 2).collect()
+    flipped = [r for r in got if r["transposed"]]
+    assert 60 < len(flipped) < 140
+    assert all(r["matrix"] == ([0.0, 2.0, 1.0, 3.0] if r["transposed"] else [0.0, 1.0, 2.0, 3.0]) for r in got)
