@@ -139,8 +139,10 @@ class Fixture:
 
     def members(self, role: str):
         """Fingerprints of query or reference samples, with cell type and tissue."""
-        who = self.samples.where(F.col("role") == role).select("sample_id", "cell_type", "tissue")
-        return self.fingerprints.drop("label").join(who, "sample_id")
+        if role not in self._made:
+            who = self.samples.where(F.col("role") == role).select("sample_id", "cell_type", "tissue")
+            self._made[role] = self.fingerprints.drop("label").join(who, "sample_id")
+        return self._made[role]
 
     @property
     def windows(self):

@@ -39,6 +39,11 @@ def _hot_groups(queries, refs, keys, rows):
             .select(*keys, blocks_of("_q").alias("_nq"), blocks_of("_r").alias("_nr")))
 
 
+def _block_count(df, rows):
+    """Number of blocks of a whole table, as a scalar subquery over its row count."""
+    return df.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / rows)).cast("int").alias("n")).scalar()
+
+
 def block_pairs(queries: DataFrame, refs: DataFrame, kernel, schema: StructType, *,
                 keys=(), q_block="id", r_block="id", rows: int = ROWS_PER_BLOCK) -> DataFrame:
     """Run ``kernel(query_table, ref_table) -> table`` on all block pairs of all key groups.
@@ -48,25 +53,25 @@ def block_pairs(queries: DataFrame, refs: DataFrame, kernel, schema: StructType,
     """
     keys = list(keys)
     refs = refs.select(*[F.col(c).alias(c) for c in refs.columns])  # both sides may share a lineage
-    if not keys:
-        keys = ["_group"]
-        queries = queries.withColumn("_group", F.lit(0))
-        refs = refs.withColumn("_group", F.lit(0))
     for k in keys:
         if queries.schema[k].dataType != refs.schema[k].dataType:
             raise TypeError(f"key {k} differs in type between the two sides")
-    hot = F.broadcast(_hot_groups(queries, refs, keys, rows))
+    if keys:
+        hot = F.broadcast(_hot_groups(queries, refs, keys, rows))
+        queries, refs = queries.join(hot, keys, "left"), refs.join(hot, keys, "left")
+        n_q, n_r = F.coalesce("_nq", F.lit(1)), F.coalesce("_nr", F.lit(1))
+    else:
+        n_q, n_r = _block_count(queries, rows), _block_count(refs, rows)
 
     def split(df, own, own_n, other, other_n, block_on):
-        count = lambda n: F.coalesce(F.col(n), F.lit(1))
-        return df.join(hot, keys, "left").select(
-            *df.columns,
-            F.pmod(F.xxhash64(block_on), count(own_n)).cast("int").alias(own),
-            F.explode(F.sequence(F.lit(0), count(other_n) - 1)).alias(other))
+        return df.select(
+            *[c for c in df.columns if c not in ("_nq", "_nr")],
+            F.pmod(F.xxhash64(block_on), own_n).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), other_n - 1)).alias(other))
 
     by = keys + ["_qb", "_rb"]
-    q = split(queries, "_qb", "_nq", "_rb", "_nr", q_block).groupBy(*by)
-    r = split(refs, "_rb", "_nr", "_qb", "_nq", r_block).groupBy(*by)
+    q = split(queries, "_qb", n_q, "_rb", n_r, q_block).groupBy(*by)
+    r = split(refs, "_rb", n_r, "_qb", n_q, r_block).groupBy(*by)
     arrow = to_arrow_schema(schema)
 
     def score(qt, rt):

@@ -180,7 +180,7 @@ def linear_map(df: DataFrame, weights: DataFrame, vector: str = "pooled", out: s
     array functions.
     """
     m = weights.agg(F.sort_array(F.collect_list(F.struct("out", V.as_double(F.col("w")).alias("w"), "bias"))).alias("_m"))
-    wide = df.withColumn("_one", F.lit(1)).join(F.broadcast(m.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    wide = df.withColumn("_m", m.scalar())
     return wide.withColumn(out, F.transform("_m", lambda r: V.dot(r["w"], F.col(vector)) + r["bias"])).drop("_m")
 
 

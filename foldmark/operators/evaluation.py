@@ -249,9 +249,9 @@ def quality_report(rows: DataFrame, label: str = "label", key: str = "id") -> Da
     knn = knn_accuracy(near.where("rank <= 5"), label, key)
     sizes = rows.agg(F.count(F.lit(1)).alias("n_windows"), F.count_distinct(label).alias("n_cell_types"))
     sil = silhouette_samples(rows, label, key).agg(F.avg("silhouette").alias("silhouette"))
-    out = recall
-    for part in (knn, sil, mean_average_precision(rows, label=label, key=key), intra_inter(rows, label), sizes):
-        out = out.withColumn("_one", F.lit(1)).join(part.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    parts = [knn, sil, mean_average_precision(rows, label=label, key=key), intra_inter(rows, label), sizes]
+    out = recall.select("*", *[p.select(F.struct("*")).scalar().alias(f"_p{i}") for i, p in enumerate(parts)])
+    out = out.select(*recall.columns, *[f"_p{i}.*" for i in range(len(parts))])
     return (out.withColumn("random_recall5", L.random_recall(F.col("n_cell_types")))
             .withColumn("verdict", L.retrieval_verdict(F.col("recall_5")))
             .withColumn("grade", L.retrieval_grade(F.col("recall_5"))))

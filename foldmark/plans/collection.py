@@ -64,9 +64,8 @@ def compare_samples(a: DataFrame, b: DataFrame, high: float = 0.85, dim: int = 6
     def centre(side):
         return V.mean_vectors(F.when(F.col("_s") == side, F.col("u")), dim)
 
-    mean = tagged.agg(centre("a").alias("_a"), centre("b").alias("_b")).select(
-        F.lit(1).alias("_one"), V.dot(F.col("_a"), F.col("_b")).alias("mean_similarity"))
-    return (best.withColumn("_one", F.lit(1)).join(mean, "_one").drop("_one")
+    mean = tagged.agg(centre("a").alias("_a"), centre("b").alias("_b")).select(V.dot(F.col("_a"), F.col("_b")))
+    return (best.withColumn("mean_similarity", mean.scalar())
             .withColumn("verdict", L.pair_verdict(F.col("mean_similarity"))))
 
 
