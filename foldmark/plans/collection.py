@@ -77,8 +77,7 @@ def compare_by_chromosome(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def compare_divergent(a: DataFrame, b: DataFrame, n: int = 10) -> DataFrame:
     """Tiles of A least like any tile of B."""
-    best = _best_of_b(a, b).drop("rank").withColumn("sample_id", F.lit("A"))
-    return rollups.divergent_by_zscore(best, n)
+    return rollups.divergent_by_zscore(_best_of_b(a, b).drop("rank"), n, by=None)
 
 
 def accuracy_test(queries: DataFrame, refs: DataFrame, truth: DataFrame, threshold: float = 0.7) -> DataFrame:
