@@ -18,7 +18,7 @@ def distance_to(start: Column, end: Column, pos: Column) -> Column:
 
 
 def distance_label(distance: Column) -> Column:
-    kb = F.format_string("%.0fkb", F.bround(F.abs(distance) / 1000))
+    kb = F.concat(F.bround(F.abs(distance) / 1000).cast("long").cast("string"), F.lit("kb"))
     return F.when(distance == 0, "overlapping").when(distance > 0, F.concat(kb, F.lit(" upstream"))).when(
         distance < 0, F.concat(kb, F.lit(" downstream")))
 

@@ -193,9 +193,9 @@ def _candidates(genes: DataFrame, max_dist: int, width: int) -> DataFrame:
     span = g.groupBy("chrom").agg(F.min("start_bp").alias("lo"), F.max("end_bp").alias("hi"))
     cells = span.select("chrom", F.explode(F.sequence(
         cell(F.col("lo") - max_dist) - 1, cell(F.col("hi") + max_dist) + 1)).alias("cell"))
-    up = Window.partitionBy("chrom").orderBy("cell")
-    before = up.rowsBetween(Window.unboundedPreceding, -1)
-    after = up.rowsBetween(1, Window.unboundedFollowing)
+    # both frames grow from the start; a frame open at the end would be recomputed per row
+    before = Window.partitionBy("chrom").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("chrom").orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
     edge = (cells.join(starts, ["chrom", "cell"], "left").join(ends, ["chrom", "cell"], "left")
             .select("chrom", "cell", F.min("last_end").over(before)["gene"].alias("left"),
                     F.min("first_start").over(after).alias("right"))
