@@ -275,3 +275,38 @@ def compartment_genes(fx):
         "chrom", "win_start", "win_end", "direction",
         *[F.array_join(c, ",").alias(c) for c in ("genes_in_region", "cancer_genes", "nearby_genes")],
         "functional_consequence", "clinical_note")
+
+
+@register("ccre_report", """
+SELECT category, n_a, n_b, CASE WHEN n_a > n_b THEN concat('+', n_a - n_b, ' ▲')
+  WHEN n_a < n_b THEN concat(n_a - n_b, ' ▼') ELSE '  =' END AS difference FROM (
+  SELECT category, count(*) FILTER (sample_id = 'CT0') AS n_a, count(*) FILTER (sample_id = 'CT1') AS n_b
+  FROM ccre_clean GROUP BY 1) WHERE n_a > 0 OR n_b > 0""", ["ccre_clean"])
+def ccre_report(fx):
+    from ..plans.collection import pair_regulatory_report
+    return pair_regulatory_report(_ccre(fx), "CT0", "CT1").select("category", "n_a", "n_b", "difference")
+
+
+# divergent windows of the locus query, annotated with the elements of their best cell type
+define("lost", """
+SELECT DISTINCT top_cell_type AS sample_id, chr AS chrom, start_bp AS win_start, end_bp AS win_end
+FROM win WHERE similarity < 0.3""", ["win"])
+
+
+@register("divergent_regulatory", """
+SELECT l.sample_id, l.chrom, l.win_start, h.category, h.start_bp, coalesce(m.gene_name, 'intergenic') AS nearest_gene,
+  m.distance_bp, row_number() OVER (PARTITION BY l.sample_id, l.chrom, l.win_start, h.category
+    ORDER BY CASE WHEN m.cancer_role IS NULL THEN 1 ELSE 0 END, coalesce(nullif(abs(m.distance_bp), 0), 999999999),
+      h.start_bp, h.end_bp) AS rank
+FROM lost l JOIN hits h USING (sample_id, chrom, win_start, win_end)
+LEFT JOIN mid_first m ON m.chrom = h.chrom AND m.pos = (h.start_bp + h.end_bp) // 2""", ["lost", "hits", "mid_first"])
+def divergent_regulatory(fx):
+    from ..operators import rollups as R
+    from ..operators import similarity as S
+    from ..plans.regulatory import divergent_context
+    q = fx.members("query")
+    w = S.window_results(q, S.locus_matches(q, fx.members("ref"), 1))
+    lost = R.divergent_windows(w).select(F.col("top_cell_type").alias("sample_id"), "chr", "start_bp", "end_bp")
+    return divergent_context(lost, _ccre(fx), fx.genes).select(
+        "sample_id", "chrom", "win_start", "category", "start_bp", "nearest_gene", "distance_bp",
+        F.col("rank").cast("long").alias("rank"))

@@ -183,3 +183,24 @@ def tile_transpose(fx):
     from ..functions.vectors import transpose_square
     t = fx.fingerprints.select("id", F.posexplode(transpose_square(F.col("fingerprint"), 8)).alias("cell", "v"))
     return t.select("id", "cell", F.col("v").cast("double").alias("v"))
+
+
+# 64 values per tile: means of 16 consecutive cells
+@register("tile_fingerprints", """
+SELECT sample_id, chrom AS chr, CAST(start_bin*100000 AS BIGINT) AS start_bp,
+  CAST((i*32 + j) // 16 AS INTEGER) AS dim, round(CAST(CAST(avg(v) AS FLOAT) AS DOUBLE), 6) + 0.0E0 AS v
+FROM cells GROUP BY 1,2,3,4""", ["cells"])
+def tile_fingerprints(fx):
+    """Any tile-to-vector callable over all tiles; here plain means."""
+    f = build.encode_tiles(_tiles(fx), build.mean_projection(64)).select(
+        "sample_id", "chr", "start_bp", F.posexplode("fingerprint").alias("dim", "v"))
+    return f.select("sample_id", "chr", "start_bp", "dim", (F.round(F.col("v").cast("double"), 6) + F.lit(0.0)).alias("v"))
+
+
+@register("combined_split", """
+SELECT sample_id, CAST(dense_rank() OVER (ORDER BY sample_id) - 1 AS INTEGER) AS cell_idx, count(*) AS n_tiles,
+  greatest(1, CAST(floor(count(*)*0.1) AS BIGINT)) AS n_val FROM frames WHERE valid_fraction >= 0.2 GROUP BY 1""", ["frames"])
+def combined_split(fx):
+    c = build.combine(_tiles(fx))
+    return c.groupBy("sample_id", "cell_idx").agg(F.count(F.lit(1)).alias("n_tiles"),
+                                                  F.count_if(F.col("split") == "val").alias("n_val"))

@@ -335,3 +335,22 @@ def score_labels(fx):
     return fx.fingerprints.select(
         "id", L.similarity_class(s).alias("strict"), L.similarity_class_inclusive(s).alias("inclusive"),
         L.window_status(s).alias("short"), L.pair_verdict(s).alias("verdict"), L.retrieval_verdict(s).alias("quality"))
+
+
+@register("centroid_index", """
+SELECT chr, start_bp, CAST(p - 1 AS INTEGER) AS dim, round(CAST(CAST(x/sqrt(sum(x*x) OVER (PARTITION BY chr, start_bp)) AS FLOAT) AS DOUBLE), 6) + 0.0E0 AS v
+FROM (SELECT chr, start_bp, p.p, avg(v[p.p]) AS x FROM members CROSS JOIN (SELECT unnest(range(1, 65)) AS p) p
+  GROUP BY 1,2,3)""", ["members"])
+def centroid_index(fx):
+    out = T.centroid_index(T.locus_centroids(fx.fingerprints)).select("chr", "start_bp", F.posexplode("vector").alias("dim", "v"))
+    return out.select("chr", "start_bp", "dim", (F.round(F.col("v").cast("double"), 6) + F.lit(0.0)).alias("v"))
+
+
+@register("loci_per_chromosome", """
+SELECT chr, count(*) AS n_loci, CAST(sum(n) AS BIGINT) AS n_fingerprints
+FROM (SELECT chr, start_bp, count(*) AS n FROM fingerprints GROUP BY 1,2) GROUP BY 1""", ["fingerprints"])
+def loci_per_chromosome(fx):
+    """Ad-hoc SQL over a stored table."""
+    return fx.spark.sql(
+        "SELECT chr, count(*) AS n_loci, sum(n_samples) AS n_fingerprints FROM {c} GROUP BY chr",
+        c=T.locus_centroids(fx.fingerprints))

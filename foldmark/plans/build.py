@@ -133,7 +133,7 @@ def combine(tiles: DataFrame, wanted: DataFrame | None = None, *, fraction: floa
 def mean_projection(dim: int):
     """A plain encoder for tests and first runs: means of ``dim`` equal slices of the tile."""
     def encode(m):
-        return m.reshape(m.shape[0], dim, -1).mean(axis=2)
+        return m.reshape(m.shape[0], dim, -1).mean(axis=2, dtype="float64")
     return encode
 
 
