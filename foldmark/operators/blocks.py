@@ -104,12 +104,16 @@ def row_chunks(n_rows, n_cols):
 
 
 def best_in_rows(scores, k):
-    """Row and column numbers of the k best cells per row; ties go to the left column."""
+    """Row and column numbers of the k best cells per row; ties go to the left column.
+
+    Rounding keeps order, so only cells within a rounding step of the k-th
+    score can tie with it; just those are rounded and sorted.
+    """
     n = scores.shape[1]
     k = min(k, n)
-    bound = np.partition(scores, n - k, axis=1)[:, n - k]
+    bound = np.partition(scores, n - k, axis=1)[:, n - k] - 2 * 10.0 ** -SCORE_DIGITS
     row, col = np.nonzero((scores >= bound[:, None]) & np.isfinite(scores))
-    value = scores[row, col]
+    value = np.round(scores[row, col], SCORE_DIGITS)
     order = np.lexsort((col, -value, row))
     row, col, value = row[order], col[order], value[order]
     first = np.searchsorted(row, row)
@@ -164,7 +168,6 @@ def top_matches(queries: DataFrame, refs: DataFrame, k: int, *, vector="fingerpr
             s = q[a:b] @ r.T
             if metric == "l2":
                 s = 2.0 * s - half - (q[a:b] * q[a:b]).sum(axis=1)[:, None]
-            s = np.round(s, SCORE_DIGITS)
             if exclude_self:
                 s = hide_same(s, q_ids[a:b], r_ids)
             i, j, v = best_in_rows(s, k)

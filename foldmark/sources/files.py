@@ -68,14 +68,16 @@ def _attribute(key):
 def read_genes(spark: SparkSession, path) -> DataFrame:
     """Genes of a GTF file (gzip or not): 0-based start, attributes, role; first row of a gene id wins.
 
-    Rows come in file order from one file split after another, so the row
-    position is partition number and place inside it.
+    A row's place is its file, the start of its file block and its order inside
+    the block.
     """
     raw = (spark.read.schema(T.GTF_TEXT).option("sep", "\t").option("comment", "#").option("quote", "").csv(path))
     g = raw.where((F.col("feature") == "gene") & F.col("attrs").isNotNull()).select(
         "chrom", (F.col("start").cast("long") - 1).alias("start_bp"), F.col("end").cast("long").alias("end_bp"), "strand",
         _attribute("gene_id").alias("gene_id"), _attribute("gene_name").alias("_name"),
-        _attribute("gene_type").alias("_type"), F.monotonically_increasing_id().alias("_at"))
+        _attribute("gene_type").alias("_type"), F.struct(
+            F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
+            F.monotonically_increasing_id().alias("row")).alias("_at"))
     first = Window.partitionBy("gene_id").orderBy("_at")
     return (g.withColumn("_n", F.row_number().over(first)).where("_n = 1")
             .withColumn("gene_name", F.coalesce("_name", "gene_id"))
