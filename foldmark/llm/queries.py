@@ -1,10 +1,31 @@
 """The dealt operators over their whole tables, and their oracles where SQL can say it."""
 
-from .common import documents
+from pyspark.sql import functions as F
+
+from . import line_clean, mixing, packing, toxicity
+from .common import documents, fold
 from .exact_dedup import exact_groups
 from .near_dedup import near_groups
 
 
+def op1_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = toxicity.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return (docs.withColumn("score", toxicity.score(model, F.col("text")))
+            .withColumn("threshold", toxicity.threshold(model, docs))
+            .select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score",
+                    (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold",
+                    (F.col("score") >= F.col("threshold")).alias("flagged")))
+
+
+def op5_line_cleaning(spark, sf_dir):
+    return line_clean.clean(documents(spark, sf_dir), with_text=False)
+
+
+def op6_packing(spark, sf_dir):
+    return packing.packed(documents(spark, sf_dir))
+
+
 def op7_minhash(spark, sf_dir):
     return near_groups(documents(spark, sf_dir))
 
@@ -13,6 +34,19 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_groups(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op7_minhash, op8_exact_dedup)}
+def op9_mixing(spark, sf_dir):
+    return mixing.mix(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op5_line_cleaning, op6_packing, op7_minhash, op8_exact_dedup, op9_mixing)}
 
-ORACLES = {}
+ORACLES = {
+    "op5_line_cleaning": line_clean.ORACLE,
+    "op8_exact_dedup": r"""
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
+  sha256(body) AS text_sha256
+FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body
+      FROM documents)
+WINDOW g AS (PARTITION BY body)""",
+    "op9_mixing": mixing.ORACLE,
+}
