@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import line_clean, mixing, packing, toxicity
+from . import chat, gru_lm, line_clean, mixing, packing, pii, secret_scan, toxicity
 from .common import documents, fold
 from .exact_dedup import exact_groups
 from .near_dedup import near_groups
@@ -18,6 +18,18 @@ def op1_toxicity(spark, sf_dir):
                     (F.col("score") >= F.col("threshold")).alias("flagged")))
 
 
+def op2_secrets(spark, sf_dir):
+    return secret_scan.scan(documents(spark, sf_dir))
+
+
+def op3_gru_lm(spark, sf_dir):
+    return gru_lm.score(documents(spark, sf_dir))
+
+
+def op4_chat(spark, sf_dir):
+    return chat.rendered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op5_line_cleaning(spark, sf_dir):
     return line_clean.clean(documents(spark, sf_dir), with_text=False)
 
@@ -38,9 +50,15 @@ def op9_mixing(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op5_line_cleaning, op6_packing, op7_minhash, op8_exact_dedup, op9_mixing)}
+def op10_pii(spark, sf_dir):
+    return pii.replaced(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_gru_lm, op4_chat, op5_line_cleaning, op6_packing, op7_minhash,
+                                   op8_exact_dedup, op9_mixing, op10_pii)}
 
 ORACLES = {
+    "op4_chat": chat.ORACLE,
     "op5_line_cleaning": line_clean.ORACLE,
     "op8_exact_dedup": r"""
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
