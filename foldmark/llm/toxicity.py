@@ -64,8 +64,12 @@ class Net:
     def embedded(self, ids):
         return np.concatenate([self.tables[0][ids & 0xFFFF], self.tables[1][ids >> 16]], axis=1)
 
-    def pooled(self, texts, where=False):
-        """Largest filter response per text (and the place it comes from)."""
+    def pooled(self, texts, where=False, cut=None):
+        """Largest filter response per text (and the place it comes from).
+
+        ``cut`` tells for each text whether its start and its end are cuts inside a longer
+        one; responses that reach over a cut are left to the neighbouring piece.
+        """
         gap = max(SPANS) - 1  # zero vectors between texts, so that every text has all widths
         lengths = np.array([len(t) for t in texts])
         starts = np.concatenate([[0], np.cumsum(lengths + gap)[:-1]]) + gap
@@ -80,15 +84,17 @@ class Net:
             for j in range(1, s):
                 z += e[j:n + j] @ f[j]
             # the responses of a text start where its last gap begins
-            first = starts - (s - 1)
+            first, last = starts - (s - 1), starts + lengths
+            if cut is not None:
+                first = first + (s - 1) * cut[:, 0]
+                last = last - (s - 1) * cut[:, 1]
+            first = np.minimum(first, last - 1)  # an empty text has the response of nothing
             if where:
-                peak = np.stack([a + z[a:a + m + s - 1].argmax(axis=0) if m + s > 1 else np.full(FILTERS, a)
-                                 for a, m in zip(first, lengths, strict=True)])
+                peak = np.stack([a + z[a:b].argmax(axis=0) for a, b in zip(first, last, strict=True)])
                 at.append(peak)
                 top.append(z[peak, np.arange(FILTERS)])
             else:
-                edges = np.stack([first, starts + np.maximum(lengths, 1)], axis=1).ravel()
-                edges[1::2] = np.minimum(edges[1::2], n)
+                edges = np.stack([first, np.minimum(last, n)], axis=1).ravel()
                 if edges[-1] >= n:
                     edges = edges[:-1]
                 top.append(np.maximum.reduceat(z, edges)[::2])
@@ -100,23 +106,24 @@ class Net:
 
     def scores(self, texts):
         """One score per text; long texts in pieces that overlap by a filter's reach."""
-        out, run, owners, words = np.full((len(texts), len(self.out)), -np.inf, np.float32), [], [], 0
+        out, run, owners, cuts, words = np.full((len(texts), len(self.out)), -np.inf, np.float32), [], [], [], 0
         reach = max(SPANS) - 1
 
         def flush():
             if run:
-                np.maximum.at(out, np.array(owners), self.pooled(run))
-                run.clear()
-                owners.clear()
+                np.maximum.at(out, np.array(owners), self.pooled(run, cut=np.array(cuts)))
+                for x in (run, owners, cuts):
+                    x.clear()
 
         for k, text in enumerate(texts):
-            for a in range(0, max(1, len(text)), PIECE):
-                piece = text[max(0, a - reach):a + PIECE]
+            for a in range(0, max(1, len(text) - reach), PIECE):
+                piece = text[a:a + PIECE + reach]
                 if words + len(piece) > PIECE:
                     flush()
                     words = 0
                 run.append(piece)
                 owners.append(k)
+                cuts.append((a > 0, a + len(piece) < len(text)))
                 words += len(piece)
         flush()
         return 1 / (1 + np.exp(-self.logits(out).astype(np.float64)))
