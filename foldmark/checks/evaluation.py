@@ -136,12 +136,12 @@ def similarity_histogram(fx):
 
 
 @register("recall_within_class", """
-SELECT label, n, round(avg(CASE WHEN hit <= 5 THEN 1.0E0 ELSE 0.0E0 END), 6) AS recall_5 FROM (
-  SELECT r.id, r.label, c.n, min(r.rank) AS hit FROM (
-    SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, rid) AS rank
-    FROM zz WHERE id <> rid AND label = rlabel) r
-  JOIN (SELECT label, count(*) AS n FROM z GROUP BY 1 HAVING count(*) >= 5) c USING (label) GROUP BY 1,2,3)
-GROUP BY 1,2""", ["zz", "z"])
+SELECT c.label, c.n, round(r.recall_5, 6) AS recall_5
+FROM (SELECT label, count(*) AS n FROM z GROUP BY 1) c LEFT JOIN (
+  SELECT label, avg(CASE WHEN hit <= 5 THEN 1.0E0 ELSE 0.0E0 END) AS recall_5 FROM (
+    SELECT id, label, min(rank) AS hit FROM (
+      SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, rid) AS rank
+      FROM zz WHERE id <> rid AND label = rlabel) GROUP BY 1,2) GROUP BY 1) r USING (label)""", ["zz", "z"])
 def recall_within_class(fx):
     return E.recall_within_class(_rows(fx)).select("label", "n", r6("recall_5"))
 

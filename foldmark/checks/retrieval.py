@@ -30,6 +30,36 @@ def locus_topk(fx):
                                "match_sample", "match_cell_type", "match_tissue", r6("score"), "status")
 
 
+define("gap_pairs", """
+SELECT q.sample_id, q.id, q.chr, q.start_bp, r.id AS rid, r.chr AS rchr, r.start_bp AS rstart, r.sample_id AS match_sample,
+  r.cell_type, list_dot_product(q.v, r.v)/(q.len*r.len) AS score
+FROM members q, members r WHERE q.role = 'query' AND r.role = 'ref'
+  AND q.id % 11 <> 3 AND q.id % 13 <> 5 AND r.id % 11 <> 3 AND r.id % 13 <> 5""", ["members"])
+
+
+def _gaps(fx, role):
+    """Members of which some have no vector and some one of NaN."""
+    v = F.col("fingerprint")
+    nan = F.transform(v, lambda x: F.lit(float("nan")).cast("float"))
+    return fx.members(role).withColumn(
+        "fingerprint", F.when(F.col("id") % 11 == 3, F.lit(None)).when(F.col("id") % 13 == 5, nan).otherwise(v))
+
+
+@register("locus_topk_gaps", """
+SELECT sample_id, chr, start_bp, rank, match_sample, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, match_sample) AS rank
+  FROM gap_pairs WHERE chr = rchr AND start_bp = rstart) WHERE rank <= 5""", ["gap_pairs"])
+def locus_topk_gaps(fx):
+    return S.locus_matches(_gaps(fx, "query"), _gaps(fx, "ref"), 5).select(
+        "sample_id", "chr", "start_bp", F.col("rank").cast("bigint").alias("rank"), "match_sample", r6("score"))
+
+
+@register("cell_type_gaps", """
+SELECT sample_id, id, cell_type, round(max(score), 6) AS score FROM gap_pairs GROUP BY 1, 2, 3""", ["gap_pairs"])
+def cell_type_gaps(fx):
+    return S.cell_type_scores(_gaps(fx, "query"), _gaps(fx, "ref")).select("sample_id", "id", "cell_type", r6("score"))
+
+
 @register("level1_vote", """
 SELECT sample_id, top_cell_type, votes, round(fraction, 6) AS fraction FROM (
   SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY votes DESC, top_cell_type) AS rn FROM (
@@ -182,10 +212,9 @@ SELECT sample_id, cell_type, id, concat(chr, ':', CAST(start_bp // 1000000 AS BI
   SELECT b.*, avg(b.score) OVER (PARTITION BY b.sample_id) AS m,
     stddev_pop(b.score) OVER (PARTITION BY b.sample_id) + 1e-8 AS s,
     row_number() OVER (PARTITION BY b.sample_id ORDER BY b.score, b.id) AS rank
-  FROM type_best b JOIN type_mean t ON b.sample_id = t.sample_id AND b.cell_type = t.cell_type AND t.rank = 1)
-WHERE rank <= 10""", ["type_mean"])
+  FROM type_best b JOIN type_mean t ON b.sample_id = t.sample_id AND b.cell_type = t.cell_type AND t.rank = 1)""", ["type_mean"])
 def divergent_z(fx):
-    return collection.divergent_from_top(fx.members("query"), fx.members("ref"), 10).select(
+    return collection.divergent_from_top(fx.members("query"), fx.members("ref")).select(
         "sample_id", "cell_type", "id", "locus", F.round("score", 6).alias("similarity"), r6("z_score"),
         F.col("rank").cast("bigint").alias("rank"))
 
@@ -220,10 +249,9 @@ def compare_by_chrom(fx):
 
 @register("compare_divergent", """
 SELECT chr, start_bp, round(best, 6) AS similarity, round((best - m)/s, 6) + 0.0E0 AS z_score FROM (
-  SELECT *, avg(best) OVER () AS m, stddev_pop(best) OVER () + 1e-8 AS s,
-    row_number() OVER (ORDER BY best, id) AS rn FROM pair_best) WHERE rn <= 10""", ["pair_best"])
+  SELECT *, avg(best) OVER () AS m, stddev_pop(best) OVER () + 1e-8 AS s FROM pair_best)""", ["pair_best"])
 def compare_divergent(fx):
-    return collection.compare_divergent(*_pair(fx), 10).select(
+    return collection.compare_divergent(*_pair(fx)).select(
         "chr", "start_bp", F.round("score", 6).alias("similarity"), r6("z_score"))
 
 
@@ -252,21 +280,15 @@ def observed_mean_cosine(fx):
         "sample_id", "chr", "start_bp", r6("observed"))
 
 
-@register("tile_cap", """
-SELECT sample_id, id FROM (SELECT sample_id, id,
-  row_number() OVER (PARTITION BY sample_id ORDER BY chr, start_bp) AS rn FROM fingerprints) WHERE rn <= 7""",
-          ["fingerprints"])
-def tile_cap(fx):
-    """The cap on stored tiles per sample is the operator itself."""
-    return S.cap_per_sample(fx.fingerprints, 7).select("sample_id", "id")
-
-
-@register("chromosome_order_cap", """
-SELECT sample_id, id FROM (SELECT sample_id, id, row_number() OVER (PARTITION BY sample_id
-  ORDER BY CAST(substr(chr, 4) AS INTEGER), start_bp) AS rn FROM fingerprints) WHERE rn <= 12""", ["fingerprints"])
-def chromosome_order_cap(fx):
-    """The cap on query tiles in chromosome order is the operator itself."""
-    return S.cap_in_chromosome_order(fx.fingerprints, 12).select("sample_id", "id")
+@register("tile_positions", """
+SELECT sample_id, id, row_number() OVER (PARTITION BY sample_id ORDER BY chr, start_bp) AS by_name,
+  row_number() OVER (PARTITION BY sample_id ORDER BY CAST(substr(chr, 4) AS INTEGER), start_bp) AS by_list
+FROM fingerprints""", ["fingerprints"])
+def tile_positions(fx):
+    by_name = S.tile_positions(fx.fingerprints).withColumnRenamed("position", "by_name")
+    return S.tile_positions(by_name, listed=True).select(
+        "sample_id", "id", F.col("by_name").cast("bigint").alias("by_name"),
+        F.col("position").cast("bigint").alias("by_list"))
 
 
 @register("present_chromosomes", """
@@ -277,10 +299,9 @@ def present_chromosomes(fx):
 
 
 @register("reference_set", """
-SELECT f.id, s.cell_type FROM (SELECT id, sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY chr, start_bp) AS rn
-  FROM fingerprints) f JOIN samples s USING (sample_id) WHERE f.rn <= 20""", ["fingerprints", "samples"])
+SELECT f.id, s.cell_type FROM fingerprints f JOIN samples s USING (sample_id)""", ["fingerprints", "samples"])
 def reference_set(fx):
-    return collection.reference_set(fx.fingerprints, 20).select("id", "cell_type")
+    return collection.reference_set(fx.fingerprints).select("id", "cell_type")
 
 
 @register("display_text", """
@@ -303,7 +324,7 @@ _BADGE = """CASE WHEN similarity >= 0.90 THEN 'VERY HIGH ★★★' WHEN similar
 
 @register("collection_report", f"""
 SELECT sample_id, n_tiles, CAST(rank AS INTEGER) AS rank, cell_type, round(similarity, 6) AS similarity,
-  {_BADGE} AS confidence, loci_won FROM type_mean WHERE rank <= 10""", ["type_mean"])
+  {_BADGE} AS confidence, loci_won FROM type_mean""", ["type_mean"])
 def collection_report(fx):
     """The nested report of every query sample, its ranked matches unnested."""
     out = collection.query_report(fx.members("query"), fx.members("ref"))

@@ -116,8 +116,7 @@ def group_members(fx):
 
 
 @register("largest_groups", """
-SELECT cell_type, count(*) AS n_files FROM samples GROUP BY 1 HAVING count(*) > 1
-ORDER BY n_files DESC, cell_type LIMIT 10""", ["samples"])
+SELECT cell_type, count(*) AS n_files FROM samples GROUP BY 1 HAVING count(*) > 1""", ["samples"])
 def largest_groups(fx):
     return R.largest_groups(fx.samples, "cell_type")
 
@@ -205,12 +204,11 @@ def tile_counts(fx):
 
 # existing: chr1 and chr2; incoming: chr2 and chr3 with another value
 @register("upsert_centroids", """
-SELECT chr, start_bp, CASE WHEN chr = 'chr1' THEN 'old' ELSE 'new' END AS origin FROM loci
-WHERE chr IN ('chr1', 'chr2', 'chr3')""", ["loci"])
+SELECT chr, start_bp, CASE WHEN chr = 'chr1' THEN 'old' ELSE 'new' END AS origin FROM loci""", ["loci"])
 def upsert_centroids(fx):
     loci = fx.fingerprints.select("chr", "start_bp").distinct()
-    old = loci.where("chr IN ('chr1', 'chr2')").withColumn("origin", F.lit("old"))
-    new = loci.where("chr IN ('chr2', 'chr3')").withColumn("origin", F.lit("new"))
+    old = loci.where("chr IN ('chr1', 'chr2', 'chr4')").withColumn("origin", F.lit("old"))
+    new = loci.where("chr IN ('chr2', 'chr3', 'chr4', 'chr5')").withColumn("origin", F.lit("new"))
     return T.upsert(old, new, ["chr", "start_bp"])
 
 
@@ -263,6 +261,15 @@ def label_map(fx):
     return T.label_map(fx.samples, "cell_type")
 
 
+@register("label_map_incremental", """
+SELECT cell_type, CAST(row_number() OVER (ORDER BY sample_min > 'CT2_rep1', cell_type) - 1 AS INTEGER) AS label
+FROM (SELECT cell_type, min(sample_id) AS sample_min FROM samples GROUP BY 1)""", ["samples"])
+def label_map_incremental(fx):
+    """Labels of a first run, continued over all samples in a second one."""
+    first = T.label_map(fx.samples.where("sample_id <= 'CT2_rep1'"), "cell_type")
+    return T.label_map_with(first, fx.samples, "cell_type").select("cell_type", F.col("label").cast("int").alias("label"))
+
+
 _SPLIT = """
 SELECT label, sum(CASE WHEN s = 'val' THEN n END) AS n_val, sum(CASE WHEN s = 'train' THEN n END) AS n_train FROM (
   SELECT label, 'val' AS s, greatest(1, CAST(floor(count(*)*0.1) AS BIGINT)) AS n FROM embeddings GROUP BY 1

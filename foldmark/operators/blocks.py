@@ -7,13 +7,17 @@ result leaves the task: top k per row, best per label, a histogram, and so on.
 A group holding a third of the table simply has more blocks, so no task ever
 sees more than two blocks.
 
-The block counts per group come from a count over the key columns alone. Only
-groups larger than one block are listed, so that list has at most
-(table rows / block rows) entries; it is the one thing broadcast here.
+The block counts per group come from a count over the key columns alone; only
+groups larger than one block are listed. A table without groups is cut into
+enough blocks that its pairs occupy the cluster. Rows without a vector take no
+part, and a score that is not finite is no score.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -40,16 +44,20 @@ def _hot_groups(queries, refs, keys, rows):
 
 
 def _block_count(df, rows):
-    """Number of blocks of a whole table, as a scalar subquery over its row count."""
-    return df.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / rows)).cast("int").alias("n")).scalar()
+    """Number of blocks of a whole table, as a scalar subquery over its row count.
+
+    At least the root of the cluster's cores, so that the block pairs are as many as the cores.
+    """
+    least = math.isqrt(max(0, df.sparkSession.sparkContext.defaultParallelism - 1)) + 1
+    return df.agg(F.greatest(F.lit(least), F.ceil(F.count(F.lit(1)) / rows)).cast("int").alias("n")).scalar()
 
 
 def block_pairs(queries: DataFrame, refs: DataFrame, kernel, schema: StructType, *,
                 keys=(), q_block="id", r_block="id", rows: int = ROWS_PER_BLOCK) -> DataFrame:
     """Run ``kernel(query_table, ref_table) -> table`` on all block pairs of all key groups.
 
-    ``q_block`` / ``r_block`` name the column whose hash picks the block; rows
-    equal in it stay together.
+    ``q_block`` / ``r_block`` name the columns whose hash picks the block; rows
+    equal in them stay together.
     """
     keys = list(keys)
     refs = refs.select(*[F.col(c).alias(c) for c in refs.columns])  # both sides may share a lineage
@@ -57,7 +65,7 @@ def block_pairs(queries: DataFrame, refs: DataFrame, kernel, schema: StructType,
         if queries.schema[k].dataType != refs.schema[k].dataType:
             raise TypeError(f"key {k} differs in type between the two sides")
     if keys:
-        hot = F.broadcast(_hot_groups(queries, refs, keys, rows))
+        hot = _hot_groups(queries, refs, keys, rows)
         queries, refs = queries.join(hot, keys, "left"), refs.join(hot, keys, "left")
         n_q, n_r = F.coalesce("_nq", F.lit(1)), F.coalesce("_nr", F.lit(1))
     else:
@@ -66,7 +74,7 @@ def block_pairs(queries: DataFrame, refs: DataFrame, kernel, schema: StructType,
     def split(df, own, own_n, other, other_n, block_on):
         return df.select(
             *[c for c in df.columns if c not in ("_nq", "_nr")],
-            F.pmod(F.xxhash64(block_on), own_n).cast("int").alias(own),
+            F.pmod(F.xxhash64(*([block_on] if isinstance(block_on, str) else block_on)), own_n).cast("int").alias(own),
             F.explode(F.sequence(F.lit(0), other_n - 1)).alias(other))
 
     by = keys + ["_qb", "_rb"]
@@ -91,6 +99,9 @@ def column_values(table, name):
 def matrix_of(table, name, eps=None):
     """Vector column as a float64 matrix, rows divided by (length + eps) if given."""
     col = table.column(name).combine_chunks()
+    widths = np.unique(pc.list_value_length(col).to_numpy(zero_copy_only=False))
+    if len(widths) > 1:
+        raise ValueError(f"vectors of {name} differ in length: {widths[:5].tolist()}")
     m = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
     if eps is not None:
         m = m / (np.linalg.norm(m, axis=1, keepdims=True) + eps)
@@ -111,6 +122,7 @@ def best_in_rows(scores, k):
     """
     n = scores.shape[1]
     k = min(k, n)
+    scores = np.where(np.isfinite(scores), scores, -np.inf)
     bound = np.partition(scores, n - k, axis=1)[:, n - k] - 2 * 10.0 ** -SCORE_DIGITS
     row, col = np.nonzero((scores >= bound[:, None]) & np.isfinite(scores))
     value = np.round(scores[row, col], SCORE_DIGITS)
@@ -134,6 +146,11 @@ def sorted_by(table, name):
     return table.take(pa.array(np.argsort(column_values(table, name), kind="stable")))
 
 
+def with_vector(df, vector):
+    """Rows that have a vector."""
+    return df.where(F.col(vector).isNotNull())
+
+
 # ---- operators -------------------------------------------------------------
 
 def _payload(df, drop, prefix=""):
@@ -180,7 +197,8 @@ def top_matches(queries: DataFrame, refs: DataFrame, k: int, *, vector="fingerpr
             left.columns + right.columns + [pa.array(np.concatenate(vals_))],
             names=q_names + ["ref_" + c for c in r_names] + ["score"])
 
-    found = block_pairs(queries, refs, kernel, schema, keys=keys, q_block=q_key[0], r_block=r_key, rows=rows)
+    found = block_pairs(with_vector(queries, vector), with_vector(refs, vector), kernel, schema, keys=keys,
+                        q_block=q_key, r_block=r_key, rows=rows)
     order = Window.partitionBy(*q_key).orderBy(F.desc("score"), F.asc("ref_" + r_key))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -209,18 +227,25 @@ def best_per_label(queries: DataFrame, refs: DataFrame, label: str, *, vector="f
         where = np.empty((n_q, len(starts) - 1), dtype=np.int64)
         for a, b in row_chunks(n_q, len(r)):
             s = np.round(q[a:b] @ r.T, SCORE_DIGITS)
+            s = np.where(np.isfinite(s), s, -np.inf)
             for g, (lo, hi) in enumerate(zip(starts[:-1], starts[1:])):
                 j = s[:, lo:hi].argmax(axis=1)
                 best[a:b, g] = s[np.arange(b - a), lo + j]
                 where[a:b, g] = lo + j
         n_l = len(starts) - 1
-        left = qt.select(q_names).take(pa.array(np.repeat(np.arange(n_q), n_l)))
-        at = pa.array(where.ravel())
+        real = np.isfinite(best.ravel())  # a label may hold no usable vector
+        left = qt.select(q_names).take(pa.array(np.repeat(np.arange(n_q), n_l)[real]))
+        at = pa.array(where.ravel()[real])
         return pa.Table.from_arrays(
-            left.columns + [rt.column(label).take(at), pa.array(best.ravel()), rt.column(r_key).take(at)],
+            left.columns + [rt.column(label).take(at), pa.array(best.ravel()[real]), rt.column(r_key).take(at)],
             names=q_names + [label, "score", "ref_key"])
 
-    found = block_pairs(queries, refs, kernel, schema, keys=keys, q_block=list(q_key)[0], r_block=r_key, rows=rows)
+    # a label's references go to as few blocks as its size allows, so that a query row gets few rows per label
+    refs = with_vector(refs, vector)
+    sizes = refs.groupBy(label).agg(F.ceil(F.count(F.lit(1)) / rows).alias("_parts"))
+    refs = refs.join(sizes, label).withColumn("_part", F.pmod(F.xxhash64(r_key), F.col("_parts"))).drop("_parts")
+    found = block_pairs(with_vector(queries, vector), refs, kernel, schema, keys=keys, q_block=list(q_key),
+                        r_block=[label, "_part"], rows=rows)
     first_best = F.min(F.struct((-F.col("score")).alias("neg"), F.col("ref_key"))).alias("_b")
     return (found.groupBy(*q_names, label).agg(first_best)
             .select(*q_names, label, (-F.col("_b.neg")).alias("score"), F.col("_b.ref_key").alias("ref_key")))

@@ -22,10 +22,14 @@ MAX_SENT_CODES = 16_384
 
 def assign_codes(tokens: DataFrame, codebook: DataFrame, key, token: str = "token",
                  max_sent: int = MAX_SENT_CODES) -> DataFrame:
-    """Nearest code by squared distance, lowest code on ties: columns ``code`` and ``sq_dist``."""
+    """Nearest code by squared distance, lowest code on ties: columns ``code`` and ``sq_dist``.
+
+    Every row gets its own code, whatever its ``key``; a row without a token has none. Both ways of
+    working it out score and break ties alike.
+    """
     rows = codebook.select("code", "vec").limit(max_sent + 1).collect()
     if len(rows) > max_sent:
-        return _assign_by_blocks(tokens, codebook, key, token)
+        return _assign_by_blocks(tokens, codebook, token)
     rows.sort(key=lambda r: r["code"])
     codes = np.array([r["code"] for r in rows], dtype=np.int32)
     vecs = np.array([r["vec"] for r in rows], dtype=np.float64)
@@ -36,25 +40,28 @@ def assign_codes(tokens: DataFrame, codebook: DataFrame, key, token: str = "toke
     def nearest(batches):
         code, vec, half = sent.value
         for b in batches:
-            t = blocks.matrix_of(pa.table(b), token)
-            best = np.empty(len(t), dtype=np.int64)
-            dist = np.empty(len(t))
+            there = np.flatnonzero(np.asarray(b.column(b.schema.get_field_index(token)).is_valid()))
+            best, dist = np.full(b.num_rows, -1), np.zeros(b.num_rows)
+            t = blocks.matrix_of(pa.table(b).take(pa.array(there)), token) if len(there) else np.zeros((0, 1))
             for lo, hi in blocks.row_chunks(len(t), len(code)):
-                d = np.round(half - 2.0 * (t[lo:hi] @ vec.T), blocks.SCORE_DIGITS)
-                best[lo:hi] = d.argmin(axis=1)
-                diff = t[lo:hi] - vec[best[lo:hi]]
-                dist[lo:hi] = (diff * diff).sum(axis=1)
-            yield pa.RecordBatch.from_arrays(b.columns + [pa.array(code[best]), pa.array(dist)], schema=arrow)
+                s = 2.0 * (t[lo:hi] @ vec.T) - half - (t[lo:hi] * t[lo:hi]).sum(axis=1)[:, None]
+                i, j, v = blocks.best_in_rows(s, 1)
+                best[there[lo:hi][i]], dist[there[lo:hi][i]] = j, -v
+            none = best < 0
+            yield pa.RecordBatch.from_arrays(
+                b.columns + [pa.array(code[best], mask=none), pa.array(dist, mask=none)], schema=arrow)
 
     return tokens.mapInArrow(nearest, schema)
 
 
-def _assign_by_blocks(tokens, codebook, key, token):
+def _assign_by_blocks(tokens, codebook, token):
+    """The code belongs to the token's value: distinct values are scored and the result joined back to the rows."""
     side = codebook.select("code", F.col("vec").alias(token))
-    found = blocks.top_matches(tokens, side, 1, vector=token, q_key=key, r_key="code", metric="l2")
-    names = [c for c in tokens.columns if c != token]
-    got = found.select(*names, F.col("ref_code").cast("int").alias("code"), (-F.col("score")).alias("sq_dist"))
-    return tokens.join(got.select(*key, "code", "sq_dist"), list(key))
+    values = tokens.where(F.col(token).isNotNull()).select(F.col(token).alias("_value")).distinct()
+    found = blocks.top_matches(values.withColumn(token, F.col("_value")), side, 1, vector=token, q_key=["_value"],
+                               r_key="code", metric="l2")
+    got = found.select("_value", F.col("ref_code").cast("int").alias("code"), (-F.col("score")).alias("sq_dist"))
+    return tokens.join(got, F.col(token) == F.col("_value"), "left").drop("_value")
 
 
 def commitment_error(assigned: DataFrame, dim: int) -> DataFrame:
@@ -200,25 +207,35 @@ def top_tokens(tokens: DataFrame, keep: int, by, score: str = "score") -> DataFr
             .withColumn("slot", F.row_number().over(place) - 1))
 
 
-def fit_codebook(tokens: DataFrame, n_codes: int, dim: int, *, key, iterations: int = 2, seed: int = C.SEED,
-                 gamma: float = C.EMA_GAMMA, token: str = "token") -> DataFrame:
-    """Codebook without gradients: k-means start, then assignment and running-mean rounds.
+def fit_codebook(tokens: DataFrame, n_codes: int, dim: int, *, key, tolerance: float = 1e-4, rounds: int = 100,
+                 seed: int = C.SEED, gamma: float = C.EMA_GAMMA, token: str = "token") -> DataFrame:
+    """Codebook without gradients: k-means start, then assignment and running-mean rounds until no value moves further.
 
-    The loop is over rounds, each one Spark job; only the codebook crosses rounds.
+    The loop is over rounds, each one Spark job; only the codebook (``n_codes`` rows) crosses rounds.
+    ``converged`` says whether the last round moved every value by less than ``tolerance``.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
     spark = tokens.sparkSession
     v = tokens.select(array_to_vector(V.as_double(F.col(token))).alias("features"))
-    centres = KMeans(k=n_codes, seed=seed, maxIter=5).fit(v).clusterCenters()
+    centres = KMeans(k=n_codes, seed=seed, maxIter=rounds, tol=tolerance).fit(v).clusterCenters()
     rows = [(i, 1.0, [float(x) for x in c]) for i, c in enumerate(centres)]
-    for _ in range(iterations):
+
+    def vectors(rows):
+        return np.array([[x / max(r[1], 1e-5) for x in r[2]] for r in sorted(rows)])
+
+    converged = False
+    for _ in range(rounds):
         state = spark.createDataFrame(rows, "code int, ema_count double, ema_sum array<double>")
-        book = state.select("code", F.transform("ema_sum", lambda x: x / F.col("ema_count")).alias("vec"))
+        book = state.select("code", F.transform("ema_sum", lambda x: x / F.greatest(F.col("ema_count"), F.lit(1e-5))).alias("vec"))
         new = ema_update(state, assign_codes(tokens, book, key, token), dim, gamma, token)
-        rows = [(r["code"], r["ema_count"], list(r["ema_sum"])) for r in new.collect()]
+        before, rows = rows, [(r["code"], r["ema_count"], list(r["ema_sum"])) for r in new.collect()]
+        converged = bool(np.abs(vectors(rows) - vectors(before)).max() < tolerance)
+        if converged:
+            break
     state = spark.createDataFrame(rows, "code int, ema_count double, ema_sum array<double>")
-    return state.select("code", F.transform("ema_sum", lambda x: x / F.greatest(F.col("ema_count"), F.lit(1e-5))).alias("vec"))
+    return state.select("code", F.transform("ema_sum", lambda x: x / F.greatest(F.col("ema_count"), F.lit(1e-5))).alias("vec"),
+                        F.lit(converged).alias("converged"))
 
 
 def code_profile(assigned: DataFrame, value: str) -> DataFrame:

@@ -282,9 +282,8 @@ def transpose_some(tiles: DataFrame, key, size: int = C.TILE_SIZE, seed: int = C
                         .otherwise(F.col("matrix"))))
 
 
-def present_chromosomes(df: DataFrame, chrom: str = "chrom", first: int | None = None) -> DataFrame:
-    """Listed chromosomes that occur in the data, in list order, the first few if asked."""
+def present_chromosomes(df: DataFrame, chrom: str = "chrom") -> DataFrame:
+    """Listed chromosomes that occur in the data, in list order."""
     at = chromosome_index(F.col(chrom))
-    out = (df.select(F.col(chrom).alias("chrom"), at.alias("position")).distinct()
-           .where("position IS NOT NULL").orderBy("position"))
-    return out if first is None else out.limit(first)
+    return (df.select(F.col(chrom).alias("chrom"), at.alias("position")).distinct()
+            .where("position IS NOT NULL").orderBy("position"))

@@ -122,12 +122,12 @@ def recall_at(near: DataFrame, ks=(1, 3, 5, 10, 20), label: str = "label", key:
         F.avg(F.coalesce(F.col("hit") <= k, F.lit(False)).cast("double")).alias(f"recall_{k}") for k in ks])
 
 
-def recall_within_class(rows: DataFrame, k: int = 5, min_size: int = 5, label: str = "label", key: str = "id",
+def recall_within_class(rows: DataFrame, k: int = 5, label: str = "label", key: str = "id",
                         vector: str = "fingerprint") -> DataFrame:
-    """Recall@k inside each class of at least ``min_size`` rows (1.0 by construction)."""
+    """Recall@k inside each class with its size ``n`` (1.0 by construction, null for a class of one)."""
     near = neighbours(rows, k, label, key, vector, within_label=True)
-    sizes = near.where("rank = 1").groupBy(label).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size)
-    return recall_at(near, (k,), label, key, by=[label]).join(sizes, label)
+    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.join(recall_at(near, (k,), label, key, by=[label]), label, "left")
 
 
 def knn_accuracy(near: DataFrame, label: str = "label", key: str = "id") -> DataFrame:
@@ -141,7 +141,12 @@ def knn_accuracy(near: DataFrame, label: str = "label", key: str = "id") -> Data
             .agg(F.avg((F.col("predicted") == F.col(label)).cast("double")).alias("knn_accuracy")))
 
 
-_RUN = np.dtype([("score", "f8"), ("id", "i8"), ("same", "u1")])
+_HIT = np.dtype([("score", "f8"), ("id", "i8")])
+
+
+def _first_hits(hits):
+    """Positives in ranking order: best score first, then the smaller id."""
+    return hits[np.lexsort((hits["id"], -hits["score"]))]
 
 
 def average_precision(rows: DataFrame, label: str = "label", key: str = "id", vector: str = "fingerprint",
@@ -149,44 +154,75 @@ def average_precision(rows: DataFrame, label: str = "label", key: str = "id", ve
     """Average precision of every row over its full ranking.
 
     With ``include_self`` the row itself is ranked last and counts as a
-    positive. A block pair writes one packed run of (score, id, same label)
-    per query row; a row's runs meet in one group whose size is the number of
-    rows, never the square. ``key`` must be a bigint.
+    positive. First each row gets the scores of its positives, from block pairs within
+    a label. Then a block pair of all rows counts, for each gap between two neighbouring
+    positives of a row, the rows that fall into it, and writes the gaps that are not empty:
+    no negative leaves its task. ``key`` must be a bigint.
     """
+    side = blocks.with_vector(rows.select(key, label, vector), vector)
     schema = StructType([StructField(key, LongType()), StructField("run", BinaryType())])
 
-    def kernel(qt, rt):
+    def scored(qt, rt):
+        """Sorted reference table and the score cells of each run of query rows; own cells are not finite."""
         rt = blocks.sorted_by(rt, key)
         q, r = blocks.matrix_of(qt, vector, PLAIN), blocks.matrix_of(rt, vector, PLAIN)
         q_ids, r_ids = blocks.column_values(qt, key), blocks.column_values(rt, key)
-        ql, rl = blocks.column_values(qt, label), blocks.column_values(rt, label)
-        packed = []
         for a, b in blocks.row_chunks(len(q), len(r)):
             s = np.round(q[a:b] @ r.T, blocks.SCORE_DIGITS)
-            s = blocks.hide_same(s, q_ids[a:b], r_ids, -2.0)
-            run = np.empty(s.shape, dtype=_RUN)
-            run["score"], run["id"] = s, r_ids[None, :]
-            run["same"] = ql[a:b][:, None] == rl[None, :]
-            packed += [row.tobytes() for row in run]
+            yield a, blocks.hide_same(s, q_ids[a:b], r_ids), r_ids
+
+    def positives(qt, rt):
+        packed = []
+        for _, s, r_ids in scored(qt, rt):
+            for row in s:
+                there = np.isfinite(row)
+                hits = np.empty(int(there.sum()), dtype=_HIT)
+                hits["score"], hits["id"] = row[there], r_ids[there]
+                packed.append(hits.tobytes())
+        return pa.table({key: qt.column(key), "run": pa.array(packed, pa.binary())})
+
+    def together(t):
+        hits = np.frombuffer(b"".join(t.column("run").to_pylist()), dtype=_HIT)
+        return pa.table({key: t.column(key)[:1], "run": pa.array([_first_hits(hits).tobytes()], pa.binary())})
+
+    found = blocks.block_pairs(side, side, positives, schema, keys=[label], q_block=key, r_block=key, rows=block_rows)
+    found = found.groupBy(key).applyInArrow(together, f"{key} bigint, run binary")
+    asked = side.select(key, vector).join(found, key)
+
+    def gaps(qt, rt):
+        runs, packed = [np.frombuffer(x, dtype=_HIT) for x in qt.column("run").to_pylist()], []
+        for a, s, r_ids in scored(qt, rt):
+            for k, row in enumerate(s):
+                hits, there = runs[a + k], np.isfinite(row)
+                score, ids = row[there], r_ids[there]
+                # rows above a positive: a better score, or the same one and a smaller id
+                gap = np.searchsorted(-hits["score"], -score, side="left")
+                ties = np.flatnonzero((gap < len(hits)) & (hits["score"][np.minimum(gap, len(hits) - 1)] == score)) if len(hits) else []
+                for t in ties:
+                    end = np.searchsorted(-hits["score"], -score[t], side="right")
+                    gap[t] += np.searchsorted(hits["id"][gap[t]:end], ids[t], side="left")
+                n = np.bincount(gap, minlength=1)
+                at = np.flatnonzero(n)
+                packed.append(np.stack([at, n[at]]).astype(np.int64).tobytes())
         return pa.table({key: qt.column(key), "run": pa.array(packed, pa.binary())})
 
-    runs = blocks.block_pairs(rows.select(key, label, vector), rows.select(key, label, vector), kernel, schema,
-                              q_block=key, r_block=key, rows=block_rows)
+    counted = blocks.block_pairs(asked, side.select(key, vector), gaps, schema, q_block=key, r_block=key, rows=block_rows)
     out = pa.schema([(key, pa.int64()), ("ap", pa.float64())])
 
-    def rank(t):
-        run = np.concatenate([np.frombuffer(x.as_py(), dtype=_RUN) for x in t.column("run")])
-        own = t.column(key)[0].as_py()
-        order = np.lexsort((run["id"], run["id"] == own, -run["score"]))
-        run = run[order]
-        if not include_self:
-            run = run[run["id"] != own]
-        same = run["same"].astype(np.float64)
-        n = same.sum()
-        ap = (np.cumsum(same) / np.arange(1, len(same) + 1) * same).sum() / n if n else None
-        return pa.table([[own], [ap]], schema=out)
-
-    return runs.groupBy(key).applyInArrow(rank, f"{key} bigint, ap double")
+    def precision(t):
+        parts = [np.frombuffer(x, dtype=np.int64).reshape(2, -1) for x in t.column("run").to_pylist()]
+        at, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        hits = int(t.column("hits")[0].as_py())
+        # a positive is in its own gap, so the sum up to its gap is its rank
+        rank = np.cumsum(np.bincount(at, n, hits + 1))
+        ap = (np.arange(1, hits + 1) / rank[:hits]).sum()
+        total = hits
+        if include_self:
+            ap, total = ap + (hits + 1) / (rank[hits] + 1), hits + 1
+        return pa.table([t.column(key)[:1], [ap / total if total else None]], schema=out)
+
+    sizes = found.select(key, (F.length("run") / _HIT.itemsize).cast("long").alias("hits"))
+    return counted.join(sizes, key).groupBy(key).applyInArrow(precision, f"{key} bigint, ap double")
 
 
 def mean_average_precision(rows: DataFrame, **kw) -> DataFrame:

@@ -23,10 +23,11 @@ def group_members(samples: DataFrame) -> DataFrame:
             .agg(F.sort_array(F.collect_list("sample_id")).alias("members"), F.count(F.lit(1)).alias("n_members")))
 
 
-def largest_groups(samples: DataFrame, cell: str, n: int = 10) -> DataFrame:
-    """Cells with more than one file, most files first; n is the report size."""
-    return (samples.groupBy(cell).agg(F.count(F.lit(1)).alias("n_files")).where("n_files > 1")
-            .orderBy(F.desc("n_files"), F.asc(cell)).limit(n))
+def largest_groups(samples: DataFrame, cell: str, n: int | None = None) -> DataFrame:
+    """Cells with more than one file, most files first; the first n if asked."""
+    groups = (samples.groupBy(cell).agg(F.count(F.lit(1)).alias("n_files")).where("n_files > 1")
+              .orderBy(F.desc("n_files"), F.asc(cell)))
+    return groups if n is None else groups.limit(n)
 
 
 def group_matches(matches: DataFrame, by, sample: str = "match_sample") -> DataFrame:

@@ -77,17 +77,19 @@ def cell_type_similarity(scores: DataFrame, by: str = "sample_id") -> DataFrame:
             .withColumn("rank", F.row_number().over(order)))
 
 
-def divergent_by_zscore(best: DataFrame, n: int, by: str | None = "sample_id") -> DataFrame:
-    """n lowest best scores with a z-score (population std + 1e-8), per sample or of the whole table."""
+def divergent_by_zscore(best: DataFrame, n: int | None = None, by: str | None = "sample_id") -> DataFrame:
+    """Best scores with a z-score (population std + 1e-8), per sample (ranked) or of the whole table; the n lowest if asked."""
     both = [F.avg("score").alias("_m"), (F.stddev_pop("score") + C.EPS).alias("_s")]
     if by is None:
-        lowest = best.orderBy(F.asc("score"), F.asc("id")).limit(n)
+        lowest = best if n is None else best.orderBy(F.asc("score"), F.asc("id")).limit(n)
         z = lowest.withColumn("_st", best.agg(*both).select(F.struct("_m", "_s")).scalar())
         return (z.withColumn("z_score", (F.col("score") - F.col("_st._m")) / F.col("_st._s")).drop("_st")
                 .withColumn("locus", L.locus_mb(F.col("chr"), F.col("start_bp"), F.col("end_bp"))))
     stats = best.groupBy(by).agg(*both)
     order = Window.partitionBy(by).orderBy(F.asc("score"), F.asc("id"))
-    lowest = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    lowest = best.withColumn("rank", F.row_number().over(order))
+    if n is not None:
+        lowest = lowest.where(F.col("rank") <= n)
     return (lowest.join(stats, by)
             .withColumn("z_score", (F.col("score") - F.col("_m")) / F.col("_s")).drop("_m", "_s")
             .withColumn("locus", L.locus_mb(F.col("chr"), F.col("start_bp"), F.col("end_bp"))))

@@ -114,14 +114,9 @@ def permutation_pvalues(queries: DataFrame, refs: DataFrame, n_perm: int = C.PER
             .select(*WINDOW_KEY, "_t.observed", "_t.p_value"))
 
 
-def cap_per_sample(tiles: DataFrame, cap: int) -> DataFrame:
-    """First ``cap`` tiles of every sample in chromosome-file and position order."""
-    order = Window.partitionBy("sample_id").orderBy("chr", "start_bp")
-    return tiles.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).drop("_n")
-
-
-def cap_in_chromosome_order(tiles: DataFrame, cap: int, by="sample_id") -> DataFrame:
-    """First ``cap`` tiles per query in the fixed chromosome order."""
+def tile_positions(tiles: DataFrame, by="sample_id", listed: bool = False) -> DataFrame:
+    """Tiles with their ``position`` (from 1) in their sample, by chromosome name or in the listed chromosome order."""
     from ..functions.names import chromosome_index
-    order = Window.partitionBy(by).orderBy(chromosome_index(F.col("chr")).asc_nulls_last(), "chr", "start_bp")
-    return tiles.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).drop("_n")
+    first = [chromosome_index(F.col("chr")).asc_nulls_last()] if listed else []
+    order = Window.partitionBy(by).orderBy(*first, "chr", "start_bp")
+    return tiles.withColumn("position", F.row_number().over(order))

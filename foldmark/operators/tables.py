@@ -38,12 +38,17 @@ def new_rows(existing: DataFrame, incoming: DataFrame, key) -> DataFrame:
     return incoming.dropDuplicates(key).join(existing.select(*key), key, "left_anti").select(*incoming.columns)
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, key) -> DataFrame:
-    """Incoming rows replace existing rows of the same key."""
+def upsert(existing: DataFrame, incoming: DataFrame, key, order: str | None = None) -> DataFrame:
+    """Incoming rows replace existing rows of the same key.
+
+    Of several incoming rows of a key the one with the largest ``order`` wins, then
+    (and without it) the one with the largest hash: the same one on every run.
+    """
     key = [key] if isinstance(key, str) else list(key)
-    both = existing.withColumn("_v", F.lit(0)).unionByName(incoming.withColumn("_v", F.lit(1)))
-    newest = Window.partitionBy(*key).orderBy(F.desc("_v"))
-    return both.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_v", "_n")
+    latest = [F.desc(order)] if order else []
+    newest = Window.partitionBy(*key).orderBy(*latest, F.desc(F.xxhash64(*incoming.columns)))
+    one = incoming.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+    return existing.join(one.select(*key), key, "left_anti").select(*existing.columns).unionByName(one)
 
 
 def without_samples(table: DataFrame, samples: DataFrame) -> DataFrame:
@@ -124,6 +129,13 @@ def present_samples(available: DataFrame, wanted: DataFrame | None = None) -> Da
     return names.orderBy("sample_id")
 
 
+def label_map_with(old: DataFrame, names: DataFrame, column: str) -> DataFrame:
+    """A label map (column, label) kept as it is and continued with the names it lacks, in name order."""
+    fresh = label_map(names.join(old.select(column), column, "left_anti"), column)
+    top = old.select((F.coalesce(F.max("label"), F.lit(-1)) + 1).alias("n")).scalar()
+    return old.select(column, "label").unionByName(fresh.select(column, (F.col("label") + top).cast("int").alias("label")))
+
+
 def label_map(names: DataFrame, column: str) -> DataFrame:
     """Sorted distinct names numbered from 0 (distinct names are few)."""
     order = Window.orderBy(column)
@@ -154,8 +166,5 @@ def stratified_split(rows: DataFrame, stratum: str, key: str, fraction: float =
 
 
 def global_split(rows: DataFrame, key: str, fraction: float = 0.1, seed: int = C.SEED) -> DataFrame:
-    """Random split of the whole table; with fewer than four rows every row is in both parts."""
-    split = stratified_split(rows.withColumn("_all", F.lit(0)), "_all", key, fraction, seed).drop("_all")
-    few = (rows.limit(4).agg(F.count(F.lit(1)).alias("n"))).scalar() < 4
-    return split.withColumn("split", F.explode(F.when(few, F.array(F.lit("train"), F.lit("val")))
-                                               .otherwise(F.array("split"))))
+    """Random split of the whole table: max(1, floor(n * fraction)) rows to val, rest to train."""
+    return stratified_split(rows.withColumn("_all", F.lit(0)), "_all", key, fraction, seed).drop("_all")

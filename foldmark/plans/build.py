@@ -20,16 +20,24 @@ def build_tiles(pixels: DataFrame, bins: DataFrame, cytoband: DataFrame, chromos
 
 
 def preprocess(pixels: DataFrame, bins: DataFrame, cytoband: DataFrame, chromosomes: DataFrame, path: str, **kw):
-    """Write the tiles of every (sample, chromosome) that has none yet under ``path``."""
+    """Write the tiles of every (sample, chromosome) that has none yet under ``path``.
+
+    Labels of earlier runs stay and new cell lines are numbered on: the map is taken over
+    the stored tiles and all requested samples.
+    """
     from ..sources import store
     spark = pixels.sparkSession
     asked = bins.select("sample_id", "chrom").distinct()
+    names = asked.select(N.cell_name(F.col("sample_id")).alias("cell_line_name")).distinct()
+    labels = tables.label_map(names, "cell_line_name")
     if store.Store(spark, path)._exists(path):
-        done = store.read_tiles(spark, path).select("sample_id", F.col("chr").alias("chrom"))
-        asked = tables.not_done(asked, done)
+        stored = store.read_tiles(spark, path)
+        asked = tables.not_done(asked, stored.select("sample_id", F.col("chr").alias("chrom")))
+        known = stored.select("cell_line_name", F.col("cell_line_idx").alias("label")).distinct()
+        labels = tables.label_map_with(known, names, "cell_line_name")
     on = ["sample_id", "chrom"]
     tiles = build_tiles(pixels.join(asked, on, "left_semi"), bins.join(asked, on, "left_semi"), cytoband, chromosomes, **kw)
-    store.write_tiles(label_tiles(tiles).withColumn("cell_line_idx", F.col("cell_line_idx").cast("int")), path)
+    store.write_tiles(label_tiles(tiles, labels).withColumn("cell_line_idx", F.col("cell_line_idx").cast("int")), path)
 
 
 def build_query_tiles(pixels: DataFrame, bins: DataFrame, *, size: int = C.TILE_SIZE, step: int = C.TILE_STEP,
@@ -43,11 +51,11 @@ def build_query_tiles(pixels: DataFrame, bins: DataFrame, *, size: int = C.TILE_
         keep, ["sample_id", "chr", "start_bin"], "left_semi")
 
 
-def label_tiles(tiles: DataFrame) -> DataFrame:
-    """Tiles with canonical cell-line name and its label index."""
+def label_tiles(tiles: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Tiles with canonical cell-line name and its label index (from ``labels``, else over these tiles)."""
     named = tiles.withColumn("cell_line_name", N.cell_name(F.col("sample_id")))
-    index = tables.label_map(named, "cell_line_name").withColumnRenamed("label", "cell_line_idx")
-    return named.join(index, "cell_line_name")
+    index = tables.label_map(named, "cell_line_name") if labels is None else labels
+    return named.join(index.withColumnRenamed("label", "cell_line_idx"), "cell_line_name")
 
 
 def encode_tiles(tiles: DataFrame, encode, out: str = "fingerprint", dim: int = C.FP_DIM, batch: int = 64) -> DataFrame:

@@ -13,12 +13,12 @@ from ..operators import similarity as S
 _TILE = ["id", "chr", "start_bp", "end_bp", "fingerprint"]
 
 
-def reference_set(fingerprints: DataFrame, cap: int = 500) -> DataFrame:
-    """Reference vectors labelled with the canonical cell name, the first ``cap`` tiles of every sample."""
-    return S.cap_per_sample(fingerprints, cap).withColumn("cell_type", N.cell_name(F.col("sample_id")))
+def reference_set(fingerprints: DataFrame) -> DataFrame:
+    """Reference vectors labelled with the canonical cell name."""
+    return fingerprints.withColumn("cell_type", N.cell_name(F.col("sample_id")))
 
 
-def divergent_from_top(queries: DataFrame, refs: DataFrame, n: int = 10) -> DataFrame:
+def divergent_from_top(queries: DataFrame, refs: DataFrame, n: int | None = None) -> DataFrame:
     """Loci where each query sample is least like its best matching cell type."""
     scores = S.cell_type_scores(queries, refs)
     return _divergent(scores, rollups.cell_type_similarity(scores), n)
@@ -29,11 +29,18 @@ def _divergent(scores, ranking, n):
     return rollups.divergent_by_zscore(scores.join(top, ["sample_id", "cell_type"]), n)
 
 
-def query_report(queries: DataFrame, refs: DataFrame, n_types: int = 10, n_loci: int = 10) -> DataFrame:
-    """One row per query sample: ranked cell types, divergent loci, tile count."""
+def query_report(queries: DataFrame, refs: DataFrame, n_types: int | None = None, n_loci: int | None = None) -> DataFrame:
+    """One row per query sample: ranked cell types, loci from the most divergent on, tile count.
+
+    All of them, unless the caller asks for the first few.
+    """
     scores = S.cell_type_scores(queries, refs)
     ranking = rollups.cell_type_similarity(scores)
-    types = (ranking.where(F.col("rank") <= n_types)
+    if n_types is not None:
+        ranking_shown = ranking.where(F.col("rank") <= n_types)
+    else:
+        ranking_shown = ranking
+    types = (ranking_shown
              .select("sample_id", "n_tiles", F.struct(
                  "rank", "cell_type", "similarity", L.confidence_badge(F.col("similarity")).alias("confidence"),
                  L.bar(F.col("similarity"), 16).alias("visual"), "loci_won").alias("m"))
@@ -75,8 +82,8 @@ def compare_by_chromosome(a: DataFrame, b: DataFrame) -> DataFrame:
             .withColumn("visual", L.bar(F.col("mean_similarity"), 12)))
 
 
-def compare_divergent(a: DataFrame, b: DataFrame, n: int = 10) -> DataFrame:
-    """Tiles of A least like any tile of B."""
+def compare_divergent(a: DataFrame, b: DataFrame, n: int | None = None) -> DataFrame:
+    """Tiles of A with the z-score of their best match in B; the n least alike if asked."""
     return rollups.divergent_by_zscore(_best_of_b(a, b).drop("rank"), n, by=None)
 
 
@@ -98,14 +105,6 @@ def score_predictions(ranking: DataFrame, truth: DataFrame, threshold: float = 0
         .withColumn("passed", F.col("accuracy") > threshold))
 
 
-def testable_cells(cells: DataFrame, annotated: DataFrame, n: int) -> DataFrame:
-    """First n cells in name order that have an annotation file; all cells if none has."""
-    found = annotated.where("annotation_path IS NOT NULL").select("cell")
-    any_found = found.limit(1).agg(F.count(F.lit(1)).alias("n")).scalar() > 0
-    keep = cells.select("cell").join(found.withColumn("_has", F.lit(True)), "cell", "left")
-    return (keep.where(F.col("_has") | ~any_found).select("cell").distinct().orderBy("cell").limit(n))
-
-
 def catalogue(sample_files: DataFrame, annotation_files: DataFrame, extension: str = ".mcool") -> DataFrame:
     """Cells with file count, total size in GB and whether an annotation exists."""
     cells = (sample_files.withColumn("cell", N.cell_name(N.file_stem(F.col("path"), extension)))

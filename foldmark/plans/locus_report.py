@@ -41,7 +41,7 @@ def _levels(windows, voted):
     return vote, chroms
 
 
-def four_level_report(queries: DataFrame, refs: DataFrame, k: int = C.TOP_K, n_divergent: int = 20) -> DataFrame:
+def four_level_report(queries: DataFrame, refs: DataFrame, k: int = C.TOP_K, n_divergent: int | None = None) -> DataFrame:
     """One nested row per query sample: vote, chromosome summary, divergent loci.
 
     Level 1 counts windows with a match; level 2 counts all windows, those

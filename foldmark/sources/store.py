@@ -13,20 +13,13 @@ TABLES = {
 PARTITIONS = {"window_fingerprints": ["chr"]}
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """The cluster's shared checkpoint folder; ``fallback`` only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    folder = named or fallback
-    if folder and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 class Store:
     """Named parquet tables under one root.
 
-    Fingerprints are partitioned by chromosome and sorted by start inside the
-    files, so a locus lookup reads one partition and few row groups.
+    A table is a folder of versions; the current one is the highest that carries the
+    ``_SUCCESS`` file Spark writes last, so a version that was cut short is never read and the
+    one before it stays in force. Fingerprints are partitioned by chromosome and sorted by start inside
+    the files, so a locus lookup reads one partition and few row groups.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -35,16 +28,30 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def _fs(self, path):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
     def _exists(self, path) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        fs, p = self._fs(path)
+        return fs.exists(p)
+
+    def versions(self, name: str) -> list[int]:
+        """Numbers of the complete versions of a table."""
+        fs, p = self._fs(self.path(name))
+        found = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(x[1:]) for x in found if x[0] == "v" and x[1:].isdigit()
+                      and self._exists(f"{self.path(name)}/{x}/_SUCCESS"))
+
+    def _folder(self, name, number) -> str:
+        return f"{self.path(name)}/v{number}"
 
     def read(self, name: str) -> DataFrame:
-        """The table, empty with its schema when it was never written."""
-        if not self._exists(self.path(name)):
+        """The current version, empty with its schema when the table was never written."""
+        done = self.versions(name)
+        if not done:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(self.path(name))
+        return self.spark.read.schema(TABLES[name]).parquet(self._folder(name, done[-1]))
 
     def _writer(self, df, name, mode):
         parts = PARTITIONS.get(name, [])
@@ -55,23 +62,26 @@ class Store:
         return w.partitionBy(*parts) if parts else w
 
     def append(self, name: str, df: DataFrame):
-        self._writer(df, name, "append").parquet(self.path(name))
+        done = self.versions(name)
+        if done:
+            self._writer(df, name, "append").parquet(self._folder(name, done[-1]))
+        else:
+            self.replace(name, df)
 
     def replace(self, name: str, df: DataFrame):
-        """Write a new version beside the old one, then swap the folders.
+        """Write the next version; it counts once it is complete, and only then the older ones go.
 
-        The new rows may be computed from the old ones, so the old files stay
-        until the new ones are complete and in place.
+        The new rows may be computed from the version before.
         """
-        now, new, old = (self.path(name) + s for s in ("", ".new", ".old"))
-        self._writer(df, name, "overwrite").parquet(new)
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        fs = at(now).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(at(old), True)
-        if fs.exists(at(now)):
-            fs.rename(at(now), at(old))
-        fs.rename(at(new), at(now))
-        fs.delete(at(old), True)
+        done = self.versions(name)
+        number = (done[-1] if done else 0) + 1
+        self._writer(df, name, "overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(
+            self._folder(name, number))
+        if self.versions(name)[-1] != number:
+            raise OSError(f"version {number} of {name} is not complete")
+        for old in done:
+            fs, p = self._fs(self._folder(name, old))
+            fs.delete(p, True)
 
     def register_samples(self, registry: DataFrame):
         """Insert registry rows that are not there yet; the cell type is the sample id."""
@@ -84,7 +94,9 @@ class Store:
         """Append fingerprints, skipping (sample, chr, start) keys already stored; ids run on."""
         old = self.read("window_fingerprints")
         key = ["sample_id", "chr", "start_bp"]
-        fresh = tables.new_rows(old, fingerprints, key)
+        # only the stored rows of the batch's samples and chromosomes can meet it
+        near = old.join(fingerprints.select("sample_id", "chr").distinct(), ["sample_id", "chr"], "left_semi")
+        fresh = tables.new_rows(near, fingerprints, key)
         for c in ("boundary", "compartment", "ccre_annot"):
             if c not in fresh.columns:
                 fresh = fresh.withColumn(c, F.lit(None).cast("array<float>"))
@@ -117,7 +129,7 @@ class Store:
 
 def write_tiles(tiles: DataFrame, path: str, mode: str = "append"):
     """Tiles by sample and chromosome; a reader of one sample prunes to its folder."""
-    tiles.repartition("sample_id", "chr", "start_bin").write.mode(mode).partitionBy("sample_id", "chr").parquet(path)
+    tiles.repartition("sample_id", "chr").write.mode(mode).partitionBy("sample_id", "chr").parquet(path)
 
 
 def read_tiles(spark: SparkSession, path: str) -> DataFrame:

@@ -24,7 +24,7 @@ def test_split_sizes_and_single_rows(spark):
 
 def test_global_split_of_few_rows(spark):
     got = T.global_split(spark.range(3), "id").groupBy("split").count().collect()
-    assert {r["split"]: r["count"] for r in got} == {"train": 3, "val": 3}
+    assert {r["split"]: r["count"] for r in got} == {"train": 2, "val": 1}
     got = T.global_split(spark.range(25), "id").groupBy("split").count().collect()
     assert {r["split"]: r["count"] for r in got} == {"train": 23, "val": 2}
 
@@ -209,9 +209,35 @@ def test_code_stream_equals_batches(spark, tmp_path):
         assert np.allclose(got[r["code"]], r["vec"])
 
 
-def test_checkpoint_folder_comes_from_the_session(spark, tmp_path):
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    assert store.checkpoint_dir(spark, str(tmp_path)) == (named or str(tmp_path))
+def test_both_ways_of_coding_agree(spark):
+    book = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "code int, vec array<float>")
+    tok = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (None, [0.0, 1.0]), (2, None)],
+                                "id long, token array<float>")
+    for most in (16, 1):
+        got = K.assign_codes(tok, book, ["id"], max_sent=most).collect()
+        assert sorted((str(r["id"]), str(r["token"]), r["code"], r["sq_dist"]) for r in got) == [
+            ("1", "[0.0, 1.0]", 1, 0.0), ("1", "[1.0, 0.0]", 0, 0.0), ("2", "None", None, None), ("None", "[0.0, 1.0]", 1, 0.0)]
+
+
+def test_unfinished_version_is_not_read(spark, tmp_path):
+    import os
+    import shutil
+    st = store.Store(spark, str(tmp_path / "s"))
+    rows = spark.createDataFrame([("A", [1.0])], "sample_id string, code_histogram array<float>")
+    st.upsert_histograms(rows)
+    full = str(tmp_path / "s" / "sample_histograms")
+    assert st.versions("sample_histograms") == [1]
+    shutil.copytree(f"{full}/v1", f"{full}/v2")
+    os.remove(f"{full}/v2/_SUCCESS")  # a write that broke off
+    assert st.versions("sample_histograms") == [1] and st.read("sample_histograms").count() == 1
+    st.upsert_histograms(rows.withColumn("sample_id", F.lit("B")))
+    assert st.versions("sample_histograms") == [2] and st.read("sample_histograms").count() == 2
+
+
+def test_upsert_takes_the_latest_of_several(spark):
+    old = spark.createDataFrame([(1, 0, "a"), (2, 0, "b")], "k int, t int, x string")
+    new = spark.createDataFrame([(2, 5, "late"), (2, 3, "early"), (3, 1, "c")], "k int, t int, x string")
+    assert sorted(map(tuple, T.upsert(old, new, "k", "t").collect())) == [(1, 0, "a"), (2, 5, "late"), (3, 1, "c")]
 
 
 def test_preprocess_skips_what_is_done(spark, tmp_path):
@@ -225,6 +251,11 @@ def test_preprocess_skips_what_is_done(spark, tmp_path):
     build.preprocess(other(pixels), other(bins), bands, chroms, path, size=SIZE, step=STEP)
     got = {r["sample_id"]: r["count"] for r in store.read_tiles(spark, path).groupBy("sample_id").count().collect()}
     assert got == {"S": n, "S_rep2": n} and N_BINS == 40
+    more = lambda df: df.withColumn("sample_id", F.lit("A"))
+    build.preprocess(other(pixels).unionByName(more(pixels)), other(bins).unionByName(more(bins)), bands, chroms, path,
+                     size=SIZE, step=STEP)
+    labels = {tuple(r) for r in store.read_tiles(spark, path).select("cell_line_name", "cell_line_idx").distinct().collect()}
+    assert labels == {("S", 0), ("A", 1)}
 
 
 def test_hash_sample_and_numbering(spark):
