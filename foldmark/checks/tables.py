@@ -284,7 +284,10 @@ def stratified_split_counts(fx):
             .agg(F.count_if(F.col("split") == "val").alias("n_val"), F.count_if(F.col("split") == "train").alias("n_train")))
 
 
-@register("stratified_split")
+@register("stratified_split", """
+SELECT id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5(concat('42:', id)), id)
+    <= greatest(1, CAST(floor(count(*) OVER (PARTITION BY label)*0.1) AS BIGINT)) THEN 'val' ELSE 'train' END AS split
+FROM (SELECT vec_id AS id, label FROM embeddings)""")
 def stratified_split(fx):
     return T.stratified_split(fx.fingerprints.select("id", "label"), "label", "id").select("id", "label", "split")
 

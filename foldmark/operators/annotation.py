@@ -1,12 +1,16 @@
 """Regulatory-element and gene annotation of genome windows."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from .. import constants as C
 from ..functions import genes as G
 from ..functions import names as N
+from . import blocks
 from . import intervals as I
 
 WINDOW = ["sample_id", "chrom", "win_start", "win_end"]
@@ -138,13 +142,25 @@ def compare_profiles(ccre: DataFrame, sample_a: str, sample_b: str) -> DataFrame
 
 def pair_differences(ccre: DataFrame) -> DataFrame:
     """Every unordered pair of samples: summed absolute difference and its share of the larger total."""
-    n = profile_counts(ccre)
-    a = n.select("category", F.col("sample_id").alias("sample_a"), F.col("n").alias("n_a"))
-    b = n.select("category", F.col("sample_id").alias("sample_b"), F.col("n").alias("n_b"))
-    return (a.join(b, "category").where(F.col("sample_a") < F.col("sample_b"))
-            .groupBy("sample_a", "sample_b").agg(
-                F.sum("n_a").alias("total_a"), F.sum("n_b").alias("total_b"),
-                F.sum(F.abs(F.col("n_a") - F.col("n_b"))).alias("total_diff"))
+    listed = ccre.where(F.col("chrom").isin(C.CHROMOSOMES))
+    side = listed.groupBy("sample_id").agg(F.array(*[
+        F.count_if(F.col("category") == c).cast("double") for c in C.CCRE_CATEGORIES]).alias("counts"))
+    schema = StructType([StructField("sample_a", StringType()), StructField("sample_b", StringType())]
+                        + [StructField(c, LongType()) for c in ("total_a", "total_b", "total_diff")])
+
+    def kernel(qt, rt):
+        a, b = blocks.column_values(qt, "sample_id"), blocks.column_values(rt, "sample_id")
+        x, y = blocks.matrix_of(qt, "counts"), blocks.matrix_of(rt, "counts")
+        out = []
+        for lo, hi in blocks.row_chunks(len(x), len(y) * x.shape[1]):
+            i, j = np.nonzero(a[lo:hi, None] < b[None, :])
+            i = i + lo
+            out.append((a[i], b[j], x[i].sum(axis=1), y[j].sum(axis=1), np.abs(x[i] - y[j]).sum(axis=1)))
+        cols = [np.concatenate(c) for c in zip(*out)]
+        return pa.table([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string())]
+                        + [pa.array(c.astype(np.int64)) for c in cols[2:]], names=schema.names)
+
+    return (blocks.block_pairs(side, side, kernel, schema, q_block="sample_id", r_block="sample_id")
             .withColumn("pct_diff", F.col("total_diff") / F.greatest("total_a", "total_b", F.lit(1))))
 
 
@@ -154,17 +170,25 @@ def with_roles(genes: DataFrame) -> DataFrame:
     return genes.withColumn("cancer_role", G.cancer_role(F.col("gene_name")))
 
 
+_LOCUS = ["chrom", "win_start", "win_end"]
+
+
+def _loci(windows):
+    """Windows of all samples lie at the same loci: each locus meets the genes once."""
+    return windows.select(*_LOCUS).distinct()
+
+
 def genes_in_windows(windows: DataFrame, genes: DataFrame, bucket: int = I.BUCKET) -> DataFrame:
     """One row per (window, gene whose body overlaps it)."""
-    return I.overlap_join(windows, genes, ["chrom"], bucket=bucket, salt=1)
+    return windows.join(I.overlap_join(_loci(windows), genes, ["chrom"], bucket=bucket), _LOCUS)
 
 
 def genes_near(windows: DataFrame, genes: DataFrame, max_dist: int = 2_000_000) -> DataFrame:
     """Genes within ``max_dist`` of the window midpoint, with signed distance, label and rank."""
     mid = F.floor((F.col("win_start") + F.col("win_end")) / 2).cast("long")
-    w = (windows.withColumn("_mid", mid)
+    w = (_loci(windows).withColumn("_mid", mid)
          .withColumn("_lo", F.col("_mid") - max_dist - 1).withColumn("_hi", F.col("_mid") + max_dist + 1))
-    near = I.overlap_join(w, genes, ["chrom"], bucket=2 * max_dist, salt=1, win=("_lo", "_hi"))
+    near = I.overlap_join(w, genes, ["chrom"], bucket=2 * max_dist, win=("_lo", "_hi"))
     s, e = F.col("start_bp"), F.col("end_bp")
     ws, we = F.col("win_start"), F.col("win_end")
     d = G.distance_to(s, e, F.col("_mid"))
@@ -173,8 +197,8 @@ def genes_near(windows: DataFrame, genes: DataFrame, max_dist: int = 2_000_000)
                   & (e > F.greatest(F.lit(0), ws - max_dist)))
            .withColumn("distance_label", G.distance_label(F.col("distance_bp")))
            .withColumn("in_window", G.in_window(s, e, ws, we)).drop("_mid", "_lo", "_hi"))
-    order = Window.partitionBy(*windows.columns).orderBy(F.abs("distance_bp"), "start_bp", "gene_id")
-    return out.withColumn("rank", F.row_number().over(order))
+    order = Window.partitionBy(*_LOCUS).orderBy(F.abs("distance_bp"), "start_bp", "gene_id")
+    return windows.join(out.withColumn("rank", F.row_number().over(order)), _LOCUS)
 
 
 def _candidates(genes: DataFrame, max_dist: int, width: int) -> DataFrame:

@@ -55,35 +55,41 @@ def best_group(matches: DataFrame, by, sample: str = "match_sample") -> DataFram
 def replicate_consistency(fingerprints: DataFrame, rows: int = blocks.ROWS_PER_BLOCK) -> DataFrame:
     """Mean and spread over replicate pairs of their mean cosine at shared loci.
 
-    Samples, not rows, are hashed to blocks, so a block pair sums its sample
-    pairs over the loci of one chromosome and writes one row per sample pair.
+    Samples, not rows, are hashed to blocks, so a block pair holds all loci of its sample
+    pairs (bounded by the genome) and writes the number, sum and sum of squares of their similarities.
     """
-    side = with_group(fingerprints).select("grp", "chr", "start_bp", "sample_id", "fingerprint")
-    schema = StructType([StructField("grp", StringType()), StructField("a", StringType()),
-                         StructField("b", StringType()), StructField("total", DoubleType()),
-                         StructField("n", LongType())])
+    locus = F.concat_ws(":", "chr", F.col("start_bp").cast("string")).alias("locus")
+    side = with_group(fingerprints).select("grp", locus, "sample_id", "fingerprint")
+    schema = StructType([StructField("grp", StringType()), StructField("n", LongType()),
+                         StructField("total", DoubleType()), StructField("squares", DoubleType())])
 
     def kernel(qt, rt):
         def index(t):
             names, at = np.unique(blocks.column_values(t, "sample_id"), return_inverse=True)
-            return names, at, blocks.column_values(t, "start_bp"), blocks.matrix_of(t, "fingerprint", C.EPS)
-        an, ai, ap, av = index(qt)
-        bn, bi, bp, bv = index(rt)
+            return names, at, blocks.matrix_of(t, "fingerprint", C.EPS)
+        an, ai, av = index(qt)
+        bn, bi, bv = index(rt)
+        loci, place = np.unique(np.concatenate([blocks.column_values(qt, "locus"), blocks.column_values(rt, "locus")]),
+                                return_inverse=True)
+        a_rows, b_rows = (np.argsort(x, kind="stable") for x in (place[:len(ai)], place[len(ai):]))
+        a_cut, b_cut = (np.searchsorted(np.sort(x), np.arange(len(loci) + 1)) for x in (place[:len(ai)], place[len(ai):]))
         total, n = np.zeros((len(an), len(bn))), np.zeros((len(an), len(bn)), dtype=np.int64)
-        for pos in np.intersect1d(ap, bp):
-            x, y = ap == pos, bp == pos
-            cells = np.ix_(ai[x], bi[y])
-            total[cells] += av[x] @ bv[y].T
-            n[cells] += 1
-        i, j = np.nonzero((n > 0) & (an[:, None] < bn[None, :]))
-        grp = [qt.column("grp")[0].as_py()] * len(i)
-        return pa.table({"grp": pa.array(grp, pa.string()), "a": pa.array(an[i], pa.string()),
-                         "b": pa.array(bn[j], pa.string()), "total": total[i, j], "n": n[i, j]})
-
-    parts = blocks.block_pairs(side, side, kernel, schema, keys=["grp", "chr"], q_block="sample_id",
-                               r_block="sample_id", rows=rows)
-    pair = parts.groupBy("grp", "a", "b").agg((F.sum("total") / F.sum("n")).alias("sim"))
-    stats = pair.groupBy("grp").agg(F.avg("sim").alias("mean"), F.stddev_pop("sim").alias("std"))
+        for k in range(len(loci)):
+            x, y = a_rows[a_cut[k]:a_cut[k + 1]], b_rows[b_cut[k]:b_cut[k + 1]]
+            if len(x) and len(y):
+                cells = np.ix_(ai[x], bi[y])
+                total[cells] += av[x] @ bv[y].T
+                n[cells] += 1
+        pair = (n > 0) & (an[:, None] < bn[None, :])
+        sim = total[pair] / n[pair]
+        return pa.table({"grp": [qt.column("grp")[0].as_py()], "n": [len(sim)], "total": [float(sim.sum())],
+                         "squares": [float((sim * sim).sum())]})
+
+    parts = blocks.block_pairs(blocks.with_vector(side, "fingerprint"), blocks.with_vector(side, "fingerprint"), kernel, schema,
+                               keys=["grp"], q_block="sample_id", r_block="sample_id", rows=rows)
+    mean = F.sum("total") / F.sum("n")
+    stats = (parts.where("n > 0").groupBy("grp").agg(mean.alias("mean"), (F.sum("squares") / F.sum("n")).alias("_m2"))
+             .withColumn("std", F.sqrt(F.greatest(F.lit(0.0), F.col("_m2") - F.col("mean") * F.col("mean")))))
     size = side.groupBy("grp").agg(F.count_distinct("sample_id").alias("n_replicates"))
     alone = F.col("mean").isNull()
     return size.join(stats, "grp", "left").select(

@@ -145,13 +145,12 @@ def label_map(names: DataFrame, column: str) -> DataFrame:
 def stratified_split(rows: DataFrame, stratum: str, key: str, fraction: float = 0.1, seed: int = C.SEED) -> DataFrame:
     """Column ``split``: per stratum max(1, floor(n*fraction)) rows to val, rest to train.
 
-    Rows are taken in hash order. The cut is found without collecting a
-    stratum: rows are counted per (stratum, hash bucket), the bucket holding
-    the cut is found on those counts, and only that bucket is ranked.
+    Rows are taken in the order of the md5 of seed and key. The cut is found without collecting a
+    stratum: rows are counted per (stratum, leading digits), the digits at which the cut lies are
+    found on those counts, and only rows with these digits are ranked.
     """
-    n_buckets = 4096
-    h = F.xxhash64(F.lit(seed), F.col(key))
-    rows = rows.withColumn("_h", h).withColumn("_b", F.pmod(F.shiftrightunsigned("_h", 17), F.lit(n_buckets)).cast("int"))
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    rows = rows.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 3))
     counts = rows.groupBy(stratum, "_b").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(stratum).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(stratum)
@@ -159,10 +158,12 @@ def stratified_split(rows: DataFrame, stratum: str, key: str, fraction: float =
             .withColumn("_take", F.greatest(F.lit(1), F.floor(F.sum("_c").over(whole) * F.lit(fraction))))
             .withColumn("_left", F.greatest(F.lit(0), F.least(F.col("_c"), F.col("_take") - F.col("_before"))))
             .select(stratum, "_b", "_c", "_left"))
+    met = rows.join(plan, [stratum, "_b"])
+    cut = (F.col("_left") > 0) & (F.col("_left") < F.col("_c"))
     inside = Window.partitionBy(stratum, "_b").orderBy("_h", key)
-    return (rows.join(plan, [stratum, "_b"])
-            .withColumn("split", F.when(F.row_number().over(inside) <= F.col("_left"), "val").otherwise("train"))
-            .drop("_h", "_b", "_c", "_left"))
+    ranked = met.where(cut).withColumn("_val", F.row_number().over(inside) <= F.col("_left"))
+    return (ranked.unionByName(met.where(~cut).withColumn("_val", F.col("_left") > 0))
+            .withColumn("split", F.when(F.col("_val"), "val").otherwise("train")).drop("_h", "_b", "_c", "_left", "_val"))
 
 
 def global_split(rows: DataFrame, key: str, fraction: float = 0.1, seed: int = C.SEED) -> DataFrame:
