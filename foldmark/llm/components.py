@@ -25,21 +25,22 @@ def _small_star(links):
             .unionByName(low.select("u", F.col("low").alias("v"))).where("u <> v").distinct())
 
 
+def _is_star(links):
+    """Whether every node has one link down to a root, and no root has one."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+        links.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.sum("up").alias("up")).where(
+        "down > 1 OR (down = 1 AND up > 0)").isEmpty()
+
+
 def components(links):
-    """(node, root) for every node of ``links`` (u, v); root is the lowest node it reaches.
+    """(node, root) for every node of ``links`` (u, v) but the roots; root is the lowest node it reaches.
 
-    A round's links are written to the shared folder; it ends when a round changes
-    none of them (after about log2 of the longest chain rounds), which is told from
-    the count and the sum of the links' hashes.
+    A round's links are written to the shared folder; rounds end when the links are stars around
+    their lowest nodes, after about log2 of the longest chain.
     """
-    links = stored(links.where("u <> v").select("u", "v").distinct(), "links")
-    state = None
-    while True:
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-        if now[0]:
-            links = stored(_small_star(_large_star(links)), "links")
-    star = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return star.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    links = stored(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
+                   "links")
+    while not _is_star(links):
+        links = stored(_small_star(_large_star(links)), "links")
+    return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
