@@ -35,7 +35,8 @@ from .components import components
 
 WORDS, PERMUTATIONS, BANDS = 5, 128, 32
 AGREEMENT = 0.52
-MEMBERS = 128
+MEMBERS = 128  # beside a leader
+MEETING = 512  # of a block of a bucket that is searched for further links
 _RUN = 1 << 14
 
 
@@ -209,7 +210,7 @@ def _rest_links(bands, star, sets):
                      .where("n > 2 AND low <> high"))
     # a bucket met in several bands with the same members is met once
     mixed_buckets = mixed_buckets.groupBy("key", "n").agg(F.min("bucket").alias("bucket"))
-    blocks = F.ceil(F.col("n") / MEMBERS).cast("int")
+    blocks = F.ceil(F.col("n") / MEETING).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
     rows = (rooted.join(mixed_buckets.select("bucket", blocks.alias("blocks")), "bucket")
             .withColumn("own", own)
@@ -240,8 +241,14 @@ def near_groups(docs):
             .mapInArrow(_sets, "node long, items binary").where("length(items) > 0"))
     sets = stored(sets.join(candidates, "node", "left_semi").dropDuplicates(["node"]), "near-sets")
     links = stored(_leader_links(bands, signs, sets), "near-links")
-    more = stored(_rest_links(bands, components(links), sets), "near-links")
-    star = components(links.unionByName(more).unionByName(copies))
+    star = components(links)
+    more = stored(_rest_links(bands, star, sets), "near-links")
+    if not more.isEmpty():
+        star = components(star.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+    # a copy belongs where its representative does
+    star = star.unionByName(copies.join(star, copies["v"] == star["node"], "left").select(
+        F.col("u").alias("node"), F.coalesce("root", "v").alias("root")))
+    star = star.groupBy("node").agg(F.min("root").alias("root"))
     met = signed.join(star, signed["doc_id"] == star["node"], "left")
     root = F.coalesce("root", "doc_id")
     return met.select("doc_id", "n_shingles", root.alias("component_id"),
