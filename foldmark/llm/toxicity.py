@@ -28,7 +28,8 @@ from .common import fold, raw_texts, stored
 HALF = 1 << 16
 WIDTH, FILTERS, SPANS = 8, 16, (1, 2, 3)
 POSITIVES, NEGATIVES, SAMPLE_WORDS = 3000, 4000, 8_000_000
-EPOCHS, STEPS, BATCH, RATE = 6, 800, 32, 0.1  # at least so many epochs and steps
+EPOCHS, STEPS, BATCH, RATE = 6, 800, 32, 0.1  # at least so many epochs, and steps as far as TRAIN_WORDS go
+TRAIN_WORDS = 12_000_000
 PIECE = 1 << 15
 STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -134,7 +135,8 @@ class Net:
         squares = [np.full((HALF, 1), 1e-3, np.float32) for _ in range(2)]
         others = [*self.filters, self.bias, self.out]
         sums = [np.full_like(p, 1e-3) for p in others]
-        for _ in range(epochs or max(EPOCHS, STEPS * BATCH // len(texts))):
+        most = TRAIN_WORDS // max(1, sum(map(len, texts)))
+        for _ in range(epochs or max(EPOCHS, min(STEPS * BATCH // len(texts), most))):
             order = rng.permutation(len(texts))
             for a in range(0, len(order), BATCH):
                 pick = order[a:a + BATCH]
