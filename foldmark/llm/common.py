@@ -57,7 +57,7 @@ def raw_texts(column):
 class Hashes(dict):
     """64-bit hash of a word, worked out once per task; emptied when it holds ``most`` words."""
 
-    most = 1_000_000
+    most = 250_000
 
     def __missing__(self, word):
         if len(self) >= self.most:

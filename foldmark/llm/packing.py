@@ -43,7 +43,7 @@ class Encoder(dict):
     the reference tokenizer itself.
     """
 
-    most = 400_000
+    most = 200_000
 
     def __init__(self, path=None):
         import public_tokenizers

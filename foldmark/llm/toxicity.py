@@ -35,7 +35,7 @@ STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordHashes(dict):
-    most = 1_000_000
+    most = 250_000
 
     def __missing__(self, word):
         if len(self) >= self.most:
