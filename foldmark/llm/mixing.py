@@ -27,6 +27,7 @@ from .common import WORD, stored
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 SYMBOLS = "#*$%&|<>"
 _STEP = 4096
+SENT_SOURCES = 100_000  # tables of one row per source go to the tasks whole up to so many sources, and are joined by shuffle beyond
 
 
 def targets(sizes, weights, share=SHARE, most=MOST):
@@ -81,16 +82,17 @@ def mix(docs, weights=WEIGHTS, share=SHARE, most=MOST):
         "source_size": pa.array(sizes, pa.int64()), "target": pa.array(goal, pa.float64()),
         "epochs": pa.array(whole, pa.int64()),
         "rest": pa.array([g - e * n for g, e, n in zip(goal, whole, sizes, strict=True)], pa.float64())}))
+    sent = F.broadcast if len(order) <= SENT_SOURCES else lambda df: df
     place = F.col("key") / (F.col("key") + 1) * _STEP
     named = (rows.withColumn("name", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
-             .join(plan, "name").withColumn("high", F.floor(place))
+             .join(sent(plan), "name").withColumn("high", F.floor(place))
              .withColumn("low", F.floor((place - F.floor(place)) * _STEP)))
     first = _boundary(named, "high", "rest")
-    inside = (named.join(first, "name").where("high = high_cut")
+    inside = (named.join(sent(first), "name").where("high = high_cut")
               .withColumn("room", F.col("rest") - F.col("high_sum")))
     second = _boundary(inside, "low", "room")
     cuts = first.join(second, "name", "left")
-    cut = named.join(cuts, "name", "left")
+    cut = named.join(sent(cuts), "name", "left")
     at = (F.col("high") == F.col("high_cut")) & (F.col("low") == F.col("low_cut"))
     before = F.coalesce((F.col("high") < F.col("high_cut"))
                         | ((F.col("high") == F.col("high_cut")) & (F.col("low") < F.col("low_cut"))), F.lit(False))
