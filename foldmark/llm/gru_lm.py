@@ -39,11 +39,12 @@ HEAD, HEAD_CLASSES, TAIL = 512, 16, 48
 COMMON = 1 << 18  # words whose counts every task holds
 HIDDEN, WINDOW = 16, 20
 DISCOUNT = 0.75
-WARM_DOCS, WARM_TOKENS, WARM_ROUNDS, WARM_LANES, LANES = 1500, 600_000, 3, 96, 768
+WARM_DOCS, WARM_TOKENS, WARM_ROUNDS, WARM_LANES, LANES = 1500, 600_000, 3, 96, 1536
+WARM_STEPS = 300  # updates of the warm start, however small the sample, unless held-back documents get less likely
 RATE = 0.006
 END = b""  # no word is empty
 PIECE, BLOCK, TOGETHER = 4_000_000, 16_384, 64  # tokens trained at once, values a row, replicas added at once
-_FLUSH = 400_000
+_FLUSH = 250_000
 
 
 def tail_class(word):
@@ -54,7 +55,7 @@ def tail_class(word):
 class Words(dict):
     """Number of a word: its place among the common words, or after them its tail class."""
 
-    most = 500_000
+    most = 250_000
 
     def __init__(self, table):
         super().__init__()
@@ -96,9 +97,17 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
 
-def _log_softmax(x):
+def _softmax(x):
+    x = np.exp(x - x.max(axis=1, keepdims=True))
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
+def _log_at(x, place):
+    """Logarithm of one softmax cell of each row."""
+    rows = np.arange(len(place))
     x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    return x[rows, place] - np.log(np.exp(x).sum(axis=1))
 
 
 class Net:
@@ -152,9 +161,7 @@ class Net:
     def log_p(self, states, codes):
         """Natural log of P(class) and, for head tokens, of P(token | class)."""
         cls = self.class_of(codes)
-        scores = states @ self.p["cls"] + self.p["cls_b"]
-        top = scores.max(axis=1)
-        out = scores[np.arange(len(codes)), cls] - top - np.log(np.exp(scores - top[:, None]).sum(axis=1))
+        out = _log_at(states @ self.p["cls"] + self.p["cls_b"], cls)
         size = HEAD // HEAD_CLASSES
         order = np.argsort(cls, kind="stable")
         cuts = np.searchsorted(cls[order], np.arange(HEAD_CLASSES + 1))
@@ -162,8 +169,7 @@ class Net:
             rows = order[cuts[c]:cuts[c + 1]]
             if len(rows):
                 words = slice(c * size, (c + 1) * size)
-                s = _log_softmax(states[rows] @ self.p["word"][words].T + self.p["word_b"][words])
-                out[rows] += s[np.arange(len(rows)), codes[rows] - c * size]
+                out[rows] += _log_at(states[rows] @ self.p["word"][words].T + self.p["word_b"][words], codes[rows] - c * size)
         return out
 
     def score(self, texts):
@@ -213,6 +219,19 @@ class Net:
         for at in range(0, n, WINDOW):
             h = self._window(h, prev[at:at + WINDOW], codes[at:at + WINDOW], fresh[at:at + WINDOW], rate)
 
+    def warm(self, texts):
+        """Passes over a sample until a tenth that is held back gets less likely, or steps and rounds are made."""
+        back, texts = texts[::10], [t for k, t in enumerate(texts) if k % 10] or texts
+        best, flat, rounds = -np.inf, self.flat.copy(), 0
+        while rounds < WARM_ROUNDS or self.t < WARM_STEPS:
+            self.train(texts, WARM_LANES)
+            rounds += 1
+            likely = self.score(back).sum()
+            if likely < best or not hasattr(self, "t"):
+                break
+            best, flat = likely, self.flat.copy()
+        self.flat[:] = flat
+
     def _window(self, h, prev, codes, fresh, rate):
         p, (steps, lanes) = self.p, codes.shape
         trail = []
@@ -227,7 +246,7 @@ class Net:
         cls = self.class_of(flat_codes)
         grad = {k: np.zeros(s, np.float32) for k, s in self.shapes.items()}
         scale = np.float32(1 / len(flat_codes))
-        d = np.exp(_log_softmax(states @ p["cls"] + p["cls_b"]))
+        d = _softmax(states @ p["cls"] + p["cls_b"])
         d[np.arange(len(cls)), cls] -= 1
         d *= scale
         grad["cls"], grad["cls_b"] = states.T @ d, d.sum(axis=0)
@@ -239,7 +258,7 @@ class Net:
             rows = order[cuts[c]:cuts[c + 1]]
             if len(rows):
                 words = slice(c * size, (c + 1) * size)
-                e = np.exp(_log_softmax(states[rows] @ p["word"][words].T + p["word_b"][words]))
+                e = _softmax(states[rows] @ p["word"][words].T + p["word_b"][words])
                 e[np.arange(len(rows)), flat_codes[rows] - c * size] -= 1
                 e *= scale
                 grad["word"][words], grad["word_b"][words] = e.T @ states[rows], e.sum(axis=0)
@@ -414,8 +433,7 @@ def score(docs, common=COMMON):
                 kept.append(table.code[numbers.numbers(text)[1]])
                 size += len(kept[-1])
         net.start(table, n)
-        for _ in range(WARM_ROUNDS):
-            net.train(kept, WARM_LANES)
+        net.warm(kept)
     shared, flat = spark.sparkContext.broadcast(table), spark.sparkContext.broadcast(net.flat)
     if n_docs:
         parts = stored(training.select("text").mapInArrow(
