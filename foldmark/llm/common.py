@@ -1,5 +1,7 @@
 """What the operators of this subpackage share: words, folds, tables in the shared folder, membership filters."""
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -78,6 +80,21 @@ def mixed(x):
     return x ^ (x >> np.uint64(33))
 
 
+def tidy(run):
+    """``run`` over the batches of a task; after it the worker gives its free memory back.
+
+    Python workers outlive their tasks, and what an allocator keeps in one is lost to the
+    executor's later stages.
+    """
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def lists(values, lengths, kind):
     """Arrow list column from one flat array."""
     ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)

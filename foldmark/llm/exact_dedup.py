@@ -24,7 +24,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from .common import IdFilter, lists, lowered, raw_texts, stored
+from .common import IdFilter, lists, lowered, raw_texts, stored, tidy
 
 ROWS_PER_SENDER = 250_000
 
@@ -145,12 +145,12 @@ def exact_groups(docs, owners=None):
     docs = docs.select("doc_id", "text")
     owners = owners or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max(0, (owners - 1).bit_length())
-    sent = stored(docs.mapInArrow(_send(bits), SENT), "exact-sent")
+    sent = stored(docs.mapInArrow(tidy(_send(bits)), SENT), "exact-sent")
     bitmaps = (sent.select("sender", "owner", "n", "codes").groupBy("owner")
                .applyInArrow(_answer(bits), "sender long, owner int, bitmap binary"))
     rows = stored(sent.select("sender", "owner", "place", "copies", "doc_id", "sha")
                   .join(bitmaps, ["sender", "owner"])
-                  .mapInArrow(_flag, "doc_id long, sha binary, suspect boolean, sender long, row long"), "exact-rows")
+                  .mapInArrow(tidy(_flag), "doc_id long, sha binary, suspect boolean, sender long, row long"), "exact-rows")
     suspects = rows.where("suspect")
     texts = IdFilter(suspects.select("doc_id")).rows(docs).select("doc_id", lowered(F.col("text")).alias("body"))
     groups = (texts.groupBy("body").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from .common import fold, lists, raw_texts, stored
+from .common import fold, lists, raw_texts, stored, tidy
 
 HEAD, HEAD_CLASSES, TAIL = 512, 16, 48
 COMMON = 1 << 18  # words whose counts every task holds
@@ -309,7 +309,7 @@ def word_counts(texts):
         if seen:
             yield out()
 
-    return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(tidy(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _replica(table, start):
@@ -437,10 +437,10 @@ def score(docs, common=COMMON):
     shared, flat = spark.sparkContext.broadcast(table), spark.sparkContext.broadcast(net.flat)
     if n_docs:
         parts = stored(training.select("text").mapInArrow(
-            _replica(shared, flat), "replica long, block int, tokens long, part binary"), "lm-replicas")
+            tidy(_replica(shared, flat)), "replica long, block int, tokens long, part binary"), "lm-replicas")
         last = parts.agg(F.max("replica")).first()[0]
         flat = spark.sparkContext.broadcast(_averaged(parts, (last or 0) + 1, net.flat))
-    rows = stored(docs.mapInArrow(_scored(shared, flat), SCORED), "lm-scored")
+    rows = stored(docs.mapInArrow(tidy(_scored(shared, flat)), SCORED), "lm-scored")
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
         "row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     level, unseen = (F.array(*[F.lit(float(x)) for x in v]) for v in (table.level, table.unseen))

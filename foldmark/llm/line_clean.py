@@ -22,6 +22,8 @@ import re
 import numpy as np
 import pyarrow as pa
 
+from .common import tidy
+
 NAV_SHARE, SYMBOL_SHARE, STUB_WORDS, MOST_LOST = 5, 0.34, 4, 40
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\v\f\r"
 BOILERPLATE = ("all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy",
@@ -106,7 +108,7 @@ def clean(docs, with_text=True):
     names = ["doc_id", *COUNTS] + ["cleaned"] * with_text
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", cleaned string" * with_text
     base = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
-    return (docs.select("doc_id", "text").mapInArrow(run, schema)
+    return (docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
             .selectExpr("*", f"({base}) AS base_failed",
                         f"NOT ({base}) AND 100 * lost_words <= {MOST_LOST} * n_words AS kept"))
 

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import Hashes, IdFilter, mixed, raw_texts, stored
+from .common import Hashes, IdFilter, mixed, raw_texts, stored, tidy
 from .components import components
 
 WORDS, PERMUTATIONS, BANDS = 5, 128, 32
@@ -224,7 +224,7 @@ def near_groups(docs):
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
     docs = docs.select("doc_id", "text")
     signed = stored(docs.mapInArrow(
-        _sign, "doc_id long, n_shingles long, set_key binary, sign binary, bands array<long>"), "near-signed")
+        tidy(_sign), "doc_id long, n_shingles long, set_key binary, sign binary, bands array<long>"), "near-signed")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = full.groupBy("set_key").agg(F.min("doc_id").alias("node"))
     copies = (full.select("doc_id", "set_key").join(same, "set_key").where("doc_id <> node")
@@ -238,7 +238,7 @@ def near_groups(docs):
     signs = full.select(F.col("doc_id").alias("node"), "sign").dropDuplicates(["node"])
     candidates = bands.select("node").distinct()
     sets = (IdFilter(candidates, "node").rows(docs.where("doc_id IS NOT NULL"))
-            .mapInArrow(_sets, "node long, items binary").where("length(items) > 0"))
+            .mapInArrow(tidy(_sets), "node long, items binary").where("length(items) > 0"))
     sets = stored(sets.join(candidates, "node", "left_semi").dropDuplicates(["node"]), "near-sets")
     links = stored(_leader_links(bands, signs, sets), "near-links")
     star = components(links)

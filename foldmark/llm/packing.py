@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import stored, tidy
 
 WINDOW, QUANTUM, END = 1024, 128, 0
 
@@ -163,7 +163,7 @@ def packed(docs, weights=None, path=None, window=WINDOW):
     where it is None) get shares by their number of ids.
     """
     name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("name")
-    queued = stored(docs.select("doc_id", name, "text").mapInArrow(_queue(path), QUEUED), "pack-ids")
+    queued = stored(docs.select("doc_id", name, "text").mapInArrow(tidy(_queue(path)), QUEUED), "pack-ids")
     parts = queued.groupBy("name", "chunk").agg(F.sum("n").alias("part"))
     w = Window.partitionBy("name").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = parts.select(F.col("name").alias("b_name"), F.col("chunk").alias("b_chunk"),
@@ -172,7 +172,7 @@ def packed(docs, weights=None, path=None, window=WINDOW):
     shares = [(weights or {}).get(n[1:] if n else None, t) for n, t in zip(found["name"], found["n"], strict=True)]
     placed = queued.join(bases, (F.col("name") == F.col("b_name")) & (F.col("chunk") == F.col("b_chunk")))
     pieces = placed.select("doc_id", "name", (F.col("base") + F.col("before")).alias("begin"), "n", "ids").mapInArrow(
-        _cut(found["name"], found["n"], shares, window),
+        tidy(_cut(found["name"], found["n"], shares, window)),
         "doc_id long, name string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return pieces.select("doc_id", F.when(F.col("name") != "", F.expr("substring(name, 2)")).alias("source"), "start", "length",
                          "ids_crc32", "doc_tokens", "sequence_id", "offset")

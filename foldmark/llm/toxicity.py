@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import fold, raw_texts, stored
+from .common import fold, raw_texts, stored, tidy
 
 HALF = 1 << 16
 WIDTH, FILTERS, SPANS = 8, 16, (1, 2, 3)
@@ -209,7 +209,7 @@ def _labelled(docs, labels, positives, negatives):
 
     rows = docs.select("doc_id", lang.alias("lang"), "text").join(F.broadcast(chosen), "doc_id")
     rows = rows.select("toxic", "mark", "lang", "text").mapInArrow(
-        words, "toxic int, mark long, lang string, ids binary")
+        tidy(words), "toxic int, mark long, lang string, ids binary")
     return stored(rows, "toxic-sample"), counts
 
 
@@ -254,12 +254,15 @@ def score(model, text):
 
     @F.arrow_udf(DoubleType())
     def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        hashes = WordHashes()
-        for batch in batches:
-            out = [np.zeros(0)]
-            for a in range(0, len(batch), 1024):
-                out.append(shared.value.scores([hashed(t, hashes) for t in raw_texts(batch.slice(a, 1024))]))
-            yield pa.array(np.concatenate(out))
+        def run(batches):
+            hashes = WordHashes()
+            for batch in batches:
+                out = [np.zeros(0)]
+                for a in range(0, len(batch), 256):
+                    out.append(shared.value.scores([hashed(t, hashes) for t in raw_texts(batch.slice(a, 256))]))
+                yield pa.array(np.concatenate(out))
+
+        yield from tidy(run)(batches)
 
     return scores(text)
 
