@@ -4,13 +4,17 @@ A word (A-Z lower-cased, ASCII punctuation stripped from its ends) has a 32-bit
 pick a row from each of two embedding tables, so two words look alike only when both
 halves collide. Filters of widths 1, 2 and 3 slide over the whole text, their maxima
 feed a logistic output. Training sees at most POSITIVES + NEGATIVES labelled
-documents (in hash order) and at most SAMPLE_WORDS words of them; a tenth is held back, and on it one
-threshold per language is calibrated. The language picks a threshold and never
-enters a score.
+documents (in hash order) and at most SAMPLE_WORDS words of them, none of them from the tenth of the
+labels that is held back. One threshold per language is calibrated on every labelled row of the training folds that the
+fit did not see: Spark scores them all and counts them by language, label and bin of the score, and each label
+weighs what it has among all labelled rows, so the cut means the same whatever share of a label was fitted on. The
+language picks a threshold and never enters a score.
 
 Rows: null text counts as empty; an empty text has the score of no evidence. A very
 long text is scored whole, in overlapping pieces. A row without doc_id, or whose language
-is null or rare in the sample, uses the threshold of all languages together. Rows with null labels are not
+is null or has fewer than RARE unseen rows of either label, uses the threshold of all languages together; for
+the others the counts of all languages are added, scaled to RARE rows of label 1. With no unseen rows of both labels
+all labelled rows are fitted on and calibrate, too. Rows with null labels are not
 trained on; with no labels of both classes every score is the share of label 1. Repeated
 rows are scored alike; extra columns are ignored.
 """
@@ -23,7 +27,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import fold, raw_texts, stored, tidy
+from .common import IdFilter, fold, raw_texts, stored, tidy
 
 HALF = 1 << 16
 WIDTH, FILTERS, SPANS = 8, 16, (1, 2, 3)
@@ -31,6 +35,8 @@ POSITIVES, NEGATIVES, SAMPLE_WORDS = 3000, 4000, 8_000_000
 EPOCHS, STEPS, BATCH, RATE = 6, 800, 32, 0.1  # at least so many epochs, and steps as far as TRAIN_WORDS go
 TRAIN_WORDS = 12_000_000
 PIECE = 1 << 15
+TENTH = 10  # one label in so many is never fitted on
+BINS, FAR, RARE = 4096, 16.0, 10  # bins of the log odds between -FAR and FAR
 STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -170,15 +176,38 @@ class Net:
         return self
 
 
-def best_threshold(scores, labels):
-    """Cut with the highest F1, in the middle between the scores around it."""
-    order = np.argsort(-scores, kind="stable")
-    s, y = scores[order], labels[order]
-    hits, taken = np.cumsum(y), np.arange(1, len(y) + 1)
-    f1 = 2 * hits / (taken + y.sum())
-    f1[:-1][s[:-1] == s[1:]] = 0  # a cut cannot part equal scores
-    k = int(np.argmax(f1))
-    return float((s[k] + (s[k + 1] if k + 1 < len(s) else 0)) / 2)
+def odds(p):
+    return np.log(min(max(p, 1e-3), 1 - 1e-3) / (1 - min(max(p, 1e-3), 1 - 1e-3)))
+
+
+def bins(scores):
+    """Bin of each score, by its log odds."""
+    s = np.clip(scores, 1e-12, 1 - 1e-12)
+    return np.clip((np.log(s / (1 - s)) + FAR) * (BINS / (2 * FAR)), 0, BINS - 1).astype(np.int64)
+
+
+def best_threshold(counts):
+    """Cut with the highest F1 of (label, bin) counts, in the middle of the empty bins around it."""
+    used = np.flatnonzero(counts.sum(axis=0))[::-1]
+    hits, taken = np.cumsum(counts[1, used]), np.cumsum(counts[:, used].sum(axis=0))
+    k = int(np.argmax(2 * hits / (taken + counts[1].sum())))
+    low = used[k + 1] + 1 if k + 1 < len(used) else 0
+    edge = (used[k] + low) / 2 * (2 * FAR / BINS) - FAR
+    return float(1 / (1 + np.exp(-edge)))
+
+
+def thresholds(counts, totals):
+    """Cut of all languages, and of each language with RARE rows of both labels.
+
+    ``counts`` has (label, bin) counts of unseen rows per language (None for no language), ``totals``
+    the number of all labelled rows of each label.
+    """
+    every = sum(counts.values())
+    weight = (np.array(totals) / np.maximum(every.sum(axis=1), 1))[:, None]
+    every = every * weight
+    more = every * (RARE / every[1].sum())
+    return best_threshold(every), {name: best_threshold(own * weight + more) for name, own in counts.items()
+                                   if name is not None and own.sum(axis=1).min() >= RARE}
 
 
 class Model:
@@ -189,15 +218,20 @@ class Model:
         self.overall, self.by_language = overall, by_language
 
 
-def _labelled(docs, labels, positives, negatives):
-    """Hashed words of the training documents, at most ``positives`` + ``negatives`` rows."""
+def _known(labels):
+    """Labels 0 and 1 of the training folds with the mark that puts them in order."""
     mark = F.xxhash64(F.col("doc_id"), F.lit("toxicity")).alias("mark")
-    known = (labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"), mark)
-             .where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(fold("doc_id", 4) != 2))
-    share = known.groupBy("toxic").count().toArrow().to_pydict()
-    counts = dict(zip(share["toxic"], share["count"], strict=True))
+    return (labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"), mark)
+            .where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(fold("doc_id", 4) != 2))
+
+
+def _lang(docs):
+    return (F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")).alias("lang")
+
+
+def _sample(docs, known, positives, negatives):
+    """Hashed words of documents with these labels, at most ``positives`` + ``negatives`` rows."""
     part = [known.where(f"toxic = {t}").orderBy("mark", "doc_id").limit(n) for t, n in ((1, positives), (0, negatives))]
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     chosen = part[0].unionByName(part[1])
 
     def words(batches):
@@ -207,45 +241,69 @@ def _labelled(docs, labels, positives, negatives):
                 [*batch.columns[:3], pa.array([hashed(t, hashes).tobytes() for t in raw_texts(batch.column(3))], pa.binary())],
                 ["toxic", "mark", "lang", "ids"])
 
-    rows = docs.select("doc_id", lang.alias("lang"), "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", _lang(docs), "text").join(F.broadcast(chosen), "doc_id")
     rows = rows.select("toxic", "mark", "lang", "text").mapInArrow(
         tidy(words), "toxic int, mark long, lang string, ids binary")
-    return stored(rows, "toxic-sample"), counts
+    return stored(rows, "toxic-sample")
+
+
+def _unseen_counts(docs, known, model, marks):
+    """(label, bin) counts per language of all labelled rows whose mark is not among ``marks``.
+
+    Texts are scored where they lie; only id, language and bin meet the labels.
+    """
+    seen = docs.sparkSession.createDataFrame(pa.table({"mark": pa.array(marks, pa.int64())}))
+    left = stored(known.join(F.broadcast(seen), "mark", "left_anti").select("doc_id", "toxic"), "toxic-unseen")
+    texts = IdFilter(left.select("doc_id").distinct()).rows(docs.select("doc_id", _lang(docs), "text"))
+    scored = texts.select("doc_id", "lang", score(model, F.col("text")).alias("score"))
+    odd = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), "score"))
+    place = F.floor((F.log(odd / (1 - odd)) + FAR) * (BINS / (2 * FAR)))
+    scored = scored.select("doc_id", "lang", F.greatest(F.lit(0), F.least(F.lit(BINS - 1), place)).alias("bin"))
+    got = (scored.join(left, "doc_id").groupBy("lang", "toxic", "bin").agg(F.count(F.lit(1)).alias("n")).toArrow().to_pydict())
+    return _counted(got["lang"], got["toxic"], got["bin"], got["n"])
+
+
+def _counted(langs, labels, places, n):
+    out = {}
+    for name, t, b, k in zip(langs, labels, places, n, strict=True):
+        out.setdefault(name, np.zeros((2, BINS)))[int(t), b] += k
+    return out
 
 
 def fitted(docs, labels, positives=POSITIVES, negatives=NEGATIVES, most_words=SAMPLE_WORDS):
     """Model from ``labels`` (doc_id, toxic) outside the held-out fold and the texts of ``docs``."""
-    rows, counts = _labelled(docs, labels, positives, negatives)
-    sizes = rows.select("mark", (F.length("ids") / 4).cast("long").alias("n")).orderBy("mark").toArrow().to_pydict()
-    room = np.searchsorted(np.cumsum(sizes["n"]), most_words, side="right")
-    if room < len(sizes["mark"]):
-        rows = rows.where(F.col("mark") < sizes["mark"][room])
-    got = rows.orderBy("mark", "toxic", "ids").toArrow().to_pydict()
+    known = _known(labels)
+    tenth = F.pmod("mark", F.lit(TENTH)) == 0
+    share = known.groupBy("toxic", tenth.alias("back")).count().toArrow().to_pydict()
+    counts, total = dict(zip(zip(share["toxic"], share["back"], strict=True), share["count"], strict=True)), sum(share["count"])
+    prior = sum(n for (t, _), n in counts.items() if t) / total if total else 0.0
+    got = None
+    for part in ([known.where(~tenth)] if len(counts) == 4 else []) + [known]:
+        rows = _sample(docs, part, positives, negatives)
+        sizes = rows.select("mark", (F.length("ids") / 4).cast("long").alias("n")).orderBy("mark").toArrow().to_pydict()
+        room = np.searchsorted(np.cumsum(sizes["n"]), most_words, side="right")
+        if room < len(sizes["mark"]):
+            rows = rows.where(F.col("mark") < sizes["mark"][room])
+        got = rows.orderBy("mark", "toxic", "ids").toArrow().to_pydict()
+        if len(set(got["toxic"])) == 2:
+            break
     texts = [np.frombuffer(x, np.uint32) for x in got["ids"]]
-    y, lang = np.array(got["toxic"], np.float64), got["lang"]
-    total = sum(counts.values())
-    prior = counts.get(1, 0) / total if total else 0.0
+    y = np.array(got["toxic"], np.float64)
     if len(set(got["toxic"])) < 2:
         net = Net(prior)
         net.out[:] = 0
         return Model(docs.sparkSession, net, 0.5, {})
-    back = np.array([int(m) % 10 == 0 for m in got["mark"]])
-    if len(set(y[back])) < 2 or len(set(y[~back])) < 2:
-        back[:] = False
-    net = Net(y[~back].mean()).fit([t for t, b in zip(texts, back, strict=True) if not b], y[~back])
+    net = Net(y.mean()).fit(texts, y)
     # the sample holds more of label 1 than all labels do: move the intercept accordingly
-    odds = lambda p: np.log(min(max(p, 1e-3), 1 - 1e-3) / (1 - min(max(p, 1e-3), 1 - 1e-3)))
     net.level = np.float32(net.level + odds(prior) - odds(y.mean()))
-    held = back if back.any() else np.ones(len(y), bool)
-    s = net.scores([t for t, h in zip(texts, held, strict=True) if h])
-    yh, lh = y[held], np.array([x if x is not None else "" for x in lang], object)[held]
-    overall = best_threshold(s, yh)
-    by = {}
-    for name in sorted(set(lh) - {""}):
-        own = lh == name
-        if yh[own].sum() >= 10 and (1 - yh[own]).sum() >= 10:
-            by[name] = best_threshold(s[own], yh[own])
-    return Model(docs.sparkSession, net, overall, by)
+    model = Model(docs.sparkSession, net, 0.5, {})
+    unseen = _unseen_counts(docs, known, model, sorted(set(got["mark"])))
+    every = sum(unseen.values()).sum(axis=1) if unseen else np.zeros(2)
+    seen = np.array([(y == 0).sum(), (y == 1).sum()])
+    if not every.all():
+        unseen, every = _counted(got["lang"], got["toxic"], bins(net.scores(texts)), [1] * len(y)), np.zeros(2)
+    model.overall, model.by_language = thresholds(unseen, seen + every)
+    return model
 
 
 def score(model, text):

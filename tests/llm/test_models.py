@@ -56,6 +56,32 @@ def test_toxicity_edges(spark):
         assert docs.limit(0).select(toxicity.score(model, docs["text"])).count() == 0
 
 
+def test_toxicity_thresholds_come_from_all_labels(spark, monkeypatch):
+    """However little is fitted on, the cut is that of all unseen labelled rows with the natural mix."""
+    rnd, rows, labels = random.Random(4), [], []
+    for i in range(1500):
+        bad = rnd.random() < 0.12
+        # a doubtful word that a tenth of the clean and most of the toxic texts have
+        w = [f"w{rnd.randrange(50)}" for _ in range(20)] + (["vile"] if rnd.random() < (0.7 if bad else 0.1) else [])
+        rows.append((i, " ".join(w), ["en", "de"][i % 2]))
+        labels.append((i, int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    given = spark.createDataFrame(labels, "doc_id long, toxic int")
+    calls, plain = [], toxicity.thresholds
+    monkeypatch.setattr(toxicity, "thresholds", lambda c, t: calls.append((c, t)) or plain(c, t))
+    training = [y for i, y in labels if fold(i, 4) != 2]
+    for most in (20, 60):
+        model = toxicity.fitted(docs, given, most, most)
+        counts, totals = calls[-1]
+        assert set(counts) == {"en", "de"} and list(totals) == [len(training) - sum(training), sum(training)]
+        assert sum(c.sum() for c in counts.values()) == len(training) - 2 * most
+        got = {r[0]: r[1] for r in docs.select("doc_id", toxicity.score(model, docs["text"])).collect()}
+        known = [(got[i], y) for i, y in labels if fold(i, 4) != 2]
+        f1 = lambda t: 2 * sum(y for s, y in known if s >= t) / (
+            sum(s >= t for s, _ in known) + sum(training))
+        assert f1(model.overall) >= max(f1(s) for s, _ in known) - 0.03
+
+
 def test_pieces_of_a_long_text_give_the_score_of_the_whole(monkeypatch):
     rng = np.random.default_rng(0)
     net = toxicity.Net()
