@@ -4,7 +4,8 @@ A word (A-Z lower-cased, ASCII punctuation stripped from its ends) has a 32-bit
 pick a row from each of two embedding tables, so two words look alike only when both
 halves collide. Filters of widths 1, 2 and 3 slide over the whole text, their maxima
 feed a logistic output. Training sees at most POSITIVES + NEGATIVES labelled
-documents (in hash order) and at most SAMPLE_WORDS words of them, none of them from the tenth of the
+documents (in hash order) and at most SAMPLE_WORDS words of them (shared by the labels as the rows are; a text
+that no longer fits is left out and the next ones are tried), none of them from the tenth of the
 labels that is held back. One threshold per language is calibrated on every labelled row of the training folds that the
 fit did not see: Spark scores them all and counts them by language, label and bin of the score, and each label
 weighs what it has among all labelled rows, so the cut means the same whatever share of a label was fitted on. The
@@ -270,6 +271,26 @@ def _counted(langs, labels, places, n):
     return out
 
 
+def fitting(labels, sizes, positives, negatives, most_words):
+    """Which texts, in the order given, fit into the words of their label; one too long makes room for the next.
+
+    The labels share the words as they share the rows. Where no text of a label fits, its shortest
+    is taken if all words together have room for it.
+    """
+    room = {1: most_words * positives // (positives + negatives)}
+    room[0] = most_words - room[1]
+    kept = []
+    for t, n in zip(labels, sizes, strict=True):
+        kept.append(n <= room[t])
+        room[t] -= n * kept[-1]
+    for t in room:
+        own = [k for k, x in enumerate(labels) if x == t]
+        if own and not any(kept[k] for k in own):
+            k = min(own, key=lambda k: sizes[k])
+            kept[k] = sizes[k] <= most_words
+    return kept
+
+
 def fitted(docs, labels, positives=POSITIVES, negatives=NEGATIVES, most_words=SAMPLE_WORDS):
     """Model from ``labels`` (doc_id, toxic) outside the held-out fold and the texts of ``docs``."""
     known = _known(labels)
@@ -280,10 +301,12 @@ def fitted(docs, labels, positives=POSITIVES, negatives=NEGATIVES, most_words=SA
     got = None
     for part in ([known.where(~tenth)] if len(counts) == 4 else []) + [known]:
         rows = _sample(docs, part, positives, negatives)
-        sizes = rows.select("mark", (F.length("ids") / 4).cast("long").alias("n")).orderBy("mark").toArrow().to_pydict()
-        room = np.searchsorted(np.cumsum(sizes["n"]), most_words, side="right")
-        if room < len(sizes["mark"]):
-            rows = rows.where(F.col("mark") < sizes["mark"][room])
+        sizes = (rows.groupBy("toxic", "mark").agg(F.sum(F.length("ids") / 4).cast("long").alias("n")).orderBy("mark")
+                 .toArrow().to_pydict())
+        kept = fitting(sizes["toxic"], sizes["n"], positives, negatives, most_words)
+        if not all(kept):
+            keep = pa.table(sizes).filter(pa.array(kept)).select(["toxic", "mark"])
+            rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(keep)), ["toxic", "mark"])
         got = rows.orderBy("mark", "toxic", "ids").toArrow().to_pydict()
         if len(set(got["toxic"])) == 2:
             break

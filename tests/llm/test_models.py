@@ -82,6 +82,19 @@ def test_toxicity_thresholds_come_from_all_labels(spark, monkeypatch):
         assert f1(model.overall) >= max(f1(s) for s, _ in known) - 0.03
 
 
+def test_toxicity_word_budget_is_per_label(spark):
+    labels, sizes = [0, 1, 0, 1, 0, 1], [900, 10, 30, 500, 30, 20]
+    assert toxicity.fitting(labels, sizes, 3, 4, 100) == [False, True, True, False, False, True]
+    assert toxicity.fitting([0, 1, 1], [10, 80, 70], 3, 4, 100) == [True, False, True]
+    rows = [(i, ("vile " if i % 4 == 0 else "fine ") * (5000 if i == 17 else 5)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    given = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    for most in (10_000, 1000):  # the long text fits, and does not
+        model = toxicity.fitted(docs, given, 60, 60, most)
+        got = {r[0]: r[1] for r in docs.select("doc_id", toxicity.score(model, docs["text"])).collect()}
+        assert min(got[i] for i in got if i % 4 == 0) > max(got[i] for i in got if i % 4)
+
+
 def test_pieces_of_a_long_text_give_the_score_of_the_whole(monkeypatch):
     rng = np.random.default_rng(0)
     net = toxicity.Net()
