@@ -5,8 +5,10 @@ token a document. Every token has a class and the network predicts
 
     P(token | before) = P(class | state) * P(token | class[, state])
 
-The HEAD most frequent training tokens share head classes by frequency, and the
-network predicts them within their class, too. All other words belong to TAIL classes by their
+The most frequent training tokens share head classes by frequency, and the
+network predicts them within their class, too. Their number follows the counts: HEAD, or four times as many again and
+again while all of them occur SEEN times, up to MOST_HEAD (a replica's parameters have to fit a task); with
+2 k k words there are k classes, and only the target's class is worked out. All other words belong to TAIL classes by their
 spelling (a hash of the last two bytes), so that a word never seen has one as well; within a tail class a word
 has its training count, less DISCOUNT, over the class's count, and what the
 discounts set free belongs to unseen words together. The state starts at zero and is carried
@@ -17,7 +19,7 @@ Training sees every training document once: after a warm start on a bounded samp
 all its documents by truncated backpropagation (WINDOW steps, state carried
 on), and the replicas are averaged by their numbers of tokens, summed by Spark per block of parameters.
 Word counts are taken over all training documents and joined to the words of all documents;
-only the HEAD words and the tail classes' totals are handed to the tasks.
+only the common words and the tail classes' totals are handed to the tasks.
 
 Rows: null text counts as empty and has the end token only. A row without doc_id is in no fold:
 it trains and is not held out. Repeated rows count, train and are scored each. Extra columns
@@ -25,6 +27,7 @@ are ignored; an empty table gives an empty result. Where there is no training
 token all counts are 0 and the model is its start.
 """
 
+import math
 import zlib
 from collections import Counter
 
@@ -35,7 +38,8 @@ from pyspark.sql import functions as F
 
 from .common import fold, lists, raw_texts, stored, tidy
 
-HEAD, HEAD_CLASSES, TAIL = 512, 16, 48
+HEAD, TAIL = 512, 48
+MOST_HEAD, SEEN = 1 << 15, 8
 COMMON = 1 << 18  # words whose counts every task holds
 HIDDEN, WINDOW = 16, 20
 DISCOUNT = 0.75
@@ -44,9 +48,18 @@ WARM_STEPS = 300  # updates of the warm start, however small the sample, unless
 RATE = 0.006
 END = b""  # no word is empty
 PIECE, BLOCK, TOGETHER = 4_000_000, 16_384, 64  # tokens trained at once, values a row, replicas added at once
+ROWS = 32_768  # tokens whose softmax is worked out at once
 _FLUSH = 250_000
 
 
+def head_size(counts):
+    """Number of words the network predicts one by one, from the counts of the common words, largest first."""
+    head = HEAD
+    while 4 * head <= min(MOST_HEAD, len(counts)) and counts[4 * head - 1] >= SEEN:
+        head *= 4
+    return head
+
+
 def tail_class(word):
     """Class of a word outside the head, from its last two bytes."""
     return zlib.crc32(word[-2:]) % TAIL
@@ -79,15 +92,15 @@ class Table:
     """The common words, most frequent first, and what a task needs to know of their counts."""
 
     def __init__(self, words, counts, tail_tokens, tail_words):
-        self.words = words
+        self.words, self.head = words, head_size(counts)
         n = np.array(counts, np.float64)
         tail = np.array([tail_class(w) for w in words], np.int64)
         k = np.arange(len(words))
-        self.code = np.concatenate([np.where(k < HEAD, k, HEAD + tail), HEAD + np.arange(TAIL)]).astype(np.int32)
+        self.code = np.concatenate([np.where(k < self.head, k, self.head + tail), self.head + np.arange(TAIL)]).astype(np.int32)
         self.base = np.concatenate([np.log10(n + 1), np.zeros(TAIL)])
         self.level = np.log10(np.maximum(tail_tokens, 1))  # of a tail class
         own = np.log10(np.maximum(n - DISCOUNT, 1e-9)) - self.level[tail]
-        self.tail = np.concatenate([np.where(k < HEAD, 0, own), np.zeros(TAIL)])
+        self.tail = np.concatenate([np.where(k < self.head, 0, own), np.zeros(TAIL)])
         # share of unseen words in their class; a class without training words leaves them everything
         free = np.where(tail_words > 0, DISCOUNT * tail_words, 1)
         self.unseen = np.log10(free) - self.level
@@ -113,10 +126,11 @@ def _log_at(x, place):
 class Net:
     """Parameters as one flat vector, so that replicas can be averaged."""
 
-    def __init__(self, seed=3):
-        h, codes = HIDDEN, HEAD + TAIL
-        self.shapes = {"emb": (codes + 1, 3 * h), "rec": (h, 3 * h), "cls": (h, HEAD_CLASSES + TAIL),
-                       "cls_b": (HEAD_CLASSES + TAIL,), "word": (HEAD, h), "word_b": (HEAD,)}
+    def __init__(self, seed=3, head=HEAD):
+        self.head, self.classes = head, math.isqrt(head // 2)
+        h, codes, classes = HIDDEN, head + TAIL, self.classes + TAIL
+        self.shapes = {"emb": (codes + 1, 3 * h), "rec": (h, 3 * h), "cls": (h, classes),
+                       "cls_b": (classes,), "word": (head, h), "word_b": (head,)}
         rng = np.random.default_rng(seed)
         self.flat = np.concatenate([
             rng.normal(0, 0 if k.endswith("_b") else 0.3 / h ** 0.5, s).astype(np.float32).ravel()
@@ -133,14 +147,14 @@ class Net:
 
     def start(self, table, counts):
         """Output biases from the training counts."""
-        n = np.array(counts[:HEAD], np.float64)
-        size = HEAD // HEAD_CLASSES
+        n = np.array(counts[:self.head], np.float64)
+        size = self.head // self.classes
         self.p["word_b"][:] = -20  # places without a word
         self.p["word_b"][:len(n)] = np.log(n)
-        heads = np.bincount(np.arange(len(n)) // size, n, HEAD_CLASSES)
+        heads = np.bincount(np.arange(len(n)) // size, n, self.classes)
         tails = 10.0 ** table.level
         self.p["cls_b"][:] = np.log(np.concatenate([heads, tails]) + 1)
-        for c in range(HEAD_CLASSES):
+        for c in range(self.classes):
             b = self.p["word_b"][c * size:(c + 1) * size]
             b -= b.max()
         self.p["cls_b"] -= self.p["cls_b"].max()
@@ -155,17 +169,19 @@ class Net:
         return h + z * (c - h), z, r, c
 
     def class_of(self, codes):
-        return np.where(codes < HEAD, codes // (HEAD // HEAD_CLASSES),
-                        codes - HEAD + HEAD_CLASSES)
+        return np.where(codes < self.head, codes // (self.head // self.classes),
+                        codes - self.head + self.classes)
 
     def log_p(self, states, codes):
         """Natural log of P(class) and, for head tokens, of P(token | class)."""
+        if len(codes) > ROWS:
+            return np.concatenate([self.log_p(states[a:a + ROWS], codes[a:a + ROWS]) for a in range(0, len(codes), ROWS)])
         cls = self.class_of(codes)
         out = _log_at(states @ self.p["cls"] + self.p["cls_b"], cls)
-        size = HEAD // HEAD_CLASSES
+        size = self.head // self.classes
         order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(HEAD_CLASSES + 1))
-        for c in range(HEAD_CLASSES):
+        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        for c in range(self.classes):
             rows = order[cuts[c]:cuts[c + 1]]
             if len(rows):
                 words = slice(c * size, (c + 1) * size)
@@ -178,7 +194,7 @@ class Net:
         lengths = np.array([len(texts[k]) for k in order])
         total = np.zeros(len(texts))
         h = np.zeros((len(texts), HIDDEN), np.float32)
-        before = np.full(len(texts), HEAD + TAIL, np.int32)
+        before = np.full(len(texts), self.head + TAIL, np.int32)
         steps = max(16, min(256, (1 << 17) // max(1, len(texts))))
         for at in range(0, int(lengths[0]) if len(lengths) else 0, steps):
             live = int(np.searchsorted(-lengths, -at, side="left"))
@@ -211,8 +227,8 @@ class Net:
         codes = stream[:n * lanes].reshape(lanes, n).T
         fresh = fresh[:n * lanes].reshape(lanes, n).T.copy()
         fresh[0] = True
-        prev = np.vstack([np.full((1, lanes), HEAD + TAIL, np.int32), codes[:-1]])
-        prev = np.where(fresh, HEAD + TAIL, prev)
+        prev = np.vstack([np.full((1, lanes), self.head + TAIL, np.int32), codes[:-1]])
+        prev = np.where(fresh, self.head + TAIL, prev)
         h = np.zeros((lanes, HIDDEN), np.float32)
         if not hasattr(self, "m1"):
             self.m1, self.m2, self.t = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
@@ -251,10 +267,10 @@ class Net:
         d *= scale
         grad["cls"], grad["cls_b"] = states.T @ d, d.sum(axis=0)
         back = d @ p["cls"].T
-        size = HEAD // HEAD_CLASSES
+        size = self.head // self.classes
         order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(HEAD_CLASSES + 1))
-        for c in range(HEAD_CLASSES):
+        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        for c in range(self.classes):
             rows = order[cuts[c]:cuts[c + 1]]
             if len(rows):
                 words = slice(c * size, (c + 1) * size)
@@ -315,7 +331,7 @@ def word_counts(texts):
 def _replica(table, start):
     """Trains one replica over the documents of a partition; its parameters go out in weighted blocks."""
     def train(batches):
-        numbers, net, kept, size, total = Words(table.value), Net(), [], 0, 0
+        numbers, net, kept, size, total = Words(table.value), Net(head=table.value.head), [], 0, 0
         net.flat[:] = start.value
         code = table.value.code
         for batch in batches:
@@ -370,7 +386,7 @@ SCORED = ("row long, doc_id long, held_out boolean, n_tokens long, n_common long
 def _scored(table, flat):
     """Per row what its common words and the network say, and its other words with their numbers."""
     def run(batches):
-        numbers, net, t = Words(table.value), Net(), table.value
+        numbers, net, t = Words(table.value), Net(head=table.value.head), table.value
         net.flat[:] = flat.value
         row, common = TaskContext.get().partitionId() << 40, len(t.words)
         for batch in batches:
@@ -414,14 +430,18 @@ def score(docs, common=COMMON):
     least = steps["n"][room - 1] if room else 1 << 62
     got = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").toArrow()
     words, n = got["word"].to_pylist(), got["n"].to_pylist()
-    sums = (counts.where(~F.col("word").isin(words[:HEAD]) if words else F.lit(True)).groupBy(tail.alias("tail"))
-            .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).toArrow().to_pydict())
+    sums = (counts.groupBy(tail.alias("tail")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"))
+            .toArrow().to_pydict())
     tail_tokens, tail_words = np.zeros(TAIL), np.zeros(TAIL)
     tail_tokens[sums["tail"]], tail_words[sums["tail"]] = sums["n"], sums["words"]
+    top = head_size(n)
+    of_head = np.array([tail_class(w) for w in words[:top]], np.int64)
+    tail_tokens -= np.bincount(of_head, n[:top], TAIL)
+    tail_words -= np.bincount(of_head, minlength=TAIL)
     total = int(sum(a * b for a, b in zip(steps["n"], steps["words"], strict=True)))
     distinct = int(sum(steps["words"]))
     table = Table(words, n, tail_tokens, tail_words)
-    net = Net()
+    net = Net(head=table.head)
     n_docs = n[words.index(END)] if END in words else 0
     if n_docs:
         mark = F.pmod(F.xxhash64("doc_id", F.lit("warm")), F.lit(1 << 30))

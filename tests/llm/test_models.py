@@ -157,6 +157,26 @@ def test_lm_is_a_distribution():
     assert np.allclose(share, 1) and abs(head + (classes * share).sum() - 1) < 1e-4
 
 
+def test_lm_vocabulary_follows_the_counts():
+    assert [gru_lm.head_size(c) for c in ([], [9] * 2047, [9] * 2048, [9] * 2047 + [1], [10**6] * 10**6)] == [
+        512, 512, 2048, 512, gru_lm.MOST_HEAD]
+    counts = [(b"w%d" % k, 9000 - k) for k in range(3000)]
+    tail, kinds = np.zeros(gru_lm.TAIL), np.zeros(gru_lm.TAIL)
+    for w, n in counts[2048:]:
+        tail[gru_lm.tail_class(w)] += n
+        kinds[gru_lm.tail_class(w)] += 1
+    table = gru_lm.Table([w for w, _ in counts], [n for _, n in counts], tail, kinds)
+    net = gru_lm.Net(head=table.head)
+    net.start(table, [n for _, n in counts])
+    assert (net.head, net.classes) == (2048, 32) and list(table.code[[0, 2047]]) == [0, 2047]
+    codes = np.arange(2048 + gru_lm.TAIL, dtype=np.int32)
+    state = np.random.default_rng(1).normal(size=(1, gru_lm.HIDDEN)).astype(np.float32)
+    assert abs(np.exp(net.log_p(np.repeat(state, len(codes), 0), codes)).sum() - 1) < 1e-4
+    # within a class the state decides, for words beyond the first 512 as well
+    two = net.log_p(np.repeat(np.stack([state[0], -state[0]]), 2, 0), np.array([1000, 1001] * 2, np.int32))
+    assert abs((two[0] - two[1]) - (two[2] - two[3])) > 1e-3
+
+
 def test_lm_state_is_carried_through_windows():
     rng = np.random.default_rng(2)
     net = gru_lm.Net()
