@@ -1,7 +1,8 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of 16 or more of A-Z a-z 0-9 _ + / - (and closing =) with a digit in it. Each has
-features from itself and its surroundings: length, changes between character classes, shares of
+A candidate is the value after an assignment to a secret's name, of any length and alphabet (in quotes up to the closing one, else up
+to white space, a quote or one of , ; < > ( ) { } [ ]), or a run of 16 or more of A-Z a-z 0-9 _ + / - (and closing =) with a digit or with a capital after a small letter in it
+(a run of letters in one case is a word and none, unless it is assigned). Each has features from itself and its surroundings: length, changes between character classes, shares of
 digits and capitals, distinct characters, the share of its letters that are words of the
 corpus dictionary, whether it lies in a path, and what the words beside it say. A random forest (Spark ML)
 learns from labelled findings, at most TRAINING of them in hash order, and gives
@@ -9,7 +10,8 @@ each finding its probability; findings under THRESHOLD are removed as false posi
 
 Labelled findings can be passed in (doc_id, place, label). Where there are none they come from evidence rules
 over the findings outside the held-out fold: a vendor prefix or an assignment to a secret's name is
-label 1; digits only, a UUID, a checksum's name or a path is label 0; the rest stays unlabelled
+label 1 unless the value is a plain word or a placeholder; digits only, a UUID, a checksum's name, a placeholder, a path (two or
+more of the parts between its slashes, and half of them, look like words) or a run without digits made of dictionary words is label 0; the rest stays unlabelled
 and is left to the forest.
 
 Dictionary: the DICTIONARY most frequent words of 3 to 12 letters of all texts; it is a
@@ -25,9 +27,20 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, fold, stored
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*[0-9])[A-Za-z0-9_+/\-]{16,}={0,2}"
+_NAME = r"(?:pass(?:words?|wd|phrase)?(?![a-z])|secret|token|api[_\-]?key|auth(?!or)|credential)"
+NAMES = rf"(?i){_NAME}"
+# what stands before an assigned value; the cheap test comes first
+_AFTER = (r"(?<=[=:>][ \t]{0,4}[\"'`]?)"
+          rf"(?<=(?i:{_NAME})[A-Za-z0-9_\-]{{0,24}}[\"'`]?\]?[ \t]{{0,4}}(?::=|=>|={{1,3}}|:)[ \t]{{0,4}}[\"'`]?)")
+_VALUE = "(?:" + "|".join([*(rf"(?<={q})[^{q}\r\n]+(?={q})" for q in "\"'`"),
+                           r"(?<![\"'`])[^\s\"'`,;<>(){}\[\]=:][^\s\"'`,;<>(){}\[\]]*"]) + ")"
+RUN = (r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*(?:[0-9]|[a-z][A-Za-z_+/\-]*[A-Z]))"
+       r"[A-Za-z0-9_+/\-]{16,}={0,2}")
+CANDIDATE = rf"(?<=[=:>\s\"'`]){_AFTER}{_VALUE}|{RUN}"
+PLACEHOLDER = r"(?i)^(null|none|nil|true|false|undefined|your[_\- ].*|x+|\*+|\$.*|<.*|%.*|os\.environ.*|process\.env.*)$"
+PLAIN = r"^\p{L}?\p{Ll}*[.!?]?$"
+PART = r"^\.?(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})(?:[._\-][A-Za-z]+)*$"  # a word or directory between slashes
 PREFIX = r"^(AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|xox[abps]-|sk_live_|sk-|AIza)"
-NAMES = r"(?i)(pass(word|wd)?|secret|token|api_?key|auth|credential)"
 OTHER = r"(?i)(sha(1|256|512)?|md5|checksum|commit|uuid|build|version|isbn|id)"
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 DICTIONARY, TRAINING, TREES, DEPTH, THRESHOLD = 4096, 50_000, 24, 6, 0.5
@@ -56,14 +69,14 @@ def findings(docs):
     c, n = F.col("candidate"), F.length("candidate")
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[0-9]+", "0"), "[a-z]+", "a"), "[A-Z]+", "B")
     share = lambda chars: F.length(F.regexp_replace(c, f"[^{chars}]", "")) / n
-    left = F.regexp_extract("before", r"([^\s=:\"']+)[\s=:\"']*$", 1)
+    left = F.regexp_extract("before", r"([^\s=:>\"'`]+)[\s=:>\"'`\]]*$", 1)
     flag = lambda x: x.cast("double")
     return rows.select(
         "doc_id", "place", "candidate", "before", "after",
         n.cast("double").alias("length"), (F.length(kinds) / n).alias("changes"), share("0-9").alias("digits"),
         share("A-Z").alias("capitals"), (F.size(F.array_distinct(F.split(c, ""))) / n).alias("distinct"),
         flag(c.contains("/") | F.col("before").rlike(r"[/.\\]$")).alias("in_path"),
-        flag(F.col("before").rlike(r"[=:]\s*[\"']?$")).alias("assigned"),
+        flag(F.col("before").rlike(r"[=:]>?\s*[\"'`]?$")).alias("assigned"),
         flag(F.col("before").rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")).alias("quoted"),
         flag(left.rlike(NAMES)).alias("named_secret"), flag(left.rlike(f"^{OTHER}$")).alias("named_other"),
         flag(c.rlike(PREFIX)).alias("prefixed"), flag(c.rlike("^[0-9a-fA-F]+$")).alias("hexadecimal"))
@@ -79,9 +92,15 @@ def covered(rows, words):
 
 def evidence(rows):
     """Label of the evidence rules, null where they say nothing."""
-    secret = (F.col("prefixed") == 1) | ((F.col("named_secret") == 1) & (F.col("assigned") == 1))
-    other = F.col("candidate").rlike(r"^[0-9]+$") | F.col("candidate").rlike(UUID) | (
-        (F.col("named_other") + F.col("in_path")) > 0)
+    c = F.col("candidate")
+    idle = c.rlike(PLACEHOLDER)
+    named = (F.col("named_secret") == 1) & (F.col("assigned") == 1) & ~idle
+    secret = (F.col("prefixed") == 1) | (named & ((F.col("quoted") == 1) | ~c.rlike(PLAIN)))
+    parts = F.filter(F.split(F.concat(F.regexp_extract("before", r"([A-Za-z0-9._/\-]*/)$", 1), c), "/"), lambda p: p != "")
+    words = F.size(F.filter(parts, lambda p: p.rlike(PART)))
+    path = (words >= 2) & (2 * words >= F.size(parts))
+    prose = ~c.rlike("[0-9]") & (F.col("covered") >= 0.6)
+    other = idle | c.rlike(r"^[0-9]+$") | c.rlike(UUID) | (F.col("named_other") == 1) | path | prose
     return F.when(secret, F.lit(1)).when(other, F.lit(0))
 
 

@@ -260,3 +260,15 @@ def test_secret_candidates_and_edges(spark):
         ("4", 1, "abcdefgh12345678"), ("4", 2, "abcdefgh12345679"), ("4", 3, "zzzzzzzzzzzz0000=="),
         ("5", 1, "0123456789abcdef01"), ("None", 1, "x1" * 10)]
     assert secret_scan.scan(docs.limit(0)).count() == 0
+
+
+def test_secret_values_of_any_kind_and_paths(spark):
+    texts = {'password = "hunter2!"': ("hunter2!", 1), "api_key = abcDEFghiJKLmnoPQRstu;": ("abcDEFghiJKLmnoPQRstu", 1),
+             'secret: "p@ssw0rd-Long-Enough1"': ("p@ssw0rd-Long-Enough1", 1), "'token' => 'ключ 7'": ("ключ 7", 1),
+             "see abcDEFghiJKLmnoPQRstu": ("abcDEFghiJKLmnoPQRstu", None), "password: null": ("null", 0),
+             "key wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY here": ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", None),
+             "in /var/lib/a7f3909b1c/file.": ("/var/lib/a7f3909b1c/file", 0), "author: Jane": None, "the secret is out": None}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = secret_scan.covered(secret_scan.findings(docs), [])
+    got = found.select("doc_id", "candidate", secret_scan.evidence(found)).collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == {k: v for k, v in enumerate(texts.values()) if v} and len(got) == 8
