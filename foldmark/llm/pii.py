@@ -1,7 +1,9 @@
 """PII surrogates: detected entities get keyed, type-consistent replacements.
 
-Entities: e-mail addresses, IPv4 addresses, phone numbers, card numbers, and given names of the lists below with the
-surname that follows. A surrogate is worked out from a keyed hash (SHA-256 of key, type,
+Entities: e-mail addresses, IPv4 addresses, phone numbers (international ones with + or 00 in any grouping, national ones with
+an area code in parentheses, with a leading 0 or as three groups), card numbers (16 digits, or 13 to 19 with a valid check digit),
+given names of the lists below with the surname that follows, and such a surname wherever else it stands alone in the same text:
+it gets the surname of the surrogate of the first person who has it there. A surrogate is worked out from a keyed hash (SHA-256 of key, type,
 attempt and the entity in lower case) character by character: a digit stays a digit, a vowel a
 vowel of its script (Latin or Cyrillic), a consonant a consonant, capitals stay capitals, all else stays
 as it is, so lengths and formats hold. E-mail keeps the top-level domain, a phone number its country code,
@@ -40,12 +42,18 @@ _NAME = "|".join(n for names in NAMES.values() for n in names)
 PATTERNS = {  # in order of precedence; none has a capturing group
     "email": r"[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.)+[A-Za-z]{2,24}",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[ \-]?[0-9]{4}){3}(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ \-.]?(?:\([0-9]{2,4}\)[ \-.]?)?[0-9]{2,4}(?:[ \-.][0-9]{2,4}){1,4}(?![0-9])",
+    "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}(?:[ \-]?[0-9]{4}){3}(?:[ \-]?[0-9]{1,3})?|(?<!\+)(?:[0-9]{13,19}|"
+            r"[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{4,5}|[0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4}[ \-][0-9]{1,3}))(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+])(?:\+[1-9]|00[1-9][0-9]{0,2}[ \-.])(?:[ \-.]?\(?[0-9]\)?){6,14}(?![0-9])|"
+             r"(?<![0-9A-Za-z+.\-])(?:\([0-9]{2,5}\)[ \-.]?[0-9]{3,4}[ \-.]?[0-9]{3,5}|0[0-9]{1,4}[ /\-][0-9]{3,4}[ \-]?[0-9]{3,5}|"
+             r"[2-9][0-9]{2}(?:-[0-9]{3}-|\.[0-9]{3}\.| [0-9]{3} )[0-9]{4})(?![0-9A-Za-z]|[\-.][0-9])|"
+             r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ \-.]?(?:\([0-9]{2,4}\)[ \-.]?)?[0-9]{2,4}(?:[ \-.][0-9]{2,4}){1,4}(?![0-9])",
     "name": rf"(?<![\p{{L}}])(?:{_NAME})(?:[ ]\p{{Lu}}\p{{Ll}}+)?(?![\p{{L}}])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 RETRIES = 12
+# country code of a phone number, or the zero before an area code
+COUNTRY = r"^((?:\+|00)(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})|0)"
 
 
 def kind_of(entity):
@@ -91,7 +99,7 @@ def surrogate(key, kind, attempt, entity):
     tld = F.regexp_extract(entity, r"(\.[A-Za-z]+)$", 1)
     email = F.concat(_letters(F.left(entity, F.length(entity) - F.length(tld)), numbers), tld)
     ip = F.array_join(F.transform(F.split(entity, r"\."), lambda p, k: (F.get(numbers, k) % 254 + 1).cast("string")), ".")
-    country = F.regexp_extract(entity, r"^(\+[0-9]+)", 1)
+    country = F.regexp_extract(entity, COUNTRY, 1)
     phone = F.concat(country, _letters(F.substr(entity, F.length(country) + 1), numbers))
     body = _letters(F.left(entity, F.length(entity) - 1), numbers)
     last = F.pmod(F.lit(10) - _checked(F.concat(body, F.lit("0"))), F.lit(10))
@@ -153,8 +161,14 @@ def mentions(docs):
     rows = (docs.select("row", pieces.alias("pieces"), found.alias("found"))
             .select("row", F.posexplode(F.arrays_zip("pieces", "found"))))
     kind = F.when(F.col("value").isNotNull(), kind_of(F.col("value")))
+    # a number of other than 16 digits that fails the check digit is no card and stays with the text before it
+    none = F.coalesce((F.col("kind") == "card") & (F.length(F.regexp_replace("value", "[^0-9]", "")) != 16)
+                      & (_checked(F.col("value")) != 0), F.lit(False))
     return (rows.select("row", F.col("pos").alias("place"), F.col("col.pieces").alias("piece"), F.col("col.found").alias("value"))
-            .withColumn("kind", kind).withColumn("entity", entity_form(F.col("kind"), F.col("value"))))
+            .withColumn("kind", kind).withColumn("none", none)
+            .select("row", "place", F.when(F.col("none"), F.concat("piece", "value")).otherwise(F.col("piece")).alias("piece"),
+                    *[F.when(~F.col("none"), F.col(c)).alias(c) for c in ("value", "kind")])
+            .withColumn("entity", entity_form(F.col("kind"), F.col("value"))))
 
 
 def _cased(surrogate, value):
@@ -175,15 +189,33 @@ def replaced(docs, key="surrogates"):
     known = known.withColumn("surrogate", F.when(F.col("kind") == "name", F.col("surrogate"))
                              .otherwise(_cased(F.col("surrogate"), F.col("value"))))
     every = known.unionByName(parts.where("value IS NULL").withColumn("surrogate", F.lit(None).cast("string")))
-    every = every.groupBy("row").agg(F.array_sort(F.collect_list(
-        F.struct("place", "piece", "kind", "value", "surrogate"))).alias("parts"))
-    text = F.array_join(F.transform("parts", lambda p: F.concat(p["piece"], F.coalesce(p["surrogate"], F.lit("")))), "")
-    listed = F.transform(F.filter("parts", lambda p: p["value"].isNotNull()),
-                         lambda p: F.struct(p["kind"].alias("kind"), p["value"].alias("value"), p["surrogate"].alias("surrogate")))
+    surname = lambda c: F.get(F.split(F.col(c), " "), F.lit(1))
+    person = F.when((F.col("kind") == "name") & F.col("value").contains(" "), F.struct(
+        "place", surname("value").alias("surname"), surname("surrogate").alias("new")))
+    every = every.groupBy("row").agg(
+        F.array_sort(F.collect_list(F.struct("place", "piece", "kind", "value", "surrogate"))).alias("parts"),
+        F.array_sort(F.collect_list(person)).alias("people"))
+    kind = "struct<kind:string,value:string,surrogate:string>"
+
+    def one(kind_of_it, value, new):
+        return F.struct(kind_of_it.alias("kind"), value.alias("value"), new.alias("surrogate")).cast(kind)
+
+    def words(piece):
+        """The words of a piece and what is between them, surnames of the text's people with their surrogates."""
+        def word(w):
+            new = F.get(F.col("people.new"), F.array_position(F.col("people.surname"), w).cast("int") - 1)
+            return one(F.when(new.isNotNull(), F.lit("name")), w, new)
+        return F.when(F.size("people") == 0, F.array(one(F.lit(None), piece, F.lit(None)))).otherwise(
+            F.transform(F.regexp_extract_all(piece, F.lit(r"\p{L}+|\P{L}+"), F.lit(0)), word))
+
+    split = F.flatten(F.transform("parts", lambda p: F.concat(
+        words(p["piece"]), F.array(one(p["kind"], p["value"], p["surrogate"])))))
+    every = every.select("row", split.alias("all"))
+    text = F.array_join(F.transform("all", lambda p: F.coalesce(p["surrogate"], p["value"], F.lit(""))), "")
+    listed = F.filter("all", lambda p: p["surrogate"].isNotNull())
     new = every.select("row", text.alias("new_text"), listed.alias("entities"))
     out = rows.join(new, "row").select(
         *[F.col("new_text").alias("text") if c == "text" else F.col(c) for c in docs.columns],
         F.size("entities").alias("n_entities"), "entities")
-    kind = "array<struct<kind:string,value:string,surrogate:string>>"
-    same = docs.where(~has).select(*docs.columns, F.lit(0).alias("n_entities"), F.array().cast(kind).alias("entities"))
+    same = docs.where(~has).select(*docs.columns, F.lit(0).alias("n_entities"), F.array().cast(f"array<{kind}>").alias("entities"))
     return out.unionByName(same)

@@ -204,3 +204,27 @@ def test_surrogates_stay_distinct_in_a_crowded_format(spark, monkeypatch):
     assert again == {r["entity"]: r["surrogate"] for r in got}
     assert pii.surrogates(df.limit(0), "k").count() == 0
     assert pii.replaced(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_pii_phone_and_card_shapes_and_bare_surnames(spark):
+    phones = ["+14155550123", "+49 30 1234567", "(310) 555-4510", "310-555-4510", "+1 (310) 555-4510", "030 1234567"]
+    cards = ["378282246310005", "3782 822463 10005", "4222222222222", "6304000000000000000"[:18] + "0"]
+    luhn = lambda x: sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(
+        reversed(re.sub(r"[^0-9]", "", x)))) % 10
+    cards = [c for c in cards if luhn(c) == 0]
+    rows = [(k, f"see {x}, please") for k, x in enumerate(phones + cards)]
+    rows += [(50, "no card 378282246310004 here"), (51, "Brandt met Emma Brandt and Paul Novak; Novak left, Brandt, too. Brandts"),
+             (52, "Brandt alone")]
+    got = {r["doc_id"]: r for r in pii.replaced(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, x in enumerate(phones + cards):
+        (e,), kind = got[k]["entities"], "phone" if k < len(phones) else "card"
+        assert (e["kind"], e["value"]) == (kind, x) and e["surrogate"] != x
+        assert got[k]["text"] == f"see {e['surrogate']}, please"
+        assert re.sub("[0-9]", "0", e["surrogate"]) == re.sub("[0-9]", "0", x) and (kind == "phone" or luhn(e["surrogate"]) == 0)
+    assert len(cards) >= 3 and got[0]["text"].startswith("see +1")
+    assert (got[50]["text"], got[50]["n_entities"]) == (rows[-3][1], 0) and got[52]["text"] == "Brandt alone"
+    full = {e["value"]: e["surrogate"] for e in got[51]["entities"]}
+    a, b = full["Emma Brandt"], full["Paul Novak"]
+    assert got[51]["text"] == "{0} met {1} and {2}; {3} left, {0}, too. Brandts".format(a.split()[1], a, b, b.split()[1])
+    assert got[51]["n_entities"] == 5 and [e["value"] for e in got[51]["entities"]] == [
+        "Brandt", "Emma Brandt", "Paul Novak", "Novak", "Brandt"]
