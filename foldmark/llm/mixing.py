@@ -45,8 +45,14 @@ def targets(sizes, weights, share=SHARE, most=MOST):
     return [float(c) for c in cap]
 
 
+def row_key(docs):
+    """Hash of a row's id, source and text; rows alike in all three can stand for each other."""
+    own = ["doc_id", "source", "text"]
+    return F.xxhash64(*[docs[c] for c in own], *[docs[c].isNull() for c in own])
+
+
 def measured(docs):
-    """doc_id, source, size and sampling key of every row."""
+    """doc_id, source, size, sampling key and row key of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     size = F.regexp_count(text, F.lit(WORD)).cast("long")
     symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
@@ -55,8 +61,8 @@ def measured(docs):
     u = (F.conv(digits, 16, 10).cast("long") + F.lit(0.5)) / F.lit(4503599627370496.0)
     quality = F.when(F.col("size") > 0, F.col("size") / (F.col("size") + F.col("symbols"))).otherwise(F.lit(1.0))
     return (docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"),
-                        symbols.alias("symbols"), u.alias("u"))
-            .select("doc_id", "source", "size", (-F.log("u") / quality).alias("key")))
+                        symbols.alias("symbols"), u.alias("u"), row_key(docs).alias("row_key"))
+            .select("doc_id", "source", "size", (-F.log("u") / quality).alias("key"), "row_key"))
 
 
 def _boundary(rows, digit, budget):
@@ -68,8 +74,8 @@ def _boundary(rows, digit, budget):
             .select("name", F.col(digit).alias(f"{digit}_cut"), (F.col("upto") - F.col("part")).alias(f"{digit}_sum")))
 
 
-def mix(docs, weights=WEIGHTS, share=SHARE, most=MOST):
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, times, taken."""
+def mix(docs, weights=WEIGHTS, share=SHARE, most=MOST, keyed=False):
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, times, taken (and its row_key, if ``keyed``)."""
     spark = docs.sparkSession
     rows = stored(measured(docs), "mix-sizes")
     found = rows.groupBy("source").agg(F.sum("size").alias("n")).toArrow().to_pydict()
@@ -96,7 +102,7 @@ def mix(docs, weights=WEIGHTS, share=SHARE, most=MOST):
     at = (F.col("high") == F.col("high_cut")) & (F.col("low") == F.col("low_cut"))
     before = F.coalesce((F.col("high") < F.col("high_cut"))
                         | ((F.col("high") == F.col("high_cut")) & (F.col("low") < F.col("low_cut"))), F.lit(False))
-    columns = ["doc_id", "source", "size", "source_size", "target"]
+    columns = ["doc_id", "source", "size", "source_size", "target"] + ["row_key"] * keyed
     w = Window.partitionBy("name").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     last = (cut.where(at).withColumn("done", F.coalesce(F.sum("size").over(w), F.lit(0)))
             .withColumn("one", F.col("done") + F.col("size") / 2 <= F.col("rest") - F.col("high_sum") - F.col("low_sum")))
@@ -108,12 +114,25 @@ def mix(docs, weights=WEIGHTS, share=SHARE, most=MOST):
 
 
 def mixed_rows(docs):
-    """``docs`` with every row as often as the mix takes it, all columns kept."""
-    times = (mix(docs).where("times > 0").groupBy(F.col("doc_id").alias("_id"))
-             .agg(F.sum("times").alias("_times"), F.count(F.lit(1)).alias("_rows")))
-    return docs.join(times, docs["doc_id"].eqNullSafe(times["_id"])).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_times") / F.col("_rows")).cast("int")))).select(
-        *[docs[c] for c in docs.columns])
+    """``docs`` with every row as often as the mix takes it, all columns kept.
+
+    Rows alike in id, source and text share the times of all of them.
+    """
+    times = stored(mix(docs, keyed=True).groupBy(F.col("doc_id").alias("_id"), F.col("row_key").alias("_of"))
+                   .agg(F.sum("times").alias("_times"), F.count(F.lit(1)).alias("_rows")).where("_times > 0"), "mix-times")
+
+    def met(times):
+        return docs.withColumn("_key", row_key(docs)).join(
+            times, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_of")))
+
+    each, more = F.floor(F.col("_times") / F.col("_rows")), F.col("_times") % F.col("_rows")
+    out = met(times.where(more == 0)).withColumn("_n", each.cast("int"))
+    uneven = times.where(more != 0)
+    if not uneven.isEmpty():
+        w = Window.partitionBy("_id", "_of").orderBy(F.xxhash64(*docs.columns))
+        out = out.unionByName(met(uneven).withColumn("_place", F.row_number().over(w)).withColumn(
+            "_n", (each + (F.col("_place") <= more).cast("int")).cast("int")).drop("_place"))
+    return out.where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(docs.columns)
 
 
 ORACLE = r"""

@@ -68,6 +68,20 @@ def test_mixed_rows_repeat(spark):
     assert mixing.mix(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_mixed_rows_without_ids_and_with_one_id(spark):
+    rows = [(None if k % 2 else 7, "ab"[k % 3 == 0], f"{'w ' * (k % 9 + 1)}{k}") for k in range(100)]
+    rows += [(None, "a", "same text here")] * 5
+    want, got = Counter(), Counter()
+    for r in mixing.mix(docs(spark, rows)).collect():
+        want[(r["doc_id"], r["source"], r["size"])] += r["times"]
+    kept = mixing.mixed_rows(docs(spark, rows)).collect()
+    for r in kept:
+        got[(r["doc_id"], r["source"], len(r["text"].split()))] += 1
+    assert got == +want and len(kept) != len(rows)
+    alone = docs(spark, [(None, "a", f"w {k}") for k in range(100)] + [(1, "b", "x " * 40), (2, "c", "x " * 40)])
+    assert mixing.mixed_rows(alone).count() == mixing.mix(alone).agg(F.sum("times")).first()[0]
+
+
 def test_encoder_equals_the_tokenizer():
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     own, rnd = packing.Encoder(), random.Random(1)
