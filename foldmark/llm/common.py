@@ -56,6 +56,16 @@ def raw_texts(column):
     return [x if x is not None else b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+#: DuckDB: one row with the table of CRC-32, and the checksum of a text of ASCII characters in a query that joins it, for oracles.
+CRC_TABLE = """crc_table AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(b, range(8)),
+    lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(b)))"""
+
+
+def crc_sql(text):
+    return ("xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(" + text + ", ''), lambda x: ascii(x)::BIGINT)), "
+            "lambda a, x: xor(a >> 8, crc_table.t[1 + (xor(a, x) & 255)])), 4294967295)")
+
+
 class Hashes(dict):
     """64-bit hash of a word, worked out once per task; emptied when it holds ``most`` words."""
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import chat, gru_lm, line_clean, mixing, packing, pii, secret_scan, toxicity
+from . import chat, gru_lm, line_clean, lz_prints, merkle, mixing, packing, pii, repair, secret_scan, toxicity
 from .common import documents, fold
 from .exact_dedup import exact_groups
 from .near_dedup import near_groups
@@ -54,8 +54,21 @@ def op10_pii(spark, sf_dir):
     return pii.replaced(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op11_repair(spark, sf_dir):
+    original = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repair.report(original, repair.damaged(original))
+
+
+def op12_lz_prints(spark, sf_dir):
+    return lz_prints.compared(documents(spark, sf_dir))
+
+
+def op13_merkle(spark, sf_dir):
+    return merkle.manifest(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_gru_lm, op4_chat, op5_line_cleaning, op6_packing, op7_minhash,
-                                   op8_exact_dedup, op9_mixing, op10_pii)}
+                                   op8_exact_dedup, op9_mixing, op10_pii, op11_repair, op12_lz_prints, op13_merkle)}
 
 ORACLES = {
     "op4_chat": chat.ORACLE,
@@ -67,4 +80,6 @@ FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
       FROM documents)
 WINDOW g AS (PARTITION BY body)""",
     "op9_mixing": mixing.ORACLE,
+    "op11_repair": repair.ORACLE,
+    "op13_merkle": merkle.ORACLE,
 }
