@@ -1,9 +1,9 @@
 """Registered queries and, wherever SQL can say it, an independent oracle for each."""
 
-from . import annotation, codes, contacts, evaluation, retrieval, tables
+from . import annotation, codes, contacts, evaluation, retrieval, sources, tables
 from .base import oracle
 
-MODULES = [retrieval, evaluation, annotation, contacts, codes, tables]
+MODULES = [retrieval, evaluation, annotation, contacts, codes, tables, sources]
 
 
 def all_queries():

@@ -73,6 +73,18 @@ def ccre_dominant(fx):
     return A.window_counts(fx.windows, _ccre(fx)).select(*A.WINDOW, A.dominant_category().alias("dominant"))
 
 
+@register("window_summary", f"""
+SELECT sample_id, chrom, win_start, win_end, dominant, feature, round(value, 6) + 0.0E0 AS value FROM (
+  SELECT sample_id, chrom, win_start, win_end, [{", ".join(f"'{c}'" for c in _CATS)}][
+    list_position([{", ".join(f'"{c}"' for c in _CATS)}], greatest({", ".join(f'"{c}"' for c in _CATS)}))] AS dominant,
+    unnest([{", ".join(f"'{c}'" for c in _CATS + C.ANNOTATION_DERIVED)}]) AS feature,
+    unnest([{", ".join(f'"{c}"' for c in _CATS + C.ANNOTATION_DERIVED)}]) AS value FROM annot)""", ["annot"])
+def window_summary(fx):
+    s = A.window_summary(A.annotate_windows(fx.windows, _ccre(fx)))
+    return s.select(*A.WINDOW, F.col("dominant_category").alias("dominant"), F.explode("summary").alias("feature", "value")).select(
+        *A.WINDOW, "dominant", "feature", r6("value"))
+
+
 @register("ccre_coords", "SELECT * FROM hits", ["hits"])
 def ccre_coords(fx):
     return A.element_coordinates(fx.windows, _ccre(fx))

@@ -88,6 +88,8 @@ def oracle(body, *views):
     for v in views:
         add(v)
     steps = ",\n".join(f"{n} AS ({_CTE[n].strip()})" for n in order)
+    if "{steps}" in body:  # a body with a WITH RECURSIVE of its own
+        return body.replace("{steps}", steps).strip()
     return f"WITH {steps}\n{body.strip()}" if order else body.strip()
 
 

@@ -118,7 +118,19 @@ def ema_shares(fx):
     return K.ema_shares(K.ema_update(_state(fx), _assigned(fx), DIM)).select("code", "active", r6("share"))
 
 
-@register("dead_code_revival")
+# sampled tokens in md5 order; noise from pairs of md5 numbers
+define("drawn", """
+SELECT vec_id, pos, token, row_number() OVER (ORDER BY md5(concat('42:', vec_id, ':', pos)), vec_id, pos) - 1 AS k FROM tk
+QUALIFY k < 16""", ["tk"])
+_U = "(('0x' || substr(md5(concat('42:', code, ':', i, ':{}')), 1, 8))::BIGINT + 0.5E0)/4294967296.0E0"
+
+
+@register("dead_code_revival", f"""
+SELECT code, revived, CAST(i AS INTEGER) AS dim, round(CASE WHEN revived THEN token[i + 1]
+    + 0.01E0*sqrt(-2.0E0*ln({_U.format(1)}))*cos(2*pi()*{_U.format(2)}) ELSE vec[i + 1] END, 6) + 0.0E0 AS v FROM (
+  SELECT c.code, c.vec, u.n < 250 AS revived, d.token FROM cb c JOIN usage u USING (code)
+  LEFT JOIN (SELECT code, row_number() OVER (ORDER BY code) - 1 AS k FROM usage WHERE n < 250) r ON r.code = c.code
+  LEFT JOIN drawn d ON d.k = r.k % 16), (SELECT unnest(range(0, 8)) AS i)""", ["cb", "usage", "drawn"])
 def dead_code_revival(fx):
     """Codes below a high threshold are replaced by sampled tokens with noise."""
     a = _assigned(fx)
@@ -203,9 +215,36 @@ def concordance(fx):
         "vec_id", "pos", (F.round(V.concordance(F.col("token"), F.col("other")), 6) + F.lit(0.0)).alias("r"))
 
 
-@register("codebook_fit")
+# three rounds from the codes of the fixture: each round assigns, updates the running means and divides
+_FIT = """
+WITH RECURSIVE {steps},
+fit(r, code, n, s, v) AS (
+  SELECT 0, code, 1.0E0, vec, vec FROM cb
+  UNION ALL
+  SELECT r + 1, code, n2, s2, list_transform(s2, lambda x: x/greatest(n2, 1e-5)) FROM (
+    SELECT r, code, any_value(0.995E0*n) + (1 - 0.995E0)*count(token) AS n2,
+      list_transform(range(1, 9), lambda i: 0.995E0*any_value(s)[i]
+        + (1 - 0.995E0)*coalesce(list_sum(list_transform(list(token) FILTER (token IS NOT NULL), lambda t: t[i])), 0)) AS s2
+    FROM (SELECT f.r, f.code, f.n, f.s, b.token FROM fit f LEFT JOIN (
+        SELECT token, best.c AS code FROM (
+          SELECT t.token, min(struct_pack(d := round(pow(list_distance(t.token, g.v), 2), 12), c := g.code)) AS best
+          FROM tk t, fit g GROUP BY t.vec_id, t.pos, t.token)) b ON b.code = f.code WHERE f.r < 3)
+    GROUP BY r, code))
+SELECT code, CAST(i - 1 AS INTEGER) AS dim, round(v[i], 6) + 0.0E0 AS v FROM fit, (SELECT unnest(range(1, 9)) AS i) WHERE r = 3
+"""
+
+
+@register("codebook_fit", _FIT, ["cb", "tk"])
 def codebook_fit(fx):
-    out = K.fit_codebook(fx.tokens, 8, DIM, key=["vec_id", "pos"])
+    """Three rounds from a given start; the seeded start is compared in the tests."""
+    out = K.fit_codebook(fx.tokens, N, DIM, key=["vec_id", "pos"], start=fx.codebook, rounds=3)
+    return out.select("code", F.posexplode("vec").alias("dim", "v")).select("code", "dim", r6("v"))
+
+
+@register("codebook_seeded")
+def codebook_seeded(fx):
+    """Distance-weighted start and three rounds; held against the quantisation error in the tests."""
+    out = K.fit_codebook(fx.tokens, 8, DIM, key=["vec_id", "pos"], rounds=3)
     return out.select("code", F.posexplode("vec").alias("dim", "v")).select("code", "dim", r6("v"))
 
 

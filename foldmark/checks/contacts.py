@@ -197,10 +197,18 @@ def tile_fingerprints(fx):
     return f.select("sample_id", "chr", "start_bp", "dim", (F.round(F.col("v").cast("double"), 6) + F.lit(0.0)).alias("v"))
 
 
+_ASSAYS = ["bulk_hic", "micro_c", "sc_hic", "chia_pet", "other"]
+
+
+# the registry leaves out S7; every row of the combined set with its index, code and part
 @register("combined_split", """
-SELECT sample_id, CAST(dense_rank() OVER (ORDER BY sample_id) - 1 AS INTEGER) AS cell_idx, count(*) AS n_tiles,
-  greatest(1, CAST(floor(count(*)*0.1) AS BIGINT)) AS n_val FROM frames WHERE valid_fraction >= 0.2 GROUP BY 1""", ["frames"])
+SELECT sample_id, chr, start_bin, CAST(dense_rank() OVER (ORDER BY sample_id) - 1 AS INTEGER) AS cell_idx,
+  CAST(CASE sample_id WHEN 'S2' THEN 1 WHEN 'S3' THEN 2 WHEN 'S4' THEN 3 ELSE 0 END AS INTEGER) AS assay_id,
+  CASE WHEN row_number() OVER (PARTITION BY sample_id ORDER BY md5(concat('42:', sample_id, ':', chr, ':', start_bin)))
+    <= greatest(1, CAST(floor(count(*) OVER (PARTITION BY sample_id)*0.1) AS BIGINT)) THEN 'val' ELSE 'train' END AS split
+FROM (SELECT sample_id, chrom AS chr, CAST(start_bin AS BIGINT) AS start_bin FROM frames WHERE valid_fraction >= 0.2)""", ["frames"])
 def combined_split(fx):
-    c = build.combine(_tiles(fx))
-    return c.groupBy("sample_id", "cell_idx").agg(F.count(F.lit(1)).alias("n_tiles"),
-                                                  F.count_if(F.col("split") == "val").alias("n_val"))
+    n = F.substring("sample_id", 2, 2).cast("int")
+    registry = fx.pixels.select("sample_id").distinct().where("sample_id <> 'S7'").select(
+        "sample_id", F.get(F.array(*[F.lit(a) for a in _ASSAYS]), (n - 1) % 5).alias("assay"))
+    return build.combine(_tiles(fx), registry=registry).select("sample_id", "chr", "start_bin", "cell_idx", "assay_id", "split")

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..functions import labels as L
+from ..functions import names as N
 from ..operators import rollups as R
 from ..operators import similarity as S
 from ..plans import collection, locus_report
@@ -266,7 +268,22 @@ def accuracy_test(fx):
         "total", "correct", r6("accuracy"), "passed")
 
 
-@register("permutation_p")
+# shuffle k takes the positions in the order of their keyed hashes; the mean reference is linear in the references
+define("shuffles", """
+SELECT k, list(i ORDER BY md5(concat('42:', k, ':', i))) AS p
+FROM (SELECT unnest(range(0, 500)) AS k), (SELECT unnest(range(0, 64)) AS i) GROUP BY k""")
+define("mean_refs", """
+SELECT chr, start_bp, list(x ORDER BY p) AS m FROM (
+  SELECT chr, start_bp, p, avg(v[p]/len) AS x FROM members, (SELECT unnest(range(1, 65)) AS p) WHERE role = 'ref' GROUP BY ALL)
+GROUP BY ALL""", ["members"])
+
+
+@register("permutation_p", """
+SELECT sample_id, chr, start_bp, round(observed, 6) + 0.0E0 AS observed, round((hits + 1)/501.0E0, 6) AS p_value FROM (
+  SELECT q.sample_id, q.chr, q.start_bp, any_value(list_dot_product(q.v, r.m)/q.len) AS observed,
+    count(*) FILTER (list_dot_product(list_transform(s.p, lambda i: q.v[i + 1]), r.m)/q.len >= list_dot_product(q.v, r.m)/q.len) AS hits
+  FROM members q JOIN mean_refs r USING (chr, start_bp), shuffles s WHERE q.role = 'query' GROUP BY 1, 2, 3)""",
+          ["members", "mean_refs", "shuffles"])
 def permutation_p(fx):
     return S.permutation_pvalues(fx.members("query"), fx.members("ref")).select(
         "sample_id", "chr", "start_bp", r6("observed"), r6("p_value"))
@@ -376,3 +393,133 @@ def heldout_report(fx):
     return out.select("sample_id", "n_windows_total", "n_windows", F.col("level1.cell_type").alias("cell_type"),
                       F.round("level1.fraction", 6).alias("fraction"),
                       F.size(F.map_keys("vote_distribution")).cast("long").alias("n_candidates"), "n_divergent")
+
+
+# element counts of a report: the query sample's cell against its first-ranked cell type
+define("profile", """
+SELECT sample_id, category, count(*) AS n FROM ccre_clean WHERE chrom IN ('chr1', 'chr2', 'chr3', 'chr4', 'chr5') GROUP BY 1, 2""",
+       ["ccre_clean"])
+_ARROW = "CASE WHEN d > 0 THEN concat('▲ +', d) WHEN d < 0 THEN concat('▼ ', d) ELSE '  =' END"
+
+
+@register("collection_report_regulatory", """
+SELECT t.sample_id, c.category, coalesce(a.n, 0) AS n_query, coalesce(b.n, 0) AS n_ref FROM type_mean t
+JOIN samples s USING (sample_id) CROSS JOIN (SELECT DISTINCT category FROM profile) c
+LEFT JOIN profile a ON a.sample_id = s.cell_type AND a.category = c.category
+LEFT JOIN profile b ON b.sample_id = t.cell_type AND b.category = c.category
+WHERE t.rank = 1 AND (a.n > 0 OR b.n > 0)""", ["type_mean", "samples", "profile"])
+def collection_report_regulatory(fx):
+    from .annotation import _ccre
+    out = collection.query_report(fx.members("query"), fx.members("ref"), ccre=_ccre(fx))
+    return out.select("sample_id", F.inline("regulatory")).select("sample_id", "category", "n_query", "n_ref")
+
+
+@register("collection_report_loci", f"""
+SELECT sample_id, locus, round(score, 6) AS similarity, round((score - m)/s, 6) + 0.0E0 AS z_score, rank, round(top_similarity, 6) AS top_similarity,
+  (SELECT count(DISTINCT cell_type) FROM samples WHERE role = 'ref') AS n_reference FROM (
+  SELECT b.*, concat(chr, ':', CAST(start_bp // 1000000 AS BIGINT), '.0M-', CAST(end_bp // 1000000 AS BIGINT), '.0M') AS locus,
+    t.similarity AS top_similarity, avg(b.score) OVER (PARTITION BY b.sample_id) AS m,
+    stddev_pop(b.score) OVER (PARTITION BY b.sample_id) + 1e-8 AS s,
+    row_number() OVER (PARTITION BY b.sample_id ORDER BY b.score, b.id) AS rank
+  FROM type_best b JOIN type_mean t ON b.sample_id = t.sample_id AND b.cell_type = t.cell_type AND t.rank = 1)""", ["type_mean", "samples"])
+def collection_report_loci(fx):
+    """The divergent loci and the summary of the nested report."""
+    out = collection.query_report(fx.members("query"), fx.members("ref"))
+    d = out.select("sample_id", "summary", F.inline("divergent_loci"))
+    return d.select("sample_id", "locus", r6("similarity"), r6("z_score"), F.col("rank").cast("bigint").alias("rank"),
+                    F.round("summary.top_similarity", 6).alias("top_similarity"), F.col("summary.n_reference").alias("n_reference"))
+
+
+def _compare(fx):
+    from .annotation import _ccre
+    return collection.compare_report(*_pair(fx), _ccre(fx), "CT0", "CT1")
+
+
+@register("compare_report", """
+SELECT c.chr, c.mean_similarity AS chr_similarity, c.n_tiles, p.mean_similarity, p.max_similarity, p.fraction_high, p.verdict,
+  (SELECT count(*) FROM pair_best) AS n_loci,
+  (SELECT sum(n) FROM profile WHERE sample_id = 'CT0')::BIGINT AS total_a, (SELECT sum(n) FROM profile WHERE sample_id = 'CT1')::BIGINT AS total_b
+FROM ({}) c, ({}) p""".format(ORACLES["compare_by_chrom"][0], ORACLES["compare_pair"][0]), ["pair_best", "profile"])
+def compare_report(fx):
+    """The nested comparison, its chromosomes unnested."""
+    out = _compare(fx)
+    c = out.select("*", F.explode("by_chromosome").alias("c"))
+    return c.select("c.chr", (F.round("c.mean_similarity", 6) + F.lit(0.0)).alias("chr_similarity"), F.col("c.n_tiles").alias("n_tiles"),
+                    r6("mean_similarity"), r6("max_similarity"), r6("fraction_high"), "verdict",
+                    F.size("divergent_loci").cast("long").alias("n_loci"), "total_a", "total_b")
+
+
+@register("compare_report_loci", """
+SELECT chr, start_bp, round(best, 6) AS similarity, round((best - m)/s, 6) + 0.0E0 AS z_score,
+  row_number() OVER (ORDER BY best, id) AS rank FROM (
+  SELECT *, avg(best) OVER () AS m, stddev_pop(best) OVER () + 1e-8 AS s FROM pair_best)""", ["pair_best"])
+def compare_report_loci(fx):
+    d = _compare(fx).select(F.inline("divergent_loci"))
+    return d.select("chr", "start_bp", r6("similarity"), r6("z_score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@register("compare_report_regulatory", """
+SELECT c.category, coalesce(a.n, 0) AS n_query, coalesce(b.n, 0) AS n_ref FROM (SELECT DISTINCT category FROM profile) c
+LEFT JOIN profile a ON a.sample_id = 'CT0' AND a.category = c.category
+LEFT JOIN profile b ON b.sample_id = 'CT1' AND b.category = c.category WHERE a.n > 0 OR b.n > 0""", ["profile"])
+def compare_report_regulatory(fx):
+    return _compare(fx).select(F.inline("regulatory")).select("category", "n_query", "n_ref")
+
+
+# boundary and compartment profiles for the fixture: the halves of the vector
+def _with_profiles(members):
+    return (members.withColumn("boundary", F.slice("fingerprint", 1, 32)).withColumn("compartment", F.slice("fingerprint", 33, 32)))
+
+
+def _pearson_sql(x, y):
+    return f"""(SELECT sum((x - mx)*(y - my))/(sqrt(sum(pow(x - mx, 2))*sum(pow(y - my, 2))) + 1e-8)
+    FROM (SELECT unnest({x}) AS x, unnest({y}) AS y, list_avg({x}) AS mx, list_avg({y}) AS my))"""
+
+
+def _report(fx):
+    from .annotation import _ccre
+    return locus_report.four_level_report(_with_profiles(fx.members("query")), _with_profiles(fx.members("ref")),
+                                          ccre=_ccre(fx), cell=N.cell_name)
+
+
+define("lost", """
+SELECT w.*, row_number() OVER (PARTITION BY w.sample_id ORDER BY similarity, w.chr, w.start_bp) AS rank,
+  s.cell_type AS own_cell, t.cell_type AS other_cell, q.v AS qv, r.v AS rv
+FROM win w JOIN samples s ON s.sample_id = w.sample_id JOIN samples t ON t.sample_id = w.top_sample
+JOIN members q ON q.sample_id = w.sample_id AND q.chr = w.chr AND q.start_bp = w.start_bp
+JOIN members r ON r.sample_id = w.top_sample AND r.chr = w.chr AND r.start_bp = w.start_bp
+WHERE similarity < 0.3""", ["win", "samples", "members"])
+
+
+@register("locus_report_divergent", f"""
+SELECT sample_id, rank, chr, start_bp, round(similarity, 6) AS similarity, top_sample, status, p_value,
+  round({_pearson_sql("qv[1:32]", "rv[1:32]")}, 6) + 0.0E0 AS boundary_concordance,
+  round({_pearson_sql("qv[33:64]", "rv[33:64]")}, 6) + 0.0E0 AS compartment_concordance
+FROM lost LEFT JOIN ({ORACLES["permutation_p"][0]}) p USING (sample_id, chr, start_bp)""",
+          ["lost", *ORACLES["permutation_p"][1]])
+def locus_report_divergent(fx):
+    """Level 4 of the nested report with p-value and concordances."""
+    d = _report(fx).select("sample_id", F.inline("level4"))
+    return d.select("sample_id", F.col("rank").cast("bigint").alias("rank"), "chr", "start_bp", r6("similarity"), "top_sample",
+                    "status", r6("p_value"), r6("boundary_concordance"), r6("compartment_concordance"))
+
+
+_NAMES = C.CCRE_CATEGORIES + C.ANNOTATION_DERIVED
+
+
+@register("locus_report_annotation", f"""
+SELECT l.sample_id, l.chr, l.start_bp, CAST(k - 1 AS INTEGER) AS feature,
+  round(CAST(CAST([{", ".join(f'a."{c}"' for c in _NAMES)}][k] AS FLOAT) AS DOUBLE), 4) + 0.0E0 AS value,
+  array_to_string(list_filter([{", ".join(f"""CASE WHEN abs(a."{c}" - b."{c}") >= 10 THEN concat('{c}: ', printf('%+.0f', a."{c}" - b."{c}"),
+    CASE WHEN a."{c}" > b."{c}" THEN ' (more in query)' ELSE ' (fewer in query)' END) END""" for c in C.CCRE_CATEGORIES)}],
+    lambda x: x IS NOT NULL), '; ') AS lines
+FROM lost l JOIN annot a ON a.sample_id = l.own_cell AND a.chrom = l.chr AND a.win_start = l.start_bp
+JOIN annot b ON b.sample_id = l.other_cell AND b.chrom = l.chr AND b.win_start = l.start_bp, (SELECT unnest(range(1, 17)) AS k)""",
+          ["lost", "annot"])
+def locus_report_annotation(fx):
+    """The 16 annotation values and the lines of change of every divergent locus."""
+    d = _report(fx).select("sample_id", F.inline("level4"))
+    v = d.select("sample_id", "chr", "start_bp", F.array_join("ccre_diff", "; ").alias("lines"),
+                 F.posexplode("ccre_annot_query").alias("feature", "v"))
+    return v.select("sample_id", "chr", "start_bp", "feature",
+                    (F.round(F.col("v").cast("double"), 4) + F.lit(0.0)).alias("value"), "lines")

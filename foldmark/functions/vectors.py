@@ -21,6 +21,11 @@ def norm(v: Column) -> Column:
     return F.aggregate(as_double(v), F.lit(0.0), lambda s, x: s + x * x, F.sqrt)
 
 
+def usable(v: Column) -> Column:
+    """Whether a vector is there and its length is a finite number (no null, NaN or infinite element)."""
+    return F.coalesce(norm(v) <= F.lit(1.7976931348623157e308), F.lit(False))
+
+
 def unit(v: Column, eps: float = C.EPS) -> Column:
     """v / (|v| + eps). The length is summed once, in the fold's finishing step."""
     w = as_double(v)

@@ -75,6 +75,22 @@ def dominant_category():
     return F.element_at(listed, F.array_position(counts, F.array_max(counts)).cast("int"))
 
 
+def window_summary(annotated: DataFrame) -> DataFrame:
+    """Per window a map from the 16 names to their values, and the dominant category."""
+    names = C.CCRE_CATEGORIES + C.ANNOTATION_DERIVED
+    pairs = [x for n in names for x in (F.lit(n), F.col(f"`{n}`").cast("double"))]
+    return annotated.select(*WINDOW, F.create_map(*pairs).alias("summary"), dominant_category().alias("dominant_category"))
+
+
+def category_lines(own, other, threshold: float = C.CCRE_DELTA):
+    """Report lines of the categories whose count differs by the threshold between two annotation vectors; null if one is missing."""
+    names = F.array(*[F.lit(c) for c in C.CCRE_CATEGORIES])
+    delta = F.zip_with(F.slice(own, 1, len(C.CCRE_CATEGORIES)), F.slice(other, 1, len(C.CCRE_CATEGORIES)), lambda a, b: (a - b).cast("double"))
+    lines = F.zip_with(names, delta, lambda n, d: F.when(F.abs(d) >= threshold, F.concat(
+        F.format_string("%s: %+.0f", n, d), F.when(d > 0, " (more in query)").otherwise(" (fewer in query)"))))
+    return F.when(own.isNotNull() & other.isNotNull(), F.filter(lines, lambda x: x.isNotNull()))
+
+
 def element_coordinates(windows: DataFrame, ccre: DataFrame, bucket: int = I.BUCKET) -> DataFrame:
     """One row per (window, overlapping element)."""
     return (I.overlap_join(windows, ccre, ["sample_id", "chrom"], bucket=bucket)
@@ -341,6 +357,15 @@ def match_annotation_files(cells: DataFrame, files: DataFrame) -> DataFrame:
     return c.select("cell").join(best, "cell", "left")
 
 
+def annotation_registry(samples: DataFrame, files: DataFrame, directory: str = "") -> DataFrame:
+    """Annotation path per sample id as discovered, or the fixed entries below ``directory`` when nothing is."""
+    found = discover_annotations(samples, files)
+    fixed = found.sparkSession.createDataFrame(C.FALLBACK_ANNOTATIONS, "sample_id string, path string").select(
+        "sample_id", F.concat(F.lit(directory.rstrip("/") + "/" if directory else ""), "path").alias("path"))
+    none = found.limit(1).agg(F.count(F.lit(1)).alias("n")).scalar() == 0
+    return found.unionByName(fixed.where(none))
+
+
 def discover_annotations(samples: DataFrame, files: DataFrame, extension: str = ".bed.gz") -> DataFrame:
     """Annotation path per sample id: exact file name, file name starting with it, cleaned name equal to it."""
     s = samples.select("sample_id").distinct()

@@ -21,12 +21,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.types import to_arrow_type as arrow_type
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from .. import constants as C
 
 ROWS_PER_BLOCK = 2048
+ROWS_IN_MEMORY = 32_768  # 16 MB of 64 doubles: a side has no smaller blocks than tasks or this bound ask for
 SCORE_DIGITS = 12  # scores equal to this many digits count as tied
 _CHUNK_CELLS = 4_000_000  # score cells held at once inside a task
 

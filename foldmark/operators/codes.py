@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from .. import constants as C
 from ..functions import vectors as V
 from . import blocks
+from ..sources.scratch import written
 from .tables import first_in_hash_order
 
 MAX_SENT_CODES = 16_384
@@ -146,8 +147,9 @@ def ema_update(state: DataFrame, assigned: DataFrame, dim: int, gamma: float = C
 
 
 def _uniform(*parts):
-    """Repeatable number in (0, 1) from a hash."""
-    return (F.pmod(F.xxhash64(*parts), F.lit(2 ** 31)) + F.lit(1)) / F.lit(float(2 ** 31 + 1))
+    """Repeatable number in (0, 1) from the md5 of the parts, the same in every engine."""
+    digits = F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]).cast("binary")), 1, 8)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 32))
 
 
 def revive_dead_codes(codebook: DataFrame, usage: DataFrame, tokens: DataFrame, *, key, threshold: int = C.DEAD_THRESHOLD,
@@ -207,35 +209,70 @@ def top_tokens(tokens: DataFrame, keep: int, by, score: str = "score") -> DataFr
             .withColumn("slot", F.row_number().over(place) - 1))
 
 
-def fit_codebook(tokens: DataFrame, n_codes: int, dim: int, *, key, tolerance: float = 1e-4, rounds: int = 100,
-                 seed: int = C.SEED, gamma: float = C.EMA_GAMMA, token: str = "token") -> DataFrame:
-    """Codebook without gradients: k-means start, then assignment and running-mean rounds until no value moves further.
+def seed_codebook(tokens: DataFrame, n_codes: int, *, key, rounds: int = 5, oversample: int = 2, seed: int = C.SEED,
+                  token: str = "token") -> DataFrame:
+    """Starting codebook (code, vec) spread over the tokens by distance-weighted rounds.
 
-    The loop is over rounds, each one Spark job; only the codebook (``n_codes`` rows) crosses rounds.
-    ``converged`` says whether the last round moved every value by less than ``tolerance``.
+    The first candidate is the token of least hash. A round keeps the ``oversample * n_codes`` tokens of least -ln(u) / d², where u
+    comes from the hash of key and round and d is the distance to the nearest candidate: a sample without replacement in
+    proportion to d². Candidates, at most ``1 + rounds * oversample * n_codes`` rows, are weighted by the tokens nearest to them and thinned to
+    ``n_codes`` the same way in one task. Fewer distinct tokens than codes give fewer codes.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-    spark = tokens.sparkSession
-    v = tokens.select(array_to_vector(V.as_double(F.col(token))).alias("features"))
-    centres = KMeans(k=n_codes, seed=seed, maxIter=rounds, tol=tolerance).fit(v).clusterCenters()
-    rows = [(i, 1.0, [float(x) for x in c]) for i, c in enumerate(centres)]
+    real = tokens.where(F.col(token).isNotNull()).select(*key, V.as_double(F.col(token)).alias("t"))
 
-    def vectors(rows):
-        return np.array([[x / max(r[1], 1e-5) for x in r[2]] for r in sorted(rows)])
+    def least(df, order, n):
+        return df.orderBy(order, *key).limit(n).select(F.col("t").alias("vec"))
 
+    chosen = least(real, _uniform(F.lit(seed), F.lit(0), *[F.col(k) for k in key]), 1)
+    for r in range(1, rounds + 1):
+        chosen = _numbered(written(chosen, "candidates"))
+        far = assign_codes(real, chosen, key, "t").where(F.col("sq_dist") > 0)
+        wait = -F.log(_uniform(F.lit(seed), F.lit(r), *[F.col(k) for k in key])) / F.col("sq_dist")
+        chosen = chosen.select("vec").unionByName(least(far, wait, oversample * n_codes)).distinct()
+    chosen = _numbered(written(chosen, "candidates"))
+    weights = assign_codes(real, chosen, key, "t").groupBy("code").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    weighted = chosen.join(weights, "code").select("code", "vec", "weight")
+
+    def thinned(t):
+        t = t.sort_by("code")
+        x, w = blocks.matrix_of(t, "vec"), t["weight"].to_numpy()
+        take, near = [int(w.argmax())], ((x - x[w.argmax()]) ** 2).sum(axis=1)
+        while len(take) < n_codes and near.max() > 0:
+            take.append(int((near * w).argmax()))
+            near = np.minimum(near, ((x - x[take[-1]]) ** 2).sum(axis=1))
+        vec = t["vec"].combine_chunks().take(pa.array(take))
+        return pa.table({"code": pa.array(np.arange(len(take)), pa.int32()), "vec": vec})
+
+    return weighted.withColumn("together", F.lit(0)).groupBy("together").applyInArrow(thinned, "code int, vec array<double>")
+
+
+def _numbered(candidates: DataFrame) -> DataFrame:
+    """Candidates with codes in the order of their values (a bounded number of rows)."""
+    return candidates.select((F.row_number().over(Window.orderBy("vec")) - 1).cast("int").alias("code"), "vec")
+
+
+def fit_codebook(tokens: DataFrame, n_codes: int, dim: int, *, key, start: DataFrame | None = None, tolerance: float = 1e-4,
+                 rounds: int = 100, seed: int = C.SEED, gamma: float = C.EMA_GAMMA, token: str = "token") -> DataFrame:
+    """Codebook without gradients: a start, then assignment and running-mean rounds until no value moves further.
+
+    ``start`` (code, vec) is ``seed_codebook``'s unless given; each of its codes begins with count 1. The state of a round is a stored table, and
+    what reaches the driver is how far the round moved. ``converged`` says whether the last round moved every value by less than ``tolerance``.
+    """
+    book = start if start is not None else seed_codebook(tokens, n_codes, key=key, seed=seed, token=token)
+    state = written(book.select("code", F.lit(1.0).alias("ema_count"), V.as_double(F.col("vec")).alias("ema_sum"),
+                                V.as_double(F.col("vec")).alias("vec")), "codebook")
     converged = False
     for _ in range(rounds):
-        state = spark.createDataFrame(rows, "code int, ema_count double, ema_sum array<double>")
-        book = state.select("code", F.transform("ema_sum", lambda x: x / F.greatest(F.col("ema_count"), F.lit(1e-5))).alias("vec"))
-        new = ema_update(state, assign_codes(tokens, book, key, token), dim, gamma, token)
-        before, rows = rows, [(r["code"], r["ema_count"], list(r["ema_sum"])) for r in new.collect()]
-        converged = bool(np.abs(vectors(rows) - vectors(before)).max() < tolerance)
+        new = written(ema_update(state, assign_codes(tokens, state.select("code", "vec"), key, token), dim, gamma, token).select(
+            "code", "ema_count", "ema_sum",
+            F.transform("ema_sum", lambda x: x / F.greatest(F.col("ema_count"), F.lit(1e-5))).alias("vec")), "codebook")
+        before = state.select("code", F.col("vec").alias("old"))
+        move = F.array_max(F.zip_with("vec", "old", lambda a, b: F.abs(a - b)))
+        moved = new.join(before, "code").agg(F.max(move)).first()[0]
+        state, converged = new, moved is None or moved < tolerance
         if converged:
             break
-    state = spark.createDataFrame(rows, "code int, ema_count double, ema_sum array<double>")
-    return state.select("code", F.transform("ema_sum", lambda x: x / F.greatest(F.col("ema_count"), F.lit(1e-5))).alias("vec"),
-                        F.lit(converged).alias("converged"))
+    return state.select("code", "vec", F.lit(converged).alias("converged"))
 
 
 def code_profile(assigned: DataFrame, value: str) -> DataFrame:

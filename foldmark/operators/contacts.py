@@ -11,6 +11,7 @@ broadcasts them, with many it sort-merges and splits the skewed ones.
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
@@ -19,7 +20,7 @@ from .. import constants as C
 from ..functions.names import chromosome_index
 
 AT = ["sample_id", "chrom"]
-SALT = 16
+PIXELS_PER_KEY = 4_000_000  # pixels of one sample and chromosome that a task may read
 _FLOOR = -C.OE_CLIP  # log2 of an empty cell, clipped
 
 
@@ -35,16 +36,26 @@ def bin_profiles(bins: DataFrame) -> DataFrame:
             .withColumn("n_bins", F.size("weights")))
 
 
-def balanced(pixels: DataFrame, profiles: DataFrame, salt: int = SALT) -> DataFrame:
+def salts(profiles: DataFrame) -> F.Column:
+    """Parts into which the pixels of a sample and chromosome are dealt, as a scalar.
+
+    A chromosome of n bins has at most n (n + 1) / 2 pixels, so the largest profile tells it without a count; up to about
+    2800 bins there is one part and no copy of a profile.
+    """
+    n = F.col("n_bins").cast("double")
+    return profiles.agg(F.greatest(F.lit(1), F.ceil(F.max(n * (n + 1) / 2) / PIXELS_PER_KEY).cast("int")).alias("s")).scalar()
+
+
+def balanced(pixels: DataFrame, profiles: DataFrame) -> DataFrame:
     """Pixels with ``value`` = count x weight x weight (NULL where a weight is) and ``dist``.
 
-    The join key is salted: one sample's chromosome may hold a third of all
-    pixels, and an aggregation by the same key right after the join would keep
-    Spark from splitting that key by itself.
+    The join key is salted where a sample's chromosome may hold more pixels than a task should read: an aggregation by the same
+    key right after the join would keep Spark from splitting that key by itself.
     """
     w = lambda b: F.get("weights", F.col(b).cast("int"))
-    left = pixels.withColumn("_salt", F.pmod(F.xxhash64("bin1", "bin2"), F.lit(salt)).cast("int"))
-    right = profiles.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    salt = salts(profiles)
+    left = pixels.withColumn("_salt", F.pmod(F.xxhash64("bin1", "bin2"), salt).cast("int"))
+    right = profiles.withColumn("_salt", F.explode(F.sequence(F.lit(0), salt - 1)))
     return (left.join(right, AT + ["_salt"]).drop("_salt")
             .withColumn("value", F.col("cnt") * w("bin1") * w("bin2"))
             .withColumn("dist", (F.col("bin2") - F.col("bin1")).cast("int")))
@@ -209,24 +220,30 @@ def tiles(values: DataFrame, profiles: DataFrame, size: int = C.TILE_SIZE, step:
     schema = "sample_id string, chrom string, start_bin int, valid_fraction double, matrix array<float>"
     dist = np.abs(np.arange(size)[:, None] - np.arange(size)[None, :])
 
+    at_once = max(1, 4_000_000 // (size * size))
+
+    def flags(part, name):
+        return part.column(name).flatten().to_numpy(zero_copy_only=False).astype(bool).reshape(-1, size)
+
     def dense(batches):
         for b in batches:
-            for r in range(b.num_rows):
-                row = {n: b.column(n)[r] for n in ("balanced_bin", "good_bin", "has_expected", "cells")}
-                ok, good, known = (np.array(row[n].as_py(), dtype=bool)
-                                   for n in ("balanced_bin", "good_bin", "has_expected"))
-                m = np.where(known[dist] & ~(ok[:, None] & ok[None, :]), 0.0, _FLOOR).astype(np.float32)
-                if row["cells"].is_valid and len(row["cells"].values):
-                    at = row["cells"].values.field("at").to_numpy(zero_copy_only=False)
-                    v = row["cells"].values.field("v").to_numpy(zero_copy_only=False)
-                    m[at // size, at % size] = v
-                    m[at % size, at // size] = v
-                m[~good, :] = 0.0
-                m[:, ~good] = 0.0
-                one = b.slice(r, 1)
+            for lo in range(0, b.num_rows, at_once):
+                part = b.slice(lo, at_once)
+                n = part.num_rows
+                ok, good, known = (flags(part, c) for c in ("balanced_bin", "good_bin", "has_expected"))
+                m = np.where(known[:, dist] & ~(ok[:, :, None] & ok[:, None, :]), np.float32(0.0), np.float32(_FLOOR))
+                cells = part.column("cells")
+                flat = cells.flatten()
+                at = flat.field("at").to_numpy(zero_copy_only=False)
+                v = flat.field("v").to_numpy(zero_copy_only=False)
+                tile = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(cells), 0).to_numpy(zero_copy_only=False))
+                m[tile, at // size, at % size] = v
+                m[tile, at % size, at // size] = v
+                m *= good[:, :, None] & good[:, None, :]
+                m += 0.0  # no minus zero on masked cells
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * size * size, pa.int32()), pa.array(m.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [one.column("sample_id"), one.column("chrom"), one.column("start_bin"),
-                     one.column("valid_fraction"), pa.array([m.ravel()], pa.list_(pa.float32()))],
+                    [part.column(c) for c in ("sample_id", "chrom", "start_bin", "valid_fraction")] + [flat],
                     names=["sample_id", "chrom", "start_bin", "valid_fraction", "matrix"])
 
     out = frames.select(*AT, "start_bin", "valid_fraction", "balanced_bin", "good_bin", "has_expected",

@@ -5,17 +5,20 @@ Only ranks (top k, full ranking) and histograms need pair scores; those use
 the block engine.
 """
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from .. import constants as C
 from ..functions import labels as L
 from ..functions import vectors as V
-from . import blocks
+from ..sources.scratch import written
+from . import blocks, ranks, sweep
 
 PLAIN = 1e-300  # plain L2 normalisation that leaves zero vectors at zero
 EDGES_80 = (-0.2, 1.0, 80)
@@ -23,8 +26,11 @@ EDGES_60 = (-0.2, 1.0, 60)
 
 
 def class_sums(rows: DataFrame, label: str = "label", vector: str = "fingerprint", dim: int = C.FP_DIM) -> DataFrame:
-    """Per class: size, sum of unit vectors, sum of their squared lengths."""
-    u = rows.select(label, V.unit(F.col(vector), PLAIN).alias("u"))
+    """Per class: size, sum of unit vectors, sum of their squared lengths.
+
+    Rows without a usable vector take no part, so a class may be smaller than its label count, or missing.
+    """
+    u = rows.where(V.usable(F.col(vector))).select(label, V.unit(F.col(vector), PLAIN).alias("u"))
     return (u.withColumn("sq", V.dot(F.col("u"), F.col("u"))).groupBy(label)
             .agg(F.count(F.lit(1)).alias("n"), F.sum("sq").alias("sq"), V.sum_vectors(F.col("u"), dim).alias("total")))
 
@@ -75,8 +81,9 @@ def silhouette_samples(rows: DataFrame, label: str = "label", key: str = "id", v
                        dim: int = C.FP_DIM, block_rows: int = blocks.ROWS_PER_BLOCK) -> DataFrame:
     """Cosine silhouette of every row, from class sums instead of pairs.
 
-    Classes of one member get 0.
+    Classes of one member get 0. Rows without a usable vector get none, and are no members.
     """
+    rows = rows.where(V.usable(F.col(vector)))
     sums = class_sums(rows, label, vector, dim)
     schema = StructType([StructField(key, rows.schema[key].dataType), StructField(label, rows.schema[label].dataType),
                          StructField("own", DoubleType()), StructField("n", LongType()),
@@ -141,88 +148,13 @@ def knn_accuracy(near: DataFrame, label: str = "label", key: str = "id") -> Data
             .agg(F.avg((F.col("predicted") == F.col(label)).cast("double")).alias("knn_accuracy")))
 
 
-_HIT = np.dtype([("score", "f8"), ("id", "i8")])
-
-
-def _first_hits(hits):
-    """Positives in ranking order: best score first, then the smaller id."""
-    return hits[np.lexsort((hits["id"], -hits["score"]))]
-
-
 def average_precision(rows: DataFrame, label: str = "label", key: str = "id", vector: str = "fingerprint",
-                      include_self: bool = True, block_rows: int = blocks.ROWS_PER_BLOCK) -> DataFrame:
-    """Average precision of every row over its full ranking.
-
-    With ``include_self`` the row itself is ranked last and counts as a
-    positive. First each row gets the scores of its positives, from block pairs within
-    a label. Then a block pair of all rows counts, for each gap between two neighbouring
-    positives of a row, the rows that fall into it, and writes the gaps that are not empty:
-    no negative leaves its task. ``key`` must be a bigint.
+                      include_self: bool = True, **limits) -> DataFrame:
+    """Average precision of every row over its full ranking, by a sweep of all rows past the query blocks.
+
+    With ``include_self`` the row itself is ranked last and counts as a positive.
     """
-    side = blocks.with_vector(rows.select(key, label, vector), vector)
-    schema = StructType([StructField(key, LongType()), StructField("run", BinaryType())])
-
-    def scored(qt, rt):
-        """Sorted reference table and the score cells of each run of query rows; own cells are not finite."""
-        rt = blocks.sorted_by(rt, key)
-        q, r = blocks.matrix_of(qt, vector, PLAIN), blocks.matrix_of(rt, vector, PLAIN)
-        q_ids, r_ids = blocks.column_values(qt, key), blocks.column_values(rt, key)
-        for a, b in blocks.row_chunks(len(q), len(r)):
-            s = np.round(q[a:b] @ r.T, blocks.SCORE_DIGITS)
-            yield a, blocks.hide_same(s, q_ids[a:b], r_ids), r_ids
-
-    def positives(qt, rt):
-        packed = []
-        for _, s, r_ids in scored(qt, rt):
-            for row in s:
-                there = np.isfinite(row)
-                hits = np.empty(int(there.sum()), dtype=_HIT)
-                hits["score"], hits["id"] = row[there], r_ids[there]
-                packed.append(hits.tobytes())
-        return pa.table({key: qt.column(key), "run": pa.array(packed, pa.binary())})
-
-    def together(t):
-        hits = np.frombuffer(b"".join(t.column("run").to_pylist()), dtype=_HIT)
-        return pa.table({key: t.column(key)[:1], "run": pa.array([_first_hits(hits).tobytes()], pa.binary())})
-
-    found = blocks.block_pairs(side, side, positives, schema, keys=[label], q_block=key, r_block=key, rows=block_rows)
-    found = found.groupBy(key).applyInArrow(together, f"{key} bigint, run binary")
-    asked = side.select(key, vector).join(found, key)
-
-    def gaps(qt, rt):
-        runs, packed = [np.frombuffer(x, dtype=_HIT) for x in qt.column("run").to_pylist()], []
-        for a, s, r_ids in scored(qt, rt):
-            for k, row in enumerate(s):
-                hits, there = runs[a + k], np.isfinite(row)
-                score, ids = row[there], r_ids[there]
-                # rows above a positive: a better score, or the same one and a smaller id
-                gap = np.searchsorted(-hits["score"], -score, side="left")
-                ties = np.flatnonzero((gap < len(hits)) & (hits["score"][np.minimum(gap, len(hits) - 1)] == score)) if len(hits) else []
-                for t in ties:
-                    end = np.searchsorted(-hits["score"], -score[t], side="right")
-                    gap[t] += np.searchsorted(hits["id"][gap[t]:end], ids[t], side="left")
-                n = np.bincount(gap, minlength=1)
-                at = np.flatnonzero(n)
-                packed.append(np.stack([at, n[at]]).astype(np.int64).tobytes())
-        return pa.table({key: qt.column(key), "run": pa.array(packed, pa.binary())})
-
-    counted = blocks.block_pairs(asked, side.select(key, vector), gaps, schema, q_block=key, r_block=key, rows=block_rows)
-    out = pa.schema([(key, pa.int64()), ("ap", pa.float64())])
-
-    def precision(t):
-        parts = [np.frombuffer(x, dtype=np.int64).reshape(2, -1) for x in t.column("run").to_pylist()]
-        at, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        hits = int(t.column("hits")[0].as_py())
-        # a positive is in its own gap, so the sum up to its gap is its rank
-        rank = np.cumsum(np.bincount(at, n, hits + 1))
-        ap = (np.arange(1, hits + 1) / rank[:hits]).sum()
-        total = hits
-        if include_self:
-            ap, total = ap + (hits + 1) / (rank[hits] + 1), hits + 1
-        return pa.table([t.column(key)[:1], [ap / total if total else None]], schema=out)
-
-    sizes = found.select(key, (F.length("run") / _HIT.itemsize).cast("long").alias("hits"))
-    return counted.join(sizes, key).groupBy(key).applyInArrow(precision, f"{key} bigint, ap double")
+    return sweep.ranking(rows, label, key, vector, include_self=include_self, **limits).select(key, "ap")
 
 
 def mean_average_precision(rows: DataFrame, **kw) -> DataFrame:
@@ -250,34 +182,116 @@ def classifier_accuracy(scored: DataFrame, logits: str, label: str) -> DataFrame
 def pair_auc(pairs: DataFrame, label: str = "same", score: str = "score") -> DataFrame:
     """Area under the ROC curve of a score against a 0/1 label (ties count half).
 
-    Ranks come from per-score counts, so equal scores are aggregated first and
-    the running sums go over score buckets, not over one global sort.
+    Equal scores are counted first; what lies below a score is a running sum over sampled ranges of scores. Pairs without
+    a score or with NaN take no part.
     """
-    per = pairs.groupBy(score).agg(F.sum(label).alias("p"), F.sum(F.lit(1) - F.col(label)).alias("q"))
-    per = per.withColumn("_b", F.floor(F.col(score) * 4096))
-    buckets = per.groupBy("_b").agg(F.sum("q").alias("bq"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    below = buckets.select("_b", F.coalesce(F.sum("bq").over(before), F.lit(0)).alias("lower"))
-    inside = Window.partitionBy("_b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    won = F.col("p") * (F.col("lower") + F.coalesce(F.sum("q").over(inside), F.lit(0)) + F.col("q") / 2)
-    return (per.join(below, "_b").select("p", "q", won.alias("won"))
-            .agg((F.sum("won") / (F.sum("p") * F.sum("q"))).alias("auc")))
+    real = pairs.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+    per = real.groupBy(score).agg(F.sum(label).alias("p"), F.sum(F.lit(1) - F.col(label)).alias("q"))
+    won = F.col("p") * (F.col("below") + F.col("q") / 2)
+    return (ranks.running(per, score, "q", "below").select("p", "q", won.alias("won"))
+            .agg((F.sum("won") / F.nullif(F.sum("p") * F.sum("q"), F.lit(0))).alias("auc")))
+
+
+MOMENTS = "kind int, at int, value double"
+
+
+def second_moments(rows: DataFrame, vector: str = "fingerprint"):
+    """(n, mean, covariance) of the usable vectors, from one pass.
+
+    A task adds up count, sums and the upper triangle of products of its rows; these few thousand numbers per task are summed by
+    position, so what reaches the driver is one triangle whatever the table's size. Tasks centre their rows at their
+    own first row, so that far-off means cost no digits.
+    """
+    def moments(batches):
+        n, total, square, at = 0, None, None, None
+        for batch in batches:
+            x = blocks.matrix_of(pa.Table.from_batches([batch]), vector)
+            if not len(x):
+                continue
+            if at is None:
+                at, total, square = x[0].copy(), np.zeros(x.shape[1]), np.zeros((x.shape[1], x.shape[1]))
+            x = x - at
+            n, total, square = n + len(x), total + x.sum(axis=0), square + x.T @ x
+        if n:
+            square += np.outer(at, total) + np.outer(total, at) + n * np.outer(at, at)
+            total = total + n * at
+            upper = square[np.triu_indices(len(total))]
+            value = np.concatenate([[n], total, upper])
+            kind = np.repeat([0, 1, 2], [1, len(total), len(upper)]).astype(np.int32)
+            place = np.concatenate([np.arange(k) for k in (1, len(total), len(upper))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(place), pa.array(value)], ["kind", "at", "value"])
+
+    parts = rows.where(V.usable(F.col(vector))).select(vector).mapInArrow(moments, MOMENTS)
+    got = parts.groupBy("kind", "at").agg(F.sum("value").alias("value")).orderBy("kind", "at").toArrow()
+    kind, value = got["kind"].to_numpy(), got["value"].to_numpy()
+    if not len(kind):
+        return 0, np.zeros(0), np.zeros((0, 0))
+    n, total = value[0], value[kind == 1]
+    mean, cov = total / n, np.zeros((len(total), len(total)))
+    cov[np.triu_indices(len(total))] = value[kind == 2]
+    cov = cov + np.triu(cov, 1).T
+    return int(n), mean, (cov - n * np.outer(mean, mean)) / max(1.0, n - 1)
+
+
+def principal_axes(rows: DataFrame, vector: str = "fingerprint"):
+    """(mean, axes, variances): all principal axes as rows, largest variance first.
+
+    An axis points so that its entry of largest size (the first of equals) is positive.
+    """
+    _, mean, cov = second_moments(rows, vector)
+    variance, axes = np.linalg.eigh(cov)
+    variance, axes = variance[::-1], axes.T[::-1]
+    top = np.abs(axes).round(12).argmax(axis=1) if len(axes) else np.zeros(0, int)
+    return mean, axes * np.sign(axes[np.arange(len(axes)), top])[:, None], np.maximum(variance, 0.0)
+
+
+def projected(rows: DataFrame, mean, axes, vector: str = "fingerprint") -> DataFrame:
+    """``rows`` with ``pc``: the centred vector on the given axes; null without a usable vector."""
+    names = [c for c in rows.columns if c != "pc"]
+
+    @F.pandas_udf("array<double>")
+    def onto(v):
+        x = np.stack(v.to_numpy()).astype(np.float64) if len(v) else np.zeros((0, len(mean)))
+        return v.__class__(list((x - mean) @ axes.T))
+
+    use = V.usable(F.col(vector))
+    safe = F.when(use, V.as_double(F.col(vector))).otherwise(F.array_repeat(F.lit(0.0), len(mean)))
+    return rows.select(*names, F.when(use, onto(safe)).alias("pc"))
 
 
 def principal_components(rows: DataFrame, k: int, vector: str = "fingerprint") -> DataFrame:
     """First k principal components of the centred vectors, as column ``pc`` (array)."""
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    v = rows.withColumn("_v", array_to_vector(V.as_double(F.col(vector))))
-    centre = StandardScaler(withMean=True, withStd=False, inputCol="_v", outputCol="_c").fit(v)
-    centred = centre.transform(v)
-    model = PCA(k=k, inputCol="_c", outputCol="_p").fit(centred)
-    return model.transform(centred).withColumn("pc", vector_to_array("_p")).drop("_v", "_c", "_p")
+    mean, axes, _ = principal_axes(rows, vector)
+    return projected(rows, mean, axes[:k], vector)
+
+
+def auc_by_dimension(pairs: DataFrame, a: str, b: str, dims, label: str = "same") -> DataFrame:
+    """AUC of the cosine of vector pairs after reduction to each of ``dims`` dimensions.
+
+    One pass fits the axes on both sides of all pairs and one projects; a smaller dimension is the beginning of a
+    larger one. A dimension of the vectors' full width takes them as they are.
+    """
+    both = pairs.select(F.col(a).alias("v")).unionByName(pairs.select(F.col(b).alias("v")))
+    mean, axes, _ = principal_axes(both, "v")
+    top = max([d for d in dims if d < len(mean)], default=1)
+    out = pairs
+    for side in (a, b):
+        out = projected(out, mean, axes[:top], side).withColumnRenamed("pc", f"pc_{side}")
+    scored = []
+    for d in dims:
+        x, y = ((F.col(a), F.col(b)) if d >= len(mean) else (F.slice(f"pc_{a}", 1, d), F.slice(f"pc_{b}", 1, d)))
+        scored.append(F.struct(F.lit(d).alias("dims"), V.cosine(x, y).alias("score")))
+    long = out.select(label, F.explode(F.array(*scored)).alias("s")).select("s.dims", label, "s.score")
+    table = written(long, "pair-scores")
+    results = [pair_auc(table.where(F.col("dims") == d), label).select(F.lit(d).alias("dims"), "auc") for d in dims]
+    return functools.reduce(DataFrame.unionByName, results)
 
 
 def quality_report(rows: DataFrame, label: str = "label", key: str = "id") -> DataFrame:
     """All metrics of a labelled table in one row, with verdicts."""
-    near = neighbours(rows, 21, label, key, exclude_self=False)
+    swept = written(sweep.ranking(rows, label, key, top=21), "quality")  # ranks and neighbours from one sweep
+    near = swept.select(key, label, F.posexplode("near").alias("rank", "m")).select(
+        key, label, "m.ref_label", "m.ref_key", (F.col("rank") + 1).alias("rank"))
     order = Window.partitionBy(key).orderBy("rank")
     others = (near.where(F.col("ref_key") != F.col(key)).withColumn("rank", F.row_number().over(order))
               .where(F.col("rank") <= 20))
@@ -285,7 +299,7 @@ def quality_report(rows: DataFrame, label: str = "label", key: str = "id") -> Da
     knn = knn_accuracy(near.where("rank <= 5"), label, key)
     sizes = rows.agg(F.count(F.lit(1)).alias("n_windows"), F.count_distinct(label).alias("n_cell_types"))
     sil = silhouette_samples(rows, label, key).agg(F.avg("silhouette").alias("silhouette"))
-    parts = [knn, sil, mean_average_precision(rows, label=label, key=key), intra_inter(rows, label), sizes]
+    parts = [knn, sil, swept.agg(F.avg("ap").alias("mean_ap")), intra_inter(rows, label), sizes]
     out = recall.select("*", *[p.select(F.struct("*")).scalar().alias(f"_p{i}") for i, p in enumerate(parts)])
     out = out.select(*recall.columns, *[f"_p{i}.*" for i in range(len(parts))])
     return (out.withColumn("random_recall5", L.random_recall(F.col("n_cell_types")))

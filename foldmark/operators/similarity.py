@@ -1,5 +1,9 @@
 """Similarity search: at one locus, over a whole collection, and the fallback."""
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -81,23 +85,27 @@ def cell_type_scores(queries: DataFrame, refs: DataFrame, rows=blocks.ROWS_PER_B
     return blocks.best_per_label(q, r, "cell_type", q_key=["id"], r_key="id", rows=rows)
 
 
+def keyed_permutations(n_perm: int, dim: int, seed: int = C.SEED) -> np.ndarray:
+    """``n_perm`` permutations of the positions 0..dim-1, each in the order of keyed hashes."""
+    def mark(k, i):
+        return hashlib.md5(f"{seed}:{k}:{i}".encode()).digest()
+    return np.array([sorted(range(dim), key=lambda i: mark(k, i)) for k in range(n_perm)]).reshape(n_perm, dim)
+
+
 def permutation_pvalues(queries: DataFrame, refs: DataFrame, n_perm: int = C.PERMUTATIONS,
                         seed: int = C.SEED, dim: int = C.FP_DIM) -> DataFrame:
     """Observed mean cosine to the references of the locus, and its permutation p-value.
 
     The mean over references is linear, so the shuffled vectors are scored
-    against one mean reference vector per locus.
+    against one mean reference vector per locus. Shuffle k orders the positions by the md5 of "seed:k:position", so every
+    engine and every run draws the same ones. Rows without a usable vector take no part.
     """
-    import numpy as np
-    import pandas as pd
-
-    mean_ref = (refs.select(*LOCUS, V.unit(F.col("fingerprint")).alias("u"))
+    shuffles = keyed_permutations(n_perm, dim, seed)
+    mean_ref = (refs.where(V.usable(F.col("fingerprint"))).select(*LOCUS, V.unit(F.col("fingerprint")).alias("u"))
                 .groupBy(*LOCUS).agg(V.mean_vectors(F.col("u"), dim).alias("mean_ref")))
 
     @F.pandas_udf("observed double, p_value double")
     def test(fp: pd.Series, mean: pd.Series) -> pd.DataFrame:
-        rng = np.random.default_rng(seed)
-        shuffles = np.stack([rng.permutation(dim) for _ in range(n_perm)])
         out = []
         for a in range(0, len(fp), 64):
             q = np.stack(fp.iloc[a:a + 64].values).astype(np.float64)
@@ -109,7 +117,7 @@ def permutation_pvalues(queries: DataFrame, refs: DataFrame, n_perm: int = C.PER
             out.append(pd.DataFrame({"observed": observed, "p_value": (hits + 1) / (n_perm + 1)}))
         return pd.concat(out, ignore_index=True)
 
-    return (queries.select(*WINDOW_KEY, "fingerprint").join(mean_ref, LOCUS)
+    return (queries.where(V.usable(F.col("fingerprint"))).select(*WINDOW_KEY, "fingerprint").join(mean_ref, LOCUS)
             .withColumn("_t", test("fingerprint", "mean_ref"))
             .select(*WINDOW_KEY, "_t.observed", "_t.p_value"))
 

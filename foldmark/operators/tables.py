@@ -6,11 +6,15 @@ from pyspark.sql.window import Window
 
 from .. import constants as C
 from ..functions import vectors as V
+from ..sources.scratch import written
+from .ranks import numbered
+
+MOST_SENT = 500_000  # rows of a few short values that are sent to every executor
 
 
 def locus_centroids(fingerprints: DataFrame, dim: int = C.FP_DIM) -> DataFrame:
-    """Element-wise mean vector (double; stored as float) and sample count of every locus."""
-    return (fingerprints.groupBy("chr", "start_bp", "end_bp")
+    """Element-wise mean vector (double; stored as float) and sample count of every locus, over rows with a usable vector."""
+    return (fingerprints.where(V.usable(F.col("fingerprint"))).groupBy("chr", "start_bp", "end_bp")
             .agg(V.mean_vectors(F.col("fingerprint"), dim).alias("centroid"),
                  F.count(F.lit(1)).cast("int").alias("n_samples")))
 
@@ -22,8 +26,8 @@ def centroid_index(centroids: DataFrame) -> DataFrame:
 
 
 def group_mean_fingerprints(fingerprints: DataFrame, group: str, dim: int = C.FP_DIM) -> DataFrame:
-    """Mean vector per replicate group and locus."""
-    return (fingerprints.groupBy(group, "chr", "start_bp", "end_bp")
+    """Mean vector per replicate group and locus, over rows with a usable vector."""
+    return (fingerprints.where(V.usable(F.col("fingerprint"))).groupBy(group, "chr", "start_bp", "end_bp")
             .agg(V.mean_vectors(F.col("fingerprint"), dim).alias("fingerprint"),
                  F.count(F.lit(1)).alias("n_samples")))
 
@@ -57,10 +61,7 @@ def without_samples(table: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def with_new_ids(existing: DataFrame, incoming: DataFrame, order) -> DataFrame:
-    """Incoming rows numbered on from the largest existing id, in a total order.
-
-    ``order`` starts with two columns that split the table (sample, chromosome).
-    """
+    """Incoming rows numbered on from the largest existing id, in a total order."""
     base = existing.select(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     ordered = dense_numbering(incoming, order)
     top = base.scalar()
@@ -68,38 +69,22 @@ def with_new_ids(existing: DataFrame, incoming: DataFrame, order) -> DataFrame:
 
 
 def dense_numbering(df: DataFrame, order) -> DataFrame:
-    """Column ``_row`` = 1..n in the given total order, without sorting the table in one task.
-
-    Rows are numbered inside each value of the first two order columns (sample
-    and chromosome: a group is bounded by the chromosome). Offsets come from
-    counts: a running sum over samples, then over the chromosomes of a sample.
-    """
-    first, second, rest = order[0], order[1], list(order[2:])
-    counts = df.groupBy(first, second).agg(F.count(F.lit(1)).alias("_n"))
-
-    def before(w):
-        return F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-
-    samples = (counts.groupBy(first).agg(F.sum("_n").alias("_n"))
-               .select(first, before(Window.orderBy(first)).alias("_o1")))
-    inner = counts.select(first, second, before(Window.partitionBy(first).orderBy(second)).alias("_o2"))
-    offsets = inner.join(samples, first).select(first, second, (F.col("_o1") + F.col("_o2")).alias("_off"))
-    inside = Window.partitionBy(first, second).orderBy(*(rest or [second]))
-    row = (F.row_number().over(inside) + F.col("_off")).cast("long")
-    return df.join(offsets, [first, second]).select(*df.columns, row.alias("_row"))
+    """Column ``_row`` = 1..n in the given total order (nulls first), from range offsets."""
+    return numbered(df, list(order), (), "_row").withColumn("_row", F.col("_row") + 1)
 
 
 def first_in_hash_order(df: DataFrame, n: int, key, seed: int = C.SEED) -> DataFrame:
-    """The n rows smallest by hash of their key, numbered from 0 as ``_k``: a repeatable sample.
+    """The n rows smallest by the md5 of "seed:key", numbered from 0 as ``_k``: a repeatable sample.
 
     Counts per hash bucket give the bucket in which the n-th row lies; only rows
     up to that bucket are sorted.
     """
-    rows = df.withColumn("_h", F.xxhash64(F.lit(seed), *key)).withColumn("_b", F.shiftrightunsigned("_h", 48).cast("int"))
+    mark = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]).cast("binary"))
+    rows = df.withColumn("_h", mark).withColumn("_b", F.substring("_h", 1, 4))
     counts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
     upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     needed = counts.select("_b", F.coalesce(F.sum("_c").over(upto), F.lit(0)).alias("_before")).where(F.col("_before") < n)
-    last = needed.agg(F.max("_b").alias("b")).scalar()
+    last = needed.agg(F.max("_b").alias("b")).scalar()  # windows: one row per bucket, then n rows and a bucket
     place = F.row_number().over(Window.orderBy("_b", "_h", *key)) - 1
     return rows.where(F.col("_b") <= last).withColumn("_k", place).where(F.col("_k") < n).drop("_h", "_b")
 
@@ -137,33 +122,49 @@ def label_map_with(old: DataFrame, names: DataFrame, column: str) -> DataFrame:
 
 
 def label_map(names: DataFrame, column: str) -> DataFrame:
-    """Sorted distinct names numbered from 0 (distinct names are few)."""
-    order = Window.orderBy(column)
-    return names.select(column).distinct().withColumn("label", F.dense_rank().over(order) - 1)
+    """Sorted distinct names numbered from 0, however many they are."""
+    return numbered(names.select(column).distinct(), [column], (), "label").select(column, F.col("label").cast("int").alias("label"))
+
+
+def split_cuts(rows: DataFrame, stratum: str, key: str, fraction: float = 0.1, seed: int = C.SEED) -> DataFrame:
+    """Per stratum (null is one) the md5 up to which rows go to val: max(1, floor(n*fraction)) rows of distinct keys.
+
+    Rows are counted by leading hex digits, three at a time: after two rounds only rows that agree with the cut in six digits, one in
+    16 million, are ranked. What comes out is one row per stratum, so a split moves no row.
+    """
+    left = rows.select(F.col(stratum).alias("s"), _split_mark(F.col(key), seed).alias("h"))
+    need = F.greatest(F.lit(1), F.floor(F.sum("c").over(Window.partitionBy("s")) * F.lit(fraction)))
+    for digits in (3, 6):
+        counts = left.groupBy("s", F.substring("h", 1, digits).alias("d"), *(["need"] if digits > 3 else [])).agg(F.count(F.lit(1)).alias("c"))
+        upto = F.coalesce(F.sum("c").over(Window.partitionBy("s").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        counts = counts.withColumn("before", upto).withColumn("need", need if digits == 3 else F.col("need"))
+        at = counts.where((F.col("before") < F.col("need")) & (F.col("need") <= F.col("before") + F.col("c"))).select(
+            F.col("s").alias("s_"), "d", (F.col("need") - F.col("before")).alias("n"))
+        left = left.join(at, F.col("s").eqNullSafe(F.col("s_")) & (F.substring("h", 1, digits) == F.col("d"))).select(
+            "s", "h", F.col("n").alias("need"))
+    place = F.row_number().over(Window.partitionBy("s").orderBy("h"))
+    return left.withColumn("place", place).where("place = need").select(F.col("s").alias(stratum), F.col("h").alias("cut"))
+
+
+def _split_mark(key, seed):
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")).cast("binary"))
 
 
 def stratified_split(rows: DataFrame, stratum: str, key: str, fraction: float = 0.1, seed: int = C.SEED) -> DataFrame:
-    """Column ``split``: per stratum max(1, floor(n*fraction)) rows to val, rest to train.
+    """Column ``split``: per stratum (null is one) max(1, floor(n*fraction)) rows to val, rest to train.
 
-    Rows are taken in the order of the md5 of seed and key. The cut is found without collecting a
-    stratum: rows are counted per (stratum, leading digits), the digits at which the cut lies are
-    found on those counts, and only rows with these digits are ranked.
+    Rows are taken in the order of the md5 of seed and key; rows that share a key go together.
     """
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
-    rows = rows.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 3))
-    counts = rows.groupBy(stratum, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(stratum).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(stratum)
-    plan = (counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-            .withColumn("_take", F.greatest(F.lit(1), F.floor(F.sum("_c").over(whole) * F.lit(fraction))))
-            .withColumn("_left", F.greatest(F.lit(0), F.least(F.col("_c"), F.col("_take") - F.col("_before"))))
-            .select(stratum, "_b", "_c", "_left"))
-    met = rows.join(plan, [stratum, "_b"])
-    cut = (F.col("_left") > 0) & (F.col("_left") < F.col("_c"))
-    inside = Window.partitionBy(stratum, "_b").orderBy("_h", key)
-    ranked = met.where(cut).withColumn("_val", F.row_number().over(inside) <= F.col("_left"))
-    return (ranked.unionByName(met.where(~cut).withColumn("_val", F.col("_left") > 0))
-            .withColumn("split", F.when(F.col("_val"), "val").otherwise("train")).drop("_h", "_b", "_c", "_left", "_val"))
+    cuts = sent_if_small(split_cuts(rows, stratum, key, fraction, seed).withColumnRenamed(stratum, "_s"))
+    met = rows.join(cuts, rows[stratum].eqNullSafe(F.col("_s")))
+    split = F.when(_split_mark(rows[key], seed) <= F.col("cut"), "val").otherwise("train")
+    return met.select(*[rows[c] for c in rows.columns if c != "split"], split.alias("split"))
+
+
+def sent_if_small(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """``df`` as a stored table, marked for broadcast when a count shows at most ``most`` rows."""
+    table = written(df, "small")
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
 def global_split(rows: DataFrame, key: str, fraction: float = 0.1, seed: int = C.SEED) -> DataFrame:

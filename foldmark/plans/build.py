@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import names as N
-from ..functions import vectors as V
 from ..operators import annotation, codes, contacts, tables
+from ..sources.scratch import written
 
 
 def build_tiles(pixels: DataFrame, bins: DataFrame, cytoband: DataFrame, chromosomes: DataFrame, *,
@@ -89,10 +89,12 @@ def encode_tiles(tiles: DataFrame, encode, out: str = "fingerprint", dim: int =
 
 
 def build_store(tiles: DataFrame, encode, samples: DataFrame, existing: DataFrame, *, ccre: DataFrame | None = None,
+                tokens: DataFrame | None = None, codebook: DataFrame | None = None, histograms: DataFrame | None = None,
                 dim: int = C.FP_DIM) -> dict:
-    """Fingerprint, sample and centroid tables after ingesting the tiles.
+    """Fingerprint, sample, centroid and, with ``tokens`` and ``codebook``, histogram tables after ingesting the tiles.
 
-    ``existing`` are the fingerprints already stored; new rows are numbered on.
+    ``existing`` are the fingerprints already stored; new rows are numbered on. ``tokens`` (sample_id and token of every new tile) are
+    coded by ``codebook`` (code, vec); a sample's histogram replaces the one in ``histograms``.
     """
     fps = encode_tiles(tiles.select("sample_id", "chr", "start_bp", "end_bp", "matrix"), encode, dim=dim)
     fps = (tables.with_new_ids(existing, fps, ["sample_id", "chr", "start_bp"])
@@ -110,7 +112,12 @@ def build_store(tiles: DataFrame, encode, samples: DataFrame, existing: DataFram
     cols = ["id", "sample_id", "chr", "start_bp", "end_bp", "fingerprint", "boundary", "compartment", "ccre_annot"]
     every = existing.select(*cols).unionByName(fps.select(*cols))
     centroids = tables.locus_centroids(every, dim)
-    return {
+    coded = {}
+    if tokens is not None:
+        n_codes = codebook.agg((F.max("code") + 1).alias("n")).first()["n"]
+        fresh = sample_histograms(tokens.join(tiles.select("sample_id").distinct(), "sample_id", "left_semi"), codebook, ["sample_id"], n_codes)
+        coded["sample_histograms"] = fresh if histograms is None else tables.upsert(histograms, fresh, "sample_id")
+    return coded | {
         "window_fingerprints": every,
         "samples": tables.refresh_tile_counts(samples, every),
         "locus_centroids": centroids.withColumn("centroid", F.col("centroid").cast("array<float>")),
@@ -123,19 +130,31 @@ def sample_histograms(tokens: DataFrame, codebook: DataFrame, key, n_codes: int
     return codes.stored_histograms(codes.histograms(codes.assign_codes(tokens, codebook, key), n_codes=n_codes))
 
 
-def combine(tiles: DataFrame, wanted: DataFrame | None = None, *, fraction: float = 0.1, seed: int = C.SEED) -> DataFrame:
-    """All tiles with assay code, sample index and a stratified train/val split.
+def combine(tiles: DataFrame, wanted: DataFrame | None = None, registry: DataFrame | None = None, *, fraction: float = 0.1,
+            seed: int = C.SEED) -> DataFrame:
+    """All tiles with assay code (``assay_id``), sample index (``cell_idx``) and a stratified train/val split.
 
-    The split is made on the key columns and joined back, so matrices are not
-    sorted.
+    ``registry`` (sample_id, assay) gives the assay; unknown ones and samples without a row count as the first. What a tile needs to know
+    is one row per sample: its index, code and the hash up to which its tiles are val. That table is sent to the tiles when
+    it is small, so no matrix is shuffled; rows without a sample id are a sample of their own.
     """
     if wanted is not None:
-        tiles = tiles.join(wanted.select("sample_id"), "sample_id", "left_semi")
-    index = tables.label_map(tiles, "sample_id").withColumnRenamed("label", "cell_idx")
-    keyed = tiles.select("sample_id", "chr", "start_bin").withColumn(
-        "tile_key", F.concat_ws(":", "sample_id", "chr", F.col("start_bin").cast("string")))
-    split = tables.stratified_split(keyed, "sample_id", "tile_key", fraction, seed).drop("tile_key")
-    return tiles.join(split, ["sample_id", "chr", "start_bin"]).join(index, "sample_id")
+        tiles = tiles.join(wanted.select("sample_id").distinct(), "sample_id", "left_semi")
+    key = F.concat_ws(":", "sample_id", "chr", F.col("start_bin").cast("string"))
+    keys = written(tiles.select("sample_id", key.alias("tile_key")), "tile-keys")
+    cuts = tables.split_cuts(keys, "sample_id", "tile_key", fraction, seed)
+    index = tables.label_map(keys, "sample_id")
+    code = N.assay_code(F.col("assay"))
+    assays = (index.select("sample_id", F.lit(None).cast("string").alias("assay")) if registry is None else
+              registry.groupBy("sample_id").agg(F.min("assay").alias("assay"))).select(F.col("sample_id").alias("_a"), code.alias("assay_id"))
+    facts = index.select(F.col("sample_id").alias("_s"), F.col("label").alias("cell_idx"))
+    facts = facts.join(cuts, F.col("_s").eqNullSafe(F.col("sample_id"))).drop("sample_id")
+    facts = facts.join(assays, F.col("_s").eqNullSafe(F.col("_a")), "left").select(
+        "_s", "cell_idx", F.coalesce("assay_id", F.lit(0)).alias("assay_id"), "cut")
+    met = tiles.join(tables.sent_if_small(facts), tiles["sample_id"].eqNullSafe(F.col("_s")))
+    split = F.when(tables._split_mark(key, seed) <= F.col("cut"), "val").otherwise("train")
+    return met.withColumn("split", split).select(*[tiles[c] for c in tiles.columns if c not in ("split", "cell_idx", "assay_id")],
+                                                 "split", "cell_idx", "assay_id")
 
 
 def mean_projection(dim: int):
@@ -144,6 +163,3 @@ def mean_projection(dim: int):
         return m.reshape(m.shape[0], dim, -1).mean(axis=2, dtype="float64")
     return encode
 
-
-def unit_fingerprints(fps: DataFrame) -> DataFrame:
-    return fps.withColumn("z", V.unit(F.col("fingerprint")))

@@ -5,20 +5,29 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import labels as L
+from ..functions import vectors as V
+from ..operators import annotation
 from ..operators import rollups as R
 from ..operators import similarity as S
+from ..sources.scratch import written
 
 
-def window_table(queries: DataFrame, refs: DataFrame, k: int = C.TOP_K) -> DataFrame:
-    """Window results with p-value, and concordance with the best match where vectors are stored."""
+def window_table(queries: DataFrame, refs: DataFrame, k: int = C.TOP_K, ccre: DataFrame | None = None, cell=None,
+                 threshold: float = C.CCRE_DELTA) -> DataFrame:
+    """Window results with p-value; concordance with the best match where both sides store profiles; with ``ccre`` the annotation.
+
+    ``cell`` maps a sample id column to the sample id used in ``ccre`` (the same one unless given).
+    """
     matches = S.locus_matches(queries, refs, k)
     w = S.window_results(queries, matches).join(S.permutation_pvalues(queries, refs), S.WINDOW_KEY, "left")
-    return w.withColumn("locus", L.locus(F.col("chr"), F.col("start_bp"), F.col("end_bp")))
+    w = w.withColumn("locus", L.locus(F.col("chr"), F.col("start_bp"), F.col("end_bp")))
+    if all("boundary" in side.columns and "compartment" in side.columns for side in (queries, refs)):
+        w = with_concordance(w, queries, refs)
+    return w if ccre is None else with_annotation(w, ccre, cell, threshold)
 
 
 def with_concordance(windows: DataFrame, queries: DataFrame, refs: DataFrame) -> DataFrame:
-    """Pearson of boundary and compartment profiles between each window and its best match."""
-    from ..functions import vectors as V
+    """Pearson of boundary and compartment profiles between each window and its best match, null where a profile is missing."""
     own = queries.select(*S.WINDOW_KEY, F.col("boundary").alias("_qb"), F.col("compartment").alias("_qc"))
     theirs = refs.select(F.col("sample_id").alias("top_sample"), "chr", "start_bp",
                          F.col("boundary").alias("_rb"), F.col("compartment").alias("_rc"))
@@ -30,6 +39,27 @@ def with_concordance(windows: DataFrame, queries: DataFrame, refs: DataFrame) ->
             .withColumn("compartment_label", L.compartment_concordance_label(F.col("compartment_concordance"))))
 
 
+def with_annotation(windows: DataFrame, ccre: DataFrame, cell=None, threshold: float = C.CCRE_DELTA) -> DataFrame:
+    """``ccre_annot_query`` (16 values) of each window and ``ccre_diff``: a line per category whose count differs by ``threshold`` from the best match's.
+
+    Null for samples without elements; each (cell, locus) is annotated once, whichever side asks.
+    """
+    cell = cell or (lambda c: c)
+    at = ["chr", "start_bp", "end_bp"]
+    w = written(windows.withColumn("_own", cell(F.col("sample_id"))).withColumn("_other", cell(F.col("top_sample"))), "windows")
+    asked = w.select(F.col("_own").alias("sample_id"), *at).unionByName(w.select(F.col("_other").alias("sample_id"), *at))
+    asked = asked.where("sample_id IS NOT NULL").distinct().select(
+        "sample_id", F.col("chr").alias("chrom"), F.col("start_bp").alias("win_start"), F.col("end_bp").alias("win_end"))
+    known = written(annotation.annotate_windows(asked, ccre).select(
+        "sample_id", F.col("chrom").alias("chr"), F.col("win_start").alias("start_bp"), F.col("win_end").alias("end_bp"),
+        annotation.annotation_vector().alias("values")), "annotations")
+    own = known.select(F.col("sample_id").alias("_own"), *at, F.col("values").alias("ccre_annot_query"))
+    other = known.select(F.col("sample_id").alias("_other"), *at, F.col("values").alias("_values"))
+    out = w.join(own, ["_own", *at], "left").join(other, ["_other", *at], "left")
+    return out.withColumn("ccre_diff", annotation.category_lines(
+        F.col("ccre_annot_query"), F.col("_values"), threshold)).drop("_own", "_other", "_values")
+
+
 def _levels(windows, voted):
     """Level 1 and 2 of every query sample as nested columns."""
     vote = (R.majority_vote(voted).select("sample_id", F.struct(
@@ -41,17 +71,22 @@ def _levels(windows, voted):
     return vote, chroms
 
 
-def four_level_report(queries: DataFrame, refs: DataFrame, k: int = C.TOP_K, n_divergent: int | None = None) -> DataFrame:
+DIVERGENT = ["rank", "locus", "chr", "start_bp", "end_bp", "similarity", "top_sample", "top_cell_type", "status", "p_value"]
+OPTIONAL = ["boundary_concordance", "compartment_concordance", "ccre_diff", "ccre_annot_query"]
+
+
+def four_level_report(queries: DataFrame, refs: DataFrame, k: int = C.TOP_K, n_divergent: int | None = None,
+                      ccre: DataFrame | None = None, cell=None) -> DataFrame:
     """One nested row per query sample: vote, chromosome summary, divergent loci.
 
     Level 1 counts windows with a match; level 2 counts all windows, those
-    without a match at score 0. The window map (level 3) is ``window_table``.
+    without a match at score 0. The window map (level 3) is ``window_table``. Divergent loci carry the concordance with
+    the best match and, with ``ccre``, the annotation and its changes.
     """
-    w = window_table(queries, refs, k)
+    w = written(window_table(queries, refs, k, ccre, cell), "windows")  # read once per level
     vote, chroms = _levels(w, w.where("has_match"))
-    lost = (R.divergent_windows(w, n_divergent)
-            .select("sample_id", F.struct("rank", "locus", "similarity", "top_sample", "top_cell_type", "status",
-                                          "p_value").alias("d"))
+    shown = DIVERGENT + [c for c in OPTIONAL if c in w.columns]
+    lost = (R.divergent_windows(w, n_divergent).select("sample_id", F.struct(*shown).alias("d"))
             .groupBy("sample_id").agg(F.sort_array(F.collect_list("d")).alias("level4")))
     n = w.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_windows"))
     return n.join(vote, "sample_id", "left").join(chroms, "sample_id").join(lost, "sample_id", "left")

@@ -45,8 +45,8 @@ def annotation_files(files: DataFrame, extension: str = ".bed.gz") -> DataFrame:
             .groupBy("key").agg(F.max("path").alias("path")))
 
 
-def read_ccre(spark: SparkSession, paths, chromosomes_only: bool = False) -> DataFrame:
-    """Regulatory elements of BED files (gzip or not): chrom, start, end, category, source path.
+def read_ccre(spark: SparkSession, paths, chromosomes_only: bool = False, with_name: bool = False) -> DataFrame:
+    """Regulatory elements of BED files (gzip or not): chrom, start, end, category, source path and, if asked, the name column.
 
     Rows of fewer than ten columns are dropped; unknown categories become the
     background category.
@@ -57,7 +57,7 @@ def read_ccre(spark: SparkSession, paths, chromosomes_only: bool = False) -> Dat
     out = raw.where(F.col("c9").isNotNull()).select(
         F.col("c0").alias("chrom"), F.col("c1").cast("long").alias("start_bp"), F.col("c2").cast("long").alias("end_bp"),
         F.when(c.isin(C.CCRE_CATEGORIES), c).otherwise(C.CCRE_DEFAULT).alias("category"),
-        F.regexp_replace(F.input_file_name(), "^file:/*", "/").alias("path"))
+        F.regexp_replace(F.input_file_name(), "^file:/*", "/").alias("path"), *([F.col("c3").alias("name")] if with_name else []))
     return out.where(F.col("chrom").isin(C.CHROMOSOMES)) if chromosomes_only else out
 
 

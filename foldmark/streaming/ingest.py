@@ -14,7 +14,7 @@ def tile_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> D
     return spark.readStream.schema(T.TILES).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def ingest_stream(tiles: DataFrame, store: Store, encode, checkpoint: str):
+def ingest_stream(tiles: DataFrame, store: Store, encode, checkpoint: str, dim: int = C.FP_DIM):
     """Encode every new tile and append its fingerprint once.
 
     A batch that is run again after a failure adds nothing, because keys
@@ -24,7 +24,7 @@ def ingest_stream(tiles: DataFrame, store: Store, encode, checkpoint: str):
 
     def batch(df, batch_id):
         one = df.select("sample_id", "chr", "start_bp", "end_bp", "matrix").dropDuplicates(["sample_id", "chr", "start_bp"])
-        store.ingest(encode_tiles(one, encode))
+        store.ingest(encode_tiles(one, encode, dim=dim))
 
     return (tiles.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
