@@ -482,7 +482,7 @@ def _report(fx):
                                           ccre=_ccre(fx), cell=N.cell_name)
 
 
-define("lost", """
+define("lost_loci", """
 SELECT w.*, row_number() OVER (PARTITION BY w.sample_id ORDER BY similarity, w.chr, w.start_bp) AS rank,
   s.cell_type AS own_cell, t.cell_type AS other_cell, q.v AS qv, r.v AS rv
 FROM win w JOIN samples s ON s.sample_id = w.sample_id JOIN samples t ON t.sample_id = w.top_sample
@@ -495,8 +495,8 @@ WHERE similarity < 0.3""", ["win", "samples", "members"])
 SELECT sample_id, rank, chr, start_bp, round(similarity, 6) AS similarity, top_sample, status, p_value,
   round({_pearson_sql("qv[1:32]", "rv[1:32]")}, 6) + 0.0E0 AS boundary_concordance,
   round({_pearson_sql("qv[33:64]", "rv[33:64]")}, 6) + 0.0E0 AS compartment_concordance
-FROM lost LEFT JOIN ({ORACLES["permutation_p"][0]}) p USING (sample_id, chr, start_bp)""",
-          ["lost", *ORACLES["permutation_p"][1]])
+FROM lost_loci LEFT JOIN ({ORACLES["permutation_p"][0]}) p USING (sample_id, chr, start_bp)""",
+          ["lost_loci", *ORACLES["permutation_p"][1]])
 def locus_report_divergent(fx):
     """Level 4 of the nested report with p-value and concordances."""
     d = _report(fx).select("sample_id", F.inline("level4"))
@@ -513,9 +513,9 @@ SELECT l.sample_id, l.chr, l.start_bp, CAST(k - 1 AS INTEGER) AS feature,
   array_to_string(list_filter([{", ".join(f"""CASE WHEN abs(a."{c}" - b."{c}") >= 10 THEN concat('{c}: ', printf('%+.0f', a."{c}" - b."{c}"),
     CASE WHEN a."{c}" > b."{c}" THEN ' (more in query)' ELSE ' (fewer in query)' END) END""" for c in C.CCRE_CATEGORIES)}],
     lambda x: x IS NOT NULL), '; ') AS lines
-FROM lost l JOIN annot a ON a.sample_id = l.own_cell AND a.chrom = l.chr AND a.win_start = l.start_bp
+FROM lost_loci l JOIN annot a ON a.sample_id = l.own_cell AND a.chrom = l.chr AND a.win_start = l.start_bp
 JOIN annot b ON b.sample_id = l.other_cell AND b.chrom = l.chr AND b.win_start = l.start_bp, (SELECT unnest(range(1, 17)) AS k)""",
-          ["lost", "annot"])
+          ["lost_loci", "annot"])
 def locus_report_annotation(fx):
     """The 16 annotation values and the lines of change of every divergent locus."""
     d = _report(fx).select("sample_id", F.inline("level4"))

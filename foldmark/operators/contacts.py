@@ -20,7 +20,7 @@ from .. import constants as C
 from ..functions.names import chromosome_index
 
 AT = ["sample_id", "chrom"]
-PIXELS_PER_KEY = 4_000_000  # pixels of one sample and chromosome that a task may read
+STRIPE = 2048  # bins a side of a part of the contact map: at most 4 million pixels
 _FLOOR = -C.OE_CLIP  # log2 of an empty cell, clipped
 
 
@@ -36,27 +36,20 @@ def bin_profiles(bins: DataFrame) -> DataFrame:
             .withColumn("n_bins", F.size("weights")))
 
 
-def salts(profiles: DataFrame) -> F.Column:
-    """Parts into which the pixels of a sample and chromosome are dealt, as a scalar.
-
-    A chromosome of n bins has at most n (n + 1) / 2 pixels, so the largest profile tells it without a count; up to about
-    2800 bins there is one part and no copy of a profile.
-    """
-    n = F.col("n_bins").cast("double")
-    return profiles.agg(F.greatest(F.lit(1), F.ceil(F.max(n * (n + 1) / 2) / PIXELS_PER_KEY).cast("int")).alias("s")).scalar()
-
-
-def balanced(pixels: DataFrame, profiles: DataFrame) -> DataFrame:
+def balanced(pixels: DataFrame, profiles: DataFrame, stripe: int = STRIPE) -> DataFrame:
     """Pixels with ``value`` = count x weight x weight (NULL where a weight is) and ``dist``.
 
-    The join key is salted where a sample's chromosome may hold more pixels than a task should read: an aggregation by the same
-    key right after the join would keep Spark from splitting that key by itself.
+    One sample's chromosome may hold a third of all pixels, and an aggregation by the same key right after the join would keep
+    Spark from splitting that key by itself. So the map is cut into squares of ``stripe`` bins: a pixel knows its square, and a profile
+    is repeated per square, which for up to ``stripe`` bins is no copy at all.
     """
     w = lambda b: F.get("weights", F.col(b).cast("int"))
-    salt = salts(profiles)
-    left = pixels.withColumn("_salt", F.pmod(F.xxhash64("bin1", "bin2"), salt).cast("int"))
-    right = profiles.withColumn("_salt", F.explode(F.sequence(F.lit(0), salt - 1)))
-    return (left.join(right, AT + ["_salt"]).drop("_salt")
+    square = lambda b: F.floor(b / stripe).cast("int")
+    left = (pixels.withColumn("_row", square(F.least("bin1", "bin2"))).withColumn("_column", square(F.greatest("bin1", "bin2"))))
+    last = square(F.greatest(F.col("n_bins") - 1, F.lit(0)))
+    right = (profiles.withColumn("_row", F.explode(F.sequence(F.lit(0), last)))
+             .withColumn("_column", F.explode(F.sequence(F.col("_row"), last))))
+    return (left.join(right, AT + ["_row", "_column"]).drop("_row", "_column")
             .withColumn("value", F.col("cnt") * w("bin1") * w("bin2"))
             .withColumn("dist", (F.col("bin2") - F.col("bin1")).cast("int")))
 
