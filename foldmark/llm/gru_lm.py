@@ -7,17 +7,19 @@ token a document. Every token has a class and the network predicts
 
 The most frequent training tokens share head classes by frequency, and the
 network predicts them within their class, too. Their number follows the counts: HEAD, or four times as many again and
-again while all of them occur SEEN times, up to MOST_HEAD (a replica's parameters have to fit a task); with
-2 k k words there are k classes, and only the target's class is worked out. All other words belong to TAIL classes by their
+again while all of them occur SEEN times, up to MOST_HEAD (a replica's parameters have to fit a task); for
+2 k k words there are k classes, cut so that each holds the same sum of square roots of counts: frequent words share small classes,
+rare ones large classes, which are seldom worked out, as only the target's class is. All other words belong to TAIL classes by their
 spelling (a hash of the last two bytes), so that a word never seen has one as well; within a tail class a word
 has its training count, less DISCOUNT, over the class's count, and what the
 discounts set free belongs to unseen words together. The state starts at zero and is carried
 through all windows of a document, which is scored whole.
 
 Training sees every training document once: after a warm start on a bounded sample
-(WARM_DOCS documents, so that all replicas start in one basin) each partition trains its replica over
-all its documents by truncated backpropagation (WINDOW steps, state carried
-on), and the replicas are averaged by their numbers of tokens, summed by Spark per block of parameters.
+(WARM_DOCS documents, of which those that begin within WARM_TOKENS are used, so that all replicas start in one basin) each replica trains over
+all documents of some partitions, together about PIECE tokens or more, by truncated backpropagation (WINDOW steps, state carried
+on; the last lane is filled up with masked places, so that no token is left out), and the replicas are averaged by their numbers of tokens,
+summed by Spark per block of parameters.
 Word counts are taken over all training documents and joined to the words of all documents;
 only the common words and the tail classes' totals are handed to the tasks.
 
@@ -45,10 +47,12 @@ HIDDEN, WINDOW = 16, 20
 DISCOUNT = 0.75
 WARM_DOCS, WARM_TOKENS, WARM_ROUNDS, WARM_LANES, LANES = 1500, 600_000, 3, 96, 1536
 WARM_STEPS = 300  # updates of the warm start, however small the sample, unless held-back documents get less likely
+UPDATES = 150  # least updates that a replica aims at; few tokens get fewer lanes
 RATE = 0.006
+NONE = -1  # a place without a token
 END = b""  # no word is empty
 PIECE, BLOCK, TOGETHER = 4_000_000, 16_384, 64  # tokens trained at once, values a row, replicas added at once
-ROWS = 32_768  # tokens whose softmax is worked out at once
+ROWS, CHUNK = 65_536, 4096  # tokens scored at once, and those of which the class softmax is worked out at once
 _FLUSH = 250_000
 
 
@@ -60,6 +64,17 @@ def head_size(counts):
     return head
 
 
+def class_bounds(counts, head):
+    """First word of each head class and the end, for ``head`` words of the given counts (places without a word count once)."""
+    classes = math.isqrt(head // 2)
+    mass = np.ones(head)
+    mass[:min(head, len(counts))] = np.sqrt(np.maximum(counts[:head], 1))
+    share = np.cumsum(mass)
+    cuts = np.searchsorted(share, share[-1] * np.arange(1, classes) / classes)
+    least = np.arange(1, classes)  # every class holds a word
+    return np.concatenate([[0], np.minimum(np.maximum.accumulate(np.maximum(cuts - least, 0)) + least, head - classes + least), [head]])
+
+
 def tail_class(word):
     """Class of a word outside the head, from its last two bytes."""
     return zlib.crc32(word[-2:]) % TAIL
@@ -94,6 +109,7 @@ class Table:
     def __init__(self, words, counts, tail_tokens, tail_words):
         self.words, self.head = words, head_size(counts)
         n = np.array(counts, np.float64)
+        self.bounds = class_bounds(n, self.head)
         tail = np.array([tail_class(w) for w in words], np.int64)
         k = np.arange(len(words))
         self.code = np.concatenate([np.where(k < self.head, k, self.head + tail), self.head + np.arange(TAIL)]).astype(np.int32)
@@ -110,24 +126,31 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
 
-def _softmax(x):
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    x /= x.sum(axis=1, keepdims=True)
+def _misses(x, place, scale):
+    """Softmax of each row less 1 at its place, times ``scale``: the gradient of the mean log loss. Works in ``x``."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x *= scale / x.sum(axis=1, keepdims=True)
+    x[np.arange(len(place)), place] -= scale
     return x
 
 
 def _log_at(x, place):
     """Logarithm of one softmax cell of each row."""
     rows = np.arange(len(place))
-    x = x - x.max(axis=1, keepdims=True)
-    return x[rows, place] - np.log(np.exp(x).sum(axis=1))
+    x -= x.max(axis=1, keepdims=True)
+    at = x[rows, place]
+    return at - np.log(np.exp(x, out=x).sum(axis=1))
 
 
 class Net:
     """Parameters as one flat vector, so that replicas can be averaged."""
 
-    def __init__(self, seed=3, head=HEAD):
-        self.head, self.classes = head, math.isqrt(head // 2)
+    def __init__(self, seed=3, head=HEAD, bounds=None):
+        self.head = head
+        self.bounds = class_bounds(np.zeros(0), head) if bounds is None else bounds
+        self.classes = len(self.bounds) - 1
+        self.of_code = np.concatenate([np.repeat(np.arange(self.classes), np.diff(self.bounds)), self.classes + np.arange(TAIL)])
         h, codes, classes = HIDDEN, head + TAIL, self.classes + TAIL
         self.shapes = {"emb": (codes + 1, 3 * h), "rec": (h, 3 * h), "cls": (h, classes),
                        "cls_b": (classes,), "word": (head, h), "word_b": (head,)}
@@ -148,14 +171,13 @@ class Net:
     def start(self, table, counts):
         """Output biases from the training counts."""
         n = np.array(counts[:self.head], np.float64)
-        size = self.head // self.classes
         self.p["word_b"][:] = -20  # places without a word
         self.p["word_b"][:len(n)] = np.log(n)
-        heads = np.bincount(np.arange(len(n)) // size, n, self.classes)
+        heads = np.bincount(self.of_code[:len(n)], n, self.classes)
         tails = 10.0 ** table.level
         self.p["cls_b"][:] = np.log(np.concatenate([heads, tails]) + 1)
         for c in range(self.classes):
-            b = self.p["word_b"][c * size:(c + 1) * size]
+            b = self.p["word_b"][self.bounds[c]:self.bounds[c + 1]]
             b -= b.max()
         self.p["cls_b"] -= self.p["cls_b"].max()
 
@@ -168,24 +190,23 @@ class Net:
         c = np.tanh((r * h) @ self.p["rec"][:, 2 * HIDDEN:] + x[:, 2 * HIDDEN:])
         return h + z * (c - h), z, r, c
 
-    def class_of(self, codes):
-        return np.where(codes < self.head, codes // (self.head // self.classes),
-                        codes - self.head + self.classes)
+    def by_class(self, cls):
+        """(words of the class, rows of that class) for the head classes that occur in ``cls``."""
+        order = np.argsort(cls, kind="stable")
+        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        for c in range(self.classes):
+            if cuts[c] < cuts[c + 1]:
+                yield slice(self.bounds[c], self.bounds[c + 1]), order[cuts[c]:cuts[c + 1]]
 
     def log_p(self, states, codes):
         """Natural log of P(class) and, for head tokens, of P(token | class)."""
         if len(codes) > ROWS:
             return np.concatenate([self.log_p(states[a:a + ROWS], codes[a:a + ROWS]) for a in range(0, len(codes), ROWS)])
-        cls = self.class_of(codes)
-        out = _log_at(states @ self.p["cls"] + self.p["cls_b"], cls)
-        size = self.head // self.classes
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            rows = order[cuts[c]:cuts[c + 1]]
-            if len(rows):
-                words = slice(c * size, (c + 1) * size)
-                out[rows] += _log_at(states[rows] @ self.p["word"][words].T + self.p["word_b"][words], codes[rows] - c * size)
+        cls = self.of_code[codes]
+        out = np.concatenate([_log_at(states[a:a + CHUNK] @ self.p["cls"] + self.p["cls_b"], cls[a:a + CHUNK])
+                              for a in range(0, len(cls), CHUNK)] or [np.zeros(0, np.float32)])
+        for words, rows in self.by_class(cls):
+            out[rows] += _log_at(states[rows] @ self.p["word"][words].T + self.p["word_b"][words], codes[rows] - words.start)
         return out
 
     def score(self, texts):
@@ -217,18 +238,20 @@ class Net:
 
     def train(self, texts, lanes, rate=RATE):
         """One pass of truncated backpropagation over ``texts``, joined to ``lanes`` streams."""
-        lanes = max(1, min(lanes, len(texts)))
-        stream = np.concatenate(texts)
-        fresh = np.zeros(len(stream), bool)
-        fresh[np.cumsum([0] + [len(t) for t in texts[:-1]])] = True
-        n = len(stream) // lanes
-        if not n:
+        total = sum(map(len, texts))
+        lanes = max(1, min(lanes, len(texts), total // (WINDOW * UPDATES)))
+        if not total:
             return
-        codes = stream[:n * lanes].reshape(lanes, n).T
-        fresh = fresh[:n * lanes].reshape(lanes, n).T.copy()
+        n = -(-total // lanes)
+        stream = np.full(n * lanes, NONE, np.int32)
+        stream[:total] = np.concatenate(texts)
+        fresh = np.zeros(n * lanes, bool)
+        fresh[np.cumsum([0] + [len(t) for t in texts[:-1]])] = True
+        codes = stream.reshape(lanes, n).T
+        fresh = fresh.reshape(lanes, n).T.copy()
         fresh[0] = True
         prev = np.vstack([np.full((1, lanes), self.head + TAIL, np.int32), codes[:-1]])
-        prev = np.where(fresh, self.head + TAIL, prev)
+        prev = np.where(fresh | (prev == NONE), self.head + TAIL, prev)
         h = np.zeros((lanes, HIDDEN), np.float32)
         if not hasattr(self, "m1"):
             self.m1, self.m2, self.t = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
@@ -252,33 +275,35 @@ class Net:
         p, (steps, lanes) = self.p, codes.shape
         trail = []
         for t in range(steps):
-            h = np.where(fresh[t][:, None], 0, h).astype(np.float32)
+            if fresh[t].any():
+                h = np.where(fresh[t][:, None], np.float32(0), h)
             new, z, r, c = self.step(h, p["emb"][prev[t]])
             trail.append((h, z, r, c))
             h = new
         last = h
-        states = np.concatenate([x[0] + x[1] * (x[3] - x[0]) for x in trail])
+        every = np.concatenate([x[0] + x[1] * (x[3] - x[0]) for x in trail])
         flat_codes = codes.ravel()
-        cls = self.class_of(flat_codes)
-        grad = {k: np.zeros(s, np.float32) for k, s in self.shapes.items()}
-        scale = np.float32(1 / len(flat_codes))
-        d = _softmax(states @ p["cls"] + p["cls_b"])
-        d[np.arange(len(cls)), cls] -= 1
-        d *= scale
-        grad["cls"], grad["cls_b"] = states.T @ d, d.sum(axis=0)
-        back = d @ p["cls"].T
-        size = self.head // self.classes
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            rows = order[cuts[c]:cuts[c + 1]]
-            if len(rows):
-                words = slice(c * size, (c + 1) * size)
-                e = _softmax(states[rows] @ p["word"][words].T + p["word_b"][words])
-                e[np.arange(len(rows)), flat_codes[rows] - c * size] -= 1
-                e *= scale
-                grad["word"][words], grad["word_b"][words] = e.T @ states[rows], e.sum(axis=0)
-                back[rows] += e @ p["word"][words]
+        real = np.flatnonzero(flat_codes != NONE)
+        whole = len(real) == len(flat_codes)
+        states, flat_codes = (every, flat_codes) if whole else (every[real], flat_codes[real])
+        cls = self.of_code[flat_codes]
+        grad = {k: np.zeros(s, np.float32) for k, s in self.shapes.items() if k != "emb"}
+        scale = np.float32(1 / max(1, len(flat_codes)))
+        back = np.empty_like(states)
+        for a in range(0, len(states), CHUNK):  # pieces that stay in a core's cache
+            own, here = states[a:a + CHUNK], cls[a:a + CHUNK]
+            d = _misses(own @ p["cls"] + p["cls_b"], here, scale)
+            grad["cls"] += own.T @ d
+            grad["cls_b"] += d.sum(axis=0)
+            back[a:a + CHUNK] = d @ p["cls"].T
+        for words, rows in self.by_class(cls):
+            own = states[rows]
+            e = _misses(own @ p["word"][words].T + p["word_b"][words], flat_codes[rows] - words.start, scale)
+            grad["word"][words], grad["word_b"][words] = e.T @ own, e.sum(axis=0)
+            back[rows] += e @ p["word"][words]
+        if not whole:
+            back, some = np.zeros_like(every), back
+            back[real] = some
         back = back.reshape(steps, lanes, HIDDEN)
         carry, inputs = np.zeros((lanes, HIDDEN), np.float32), np.empty((steps, lanes, 3 * HIDDEN), np.float32)
         for t in range(steps - 1, -1, -1):
@@ -296,16 +321,25 @@ class Net:
         rows, place = np.unique(prev.ravel(), return_inverse=True)
         by = np.argsort(place, kind="stable")
         starts = np.searchsorted(place[by], np.arange(len(rows)))
-        grad["emb"][rows] = np.add.reduceat(inputs.reshape(-1, 3 * HIDDEN)[by], starts)
-        g = np.concatenate([grad[k].ravel() for k in self.shapes])
-        norm = float(np.sqrt((g * g).sum()))
-        g *= min(1, 1 / max(norm, 1e-9))
+        rows_grad = np.add.reduceat(inputs.reshape(-1, 3 * HIDDEN)[by], starts)
+        g = np.concatenate([grad[k].ravel() for k in self.shapes if k != "emb"])
         self.t += 1
-        self.m1 += 0.1 * (g - self.m1)
-        self.m2 += 0.01 * (g * g - self.m2)
-        self.flat -= rate * (self.m1 / (1 - 0.9 ** self.t)) / (np.sqrt(self.m2 / (1 - 0.99 ** self.t)) + 1e-6)
+        clip = min(1, 1 / max(math.sqrt(float(g @ g) + float((rows_grad * rows_grad).sum())), 1e-9))
+        # embeddings are a leading block of the parameters; only the rows in use move
+        n = int(np.prod(self.shapes["emb"]))
+        self._move(slice(n, None), g * np.float32(clip), rate)
+        at = (rows[:, None] * (3 * HIDDEN) + np.arange(3 * HIDDEN)).ravel()
+        self._move(at, rows_grad.ravel() * np.float32(clip), rate)
         return last
 
+    def _move(self, at, g, rate):
+        """One step of Adam for some parameters."""
+        m1, m2 = self.m1[at], self.m2[at]
+        m1 += 0.1 * (g - m1)
+        m2 += 0.01 * (g * g - m2)
+        self.m1[at], self.m2[at] = m1, m2
+        self.flat[at] -= np.float32(rate / (1 - 0.9 ** self.t)) * m1 / (np.sqrt(m2 / np.float32(1 - 0.99 ** self.t)) + np.float32(1e-6))
+
 
 def word_counts(texts):
     """(word, n) over a text column, added up within a task first."""
@@ -329,9 +363,9 @@ def word_counts(texts):
 
 
 def _replica(table, start):
-    """Trains one replica over the documents of a partition; its parameters go out in weighted blocks."""
+    """Trains one replica over the documents of a task; its parameters go out in blocks weighted by tokens in PIECEs."""
     def train(batches):
-        numbers, net, kept, size, total = Words(table.value), Net(head=table.value.head), [], 0, 0
+        numbers, net, kept, size, total = Words(table.value), Net(head=table.value.head, bounds=table.value.bounds), [], 0, 0
         net.flat[:] = start.value
         code = table.value.code
         for batch in batches:
@@ -345,7 +379,7 @@ def _replica(table, start):
             net.train(kept, LANES)
             total += size
         if total:
-            values = net.flat.astype(np.float64) * total
+            values = net.flat * np.float32(total / PIECE)
             for b, a in enumerate(range(0, len(values), BLOCK)):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([b], pa.int32()),
@@ -357,7 +391,7 @@ def _replica(table, start):
 
 def _added(rows):
     """Sum of some replicas of one block."""
-    total = np.sum([np.frombuffer(x, np.float64) for x in rows["part"].to_pylist()], axis=0)
+    total = np.sum([np.frombuffer(x, np.float32) for x in rows["part"].to_pylist()], axis=0, dtype=np.float64).astype(np.float32)
     return pa.table({"replica": pa.array([min(rows["replica"].to_pylist()) // TOGETHER], pa.int64()),
                      "block": rows["block"][:1], "tokens": pa.array([sum(rows["tokens"].to_pylist())], pa.int64()),
                      "part": pa.array([total.tobytes()], pa.binary())})
@@ -375,7 +409,7 @@ def _averaged(parts, replicas, start):
     got = parts.orderBy("block").toArrow().to_pydict()
     if not got["block"]:
         return start
-    flat = np.concatenate([np.frombuffer(x, np.float64) for x in got["part"]]) / got["tokens"][0]
+    flat = np.concatenate([np.frombuffer(x, np.float32) for x in got["part"]]) / (got["tokens"][0] / PIECE)
     return flat.astype(np.float32)
 
 
@@ -386,7 +420,7 @@ SCORED = ("row long, doc_id long, held_out boolean, n_tokens long, n_common long
 def _scored(table, flat):
     """Per row what its common words and the network say, and its other words with their numbers."""
     def run(batches):
-        numbers, net, t = Words(table.value), Net(head=table.value.head), table.value
+        numbers, net, t = Words(table.value), Net(head=table.value.head, bounds=table.value.bounds), table.value
         net.flat[:] = flat.value
         row, common = TaskContext.get().partitionId() << 40, len(t.words)
         for batch in batches:
@@ -441,7 +475,7 @@ def score(docs, common=COMMON):
     total = int(sum(a * b for a, b in zip(steps["n"], steps["words"], strict=True)))
     distinct = int(sum(steps["words"]))
     table = Table(words, n, tail_tokens, tail_words)
-    net = Net(head=table.head)
+    net = Net(head=table.head, bounds=table.bounds)
     n_docs = n[words.index(END)] if END in words else 0
     if n_docs:
         mark = F.pmod(F.xxhash64("doc_id", F.lit("warm")), F.lit(1 << 30))
@@ -456,7 +490,8 @@ def score(docs, common=COMMON):
         net.warm(kept)
     shared, flat = spark.sparkContext.broadcast(table), spark.sparkContext.broadcast(net.flat)
     if n_docs:
-        parts = stored(training.select("text").mapInArrow(
+        # a replica for every PIECE tokens, not for every partition of the input
+        parts = stored(training.select("text").coalesce(max(1, -(-total // PIECE))).mapInArrow(
             tidy(_replica(shared, flat)), "replica long, block int, tokens long, part binary"), "lm-replicas")
         last = parts.agg(F.max("replica")).first()[0]
         flat = spark.sparkContext.broadcast(_averaged(parts, (last or 0) + 1, net.flat))

@@ -272,3 +272,19 @@ def test_secret_values_of_any_kind_and_paths(spark):
     found = secret_scan.covered(secret_scan.findings(docs), [])
     got = found.select("doc_id", "candidate", secret_scan.evidence(found)).collect()
     assert {r[0]: tuple(r)[1:] for r in got} == {k: v for k, v in enumerate(texts.values()) if v} and len(got) == 8
+
+
+def test_every_token_is_trained_on(monkeypatch):
+    rnd = np.random.default_rng(3)
+    texts = [rnd.integers(0, 300, n).astype(np.int32) for n in [7] * 2000 + [1, 5000]]
+    seen = []
+    monkeypatch.setattr(gru_lm.Net, "_window", lambda self, h, prev, codes, fresh, rate: seen.append(codes.copy()) or h)
+    gru_lm.Net().train(texts, gru_lm.LANES)
+    every = np.concatenate([c.ravel() for c in seen])
+    assert (np.bincount(every[every != gru_lm.NONE], minlength=300) == np.bincount(np.concatenate(texts), minlength=300)).all()
+
+
+def test_classes_by_mass():
+    for counts, head in ((np.arange(9000, 0, -1), 8192), (np.zeros(0), 512), (np.array([10**9] + [1] * 600), 512), ([5] * 100, 2048)):
+        bounds = gru_lm.class_bounds(np.array(counts, float), head)
+        assert bounds[0] == 0 and bounds[-1] == head and (np.diff(bounds) > 0).all() and len(bounds) - 1 == int((head // 2) ** 0.5)
