@@ -18,55 +18,91 @@ unlike any other. Rows without doc_id come last. Rows that share a doc_id are or
 rows have equal fingerprints. Texts of any length are parsed whole. Extra columns are ignored; an empty table gives an empty result.
 """
 
+import bisect
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import mixed, tidy
 
 SIZE = 64
 PARSED = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
           "near_edited double, near_next double")
 
 
-def parsed(text, start, phrases):
-    """Parse ``text`` from ``start`` on into ``phrases``, a dict phrase -> its end, in order.
+_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
+_BACK = pow(_BASE, -1, 1 << 64)
 
-    A dictionary holds every beginning of its phrases, so the search for the next phrase's length starts from
-    the last one and goes up or down.
-    """
-    at, size, end = start, 1, len(text)
-    while at < end:
-        size = min(size, end - at)
-        if text[at:at + size] in phrases:
-            while at + size < end:
-                size += 1
-                if text[at:at + size] not in phrases:
-                    break
-            else:
-                break  # the rest is a known phrase
-        else:
-            while size > 1 and text[at:at + size - 1] not in phrases:
-                size -= 1
-        phrases[text[at:at + size]] = at + size
-        at += size
-    return phrases
 
+class _Powers:
+    """Powers of the hash's base and of its inverse, as far as the longest text of the task needs them."""
 
-def signature(phrases):
-    """The SIZE smallest distinct 32-bit hashes of the phrases, ascending."""
-    hashes = np.fromiter(map(xxhash.xxh32_intdigest, phrases), np.uint32, len(phrases))
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n):
+        if len(self.up) < n:
+            more = np.full(max(n, 2 * len(self.up)), _BASE, np.uint64)
+            more[0] = 1
+            back = np.full(len(more), _BACK, np.uint64)
+            back[0] = 1
+            self.up, self.down = np.cumprod(more), np.cumprod(back)
+        return self.up[:n], self.down[:n]
+
+
+_powers = _Powers()
+
+
+def coded(text):
+    """Code points of a text."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def parsed(codes, at, trie, ends):
+    """Parse ``codes`` from ``at`` on: new phrases enter ``trie``, and where they end ``ends``.
+
+    The trie is a dictionary (parent phrase, code point) -> number of the phrase, in order of entry; a phrase is a known one and
+    a code point more.
+    """
+    node, count, known = 0, len(trie), trie.get
+    for at, c in enumerate(codes[at:].tolist(), at + 1):  # noqa: B020
+        key = node << 21 | c
+        node = known(key)
+        if node is None:
+            count += 1
+            trie[key] = count
+            ends.append(at)
+            node = 0
+    return ends
+
+
+def hashed(codes, ends, first=0):
+    """32-bit hashes of the phrases from the ``first`` on, which lie end to end: differences of one running polynomial sum."""
+    ends = np.array(ends, np.int64)
+    starts = np.concatenate([[0], ends[:-1]])[first:]
+    ends = ends[first:]
+    up, down = _powers.upto(len(codes) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(codes.astype(np.uint64) + np.uint64(1)) * up[:-1])])
+    return (mixed((sums[ends] - sums[starts]) * down[starts]) >> np.uint64(32)).astype(np.uint32)
+
+
+def smallest(hashes):
+    """The SIZE smallest distinct hashes, ascending."""
     if len(hashes) > 4 * SIZE:
-        low = np.partition(hashes, 2 * SIZE)[:2 * SIZE]
-        low = np.unique(low)
+        low = np.unique(np.partition(hashes, 2 * SIZE)[:2 * SIZE])
         if len(low) >= SIZE:
             return low[:SIZE]
     return np.unique(hashes)[:SIZE]
 
 
+def signature(phrases):
+    """Signature of a set of phrases given as texts."""
+    return smallest(np.array([hashed(coded(p), [len(p)])[0] for p in phrases], np.uint32))
+
+
 def likeness(a, b):
     """Share of the smallest hashes of the union that both signatures hold; 1 for two empty ones."""
     both = np.union1d(a, b)[:SIZE]
@@ -80,20 +116,23 @@ def written_out(sig):
 
 
 class Document:
-    """A text with its parse and signature."""
+    """A text with its parse, the hashes of its phrases in order, and its signature."""
 
     def __init__(self, doc_id, text):
-        self.id, self.text = doc_id, text
-        self.phrases = parsed(text, 0, {})
-        self.print = signature(self.phrases)
+        self.id, self.text, self.trie, self.codes = doc_id, text, {}, coded(text)
+        self.ends = parsed(self.codes, 0, self.trie, [])
+        self.hashes = hashed(self.codes, self.ends)
+        self.print = smallest(self.hashes)
 
     def edited(self, following):
         """(edited text, its signature): the second half replaced by the beginning of ``following``."""
         half = len(self.text) // 2
         cut = len(self.text) - half
         text = self.text[:cut] + following[:half]
-        kept = {p: e for p, e in self.phrases.items() if e <= cut}
-        return text, signature(parsed(text, max(kept.values(), default=0), kept))
+        k = bisect.bisect_right(self.ends, cut)  # phrases that end before the cut stay
+        codes, ends = coded(text), self.ends[:k]
+        parsed(codes, ends[-1] if k else 0, dict(itertools.islice(self.trie.items(), k)), ends)
+        return text, smallest(np.concatenate([self.hashes[:k], hashed(codes, ends, k)]))
 
     def row(self, following):
         text, sig = self.edited(following.text)
