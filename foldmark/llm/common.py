@@ -41,6 +41,12 @@ def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def apart(docs, *needed):
+    """(``docs`` with every column but ``needed`` under a name that no operator uses, function that gives a result its old columns back)."""
+    names = [c if c in needed else f"in_{k}" for k, c in enumerate(docs.columns)]
+    return docs.toDF(*names), lambda out: out.select(*names).toDF(*docs.columns)
+
+
 def fold(key, parts):
     """crc32 of the id as text, modulo ``parts``; a row without an id is in no fold (-1)."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % parts, F.lit(-1))

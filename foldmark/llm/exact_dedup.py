@@ -24,7 +24,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from .common import IdFilter, lists, lowered, raw_texts, stored, tidy
+from .common import IdFilter, apart, lists, lowered, raw_texts, stored, tidy
 
 ROWS_PER_SENDER = 250_000
 
@@ -173,9 +173,10 @@ def exact_groups(docs, owners=None):
 
 
 def without_copies(docs):
-    """``docs`` with one row of each group of equal texts, all columns kept."""
+    """``docs`` with one row of each group of equal texts, all columns kept, whatever their names."""
+    docs, restored = apart(docs, "doc_id", "text")
     row = F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text_sha256")
     kept = exact_groups(docs).where("kept").select(row.alias("_row_of_text"))
     row = F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.sha2(lowered(F.col("text")), 256))
     return (docs.withColumn("_row_of_text", row).join(kept, "_row_of_text", "left_semi")
-            .dropDuplicates(["_row_of_text"]).select(docs.columns))
+            .dropDuplicates(["_row_of_text"]).transform(restored))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, stored
+from .common import WORD, apart, stored
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 SYMBOLS = "#*$%&|<>"
@@ -116,8 +116,9 @@ def mix(docs, weights=WEIGHTS, share=SHARE, most=MOST, keyed=False):
 def mixed_rows(docs):
     """``docs`` with every row as often as the mix takes it, all columns kept.
 
-    Rows alike in id, source and text share the times of all of them.
+    Rows alike in id, source and text share the times of all of them. Other columns may have any name.
     """
+    docs, restored = apart(docs, "doc_id", "source", "text")
     times = stored(mix(docs, keyed=True).groupBy(F.col("doc_id").alias("_id"), F.col("row_key").alias("_of"))
                    .agg(F.sum("times").alias("_times"), F.count(F.lit(1)).alias("_rows")).where("_times > 0"), "mix-times")
 
@@ -132,7 +133,7 @@ def mixed_rows(docs):
         w = Window.partitionBy("_id", "_of").orderBy(F.xxhash64(*docs.columns))
         out = out.unionByName(met(uneven).withColumn("_place", F.row_number().over(w)).withColumn(
             "_n", (each + (F.col("_place") <= more).cast("int")).cast("int")).drop("_place"))
-    return out.where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(docs.columns)
+    return out.where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).transform(restored)
 
 
 ORACLE = r"""

@@ -25,7 +25,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, stored
+from .common import LOWER, UPPER, apart, stored
 
 # fixed values: common given names by gender and script
 NAMES = {
@@ -179,8 +179,12 @@ def _cased(surrogate, value):
 
 
 def replaced(docs, key="surrogates"):
-    """``docs`` with entities replaced in ``text``; adds n_entities and the list ``entities`` (kind, value, surrogate)."""
-    docs = docs.drop("n_entities", "entities", "row")
+    """``docs`` with entities replaced in ``text``; adds n_entities and the list ``entities`` (kind, value, surrogate).
+
+    Input columns of these two names give way; others may have any name.
+    """
+    original = docs.drop("n_entities", "entities")
+    docs, _ = apart(original, "text")
     has = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
     rows = stored(docs.where(has).withColumn("row", F.monotonically_increasing_id()), "pii-rows")
     parts = stored(mentions(rows), "pii-mentions")
@@ -218,4 +222,4 @@ def replaced(docs, key="surrogates"):
         *[F.col("new_text").alias("text") if c == "text" else F.col(c) for c in docs.columns],
         F.size("entities").alias("n_entities"), "entities")
     same = docs.where(~has).select(*docs.columns, F.lit(0).alias("n_entities"), F.array().cast(f"array<{kind}>").alias("entities"))
-    return out.unionByName(same)
+    return out.unionByName(same).toDF(*original.columns, "n_entities", "entities")
