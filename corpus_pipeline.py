@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from foldmark.llm import mixing, packing, toxicity
-from foldmark.llm.common import documents, stored
+from foldmark.llm.common import apart, documents, stored
 from foldmark.llm.exact_dedup import without_copies
 from foldmark.llm.near_dedup import one_of_each
 
@@ -11,11 +11,12 @@ from foldmark.llm.near_dedup import one_of_each
 def drop_toxic(spark, docs, sf_dir):
     """Documents whose score reaches their language's threshold go.
 
-    The classifier learns from ``labels`` and the texts of ``docs``.
+    The classifier learns from ``labels`` and the texts of ``docs``. Null texts count as empty; columns may have any name.
     """
     model = toxicity.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    docs, restored = apart(docs, "doc_id", "text", "lang")
     return (docs.withColumn("_toxic_score", toxicity.score(model, F.col("text")))
-            .where(F.col("_toxic_score") < toxicity.threshold(model, docs)).select(docs.columns))
+            .where(F.col("_toxic_score") < toxicity.threshold(model, docs)).transform(restored))
 
 
 def exact_dedup(spark, docs, sf_dir):
