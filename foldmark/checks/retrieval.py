@@ -178,17 +178,22 @@ def status_summary(fx):
         "sample_id", "n_divergent", "n_partial", "n_similar", r6("mean_similarity"), "n_windows")
 
 
+define("centroid_all", """
+SELECT chr, start_bp, end_bp, list(x ORDER BY p) AS c FROM (
+  SELECT chr, start_bp, end_bp, p, avg(v[p]) AS x FROM members, (SELECT unnest(range(1,65)) AS p) WHERE role = 'ref' GROUP BY ALL)
+GROUP BY ALL""", ["members"])
+
+
 @register("centroid_search", """
 SELECT sample_id, chr, start_bp, rank, ref_chr, ref_start_bp, round(score, 6) AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY sample_id, chr, start_bp ORDER BY score DESC, locus) AS rank FROM (
     SELECT q.sample_id, q.chr, q.start_bp, c.chr AS ref_chr, c.start_bp AS ref_start_bp,
       concat(c.chr, ':', c.start_bp, '-', c.end_bp) AS locus,
       list_dot_product(q.v, c.c)/(q.len*(sqrt(list_dot_product(c.c, c.c))+1e-8)) AS score
-    FROM members q, centroid c WHERE q.role = 'query')) WHERE rank <= 5""", ["centroid"])
+    FROM members q, centroid_all c WHERE q.role = 'query')) WHERE rank <= 5""", ["centroid_all"])
 def centroid_search(fx):
     from ..operators.tables import locus_centroids
-    refs = fx.members("ref").where("NOT (chr = 'chr5' AND start_bp < 25600000)")
-    return S.centroid_matches(fx.members("query"), locus_centroids(refs), 5).select(
+    return S.centroid_matches(fx.members("query"), locus_centroids(fx.members("ref")), 5).select(
         "sample_id", "chr", "start_bp", F.col("rank").cast("bigint").alias("rank"), "ref_chr", "ref_start_bp",
         r6("score"))
 

@@ -1,6 +1,6 @@
 """Exact all-pairs scoring of two vector tables in bounded blocks.
 
-Each side is hashed into blocks of about ``rows`` rows per key group. A query
+Each side is hashed into blocks of rows per key group (up to 32 768 rows, fewer where that keeps the cores busy). A query
 block meets every reference block of its group exactly once (cogroup on the
 block pair), the pair is scored by one matrix product, and only a reduced
 result leaves the task: top k per row, best per label, a histogram, and so on.
@@ -33,15 +33,27 @@ SCORE_DIGITS = 12  # scores equal to this many digits count as tied
 _CHUNK_CELLS = 4_000_000  # score cells held at once inside a task
 
 
+def _root(df):
+    """Blocks a side whose pairs are as many as the cores."""
+    return math.isqrt(max(0, df.sparkSession.sparkContext.defaultParallelism - 1)) + 1
+
+
 def _hot_groups(queries, refs, keys, rows):
-    """Block counts of the groups that exceed one block on either side."""
+    """Block counts of the groups that exceed one block on either side.
+
+    A row is repeated once per block of the other side. Without a size of its own a group is cut finer than memory asks for only
+    until its pairs occupy the cores.
+    """
     def tagged(df, q, r):
         return df.select(*keys, F.lit(q).alias("_q"), F.lit(r).alias("_r"))
 
-    blocks_of = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / rows)).cast("int")
+    small, large, root = rows or ROWS_PER_BLOCK, rows or ROWS_IN_MEMORY, _root(queries)
+    parts = lambda n, size: F.ceil(F.col(n) / size)
+    blocks_of = lambda n: F.greatest(
+        F.lit(1), parts(n, large), F.least(parts(n, small), F.lit(root) if rows is None else parts(n, small))).cast("int")
     return (tagged(queries, 1, 0).unionByName(tagged(refs, 0, 1))
             .groupBy(*keys).agg(F.sum("_q").alias("_q"), F.sum("_r").alias("_r"))
-            .where((F.col("_q") > rows) | (F.col("_r") > rows))
+            .where((F.col("_q") > small) | (F.col("_r") > small))
             .select(*keys, blocks_of("_q").alias("_nq"), blocks_of("_r").alias("_nr")))
 
 
@@ -50,16 +62,16 @@ def _block_count(df, rows):
 
     At least the root of the cluster's cores, so that the block pairs are as many as the cores.
     """
-    least = math.isqrt(max(0, df.sparkSession.sparkContext.defaultParallelism - 1)) + 1
-    return df.agg(F.greatest(F.lit(least), F.ceil(F.count(F.lit(1)) / rows)).cast("int").alias("n")).scalar()
+    return df.agg(F.greatest(F.lit(_root(df)), F.ceil(F.count(F.lit(1)) / (rows or ROWS_IN_MEMORY))).cast("int").alias("n")).scalar()
 
 
 def block_pairs(queries: DataFrame, refs: DataFrame, kernel, schema: StructType, *,
-                keys=(), q_block="id", r_block="id", rows: int = ROWS_PER_BLOCK) -> DataFrame:
+                keys=(), q_block="id", r_block="id", rows: int | None = ROWS_PER_BLOCK) -> DataFrame:
     """Run ``kernel(query_table, ref_table) -> table`` on all block pairs of all key groups.
 
     ``q_block`` / ``r_block`` name the columns whose hash picks the block; rows
-    equal in them stay together.
+    equal in them stay together. ``rows`` None leaves the block size to memory and cores; a kernel whose result grows with both sides'
+    rows needs a size.
     """
     keys = list(keys)
     refs = refs.select(*[F.col(c).alias(c) for c in refs.columns])  # both sides may share a lineage
@@ -161,7 +173,7 @@ def _payload(df, drop, prefix=""):
 
 def top_matches(queries: DataFrame, refs: DataFrame, k: int, *, vector="fingerprint",
                 q_key=("id",), r_key="id", keys=(), exclude_self=False, metric="cosine",
-                rows: int = ROWS_PER_BLOCK, eps: float = C.EPS) -> DataFrame:
+                rows: int | None = None, eps: float = C.EPS) -> DataFrame:
     """Exact k best references per query row.
 
     Output: the query's columns, the reference's columns prefixed ``ref_``,
@@ -254,7 +266,7 @@ def best_per_label(queries: DataFrame, refs: DataFrame, label: str, *, vector="f
 
 
 def similarity_histogram(rows_df: DataFrame, label: str, edges, *, vector="fingerprint", key="id",
-                         include_self=False, rows: int = ROWS_PER_BLOCK, eps: float = 0.0) -> DataFrame:
+                         include_self=False, rows: int | None = None, eps: float = 0.0) -> DataFrame:
     """Counts of all ordered pair scores between bin edges, within and across labels.
 
     Output: ``kind`` (intra/inter), ``bin`` from 1, ``n``. Values outside the

@@ -112,7 +112,7 @@ def silhouette_samples(rows: DataFrame, label: str = "label", key: str = "id", v
 
 def neighbours(rows: DataFrame, k: int, label: str = "label", key: str = "id", vector: str = "fingerprint",
                exclude_self: bool = True, within_label: bool = False,
-               block_rows: int = blocks.ROWS_PER_BLOCK) -> DataFrame:
+               block_rows: int | None = None) -> DataFrame:
     """k nearest rows of every row: key, label, ref label, rank."""
     side = rows.select(key, label, vector)
     found = blocks.top_matches(side, side, k, vector=vector, q_key=[key], r_key=key, exclude_self=exclude_self,

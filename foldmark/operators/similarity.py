@@ -21,7 +21,7 @@ def _reference_side(refs):
     return refs.select("chr", "start_bp", "sample_id", "cell_type", "tissue", "fingerprint")
 
 
-def locus_matches(queries: DataFrame, refs: DataFrame, k: int = C.TOP_K, rows=blocks.ROWS_PER_BLOCK) -> DataFrame:
+def locus_matches(queries: DataFrame, refs: DataFrame, k: int = C.TOP_K, rows=None) -> DataFrame:
     """Top k references of every query window among those stored at the same locus.
 
     ``refs`` carries cell_type and tissue (fingerprints joined to samples).
