@@ -6,6 +6,7 @@ from .. import constants as C
 from ..functions import genes as G
 from ..operators import annotation as A
 from ..operators import intervals as I
+from ..plans import regulatory
 from .base import define, oracle, r6, registry
 
 QUERIES, ORACLES, register = registry()
@@ -289,6 +290,37 @@ def compartment_genes(fx):
         "functional_consequence", "clinical_note")
 
 
+def _context(fx):
+    direction = F.when(F.floor(F.col("win_start") / 12800000) % 2 == 0, "A->B").otherwise("B->A")
+    pos = fx.loci.select("chrom", (F.col("win_start") + 6400000).alias("pos")).distinct()
+    sw = fx.loci.select("chrom", "win_start", (F.col("win_start") + 400000).alias("win_end"), direction.alias("direction"))
+    return regulatory.structure_context(pos, sw, fx.genes)
+
+
+@register("structure_boundaries", *ORACLES["boundary_flanks"])
+def structure_boundaries(fx):
+    return _context(fx)[0].select("chrom", "pos", *[F.array_join(c, ",").alias(c) for c in ("left_genes", "right_genes", "cancer_genes")],
+                                  "clinical_note")
+
+
+@register("structure_switches", *ORACLES["compartment_genes"])
+def structure_switches(fx):
+    return _context(fx)[1].select("chrom", "win_start", "win_end", "direction",
+                                  *[F.array_join(c, ",").alias(c) for c in ("genes_in_region", "cancer_genes", "nearby_genes")],
+                                  "functional_consequence", "clinical_note")
+
+
+@register("differential_report", f"""
+SELECT chrom, win_start, win_end, feature, concat(feature, ': ', printf(CASE WHEN is_count THEN '%+.0f' ELSE '%+.3f' END, round(delta, 3)),
+  CASE WHEN is_count AND delta > 0 THEN ' (more in query)' WHEN is_count THEN ' (fewer in query)'
+    WHEN delta > 0 THEN ' (higher in query)' ELSE ' (lower in query)' END) AS line
+FROM ({_parts}) WHERE abs(delta) >= lim""", ["annot"])
+def differential_report(fx):
+    """The whole report line, scalar features included."""
+    return regulatory.differential_report(fx.windows, _ccre(fx), "CT0", "CT1", 2.0).select(
+        "chrom", "win_start", "win_end", "feature", "line")
+
+
 @register("ccre_report", """
 SELECT category, n_a, n_b, CASE WHEN n_a > n_b THEN concat('+', n_a - n_b, ' ▲')
   WHEN n_a < n_b THEN concat(n_a - n_b, ' ▼') ELSE '  =' END AS difference FROM (

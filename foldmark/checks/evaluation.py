@@ -135,6 +135,15 @@ def similarity_histogram(fx):
     return E.density(h, float(np.diff(e).mean())).select("kind", "bin", "n", r6("density"))
 
 
+# 60 edges: 59 bins
+@register("similarity_histogram_60", ORACLES["similarity_histogram"][0].replace("1.2E0/79", "1.2E0/59").replace("range(1, 80)", "range(1, 60)")
+          .replace("least(79,", "least(59,"), ["zz"])
+def similarity_histogram_60(fx):
+    e = E.edges(E.EDGES_60)
+    h = blocks.similarity_histogram(_rows(fx), "label", e, eps=E.PLAIN)
+    return E.density(h, float(np.diff(e).mean())).select("kind", "bin", "n", r6("density"))
+
+
 @register("recall_within_class", """
 SELECT c.label, c.n, round(r.recall_5, 6) AS recall_5
 FROM (SELECT label, count(*) AS n FROM z GROUP BY 1) c LEFT JOIN (

@@ -8,7 +8,7 @@ from ..operators import annotation as A
 from ..operators import replicates as R
 from ..operators import similarity as S
 from ..operators import tables as T
-from ..plans import collection
+from ..plans import collection, regulatory
 from .base import define, r6, registry
 
 QUERIES, ORACLES, register = registry()
@@ -129,7 +129,7 @@ SELECT s.sample_id, s.cell_type AS grp, concat(s.sample_id, '.mcool') AS file,
 FROM samples s""", ["samples"])
 
 
-def _validated(fx):
+def _registry_parts(fx):
     s = fx.samples
     reg = s.select("sample_id", F.concat("sample_id", F.lit(".mcool")).alias("file"), F.lit("bulk_hic").alias("assay"), "tissue")
     have = reg.where(~F.col("sample_id").like("%4")).select(F.concat(F.lit("/data/"), "file").alias("path"))
@@ -137,7 +137,11 @@ def _validated(fx):
     own = s.where("sample_id = 'CT1_rep2'").select("sample_id", F.lit("own.bed.gz").alias("path"))
     ann = cells.select("sample_id", F.concat("sample_id", F.lit(".bed.gz")).alias("path")).unionByName(own)
     files = ann.where("path <= 'CT3.bed.gz'").select("path")
-    return R.validate_registry(reg, have, ann, files, "/data")
+    return reg, have, ann, files, "/data"
+
+
+def _validated(fx):
+    return R.validate_registry(*_registry_parts(fx))
 
 
 @register("registry_validation", """
@@ -164,6 +168,17 @@ def registry_status(fx):
     return R.registry_summary(_validated(fx))
 
 
+@register("registry_report", ORACLES["registry_status"][0], ["reg"])
+def registry_report(fx):
+    """The report's summary; its rows are those of the validation."""
+    return regulatory.registry_report(*_registry_parts(fx))[1]
+
+
+@register("active_samples", "SELECT sample_id, grp FROM reg WHERE has_contact", ["reg"])
+def active_samples(fx):
+    return R.active_samples(regulatory.registry_report(*_registry_parts(fx))[0]).select("sample_id", "grp")
+
+
 @register("usable_annotations", """
 SELECT sample_id, a AS path FROM reg WHERE has_contact AND a <= 'CT3.bed.gz'""", ["reg"])
 def usable_annotations(fx):

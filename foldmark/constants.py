@@ -25,7 +25,6 @@ CCRE_DELTA = 10
 N_CODES = 512
 EMA_GAMMA = 0.995
 DEAD_THRESHOLD = 1
-REVIVAL_INTERVAL = 50
 
 OE_FLOOR = 1e-6
 OE_CLIP = 5.0

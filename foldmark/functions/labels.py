@@ -1,4 +1,7 @@
-"""Labels, verdicts and display text derived from scores."""
+"""Labels, verdicts and display text derived from scores.
+
+The texts and bounds are fixed values.
+"""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F

@@ -39,11 +39,6 @@ def cosine(a: Column, b: Column, eps: float = C.EPS) -> Column:
     return dot(a, b) / ((norm(a) + F.lit(eps)) * (norm(b) + F.lit(eps)))
 
 
-def mean_of(v: Column) -> Column:
-    w = as_double(v)
-    return F.aggregate(w, F.lit(0.0), lambda s, x: s + x) / F.size(w)
-
-
 def _pearson(a: Column, b: Column, combine) -> Column:
     """Raw-moment Pearson in one fold over the zipped pair."""
     zipped = F.zip_with(as_double(a), as_double(b), lambda x, y: F.struct(x.alias("x"), y.alias("y")))

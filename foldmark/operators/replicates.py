@@ -118,6 +118,7 @@ def validate_registry(registry: DataFrame, contact_files: DataFrame, annotations
     out = (r.join(have_c, "contact_path", "left").join(own, "sample_id", "left").join(shared, "grp", "left")
            .withColumn("annotation_path", F.coalesce("_own", "_shared")).drop("_own", "_shared")
            .join(have_a, "annotation_path", "left").na.fill(False, ["contact_exists", "annotation_exists"]))
+    # fixed texts
     off = "  — regulatory analysis DISABLED"
     warn = F.array_compact(F.array(
         F.when(~F.col("contact_exists"), F.concat(F.lit("contact file not found: "), F.col("contact_path"),
