@@ -20,6 +20,9 @@ class Store:
     ``_SUCCESS`` file Spark writes last, so a version that was cut short is never read and the
     one before it stays in force. Fingerprints are partitioned by chromosome and sorted by start inside
     the files, so a locus lookup reads one partition and few row groups.
+
+    An append adds files to the current version. Spark moves them in at the end of the job, so one that is cut short during
+    that commit may leave some of its files to readers; running it again completes it, as stored keys are left out.
     """
 
     def __init__(self, spark: SparkSession, root: str):
