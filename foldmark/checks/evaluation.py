@@ -7,6 +7,7 @@ from ..functions import labels as L
 from ..functions import vectors as V
 from ..operators import evaluation as E
 from ..operators import blocks
+from ..operators.pair_auc import group_auc
 from .base import define, r6, registry
 
 QUERIES, ORACLES, register = registry()
@@ -190,10 +191,12 @@ def _pairs(fx):
         (F.col("label") == F.col("l2")).cast("int").alias("same"), F.col("fingerprint").alias("f1"), "f2")
 
 
+_LOCUS = ["chr", "start_bp"]
+
+
 @register("pair_auc", _AUC.format(pairs="pairs"), ["pairs"])
 def pair_auc(fx):
-    scored = _pairs(fx).select("same", F.round(V.cosine(F.col("f1"), F.col("f2")), 6).alias("score"))
-    return E.pair_auc(scored).select(r6("auc"))
+    return group_auc(fx.fingerprints, _LOCUS, digits=6).select(r6("auc"))
 
 
 @register("pca_2d")
