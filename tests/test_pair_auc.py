@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from foldmark.operators import evaluation as E
 from foldmark.operators.pair_auc import group_auc
 
 SCHEMA = "place string, id long, label string, fingerprint array<double>"
@@ -43,6 +44,17 @@ def test_auc_without_pairs_of_one_kind(spark):
     assert [r["auc"] for r in group_auc(df.limit(0), ["place"], (0, 2), axes=np.eye(4), mean=np.zeros(4)).collect()] == [None, None]
 
 
+def test_auc_by_dimension_weighs_rows_by_partners(spark):
+    rows = corpus()
+    x, y = zip(*[(a[3], b[3]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1]], strict=True)
+    both = np.concatenate([x, y])
+    vals, vecs = np.linalg.eigh(np.cov(both.T))
+    onto = lambda v, d: (np.array(v) - both.mean(axis=0)) @ vecs[:, ::-1][:, :d]
+    got = {r["dims"]: r["auc"] for r in E.auc_by_dimension(spark.createDataFrame(rows, SCHEMA), ["place"], (2, 4, 9)).collect()}
+    want = plain([(p, i, l, onto(v, 2)) for p, i, l, v in rows], 12)
+    assert got[2] == pytest.approx(want, abs=1e-9) and got[4] == got[9] == pytest.approx(plain(rows, 12), abs=1e-9)
+
+
 def test_no_pair_is_a_row(spark):
     """A join of the pairs would put n * (n - 1) / 2 rows through an exchange."""
     df = spark.createDataFrame(corpus(), SCHEMA)
