@@ -183,14 +183,6 @@ SELECT round(sum(p*(below + q/2.0E0))/(sum(p)*sum(q)), 6) AS auc FROM (
     SELECT score, sum(same) AS p, sum(1 - same) AS q FROM {pairs} GROUP BY 1))"""
 
 
-def _pairs(fx):
-    f = fx.fingerprints
-    a = f.select("chr", "start_bp", "id", "label", "fingerprint")
-    b = f.select("chr", "start_bp", F.col("id").alias("id2"), F.col("label").alias("l2"), F.col("fingerprint").alias("f2"))
-    return a.join(b, ["chr", "start_bp"]).where("id < id2").select(
-        (F.col("label") == F.col("l2")).cast("int").alias("same"), F.col("fingerprint").alias("f1"), "f2")
-
-
 _LOCUS = ["chr", "start_bp"]
 
 
@@ -240,9 +232,7 @@ SELECT same, round(list_dot_product(a, b)/((sqrt(list_dot_product(a, a)) + 1e-8)
 def pca_auc_full(fx):
     """AUC after projection on all axes: that of the centred vectors."""
     mean, axes, _ = E.principal_axes(_rows(fx))
-    pairs = E.projected(E.projected(_pairs(fx), mean, axes, "f1").withColumnRenamed("pc", "a"), mean, axes, "f2")
-    scored = pairs.select("same", F.round(V.cosine(F.col("a"), F.col("pc")), 9).alias("score"))
-    return E.pair_auc(scored).select(r6("auc"))
+    return group_auc(fx.fingerprints, _LOCUS, [len(mean)], axes=axes, mean=mean, digits=9).select(r6("auc"))
 
 
 @register("pca_auc_by_dimension")
