@@ -128,3 +128,32 @@ def test_combine_moves_no_matrix(spark):
         (None, 0, 0), ("S0", 1, 0), ("S1", 2, 1), ("S2", 3, 0)}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_average_precision_of_more_references_than_a_batch(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(int(k), f"L{k % 3}", [float(x) for x in v]) for k, v in enumerate(rng.normal(size=(200, 4)))]
+    rows += [(300 + k, f"L{k % 3}", [1.0, 2.0, -1.0, 0.5]) for k in range(90)]  # copies: ties in every batch
+    block = sweep._Block(3, 500)
+    monkeypatch.setattr(sweep, "_BATCH_ROWS", 37)
+    rows.sort(key=lambda r: (r[1], r[0]))
+    ids, labels, v = np.array([r[0] for r in rows]), [r[1] for r in rows], np.array([r[2] for r in rows])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    block.add(sweep.QUERY, ids, labels, v)
+    for a in range(0, len(rows), 50):
+        block.add(sweep.REFERENCE, ids[a:a + 50], labels[a:a + 50], v[a:a + 50])
+    got, near = {}, {}
+    for own, _, ap, (row, ref, _, _) in block.results(True):
+        got |= dict(zip(own.tolist(), ap, strict=True))
+        near |= {int(i): ref[row == k].tolist() for k, i in enumerate(own)}
+    want = plain(rows, True)
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+    assert near[300] == [300, 301, 302]
+
+
+def test_a_row_is_shuffled_once_a_block(spark):
+    """A copy for every block that holds positives made 40 copies a row of this label."""
+    df = spark.createDataFrame([(int(k), "hot", [1.0, float(k)]) for k in range(200)], SCHEMA)
+    side = df.select("id", "label", df.fingerprint.alias("vector"))
+    parts = min(4, 2 * spark.sparkContext.defaultParallelism)
+    assert sweep._dealt(side, "label", "id", 32_768).count() == 200 * (parts + 1)
