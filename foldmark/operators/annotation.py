@@ -2,8 +2,10 @@
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
@@ -217,15 +219,18 @@ def genes_near(windows: DataFrame, genes: DataFrame, max_dist: int = 2_000_000)
     return windows.join(out.withColumn("rank", F.row_number().over(order)), _LOCUS)
 
 
+_GENE = ["start_bp", "gene_id", "end_bp", "gene_name", "gene_type", "cancer_role"]  # in the order that settles ties
+
+
 def _candidates(genes: DataFrame, max_dist: int, width: int) -> DataFrame:
-    """Per grid cell the genes that can be nearest to a position in it, as one array.
+    """Per grid cell the genes that can be nearest to a position in it, a row each.
 
     These are the genes that touch the cell, the last one to end before it and
     the first one to start after it. The windows run over cells, whose number
     per chromosome is set by the genome length.
     """
-    g = genes.select("chrom", "start_bp", "end_bp", F.struct(
-        "start_bp", "gene_id", "end_bp", "gene_name", "gene_type", "cancer_role").alias("gene"))
+    known = genes.where(F.col("chrom").isNotNull() & F.col("start_bp").isNotNull() & (F.col("end_bp") > 0))
+    g = known.select("chrom", "start_bp", "end_bp", F.struct(*_GENE).alias("gene"))
     cell = lambda x: F.floor(x / width).cast("long")
     starts = g.groupBy("chrom", cell(F.col("start_bp")).alias("cell")).agg(F.min("gene").alias("first_start"))
     latest = F.min(F.struct((-F.col("end_bp")).alias("neg"), "gene"))
@@ -241,34 +246,60 @@ def _candidates(genes: DataFrame, max_dist: int, width: int) -> DataFrame:
                     F.min("first_start").over(after).alias("right"))
             .select("chrom", "cell", F.explode(F.array_compact(F.array("left", "right"))).alias("gene")))
     inside = g.select("chrom", F.explode(F.sequence(cell(F.col("start_bp")), cell(F.col("end_bp")))).alias("cell"), "gene")
-    return (inside.unionByName(edge).groupBy("chrom", "cell")
-            .agg(F.collect_list("gene").alias("near")))
+    return inside.unionByName(edge).select("chrom", "cell", "gene.*")
+
+
+def _nearest(pos, start, end, max_dist):
+    """(gene, signed distance) per position, gene -1 where none is in reach; genes come sorted by start and tie order.
+
+    The first gene to cover a position is the first whose end lifts the running maximum to it; else the nearest are the last to end
+    before it and the first to start after it. So a position costs three searches, however many genes its cell has.
+    """
+    far = np.searchsorted(np.maximum.accumulate(end), np.maximum(pos, pos - max_dist + 1), "left")
+    right = np.searchsorted(start, pos, "right")
+    covered = far < right
+    by_end = np.lexsort((-np.arange(len(end)), end))
+    left = np.searchsorted(end[by_end], pos, "left") - 1
+    before, after = by_end[np.maximum(left, 0)], np.minimum(right, len(start) - 1)
+    d_left, d_right = pos - end[before], start[after] - pos
+    has_left, has_right = (left >= 0) & (d_left < max_dist), (right < len(start)) & (d_right <= max_dist)
+    has_left &= ~has_right | (d_left <= d_right)
+    gene = np.where(covered, far, np.where(has_left, before, np.where(has_right, after, -1)))
+    return gene, np.where(covered, 0, np.where(has_left, -d_left, d_right))
 
 
 def nearest_genes(positions: DataFrame, genes: DataFrame, max_dist: int = 2_000_000, width: int = 100_000) -> DataFrame:
     """Nearest gene of every distinct (chrom, pos); all NULL where none is in reach.
 
-    Every position belongs to one grid cell and meets one row holding that
-    cell's candidates; the best is picked inside the row, so nothing is
-    aggregated again. A cell holds at most ``width`` distinct positions.
+    Every position belongs to one grid cell and meets that cell's candidates once, sorted; its gene is found by search, so the work
+    does not grow with the genes of a cell. A cell holds at most ``width`` distinct positions.
     """
-    p = F.col("pos")
-    w = positions.select("chrom", "pos").distinct().withColumn("cell", F.floor(p / width).cast("long"))
-
-    def scored(g):
-        d = G.distance_to(g["start_bp"], g["end_bp"], p)
-        return F.struct(F.abs(d).alias("far"), g.alias("gene"), d.alias("distance_bp"))
-
-    def in_reach(x):
-        return ((x["far"] <= max_dist) & (x["gene"]["start_bp"] < p + 1 + max_dist)
-                & (x["gene"]["end_bp"] > F.greatest(F.lit(0), p - max_dist)))
-
-    best = F.array_min(F.filter(F.transform("near", scored), in_reach)).alias("n")
-    g = F.col("n.gene")
-    return (w.join(_candidates(genes, max_dist, width), ["chrom", "cell"], "left").select("chrom", "pos", best)
-            .select("chrom", "pos", g["gene_name"].alias("gene_name"), g["gene_id"].alias("gene_id"),
-                    "n.distance_bp", G.distance_label(F.col("n.distance_bp")).alias("distance_label"),
-                    g["cancer_role"].alias("cancer_role"), g["gene_type"].alias("gene_type")))
+    known = F.col("chrom").isNotNull() & F.col("pos").isNotNull()
+    w = positions.select("chrom", "pos").distinct()
+    near = _candidates(genes, max_dist, width)
+    kept = ["gene_name", "gene_id", "cancer_role", "gene_type"]
+    schema = StructType([w.schema["chrom"], StructField("pos", LongType())] + [StructField(c, near.schema[c].dataType) for c in kept]
+                        + [StructField("distance_bp", LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def chosen(p, g):
+        pos = p.column("pos").to_numpy()
+        if g.num_rows and p.num_rows:
+            g = g.take(pc.sort_indices(g, [(c, "ascending") for c in _GENE], null_placement="at_start"))
+            gene, far = _nearest(pos, g.column("start_bp").to_numpy(), g.column("end_bp").to_numpy(), max_dist)
+        else:
+            gene, far = np.full(len(pos), -1), np.zeros(len(pos), np.int64)
+        none = gene < 0
+        at = pa.array(gene, mask=none)
+        return pa.Table.from_arrays([p.column("chrom"), p.column("pos"), *[g.column(c).take(at) for c in kept],
+                                     pa.array(far, mask=none)], names=arrow.names).cast(arrow)
+
+    by = ["chrom", "cell"]
+    placed = w.where(known).select("chrom", F.col("pos").cast("long").alias("pos"), F.floor(F.col("pos") / width).cast("long").alias("cell"))
+    found = placed.groupBy(*by).cogroup(near.groupBy(*by)).applyInArrow(chosen, schema)
+    found = found.unionByName(w.where(~known), allowMissingColumns=True)
+    return found.select("chrom", "pos", "gene_name", "gene_id", "distance_bp",
+                        G.distance_label(F.col("distance_bp")).alias("distance_label"), "cancer_role", "gene_type")
 
 
 def annotate_elements(coords: DataFrame, genes: DataFrame, max_dist: int = 500_000) -> DataFrame:

@@ -90,6 +90,23 @@ def test_nearest_equals_scan(spark):
         assert got[("chr1", x)] == scan(x)
 
 
+def test_nearest_among_nested_and_equal_genes(spark):
+    rows = [("a", "chr1", 100, 900, "A"), ("b", "chr1", 100, 900, "B"), ("c", "chr1", 50, 60, "C"), ("d", "chr1", 200, 300, "D"),
+            ("e", "chr1", 1100, 1200, "E"), ("f", "chr1", 20, 900, "F"), ("g", "chr1", 1100, 1150, "G"), ("h", None, 5, 9, "H"),
+            ("i", "chr1", None, 9, "I")]
+    p = spark.createDataFrame([("chr1", x) for x in (10, 55, 250, 950, 1000, 1001, 1300, 1700, 1701, None)] + [(None, 4)], "chrom string, pos long")
+    got = {(r["chrom"], r["pos"]): (r["gene_id"], r["distance_bp"]) for r in A.nearest_genes(p, genes(spark, rows), 500, width=128).collect()}
+    want = {10: ("f", 10), 55: ("f", 0), 250: ("f", 0), 950: ("f", -50), 1000: ("f", -100), 1001: ("e", 99), 1300: ("e", -100),
+            1700: (None, None), 1701: (None, None), None: (None, None)}
+    assert got == {("chr1", k): v for k, v in want.items()} | {(None, 4): (None, None)}
+
+
+def test_work_of_a_position_does_not_grow_with_the_genes_of_its_cell(spark):
+    p = spark.createDataFrame([("chr1", 5)], "chrom string, pos long")
+    plan = A.nearest_genes(p, genes(spark, [("a", "chr1", 1, 9, "A")]))._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
 def test_element_order_treats_zero_distance_as_missing(spark):
     g = genes(spark, [("a", "chr1", 100, 200, "MYC"), ("b", "chr1", 5000, 5100, "TP53"), ("c", "chr1", 90_000, 90_100, "X")])
     c = spark.createDataFrame([("s", "chr1", 0, 99_999_999, "PLS", x, x + 2) for x in (150, 4000, 91_000)] +
