@@ -207,3 +207,31 @@ def test_row_order_does_not_matter(spark):
     a = E.neighbours(df, 3, block_rows=40).orderBy("id", "rank").collect()
     b = E.neighbours(df.orderBy(F.rand(5)).repartition(7), 3, block_rows=40).orderBy("id", "rank").collect()
     assert a == b
+
+
+def test_histogram_scores_on_edges_and_labels_of_any_kind(spark, monkeypatch):
+    """Scores on bin edges, copies and null labels; many tiles."""
+    monkeypatch.setattr(blocks, "_TILE", (7, 11))
+    rng = np.random.default_rng(5)
+    x = rng.integers(-1, 2, size=(90, 4)).astype(float)
+    label = [None if k % 9 == 0 else f"L{k % 4}" for k in range(90)]
+    edges = np.array([-0.75, -0.5, -0.25, 0.0, 0.1, 0.5, 1.0])
+    df = spark.createDataFrame([(k, label[k], x[k].tolist()) for k in range(90)], "id long, label string, fingerprint array<double>")
+    got = {(r["kind"], r["bin"]): r["n"] for r in blocks.similarity_histogram(df, "label", edges, rows=40, eps=1e-300).collect()}
+    s = np.round(unit(x, 1e-300) @ unit(x, 1e-300).T, 12)
+    same = np.array([[a == b for b in label] for a in label])
+    off = ~np.eye(90, dtype=bool)
+    for kind, mask in (("intra", same & off), ("inter", ~same & off)):
+        assert [got[kind, k] for k in range(1, 7)] == np.histogram(s[mask], edges)[0].tolist()
+
+
+def test_few_scores_are_sorted_for_the_histogram():
+    """Only scores next to an edge are compared with the edges; the others were sorted one by one."""
+    edges = np.linspace(-0.2, 1.0, 80)
+    cell_of, bin_of, unsure = blocks._fine_cells(edges)
+    s = np.random.default_rng(1).uniform(-1, 1, 100_000)
+    sure = ~unsure[cell_of(s)]
+    assert sure.mean() > 0.99
+    inside = sure & (s >= edges[0]) & (s <= edges[-1])
+    assert (bin_of[cell_of(s)][inside] == np.searchsorted(edges, s[inside], "right") - 1).all()
+    assert (bin_of[cell_of(s)][sure & ~inside] == -1).all()
