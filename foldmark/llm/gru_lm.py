@@ -1,15 +1,16 @@
 """Gated recurrent language model over words, with a class-factored output, written in numpy.
 
 Tokens: words between the seven ASCII white-space characters, A-Z lower-cased, then one end
-token a document. Every token has a class and the network predicts
+token a document. Every token has a class, neighbouring classes form groups, and the network predicts
 
-    P(token | before) = P(class | state) * P(token | class[, state])
+    P(token | before) = P(group | state) * P(class | group, state) * P(token | class[, state])
 
 The most frequent training tokens share head classes by frequency, and the
 network predicts them within their class, too. Their number follows the counts: HEAD, or four times as many again and
 again while all of them occur SEEN times, up to MOST_HEAD (a replica's parameters have to fit a task); for
 2 k k words there are k classes, cut so that each holds the same sum of square roots of counts: frequent words share small classes,
-rare ones large classes, which are seldom worked out, as only the target's class is. All other words belong to TAIL classes by their
+rare ones large classes, which are seldom worked out, as only the target's group and class are (k classes in all make
+about sqrt(k) groups). All other words belong to TAIL classes by their
 spelling (a hash of the last two bytes), so that a word never seen has one as well; within a tail class a word
 has its training count, less DISCOUNT, over the class's count, and what the
 discounts set free belongs to unseen words together. The state starts at zero and is carried
@@ -52,7 +53,9 @@ RATE = 0.006
 NONE = -1  # a place without a token
 END = b""  # no word is empty
 PIECE, BLOCK, TOGETHER = 4_000_000, 16_384, 64  # tokens trained at once, values a row, replicas added at once
-ROWS, CHUNK = 65_536, 4096  # tokens scored at once, and those of which the class softmax is worked out at once
+ROWS, CELLS = 65_536, 1 << 17  # tokens scored at once, and cells of a softmax worked out at once
+FAR, OFTEN = 60, 24  # logits that exp can bear with room to spare; rows of a token that are added one by one
+SCORED_TOGETHER, STEPS = 2048, 256  # documents scored side by side, and the most steps before their softmaxes
 _FLUSH = 250_000
 
 
@@ -83,19 +86,11 @@ def tail_class(word):
 class Words(dict):
     """Number of a word: its place among the common words, or after them its tail class."""
 
-    most = 250_000
-
     def __init__(self, table):
-        super().__init__()
-        self.table = table
-        self.known = dict(zip(table.words, range(len(table.words)), strict=True))
+        super().__init__(zip(table.words, range(len(table.words)), strict=True))
 
     def __missing__(self, word):
-        if len(self) >= self.most:
-            self.clear()
-        k = self.known.get(word)
-        value = self[word] = len(self.known) + tail_class(word) if k is None else k
-        return value
+        return len(self) + tail_class(word)
 
     def numbers(self, text):
         words = text.lower().split()
@@ -122,25 +117,52 @@ class Table:
         self.unseen = np.log10(free) - self.level
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+def _order(codes):
+    """Places of ``codes`` in ascending order, NONE last; short numbers are sorted by their digits."""
+    return np.argsort(codes.astype(np.uint16 if codes.max(initial=0) < (1 << 16) - 1 else np.uint32), kind="stable")
+
+
+def _with_one(states):
+    return np.concatenate([states, np.ones((len(states), 1), np.float32)], axis=1)
+
+
+def _row_sums(values, keys):
+    """(distinct keys, sum of the rows of each): the k-th rows of all keys at a time, those of frequent keys key by key."""
+    by = _order(keys)
+    starts = np.flatnonzero(np.diff(keys[by], prepend=-1))
+    many = np.diff(starts, append=len(by))
+    most = np.argsort(-many, kind="stable")
+    starts, many = starts[most], many[most]
+    sums = values[by[starts]]
+    often = int(np.count_nonzero(many > OFTEN))
+    for k in range(often):
+        sums[k] = values[by[starts[k]:starts[k] + many[k]]].sum(axis=0)
+    for k in range(1, OFTEN):
+        some = int(np.count_nonzero(many > k))
+        sums[often:some] += values[by[starts[often:some] + k]]
+    return keys[by[starts]], sums
 
 
-def _misses(x, place, scale):
+def _shifted(x, plain):
+    """``x`` for exp, in place: as it is where no row can overflow or vanish, else less its rows' greatest values."""
+    if not plain:
+        x -= x.max(axis=1, keepdims=True)
+    return x
+
+
+def _misses(x, place, scale, plain):
     """Softmax of each row less 1 at its place, times ``scale``: the gradient of the mean log loss. Works in ``x``."""
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x *= scale / x.sum(axis=1, keepdims=True)
+    np.exp(_shifted(x, plain), out=x)
+    x *= (scale / (x @ np.ones(x.shape[1], x.dtype)))[:, None]
     x[np.arange(len(place)), place] -= scale
     return x
 
 
-def _log_at(x, place):
-    """Logarithm of one softmax cell of each row."""
-    rows = np.arange(len(place))
-    x -= x.max(axis=1, keepdims=True)
-    at = x[rows, place]
-    return at - np.log(np.exp(x, out=x).sum(axis=1))
+def _log_at(x, place, plain):
+    """Logarithm of one softmax cell of each row. Works in ``x``."""
+    at = _shifted(x, plain)[np.arange(len(place)), place]
+    np.exp(x, out=x)
+    return at - np.log(x @ np.ones(x.shape[1], x.dtype))
 
 
 class Net:
@@ -150,90 +172,132 @@ class Net:
         self.head = head
         self.bounds = class_bounds(np.zeros(0), head) if bounds is None else bounds
         self.classes = len(self.bounds) - 1
+        self.groups = np.linspace(0, self.classes + TAIL, math.isqrt(self.classes + TAIL) + 1).astype(np.int64)
         self.of_code = np.concatenate([np.repeat(np.arange(self.classes), np.diff(self.bounds)), self.classes + np.arange(TAIL)])
-        h, codes, classes = HIDDEN, head + TAIL, self.classes + TAIL
-        self.shapes = {"emb": (codes + 1, 3 * h), "rec": (h, 3 * h), "cls": (h, classes),
-                       "cls_b": (classes,), "word": (head, h), "word_b": (head,)}
+        self.group_of = np.repeat(np.arange(len(self.groups) - 1), np.diff(self.groups))
+        # what each softmax chooses from: first places of its pieces, and the end
+        self.pieces = {"grp": np.array([0, len(self.groups) - 1]), "cls": self.groups, "word": self.bounds}
+        h = HIDDEN
+        # the last column of an output is its bias, which meets a state's last place, a one
+        self.shapes = {"emb": (head + TAIL + 1, 3 * h), "rec": (h, 3 * h)} | {k: (int(b[-1]), h + 1) for k, b in self.pieces.items()}
         rng = np.random.default_rng(seed)
-        self.flat = np.concatenate([
-            rng.normal(0, 0 if k.endswith("_b") else 0.3 / h ** 0.5, s).astype(np.float32).ravel()
-            for k, s in self.shapes.items()])
-        self.views()
-
-    def views(self):
-        at = 0
-        self.p = {}
-        for k, s in self.shapes.items():
-            n = int(np.prod(s))
-            self.p[k] = self.flat[at:at + n].reshape(s)
-            at += n
+        self.flat = np.concatenate([rng.normal(0, 0.3 / h ** 0.5, s).astype(np.float32).ravel() for s in self.shapes.values()])
+        self.p = self.views(self.flat)
+        for k in self.pieces:
+            self.p[k][:, -1] = 0
+
+    def views(self, flat):
+        """The parameters, or other values laid out like all or the last of them, by name."""
+        end, out = len(flat), {}
+        for k, s in reversed(self.shapes.items()):
+            start = end - int(np.prod(s))
+            if start >= 0:
+                out[k] = flat[start:end].reshape(s)
+            end = start
+        return out
 
     def start(self, table, counts):
         """Output biases from the training counts."""
         n = np.array(counts[:self.head], np.float64)
-        self.p["word_b"][:] = -20  # places without a word
-        self.p["word_b"][:len(n)] = np.log(n)
+        grp, cls, word = (self.p[k][:, -1] for k in self.pieces)
+        word[:] = -20  # places without a word
+        word[:len(n)] = np.log(n)
         heads = np.bincount(self.of_code[:len(n)], n, self.classes)
-        tails = 10.0 ** table.level
-        self.p["cls_b"][:] = np.log(np.concatenate([heads, tails]) + 1)
-        for c in range(self.classes):
-            b = self.p["word_b"][self.bounds[c]:self.bounds[c + 1]]
-            b -= b.max()
-        self.p["cls_b"] -= self.p["cls_b"].max()
+        tokens = np.concatenate([heads, 10.0 ** table.level])
+        cls[:] = np.log(tokens + 1)
+        grp[:] = np.log(np.add.reduceat(tokens, self.groups[:-1]) + 1)
+        for k, bounds in self.pieces.items():
+            bias = self.p[k][:, -1]
+            bias -= np.repeat(np.maximum.reduceat(bias, bounds[:-1]), np.diff(bounds))
 
     def step(self, h, x):
-        """One step of the gated unit; x holds the rows of ``emb`` of the tokens before."""
-        g = h @ self.p["rec"][:, :2 * HIDDEN]
-        g += x[:, :2 * HIDDEN]
-        zr = _sigmoid(g)
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        c = np.tanh((r * h) @ self.p["rec"][:, 2 * HIDDEN:] + x[:, 2 * HIDDEN:])
-        return h + z * (c - h), z, r, c
-
-    def by_class(self, cls):
-        """(words of the class, rows of that class) for the head classes that occur in ``cls``."""
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            if cuts[c] < cuts[c + 1]:
-                yield slice(self.bounds[c], self.bounds[c + 1]), order[cuts[c]:cuts[c + 1]]
-
-    def log_p(self, states, codes):
-        """Natural log of P(class) and, for head tokens, of P(token | class)."""
-        if len(codes) > ROWS:
-            return np.concatenate([self.log_p(states[a:a + ROWS], codes[a:a + ROWS]) for a in range(0, len(codes), ROWS)])
+        """One step of the gated unit; x holds the rows of ``emb`` of the tokens before. Quickest where both lie column by column."""
+        h, x, rec = h.T, x.T, self.p["rec"].T
+        zr = rec[:2 * HIDDEN] @ h
+        zr += x[:2 * HIDDEN]
+        np.exp(np.negative(zr, out=zr), out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        z, r = zr[:HIDDEN], zr[HIDDEN:]
+        c = rec[2 * HIDDEN:] @ (r * h)
+        c += x[2 * HIDDEN:]
+        np.tanh(c, out=c)
+        new = c - h
+        new *= z
+        new += h
+        return new.T, z.T, r.T, c.T
+
+    def inputs(self, before):
+        """Rows of ``emb`` laid out for ``step``."""
+        return np.asfortranarray(self.p["emb"][before])
+
+    def plain(self):
+        """Whether exp of no logit can overflow and every softmax keeps its largest: states lie between -1 and 1."""
+        for k, bounds in self.pieces.items():
+            bias, wide = self.p[k][:, -1], np.abs(self.p[k][:, :-1]).sum(axis=1)
+            if (bias + wide).max() > FAR or np.maximum.reduceat(bias - wide, bounds[:-1]).min() < -FAR:
+                return False
+        return True
+
+    def choices(self, codes):
+        """(output, its places to choose from, rows that do, the places they choose) for all softmaxes of the sorted ``codes``."""
         cls = self.of_code[codes]
-        out = np.concatenate([_log_at(states[a:a + CHUNK] @ self.p["cls"] + self.p["cls_b"], cls[a:a + CHUNK])
-                              for a in range(0, len(cls), CHUNK)] or [np.zeros(0, np.float32)])
-        for words, rows in self.by_class(cls):
-            out[rows] += _log_at(states[rows] @ self.p["word"][words].T + self.p["word_b"][words], codes[rows] - words.start)
-        return out
+        for (k, bounds), own in zip(self.pieces.items(), (self.group_of[cls], cls, codes), strict=True):
+            cuts = np.searchsorted(own, bounds)
+            for c in np.flatnonzero(np.diff(cuts)):
+                a, b, end = int(bounds[c]), int(bounds[c + 1]), int(cuts[c + 1])
+                step = max(64, CELLS // (b - a))  # pieces that stay in a core's cache
+                for at in range(int(cuts[c]), end, step):
+                    rows = slice(at, min(at + step, end))
+                    yield k, slice(a, b), rows, own[rows] - a
+
+    def log_p(self, states, codes, plain=None):
+        """Natural log of P(group) P(class | group) and, for head tokens, P(token | class)."""
+        plain = self.plain() if plain is None else plain
+        if len(codes) > ROWS:
+            return np.concatenate([self.log_p(states[a:a + ROWS], codes[a:a + ROWS], plain) for a in range(0, len(codes), ROWS)])
+        order = _order(codes)
+        codes, states = codes[order], _with_one(states[order])
+        out = np.zeros(len(codes), np.float32)
+        for k, places, rows, chosen in self.choices(codes):
+            out[rows] += _log_at(states[rows] @ self.p[k][places].T, chosen, plain)
+        back = np.empty_like(out)
+        back[order] = out
+        return back
 
     def score(self, texts):
         """Log probability of each document: rows sorted by length, the state carried from window to window."""
+        total, plain = np.zeros(len(texts)), self.plain()
         order = np.argsort([-len(t) for t in texts], kind="stable")
-        lengths = np.array([len(texts[k]) for k in order])
+        for a in range(0, len(order), SCORED_TOGETHER):
+            some = order[a:a + SCORED_TOGETHER]
+            total[some] = self._score([texts[k] for k in some], plain)
+        return total
+
+    def _score(self, texts, plain):
+        lengths = np.array([len(t) for t in texts])  # longest first
+        starts = np.cumsum(lengths) - lengths
+        stream = np.concatenate([*texts, np.zeros(STEPS, np.int32)])
         total = np.zeros(len(texts))
-        h = np.zeros((len(texts), HIDDEN), np.float32)
+        h = np.zeros((HIDDEN, len(texts)), np.float32).T
         before = np.full(len(texts), self.head + TAIL, np.int32)
-        steps = max(16, min(256, (1 << 17) // max(1, len(texts))))
-        for at in range(0, int(lengths[0]) if len(lengths) else 0, steps):
+        at = 0
+        while at < lengths[0]:
             live = int(np.searchsorted(-lengths, -at, side="left"))
-            here = np.minimum(lengths[:live] - at, steps)
-            block = np.zeros((int(here[0]), live), np.int32)
-            for k in range(live):
-                block[:here[k], k] = texts[order[k]][at:at + here[k]]
-            counts = np.searchsorted(-here, -np.arange(len(block)), side="left")
+            here = np.minimum(lengths[:live] - at, max(16, min(STEPS, ROWS // live)))
+            steps = int(here[0])
+            block = stream[starts[:live] + np.arange(at, at + steps)[:, None]]
+            there = np.arange(steps)[:, None] < here
+            counts = there.sum(axis=1)
             states = np.empty((int(counts.sum()), HIDDEN), np.float32)
             pos = 0
             for t, n in enumerate(counts):
-                h[:n] = self.step(h[:n], self.p["emb"][before[:n]])[0]
-                states[pos:pos + n] = h[:n]
-                before[:n] = block[t, :n]
+                h = self.step(h[:n], self.inputs(before[:n]))[0]
+                states[pos:pos + n] = h
+                before = block[t]
                 pos += n
-            owner = np.concatenate([np.arange(n) for n in counts])
-            codes = np.concatenate([block[t, :n] for t, n in enumerate(counts)])
-            total[order[:live]] += np.bincount(owner, self.log_p(states, codes), live)
+            total[:live] += np.bincount(np.nonzero(there)[1], self.log_p(states, block[there], plain), live)
+            at += steps
         return total
 
     def train(self, texts, lanes, rate=RATE):
@@ -247,7 +311,7 @@ class Net:
         stream[:total] = np.concatenate(texts)
         fresh = np.zeros(n * lanes, bool)
         fresh[np.cumsum([0] + [len(t) for t in texts[:-1]])] = True
-        codes = stream.reshape(lanes, n).T
+        codes = np.ascontiguousarray(stream.reshape(lanes, n).T)
         fresh = fresh.reshape(lanes, n).T.copy()
         fresh[0] = True
         prev = np.vstack([np.full((1, lanes), self.head + TAIL, np.int32), codes[:-1]])
@@ -273,72 +337,75 @@ class Net:
 
     def _window(self, h, prev, codes, fresh, rate):
         p, (steps, lanes) = self.p, codes.shape
-        trail = []
+        trail, every = [], np.empty((steps, lanes, HIDDEN), np.float32)
         for t in range(steps):
             if fresh[t].any():
-                h = np.where(fresh[t][:, None], np.float32(0), h)
-            new, z, r, c = self.step(h, p["emb"][prev[t]])
-            trail.append((h, z, r, c))
-            h = new
+                h = np.where(fresh[t], np.float32(0), h.T).T
+            new, z, r, c = self.step(h, self.inputs(prev[t]))
+            trail.append((h.T, z.T, r.T, c.T))
+            every[t] = h = new
         last = h
-        every = np.concatenate([x[0] + x[1] * (x[3] - x[0]) for x in trail])
         flat_codes = codes.ravel()
-        real = np.flatnonzero(flat_codes != NONE)
-        whole = len(real) == len(flat_codes)
-        states, flat_codes = (every, flat_codes) if whole else (every[real], flat_codes[real])
-        cls = self.of_code[flat_codes]
-        grad = {k: np.zeros(s, np.float32) for k, s in self.shapes.items() if k != "emb"}
+        order = _order(flat_codes)[:np.count_nonzero(flat_codes != NONE)]
+        flat_codes = flat_codes[order]
+        states = _with_one(every.reshape(-1, HIDDEN)[order])
+        if self.t % WINDOW == 0:  # some updates move no logit far
+            self.fits = self.plain()
+        n = p["emb"].size
+        flat = np.zeros(len(self.flat) - n, np.float32)
+        grad = self.views(flat)
+        rec = grad["rec"]
         scale = np.float32(1 / max(1, len(flat_codes)))
-        back = np.empty_like(states)
-        for a in range(0, len(states), CHUNK):  # pieces that stay in a core's cache
-            own, here = states[a:a + CHUNK], cls[a:a + CHUNK]
-            d = _misses(own @ p["cls"] + p["cls_b"], here, scale)
-            grad["cls"] += own.T @ d
-            grad["cls_b"] += d.sum(axis=0)
-            back[a:a + CHUNK] = d @ p["cls"].T
-        for words, rows in self.by_class(cls):
-            own = states[rows]
-            e = _misses(own @ p["word"][words].T + p["word_b"][words], flat_codes[rows] - words.start, scale)
-            grad["word"][words], grad["word_b"][words] = e.T @ own, e.sum(axis=0)
-            back[rows] += e @ p["word"][words]
-        if not whole:
-            back, some = np.zeros_like(every), back
-            back[real] = some
-        back = back.reshape(steps, lanes, HIDDEN)
-        carry, inputs = np.zeros((lanes, HIDDEN), np.float32), np.empty((steps, lanes, 3 * HIDDEN), np.float32)
+        back = np.zeros((len(states), HIDDEN), np.float32)
+        for k, places, rows, chosen in self.choices(flat_codes):
+            own, mine = states[rows], p[k][places]
+            e = _misses(own @ mine.T, chosen, scale, self.fits)
+            grad[k][places] += e.T @ own
+            back[rows] += e @ mine[:, :-1]
+        every[:] = 0
+        every.reshape(-1, HIDDEN)[order] = back
+        carry, inputs = np.zeros((HIDDEN, lanes), np.float32), np.empty((steps, lanes, 3 * HIDDEN), np.float32)
+        gates = np.empty((3 * HIDDEN, lanes), np.float32)
+        dz, dr, da = gates[:HIDDEN], gates[HIDDEN:2 * HIDDEN], gates[2 * HIDDEN:]
         for t in range(steps - 1, -1, -1):
             h, z, r, c = trail[t]
-            dh = back[t] + carry
-            da = dh * z * (1 - c * c)
-            drh = da @ p["rec"][:, 2 * HIDDEN:].T
-            dz, dr = dh * (c - h) * z * (1 - z), drh * h * r * (1 - r)
-            gates = np.concatenate([dz, dr], axis=1)
-            grad["rec"][:, :2 * HIDDEN] += h.T @ gates
-            grad["rec"][:, 2 * HIDDEN:] += (r * h).T @ da
-            carry = dh * (1 - z) + drh * r + gates @ p["rec"][:, :2 * HIDDEN].T
-            carry[fresh[t]] = 0
-            inputs[t, :, :2 * HIDDEN], inputs[t, :, 2 * HIDDEN:] = gates, da
-        rows, place = np.unique(prev.ravel(), return_inverse=True)
-        by = np.argsort(place, kind="stable")
-        starts = np.searchsorted(place[by], np.arange(len(rows)))
-        rows_grad = np.add.reduceat(inputs.reshape(-1, 3 * HIDDEN)[by], starts)
-        g = np.concatenate([grad[k].ravel() for k in self.shapes if k != "emb"])
+            dh = every[t].T + carry
+            np.multiply(dh * z, 1 - c * c, out=da)
+            drh = p["rec"][:, 2 * HIDDEN:] @ da
+            np.multiply(dh * (c - h), z * (1 - z), out=dz)
+            np.multiply(drh * h, r * (1 - r), out=dr)
+            rec[:, :2 * HIDDEN] += h @ gates[:2 * HIDDEN].T
+            rec[:, 2 * HIDDEN:] += (r * h) @ da.T
+            carry = dh * (1 - z) + drh * r + p["rec"][:, :2 * HIDDEN] @ gates[:2 * HIDDEN]
+            carry[:, fresh[t]] = 0
+            inputs[t] = gates.T
+        rows, rows_grad = _row_sums(inputs.reshape(-1, 3 * HIDDEN), prev.ravel())
         self.t += 1
-        clip = min(1, 1 / max(math.sqrt(float(g @ g) + float((rows_grad * rows_grad).sum())), 1e-9))
+        clip = np.float32(min(1, 1 / max(math.sqrt(float(flat @ flat) + float(np.vdot(rows_grad, rows_grad))), 1e-9)))
         # embeddings are a leading block of the parameters; only the rows in use move
-        n = int(np.prod(self.shapes["emb"]))
-        self._move(slice(n, None), g * np.float32(clip), rate)
-        at = (rows[:, None] * (3 * HIDDEN) + np.arange(3 * HIDDEN)).ravel()
-        self._move(at, rows_grad.ravel() * np.float32(clip), rate)
+        for a in range(0, len(flat), BLOCK):
+            at = slice(n + a, n + min(a + BLOCK, len(flat)))
+            self._move((self.flat, self.m1, self.m2), at, flat[a:a + BLOCK] * clip, rate)
+        of, step = [x[:n].reshape(p["emb"].shape) for x in (self.flat, self.m1, self.m2)], BLOCK // (3 * HIDDEN)
+        for a in range(0, len(rows), step):
+            self._move(of, rows[a:a + step], rows_grad[a:a + step] * clip, rate)
         return last
 
-    def _move(self, at, g, rate):
-        """One step of Adam for some parameters."""
-        m1, m2 = self.m1[at], self.m2[at]
-        m1 += 0.1 * (g - m1)
-        m2 += 0.01 * (g * g - m2)
-        self.m1[at], self.m2[at] = m1, m2
-        self.flat[at] -= np.float32(rate / (1 - 0.9 ** self.t)) * m1 / (np.sqrt(m2 / np.float32(1 - 0.99 ** self.t)) + np.float32(1e-6))
+    def _move(self, of, at, g, rate):
+        """One step of Adam for some parameters: ``of`` holds them and their two moments."""
+        value, first, second = of
+        m1, m2 = first[at], second[at]
+        m1 += np.float32(0.1) * (g - m1)
+        g *= g
+        g -= m2
+        g *= np.float32(0.01)
+        m2 += g
+        first[at], second[at] = m1, m2
+        root = np.sqrt(m2 * np.float32(1 / (1 - 0.99 ** self.t)))
+        root += np.float32(1e-6)
+        np.divide(m1, root, out=root)
+        root *= np.float32(rate / (1 - 0.9 ** self.t))
+        value[at] -= root
 
 
 def word_counts(texts):

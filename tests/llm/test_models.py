@@ -288,3 +288,51 @@ def test_classes_by_mass():
     for counts, head in ((np.arange(9000, 0, -1), 8192), (np.zeros(0), 512), (np.array([10**9] + [1] * 600), 512), ([5] * 100, 2048)):
         bounds = gru_lm.class_bounds(np.array(counts, float), head)
         assert bounds[0] == 0 and bounds[-1] == head and (np.diff(bounds) > 0).all() and len(bounds) - 1 == int((head // 2) ** 0.5)
+
+
+def test_lm_softmaxes_of_a_token_are_short(monkeypatch):
+    """A token outside the head chooses a group and a class in it, not one of all 176 classes, in scoring and training."""
+    cells = []
+
+    def counting(f):
+        def run(x, *rest):
+            cells.append(x.size)
+            return f(x, *rest)
+        return run
+
+    for name in ("_log_at", "_misses"):
+        monkeypatch.setattr(gru_lm, name, counting(getattr(gru_lm, name)))
+    net = gru_lm.Net(head=gru_lm.MOST_HEAD)
+    codes = np.arange(4000, dtype=np.int32) % gru_lm.TAIL + net.head
+    for work in (lambda: net.score([codes]), lambda: net.train([codes], 1)):
+        cells.clear()
+        work()
+        assert len(codes) <= sum(cells) <= 2 * (1 + (net.classes + gru_lm.TAIL) ** 0.5) * len(codes)
+
+
+def test_lm_far_logits():
+    """Logits that exp cannot bear give the same softmax, and steps of training stay finite."""
+    rng = np.random.default_rng(5)
+    net = gru_lm.Net()
+    states = np.tanh(rng.normal(size=(300, gru_lm.HIDDEN))).astype(np.float32)
+    codes = rng.integers(0, gru_lm.HEAD + gru_lm.TAIL, 300).astype(np.int32)
+    near = net.log_p(states, codes)
+    assert net.plain() and np.allclose(net.log_p(states, codes, False), near, atol=1e-5)
+    for far in (300, -300):
+        for k in net.pieces:
+            net.p[k][:, -1] += far
+        assert not net.plain() and np.allclose(net.log_p(states, codes), near, atol=1e-3)
+        net.train([codes], 4)
+        assert np.isfinite(net.flat).all()
+        net = gru_lm.Net()
+
+
+def test_lm_row_sums():
+    rng = np.random.default_rng(6)
+    for keys in (rng.zipf(1.3, 5000) % 900, np.zeros(200, int), np.arange(50)):
+        keys = keys.astype(np.int32)
+        values = rng.normal(size=(len(keys), 6)).astype(np.float32)
+        want = np.zeros((900, 6))
+        np.add.at(want, keys, values)
+        rows, sums = gru_lm._row_sums(values, keys)
+        assert sorted(rows) == sorted(set(keys)) and np.allclose(sums, want[rows], atol=1e-3)
