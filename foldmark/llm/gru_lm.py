@@ -36,6 +36,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
@@ -55,6 +56,7 @@ END = b""  # no word is empty
 PIECE, BLOCK, TOGETHER = 4_000_000, 16_384, 64  # tokens trained at once, values a row, replicas added at once
 ROWS, CELLS = 65_536, 1 << 17  # tokens scored at once, and cells of a softmax worked out at once
 FAR, OFTEN = 60, 24  # logits that exp can bear with room to spare; rows of a token that are added one by one
+TEXT = 1 << 23  # bytes of text that are cut into words at once
 SCORED_TOGETHER, STEPS = 2048, 256  # documents scored side by side, and the most steps before their softmaxes
 _FLUSH = 250_000
 
@@ -83,19 +85,35 @@ def tail_class(word):
     return zlib.crc32(word[-2:]) % TAIL
 
 
-class Words(dict):
-    """Number of a word: its place among the common words, or after them its tail class."""
+class Words:
+    """Numbers of words: a word's place among the common words, or after them its tail class."""
 
     def __init__(self, table):
-        super().__init__(zip(table.words, range(len(table.words)), strict=True))
-
-    def __missing__(self, word):
-        return len(self) + tail_class(word)
-
-    def numbers(self, text):
-        words = text.lower().split()
-        words.append(END)
-        return words, np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        self.known, self.common = pa.array(table.words, pa.binary()), len(table.words)
+        self.end = table.words.index(END) if END in table.words else self.common + tail_class(END)
+
+    def of(self, column):
+        """``numbers`` of the rows of a text column, some at a time."""
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // TEXT, prepend=-1, append=-1))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield self.numbers(column.slice(a, b - a))
+
+    def numbers(self, column):
+        """(numbers of each row's words and its end, those of them that are not common row by row)."""
+        words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+        ends, words = words.offsets.to_numpy(), words.flatten().cast(pa.binary())
+        real = pc.binary_length(words).to_numpy() > 0  # white space at an end of the text leaves an empty word
+        n = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy().copy()
+        other = np.flatnonzero((n < 0) & real)
+        others = words.take(pa.array(other)).to_pylist()
+        n[other] = np.fromiter(map(tail_class, others), np.int32, len(others)) + self.common
+        ends_real = np.concatenate([[0], np.cumsum(real)])[ends[1:]]
+        n = np.insert(n[real], ends_real, self.end)
+        cuts = np.searchsorted(other, ends)
+        last = [END] if self.end >= self.common else []
+        return (np.split(n, ends_real[:-1] + np.arange(1, len(column))),
+                [others[a:b] + last for a, b in zip(cuts, cuts[1:], strict=False)])
 
 
 class Table:
@@ -436,12 +454,13 @@ def _replica(table, start):
         net.flat[:] = start.value
         code = table.value.code
         for batch in batches:
-            for text in raw_texts(batch.column(0)):
-                kept.append(code[numbers.numbers(text)[1]])
-                size += len(kept[-1])
-                if size > PIECE:
-                    net.train(kept, LANES)
-                    total, kept, size = total + size, [], 0
+            for rows, _ in numbers.of(batch.column(0)):
+                for n in rows:
+                    kept.append(code[n])
+                    size += len(n)
+                    if size > PIECE:
+                        net.train(kept, LANES)
+                        total, kept, size = total + size, [], 0
         if kept:
             net.train(kept, LANES)
             total += size
@@ -489,23 +508,22 @@ def _scored(table, flat):
     def run(batches):
         numbers, net, t = Words(table.value), Net(head=table.value.head, bounds=table.value.bounds), table.value
         net.flat[:] = flat.value
-        row, common = TaskContext.get().partitionId() << 40, len(t.words)
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, batch.num_rows, 8192):
                 part = batch.slice(at, 8192)
                 codes, base, score, sizes, known, words, own, times = [], [], [], [], [], [], [], []
-                for text in raw_texts(part.column(2)):
-                    all_words, n = numbers.numbers(text)
-                    codes.append(t.code[n])
-                    base.append(t.base[n].sum())
-                    score.append(t.tail[n].sum())
-                    rare = np.flatnonzero(n >= common)
-                    sizes.append(len(n))
-                    known.append(len(n) - len(rare))
-                    rare = Counter([all_words[k] for k in rare])
-                    words += rare.keys()
-                    times += rare.values()
-                    own.append(len(rare))
+                for rows, others in numbers.of(part.column(2)):
+                    for n, rare in zip(rows, others, strict=True):
+                        codes.append(t.code[n])
+                        base.append(t.base[n].sum())
+                        score.append(t.tail[n].sum())
+                        sizes.append(len(n))
+                        known.append(len(n) - len(rare))
+                        rare = Counter(rare)
+                        words += rare.keys()
+                        times += rare.values()
+                        own.append(len(rare))
                 score = np.array(score) + net.score(codes) / np.log(10)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row + np.arange(len(codes))), part.column(0), part.column(1), pa.array(sizes, pa.int64()),
@@ -548,11 +566,12 @@ def score(docs, common=COMMON):
         mark = F.pmod(F.xxhash64("doc_id", F.lit("warm")), F.lit(1 << 30))
         near = training.where(mark < F.lit(int((1 << 30) * min(1.0, 4 * WARM_DOCS / n_docs))))
         some = near.orderBy(mark, "doc_id", F.length("text")).limit(WARM_DOCS).toArrow()
-        numbers, kept, size = Words(table), [], 0
-        for text in raw_texts(some["text"]):
-            if size < WARM_TOKENS:
-                kept.append(table.code[numbers.numbers(text)[1]])
-                size += len(kept[-1])
+        kept, size = [], 0
+        for rows, _ in Words(table).of(some["text"].combine_chunks()):
+            for row in rows:
+                if size < WARM_TOKENS:
+                    kept.append(table.code[row])
+                    size += len(row)
         net.start(table, n)
         net.warm(kept)
     shared, flat = spark.sparkContext.broadcast(table), spark.sparkContext.broadcast(net.flat)

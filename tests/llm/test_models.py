@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from foldmark.llm import gru_lm, secret_scan, toxicity
 
@@ -336,3 +337,21 @@ def test_lm_row_sums():
         np.add.at(want, keys, values)
         rows, sums = gru_lm._row_sums(values, keys)
         assert sorted(rows) == sorted(set(keys)) and np.allclose(sums, want[rows], atol=1e-3)
+
+
+def test_lm_words_of_texts(monkeypatch):
+    """Words and ends are numbered as plain Python cuts them, whatever is common and however many rows are cut at once."""
+    texts = [" a  b\x1c c\x0b\x0cd \x85e f g ", "", None, " ", "\t\n", "ÀB Zz zq A", "end", "q " * 999, "　x"]
+    column = pa.array(texts)
+    for common in ([gru_lm.END, b"a", b"q", b"zz"], [b"q", b"a"], []):
+        table = gru_lm.Table(common, [9] * len(common), np.zeros(gru_lm.TAIL), np.zeros(gru_lm.TAIL))
+        place = {w: k for k, w in enumerate(common)}
+        want = [[*(t or "").encode().lower().split(), gru_lm.END] for t in texts]
+        for size in (1, 1 << 23):
+            monkeypatch.setattr(gru_lm, "TEXT", size)
+            for some in (column, column.slice(3), column.cast(pa.large_string())):
+                got = [x for rows, others in gru_lm.Words(table).of(some) for x in zip(rows, others, strict=True)]
+                assert [(list(n), o) for n, o in got] == [
+                    ([place.get(w, len(common) + gru_lm.tail_class(w)) for w in ws], [w for w in ws if w not in place])
+                    for ws in want[len(texts) - len(some):]]
+    assert not list(gru_lm.Words(table).of(column[:0]))
