@@ -67,3 +67,37 @@ def test_no_pair_is_a_row(spark):
         P.written = real
     plan = seen["runs"]._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "zip_with" not in plan
+
+
+def test_scores_are_shuffled_in_passes(spark, monkeypatch):
+    """All runs at once took disk for every pair; a pass writes the counts of its own ranges and leaves the setting as it was."""
+    from foldmark.operators import pair_auc as P
+    df = spark.createDataFrame(corpus(), SCHEMA)
+    made, real, setting = [], P.written, spark.conf.get(P._CLEANUP)
+
+    def kept(d, name):
+        assert spark.conf.get(P._CLEANUP) == "true"
+        made.append(real(d, name))
+        return made[-1]
+
+    monkeypatch.setattr(P, "written", kept)
+    got = group_auc(df, ["place"], (0, 2), axes=np.eye(4), mean=np.zeros(4), block_rows=16, range_pairs=1000, pass_pairs=4000)
+    auc = {r["dims"]: r["auc"] for r in got.collect()}
+    assert auc[0] == pytest.approx(plain(corpus(), 12), abs=1e-12)
+    assert auc[2] == pytest.approx(plain([(p, i, l, v[:2]) for p, i, l, v in corpus()], 12), abs=1e-12)
+    ranges = [{(r["dims"], r["range"]) for r in m.collect()} for m in made]
+    assert len(made) > 2 and max(map(len, ranges)) <= 4 and sum(map(len, ranges)) == len(set().union(*ranges))
+    assert spark.conf.get(P._CLEANUP) == setting
+
+
+def test_two_blocks_meet_once(spark):
+    """Both orders of two blocks doubled the products and the rows shuffled."""
+    from foldmark.operators import blocks
+    df = spark.createDataFrame(corpus(), SCHEMA).select("place", "id")
+    import pyarrow as pa
+    from pyspark.sql.types import LongType, StructField, StructType
+    schema = StructType([StructField("q", LongType()), StructField("r", LongType())])
+    kernel = lambda q, r: pa.table({"q": [min(q["id"].to_pylist())], "r": [min(r["id"].to_pylist())]})
+    met = [tuple(r) for r in blocks.block_pairs(df, df, kernel, schema, keys=["place"], rows=16, once=True).collect()]
+    n = len({q for q, _ in met if (q, q) in met})
+    assert len(met) == len({frozenset(m) for m in met}) and n > 5
