@@ -1,5 +1,7 @@
 """Full rankings by a sweep against plain numpy: blocks of every size, ties, gaps, labels of one member, no label."""
 
+import os
+
 import numpy as np
 import pytest
 
@@ -157,3 +159,20 @@ def test_a_row_is_shuffled_once_a_block(spark):
     side = df.select("id", "label", df.fingerprint.alias("vector"))
     parts = min(4, 2 * spark.sparkContext.defaultParallelism)
     assert sweep._dealt(side, "label", "id", 32_768).count() == 200 * (parts + 1)
+
+
+def test_quality_report_is_one_plan(spark, monkeypatch):
+    """The sweep was written while the plan was built, and neighbours were exploded and shuffled three times."""
+    df = spark.createDataFrame([(int(i), l, v) for i, l, v in corpus()], SCHEMA)
+    monkeypatch.setattr(E.V, "sum_vectors", lambda v, dim, real=E.V.sum_vectors: real(v, 4))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    made = set(os.listdir(folder.removeprefix("file://"))) if folder else set()
+    out = E.quality_report(df)
+    counts = out.select("n_windows", "n_cell_types")
+    assert counts.first()[:] == (len(corpus()), 7)
+    assert "MapInArrow" not in counts._jdf.queryExecution().executedPlan().toString()
+    got = out.first()
+    near = E.neighbours(df, 20)
+    recall, knn = E.recall_at(near).first(), E.knn_accuracy(E.neighbours(df, 5, exclude_self=False)).first()
+    assert [got[c] for c in recall.asDict()] == pytest.approx(list(recall)) and got["knn_accuracy"] == pytest.approx(knn[0])
+    assert set(os.listdir(folder.removeprefix("file://")) if folder else ()) == made
