@@ -161,6 +161,29 @@ def test_line_rules():
     assert not any(line_clean.fails(x, line_clean.words_of(x)) for x in good)
 
 
+def test_texts_with_entities_are_found_by_cheap_looks_first(spark):
+    """Every text went through all patterns at every character; the looks before them lose no match and change none."""
+    texts = ["x" * 70 + "@a.b.com y", "a@b.c-d.org", "+1 (2) 3 4 5 6 7 8", "(0171) 123-4567 ", "John Smith, Анна Петрова, Annas", "1.2.3.4.5 and 10.0.0.1",
+             "4111 1111 1111 1111", "xJohn", "Мария", "a@b", "..@x.yy", None, "", "Élan Emma", "0049 30 1234567", "ЁАнна", "7 of 9", "no one"]
+    plain = [p.replace("{1,64}+", "{1,64}").replace("{1,63}+", "{1,63}").replace(f"(?={pii._INITIAL})", "") for p in pii.PATTERNS.values()]
+    whole = "|".join(f"(?:{p})" for p in plain)
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = df.select("doc_id", pii.holds_entity(F.col("text")), F.coalesce(F.col("text").rlike(whole), F.lit(False)),
+                    F.regexp_extract_all("text", F.lit(pii.ANY), F.lit(0)), F.regexp_extract_all("text", F.lit(whole), F.lit(0))).collect()
+    assert all(r[1] == r[2] and r[3] == r[4] for r in got) and {r[1] for r in got} == {True, False}
+    assert all(set(n[0]) <= set("".join(map(chr, range(0x410, 0x430)))) for k in pii.NAMES if "cyrillic" in k for n in pii.NAMES[k])
+
+
+def test_surrogates_are_worked_out_by_many_tasks(spark, monkeypatch):
+    """Small bytes and much work: merged by size, all entities of a corpus were one task."""
+    seen, real = {}, pii.stored
+    monkeypatch.setattr(pii, "stored", lambda df, name: seen.setdefault(name, real(df, name)))
+    df = spark.createDataFrame([("email", f"m{k}@example.com") for k in range(200)], "kind string, entity string").distinct()
+    pii.surrogates(df, "k").count()
+    files = {r[0] for r in seen["pii-attempt"].select(F.input_file_name()).distinct().collect()}
+    assert len(files) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_line_cleaning_judges_raw_utf8():
     """Texts were decoded and searched by patterns character by character; bytes give the same counts of code points and words."""
     raw = "Ünï\u00a0x À\x0bb… K!! a!!\n|\na b c d a b c\na b c d a b c\nİ ROOT ÜBER ALL\n ende »".encode()
