@@ -5,6 +5,7 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,3 +169,31 @@ def test_one_long_conversation_and_empty_tables(spark, monkeypatch):
     only = frame(spark, rows[:1])
     assert [tuple(x) for x in repair.report(only, only.where(F.lit(False))).collect()] == [
         (1, 0, 0, 0, 0, 0, 0, "", hashlib.sha256().hexdigest())]
+
+
+def test_conversations_of_a_batch_leave_together():
+    """A batch of one row for each conversation cost many times its hash."""
+    rows = [(f"={k // 3}", "DKR"[k % 3], 4 * (k % 3 == 0), "user", f"t{k}") for k in range(3000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[a:a + 1000], strict=True)], ["conv", "edit", "cost", "role", "text"])
+               for a in range(0, 3000, 1000)]
+    out = list(repair._digested(batches))
+    got = pa.Table.from_batches(out).to_pylist()
+    assert len(out) <= 4 and [r["conv"] for r in got] == [f"={k}" for k in range(1000)]
+    assert all((r["cost"], r["audit"]) == (4, "DKR") for r in got)
+    assert got[333]["repaired_sha256"] == hashlib.sha256(b"user:t1000\nuser:t1001").hexdigest()
+
+
+def test_edits_carry_their_cost_and_are_read_once(spark, monkeypatch):
+    """The cost came by a join of all rows with their faults, and the edits were written with their texts to be read twice."""
+    names, real = [], repair.stored
+    monkeypatch.setattr(repair, "stored", lambda df, name: (names.append(name), real(df, name))[1])
+    texts = ["Hello.", "open end", "Hello.", "", "\x0b \t", "Fine! \n", "open end"]
+    rows = [(c, t, ["user", "assistant", "system", "tool"][(t + c) % 4], texts[(t * 3 + c) % 7]) for c in range(9) for t in range(11)]
+    edits, faults, _ = repair.repaired(frame(spark, rows))
+    fault = {(r["conv"], r["turn"]): r["fault"] for r in faults.collect()}
+    prices = {"D": 4, "I": 3, "R": 3, "K": 0}
+    got = edits.collect()
+    assert all(r["cost"] == prices[r["edit"]] + 3 * (r["edit"] in "KR" and fault[r["conv"], r["turn"]] == 3) for r in got)
+    assert {r["edit"] for r in got} == set("DIKR") and any(r["cost"] == 6 for r in got)
+    repair.report(frame(spark, rows), frame(spark, rows)).count()
+    assert "repair-edits" not in names
